@@ -69,7 +69,7 @@ def find(questions: DataFrame, corpus: Corpus, intent: str, mode: str) -> Found:
 SEARCHES = (K.PII_SEARCH, K.AML_SEARCH, K.REG_SEARCH)
 
 
-def _routed(questions: DataFrame, mode: str, strict: bool) -> DataFrame:
+def routed(questions: DataFrame, mode: str, strict: bool = False) -> DataFrame:
     """Questions with intent; structured obligation questions are marked in tagged mode."""
     kind = report_kind(F.col("text")) if mode == K.MODE_TAGGED else F.lit(None).cast("string")
     intent = route(F.col("text"), strict=strict)
@@ -77,52 +77,57 @@ def _routed(questions: DataFrame, mode: str, strict: bool) -> DataFrame:
         "structured", (F.col("intent") == K.REG_SEARCH) & kind.isNotNull())
 
 
-def _searching(routed: DataFrame, intent: str) -> DataFrame:
-    return routed.where((F.col("intent") == intent) & ~F.col("structured")) \
+def searching(asked: DataFrame, intent: str) -> DataFrame:
+    """The questions of one intent that search (structured ones do not)."""
+    return asked.where((F.col("intent") == intent) & ~F.col("structured")) \
         .select("question_id", "text")
 
 
 def search_counts(questions: DataFrame, corpus: Corpus, mode: str, *,
                   strict: bool = False) -> DataFrame:
     """``question_id, mode, intent, hit_count`` for the questions that search."""
-    routed = _routed(questions, mode, strict)
+    asked = routed(questions, mode, strict)
     parts = []
     for intent in SEARCHES:
-        found = find(_searching(routed, intent), corpus, intent, mode)
+        found = find(searching(asked, intent), corpus, intent, mode)
         parts.append(S.counts_per_question(found.keys, found.hits).select(
             "question_id", F.lit(mode).alias("mode"), F.lit(intent).alias("intent"),
             "hit_count"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def report(intent: str, found: Found) -> DataFrame:
+    """Report lines of one domain."""
+    if intent == K.PII_SEARCH:
+        return R.message_report(found.keys, found.hits)
+    if intent == K.AML_SEARCH:
+        return R.transaction_report(found.keys, found.hits, found.order)
+    return R.obligation_report(found.keys, found.hits)
+
+
 def answer_lines(questions: DataFrame, corpus: Corpus, mode: str, *,
                  strict: bool = False) -> DataFrame:
     """The answer to every question as ``question_id, mode, section, ord, line``."""
-    routed = _routed(questions, mode, strict)
-    out = routed.where(F.col("intent") == K.OUT_OF_SCOPE).select(
+    asked = routed(questions, mode, strict)
+    out = asked.where(F.col("intent") == K.OUT_OF_SCOPE).select(
         "question_id", F.lit(0).alias("section"), F.lit("").alias("ord"),
         F.lit(K.OUT_OF_SCOPE_TEXT).alias("line"))
     parts = [out]
     for intent in SEARCHES:
-        found = find(_searching(routed, intent), corpus, intent, mode)
-        if intent == K.PII_SEARCH:
-            parts.append(R.message_report(found.keys, found.hits))
-        elif intent == K.AML_SEARCH:
-            parts.append(R.transaction_report(found.keys, found.hits, found.order))
-        else:
-            parts.append(R.obligation_report(found.keys, found.hits))
+        found = find(searching(asked, intent), corpus, intent, mode)
+        parts.append(report(intent, found))
     if mode == K.MODE_TAGGED:
-        structured = R.structured_answers(routed.where("structured"), corpus.tagged_obligations,
+        structured = R.structured_answers(asked.where("structured"), corpus.tagged_obligations,
                                           corpus.topic)
         parts.append(structured.select("question_id", F.lit(0).alias("section"),
                                        F.lit("").alias("ord"), "line"))
-    parts.append(R.sar_report(_drafts(routed, corpus, mode)))
+    parts.append(R.sar_report(_drafts(asked, corpus, mode)))
     return reduce(DataFrame.unionByName, parts).select(
         "question_id", F.lit(mode).alias("mode"), "section", "ord", "line")
 
 
-def _drafts(routed: DataFrame, corpus: Corpus, mode: str) -> DataFrame:
-    requests = R.draft_requests(routed.where(F.col("intent") == K.SAR_DRAFT))
+def _drafts(asked: DataFrame, corpus: Corpus, mode: str) -> DataFrame:
+    requests = R.draft_requests(asked.where(F.col("intent") == K.SAR_DRAFT))
     if mode == K.MODE_RAW:
         return R.raw_sar_drafts(requests)
     return R.sar_drafts(requests, corpus.tagged_transactions)
@@ -140,13 +145,13 @@ def previews(found: Found, n: int = K.PREVIEW_ROWS) -> DataFrame:
 def answer_trace(questions: DataFrame, corpus: Corpus, mode: str, *,
                  strict: bool = False) -> DataFrame:
     """Intent, tool, hit count, no-result flag and preview per question."""
-    routed = _routed(questions, mode, strict)
-    parts = [routed.where(F.col("intent") == K.OUT_OF_SCOPE).select(
+    asked = routed(questions, mode, strict)
+    parts = [asked.where(F.col("intent") == K.OUT_OF_SCOPE).select(
         "question_id", F.lit(K.OUT_OF_SCOPE).alias("intent"),
         F.lit(None).cast("string").alias("tool_name"), F.lit(0).cast("bigint").alias("hit_count"),
         F.lit("").alias("preview"))]
     for intent in SEARCHES:
-        found = find(_searching(routed, intent), corpus, intent, mode)
+        found = find(searching(asked, intent), corpus, intent, mode)
         counts = S.counts_per_question(found.keys, found.hits)
         parts.append(counts.join(previews(found), "question_id", "left").select(
             "question_id", F.lit(intent).alias("intent"),
@@ -156,13 +161,13 @@ def answer_trace(questions: DataFrame, corpus: Corpus, mode: str, *,
         rows = corpus.topic.rows(corpus.tagged_obligations)
         first = R.obligation_examples(rows, K.PREVIEW_ROWS).agg(
             F.array_join(F.array_sort(F.collect_list("paragraph_id")), ",").alias("preview"))
-        answers = R.structured_answers(routed.where("structured"), corpus.tagged_obligations,
+        answers = R.structured_answers(asked.where("structured"), corpus.tagged_obligations,
                                        corpus.topic)
         parts.append(answers.withColumn("one", F.lit(1)).join(
             F.broadcast(first.withColumn("one", F.lit(1))), "one").select(
             "question_id", F.lit(K.REG_SEARCH).alias("intent"),
             F.lit(K.TOOL_STRUCTURED_REG).alias("tool_name"), "hit_count", "preview"))
-    parts.append(R.draft_requests(routed.where(F.col("intent") == K.SAR_DRAFT)).select(
+    parts.append(R.draft_requests(asked.where(F.col("intent") == K.SAR_DRAFT)).select(
         "question_id", F.lit(K.SAR_DRAFT).alias("intent"),
         F.lit(K.TOOL_NAMES[K.SAR_DRAFT, mode]).alias("tool_name"),
         F.lit(1).cast("bigint").alias("hit_count"), F.col("wanted_id").alias("preview")))

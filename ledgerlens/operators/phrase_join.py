@@ -84,8 +84,7 @@ def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFram
     piece = F.explode(F.concat(*found)).alias("piece")
 
     if regex:
-        matches = F.coalesce(F.col(text), F.lit("")).rlike(
-            F.concat(F.lit("(?iu)"), F.col("phrase")))
+        matches = F.rlike(F.coalesce(F.col(text), F.lit("")), F.concat(F.lit("(?iu)"), "phrase"))
     else:
         matches = folded.contains(F.lower("phrase"))
 

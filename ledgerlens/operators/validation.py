@@ -65,9 +65,10 @@ def check_numbers(lines: DataFrame, hits: DataFrame) -> DataFrame:
 
 def check_masking(lines: DataFrame, hits: DataFrame) -> DataFrame:
     """The excerpt of every message line is that of the stored masked text."""
-    parts = F.split("line", "\n" + K.PII_EXCERPT, 2)
+    label = "\n" + K.PII_EXCERPT
+    place = F.instr("line", F.lit(label))
     shown = cited(lines, MESSAGE_ID).withColumn(
-        "shown", F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
+        "shown", F.when(place > 0, F.substr("line", place + len(label))).otherwise(""))
     stored = excerpt(first_present(F.col("masked_text"), F.col("original_text")),
                      K.PII_EXCERPT_CHARS)
     actual = hits.select("question_id", F.col("message_id").alias("cited_id"),

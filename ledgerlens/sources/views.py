@@ -31,6 +31,10 @@ def tagged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_messages(messages(spark, sf_dir), TABLES)
 
 
+def tagged_messages_upgraded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upgrade_risk(tagged_messages(spark, sf_dir))
+
+
 def prior_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``message_id, prior``: toxic reads High, low quality Medium, the rest Low."""
     prior = F.when(F.col("toxic") == 1, "High").when(F.col("quality") == 0, "Medium") \
@@ -142,7 +146,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """All tables; tagged messages are written once, as several searches read them."""
-    tagged = upgrade_risk(tagged_messages(spark, sf_dir))
+    tagged = tagged_messages_upgraded(spark, sf_dir)
     return Corpus(
         messages=messages(spark, sf_dir),
         transactions=transactions(spark, sf_dir),
