@@ -63,5 +63,6 @@ def title_case(col: Column) -> Column:
 
 
 def joined_or_default(items: Column, default: str) -> Column:
-    """Comma-joined list, or ``default`` when the list is null or empty."""
-    return F.coalesce(F.nullif(F.array_join(items, ", "), F.lit("")), F.lit(default))
+    """Comma-joined list without outer blanks and quotes, or ``default`` when empty."""
+    joined = F.btrim(strip(F.array_join(items, ", ")), F.lit("'\""))
+    return F.coalesce(F.nullif(joined, F.lit("")), F.lit(default))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,6 +25,8 @@ class Corpus:
     tagged_obligations: DataFrame
     topic: R.Topic = field(default_factory=R.Topic)
     source_token: str = "610"
+    # How to keep hits that several results read: (frame, name) -> frame.
+    keep: Callable[[DataFrame, str], DataFrame] = lambda hits, name: hits
 
 
 @dataclass(frozen=True)
@@ -83,16 +85,42 @@ def searching(asked: DataFrame, intent: str) -> DataFrame:
         .select("question_id", "text")
 
 
-def search_counts(questions: DataFrame, corpus: Corpus, mode: str, *,
-                  strict: bool = False) -> DataFrame:
-    """``question_id, mode, intent, hit_count`` for the questions that search."""
+@dataclass(frozen=True)
+class Results:
+    """Everything found for a table of questions in one mode."""
+
+    mode: str
+    routed: DataFrame
+    found: dict[str, Found]
+    corpus: Corpus
+
+    def with_intent(self, intent: str) -> DataFrame:
+        return self.routed.where(F.col("intent") == intent)
+
+    @property
+    def structured(self) -> DataFrame:
+        return self.routed.where("structured")
+
+
+def search_all(questions: DataFrame, corpus: Corpus, mode: str, *, strict: bool = False,
+               intents: Sequence[str] = SEARCHES) -> Results:
+    """Route the questions and search every domain once.
+
+    Counts, reports, previews and traces all read the hits, so they are kept.
+    """
     asked = routed(questions, mode, strict)
-    parts = []
-    for intent in SEARCHES:
-        found = find(searching(asked, intent), corpus, intent, mode)
-        parts.append(S.counts_per_question(found.keys, found.hits).select(
-            "question_id", F.lit(mode).alias("mode"), F.lit(intent).alias("intent"),
-            "hit_count"))
+    found = {}
+    for intent in intents:
+        one = find(searching(asked, intent), corpus, intent, mode)
+        found[intent] = replace(one, hits=corpus.keep(one.hits, f"{mode}-{intent}".lower()))
+    return Results(mode, asked, found, corpus)
+
+
+def search_counts(results: Results) -> DataFrame:
+    """``question_id, mode, intent, hit_count`` for the questions that search."""
+    parts = [S.counts_per_question(found.keys, found.hits).select(
+        "question_id", F.lit(results.mode).alias("mode"), F.lit(intent).alias("intent"),
+        "hit_count") for intent, found in results.found.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -105,32 +133,29 @@ def report(intent: str, found: Found) -> DataFrame:
     return R.obligation_report(found.keys, found.hits)
 
 
-def answer_lines(questions: DataFrame, corpus: Corpus, mode: str, *,
-                 strict: bool = False) -> DataFrame:
+def answer_lines(results: Results) -> DataFrame:
     """The answer to every question as ``question_id, mode, section, ord, line``."""
-    asked = routed(questions, mode, strict)
-    out = asked.where(F.col("intent") == K.OUT_OF_SCOPE).select(
-        "question_id", F.lit(0).alias("section"), F.lit("").alias("ord"),
-        F.lit(K.OUT_OF_SCOPE_TEXT).alias("line"))
-    parts = [out]
-    for intent in SEARCHES:
-        found = find(searching(asked, intent), corpus, intent, mode)
-        parts.append(report(intent, found))
-    if mode == K.MODE_TAGGED:
-        structured = R.structured_answers(asked.where("structured"), corpus.tagged_obligations,
-                                          corpus.topic)
-        parts.append(structured.select("question_id", F.lit(0).alias("section"),
-                                       F.lit("").alias("ord"), "line"))
-    parts.append(R.sar_report(_drafts(asked, corpus, mode)))
+    first = [F.lit(0).alias("section"), F.lit("").alias("ord")]
+    parts = [results.with_intent(K.OUT_OF_SCOPE).select(
+        "question_id", *first, F.lit(K.OUT_OF_SCOPE_TEXT).alias("line"))]
+    parts += [report(intent, found) for intent, found in results.found.items()]
+    if results.mode == K.MODE_TAGGED:
+        parts.append(_structured(results).select("question_id", *first, "line"))
+    parts.append(R.sar_report(_drafts(results)))
     return reduce(DataFrame.unionByName, parts).select(
-        "question_id", F.lit(mode).alias("mode"), "section", "ord", "line")
+        "question_id", F.lit(results.mode).alias("mode"), "section", "ord", "line")
 
 
-def _drafts(asked: DataFrame, corpus: Corpus, mode: str) -> DataFrame:
-    requests = R.draft_requests(asked.where(F.col("intent") == K.SAR_DRAFT))
-    if mode == K.MODE_RAW:
+def _structured(results: Results) -> DataFrame:
+    return R.structured_answers(results.structured, results.corpus.tagged_obligations,
+                                results.corpus.topic)
+
+
+def _drafts(results: Results) -> DataFrame:
+    requests = R.draft_requests(results.with_intent(K.SAR_DRAFT))
+    if results.mode == K.MODE_RAW:
         return R.raw_sar_drafts(requests)
-    return R.sar_drafts(requests, corpus.tagged_transactions)
+    return R.sar_drafts(requests, results.corpus.tagged_transactions)
 
 
 def previews(found: Found, n: int = K.PREVIEW_ROWS) -> DataFrame:
@@ -142,32 +167,28 @@ def previews(found: Found, n: int = K.PREVIEW_ROWS) -> DataFrame:
         F.array_sort(F.collect_list(entry)), lambda e: e["id"]), ",").alias("preview"))
 
 
-def answer_trace(questions: DataFrame, corpus: Corpus, mode: str, *,
-                 strict: bool = False) -> DataFrame:
+def answer_trace(results: Results) -> DataFrame:
     """Intent, tool, hit count, no-result flag and preview per question."""
-    asked = routed(questions, mode, strict)
-    parts = [asked.where(F.col("intent") == K.OUT_OF_SCOPE).select(
+    mode = results.mode
+    parts = [results.with_intent(K.OUT_OF_SCOPE).select(
         "question_id", F.lit(K.OUT_OF_SCOPE).alias("intent"),
         F.lit(None).cast("string").alias("tool_name"), F.lit(0).cast("bigint").alias("hit_count"),
         F.lit("").alias("preview"))]
-    for intent in SEARCHES:
-        found = find(searching(asked, intent), corpus, intent, mode)
+    for intent, found in results.found.items():
         counts = S.counts_per_question(found.keys, found.hits)
         parts.append(counts.join(previews(found), "question_id", "left").select(
             "question_id", F.lit(intent).alias("intent"),
             F.lit(K.TOOL_NAMES[intent, mode]).alias("tool_name"), "hit_count",
             F.coalesce("preview", F.lit("")).alias("preview")))
     if mode == K.MODE_TAGGED:
-        rows = corpus.topic.rows(corpus.tagged_obligations)
+        rows = results.corpus.topic.rows(results.corpus.tagged_obligations)
         first = R.obligation_examples(rows, K.PREVIEW_ROWS).agg(
             F.array_join(F.array_sort(F.collect_list("paragraph_id")), ",").alias("preview"))
-        answers = R.structured_answers(asked.where("structured"), corpus.tagged_obligations,
-                                       corpus.topic)
-        parts.append(answers.withColumn("one", F.lit(1)).join(
+        parts.append(_structured(results).withColumn("one", F.lit(1)).join(
             F.broadcast(first.withColumn("one", F.lit(1))), "one").select(
             "question_id", F.lit(K.REG_SEARCH).alias("intent"),
             F.lit(K.TOOL_STRUCTURED_REG).alias("tool_name"), "hit_count", "preview"))
-    parts.append(R.draft_requests(asked.where(F.col("intent") == K.SAR_DRAFT)).select(
+    parts.append(R.draft_requests(results.with_intent(K.SAR_DRAFT)).select(
         "question_id", F.lit(K.SAR_DRAFT).alias("intent"),
         F.lit(K.TOOL_NAMES[K.SAR_DRAFT, mode]).alias("tool_name"),
         F.lit(1).cast("bigint").alias("hit_count"), F.col("wanted_id").alias("preview")))
@@ -186,8 +207,8 @@ def compare_modes(questions: DataFrame, corpus: Corpus, *, strict: bool = False)
     """Raw against tagged mode, one row per question."""
     sides = []
     for mode, prefix in ((K.MODE_RAW, "raw"), (K.MODE_TAGGED, "tagged")):
-        trace = answer_trace(questions, corpus, mode, strict=strict)
-        lengths = answer_lengths(answer_lines(questions, corpus, mode, strict=strict))
+        results = search_all(questions, corpus, mode, strict=strict)
+        trace, lengths = answer_trace(results), answer_lengths(answer_lines(results))
         sides.append(trace.join(lengths, "question_id", "left").select(
             "question_id",
             F.col("intent").alias(f"{prefix}_intent"),

@@ -1,18 +1,22 @@
 """Containment join: which records contain which phrases.
 
-"Text contains phrase" has no key to join on, and testing every record against
-every phrase is a cross product.  A phrase can only occur in a text that also
-contains any chosen piece of that phrase, so one piece per phrase becomes the
-join key and the full test runs on the pairs that share it.  The result is
-exact.
+"Text contains phrase" has no key to join on.  A handful of phrases are simply
+tested in one pass over the records.  Many phrases get a key: a phrase can only
+occur in a text that also contains any chosen piece of that phrase, so one
+piece per phrase is joined on, and the full test runs on the pairs that share
+it.  Both ways are exact and neither pairs every record with every phrase.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
+
+from ledgerlens.functions.lists import compact
 
 # Piece lengths: a phrase uses the longest that fits into it.
 PIECE_SIZES = (8, 3, 1)
+# Most phrases written into the plan as constants.
+LITERAL_PHRASES = 64
 # Most phrases whose pieces are sent to every executor (about 100 bytes each).
 BROADCAST_PHRASES = 100_000
 
@@ -35,14 +39,12 @@ def _literal_run(pattern: Column) -> Column:
     return F.when(pattern.rlike("[|()\\[\\]\\\\]"), "").otherwise(longest["run"])
 
 
-def phrase_keys(phrases: DataFrame, phrase: str, *, regex: bool = False) -> DataFrame:
-    """One row per distinct phrase: ``phrase, piece_size, piece``.
+def phrase_keys(distinct: DataFrame, *, regex: bool = False) -> DataFrame:
+    """The join key of each distinct phrase: ``phrase, piece_size, piece``.
 
     The piece shared with the fewest other phrases is taken, so that wording
     common to many questions does not become one hot key.
     """
-    distinct = phrases.select(F.col(phrase).alias("phrase")).where(F.col(phrase).isNotNull()) \
-        .distinct()
     run = F.lower(_literal_run(F.col("phrase")) if regex else F.col("phrase"))
     size = F.when(F.lit(False), 0)
     pieces = F.when(F.lit(False), F.array(F.lit("")))
@@ -62,31 +64,55 @@ def phrase_keys(phrases: DataFrame, phrase: str, *, regex: bool = False) -> Data
 
 
 def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFrame, phrase: str, *,
-                regex: bool = False, broadcast_phrases: int = BROADCAST_PHRASES) -> DataFrame:
+                regex: bool = False, literal_phrases: int = LITERAL_PHRASES,
+                broadcast_phrases: int = BROADCAST_PHRASES) -> DataFrame:
     """Every (record, phrase) with the phrase in the text, ignoring case.
 
     Returns the record columns plus ``phrase``.  With ``regex`` the phrase is a
     regular expression searched in the text.  ``record_id`` must be unique.
 
-    The phrase side is counted first (one small job over the phrases alone):
-    up to ``broadcast_phrases`` it is broadcast and the records are not
-    shuffled; beyond that only ids and pieces are shuffled, and the records
-    join once on their id.
+    The phrase side decides the way, in small jobs over the phrases alone: up to
+    ``literal_phrases`` distinct ones become constants of a single projection;
+    up to ``broadcast_phrases`` their pieces are broadcast and the records are
+    not shuffled; beyond that ids and pieces are shuffled, and the records join
+    once on their id.
     """
-    keys = phrase_keys(phrases, phrase, regex=regex)
+    distinct = phrases.select(F.col(phrase).alias("phrase")).where("phrase is not null").distinct()
+    required = _literal_run(F.col("phrase")) if regex else F.col("phrase")
+    few = distinct.limit(literal_phrases + 1).select(
+        "phrase", F.lower(required).alias("required")).collect()
+    if len(few) <= literal_phrases:
+        return _match_constants(records, text, sorted(few), regex)
+    return _match_pieces(records, record_id, text, phrase_keys(distinct, regex=regex), regex,
+                         broadcast_phrases)
+
+
+def _match_constants(records: DataFrame, text: str, phrases: list[Row], regex: bool) -> DataFrame:
+    if not phrases:
+        return records.select("*", F.lit("").alias("phrase")).where(F.lit(False))
+    df = records.withColumn("__folded", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    tests = []
+    for phrase, required in phrases:
+        test = F.col("__folded").contains(required)
+        if regex:
+            # The pattern only runs where the text holds what it requires.
+            test = test & F.coalesce(F.col(text), F.lit("")).rlike("(?iu)" + phrase)
+        tests.append((test, phrase))
+    return df.select(*records.columns, F.explode(compact(tests)).alias("phrase"))
+
+
+def _match_pieces(records: DataFrame, record_id: str, text: str, keys: DataFrame, regex: bool,
+                  broadcast_phrases: int) -> DataFrame:
     sizes = {row["piece_size"]: row["n"]
              for row in keys.groupBy("piece_size").agg(F.count("*").alias("n")).collect()}
-
-    folded = F.lower(F.coalesce(F.col(text), F.lit("")))
+    content = F.coalesce(F.col(text), F.lit(""))
+    folded = F.lower(content)
     found = [F.array_distinct(_pieces(folded, size)) for size in sizes if size > 0]
-    if 0 in sizes or not sizes:
+    if 0 in sizes:
         found.append(F.array(F.lit("")))
     piece = F.explode(F.concat(*found)).alias("piece")
-
-    if regex:
-        matches = F.rlike(F.coalesce(F.col(text), F.lit("")), F.concat(F.lit("(?iu)"), "phrase"))
-    else:
-        matches = folded.contains(F.lower("phrase"))
+    matches = F.rlike(content, F.concat(F.lit("(?iu)"), "phrase")) if regex \
+        else folded.contains(F.lower("phrase"))
 
     keys = keys.select("phrase", "piece")
     if sum(sizes.values()) <= broadcast_phrases:
@@ -94,7 +120,6 @@ def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFram
             records.select("*", piece)
             .join(F.broadcast(keys), "piece")
             .where(matches)
-            .drop("piece")
             .select(*records.columns, "phrase")
         )
     pairs = records.select(record_id, piece).join(keys, "piece").select(record_id, "phrase")

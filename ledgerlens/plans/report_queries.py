@@ -23,7 +23,7 @@ def _with_excerpt(head: str, label: str, text: str) -> str:
 
 def _pii_line(masked: str, labels: str) -> str:
     head = (f"{NEWLINE} || '• ID: `' || id || '` | Risk: **' || risk_flag || '** | Entities: ' || "
-            f"coalesce(nullif(replace({labels}, '|', ', '), ''), '(not provided)')")
+            f"coalesce(nullif({labels}, ''), '(not provided)')")
     return _with_excerpt(head, K.PII_EXCERPT, f"({Q.excerpt(masked, K.PII_EXCERPT_CHARS)})")
 
 
@@ -31,7 +31,7 @@ def _aml_line(score: str, tags: str) -> str:
     risk = f"CASE WHEN {score} IS NULL THEN '(not provided)' ELSE ({Q.number(score)}) || '/10' END"
     head = (f"{NEWLINE} || '• **' || id || '** | SGD ' || ({Q.number('amount_sgd')}) || "
             f"' | Risk: **' || ({risk}) || '**' || {NEWLINE} || '  Tags: ' || "
-            f"replace({tags}, '|', ', ')")
+            f"{tags}")
     return _with_excerpt(head, K.AML_NARRATIVE, f"({Q.excerpt('narrative', K.AML_EXCERPT_CHARS)})")
 
 
@@ -73,17 +73,17 @@ raw_aml AS (SELECT r.question_id, r.id, r.n, q.text AS asked, q.q, t.*
     JOIN txn t ON t.transaction_id = r.id WHERE r.intent = 'AML_SEARCH'),
 hit_lines AS (
     SELECT question_id, 'layer' AS mode, 'PII_SEARCH' AS intent, id AS ord, risk_flag,
-        {_pii_line('masked_text', 'entities')} AS line FROM layer_pii
+        {_pii_line('masked_text', "replace(entities, '|', ', ')")} AS line FROM layer_pii
     UNION ALL SELECT question_id, 'layer', 'AML_SEARCH', lpad(CAST(n AS VARCHAR), 2, '0'), NULL,
-        {_aml_line('risk_score', 'tags')} FROM layer_aml WHERE n <= 20
+        {_aml_line('risk_score', "replace(tags, '|', ', ')")} FROM layer_aml WHERE n <= 20
     UNION ALL SELECT question_id, 'layer', 'REG_SEARCH', lpad(CAST(n AS VARCHAR), 2, '0'), NULL,
         {_reg_line('regulation', f"coalesce(nullif({Q.strip('owner')}, ''), '(not provided)')")}
         FROM layer_reg WHERE n <= 20
     UNION ALL SELECT question_id, 'no_layer', 'PII_SEARCH', id, risk_flag,
-        {_pii_line('original_text', "coalesce(nullif(labels, ''), asked)")} FROM raw_pii
+        {_pii_line('original_text', f"coalesce(nullif(replace(labels, '|', ', '), ''), {Q.strip('asked')})")} FROM raw_pii
         WHERE intent = 'PII_SEARCH'
     UNION ALL SELECT question_id, 'no_layer', 'AML_SEARCH', lpad(CAST(n AS VARCHAR), 2, '0'),
-        NULL, {_aml_line('NULL::DOUBLE', '''coalesce(nullif(concat_ws('|',
+        NULL, {_aml_line('NULL::DOUBLE', '''coalesce(nullif(concat_ws(', ',
             CASE WHEN contains(q, 'crypto') OR contains(lower(narrative), 'crypto')
                 THEN 'Crypto' END,
             CASE WHEN contains(q, 'structuring') OR contains(q, 'structured')
@@ -206,9 +206,9 @@ def report_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str, intent: str) -> DataFrame:
-    asked = A.searching(A.routed(views.questions(spark, sf_dir), K.MODE_TAGGED), intent)
-    found = A.find(asked, views.corpus(spark, sf_dir), intent, K.MODE_TAGGED)
-    return A.report(intent, found)
+    results = A.search_all(views.questions(spark, sf_dir), views.corpus(spark, sf_dir),
+                           K.MODE_TAGGED, intents=[intent])
+    return A.report(intent, results.found[intent])
 
 
 @query(Q.views("oblig") + f""",
@@ -248,8 +248,8 @@ def sar_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ANSWERS_SQL + "SELECT * FROM answers")
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, corpus = views.questions(spark, sf_dir), views.corpus(spark, sf_dir)
-    return A.answer_lines(asked, corpus, K.MODE_RAW).unionByName(
-        A.answer_lines(asked, corpus, K.MODE_TAGGED))
+    return A.answer_lines(A.search_all(asked, corpus, K.MODE_RAW)).unionByName(
+        A.answer_lines(A.search_all(asked, corpus, K.MODE_TAGGED)))
 
 
 @query(ANSWERS_SQL + """
@@ -257,8 +257,8 @@ SELECT question_id, mode, intent, tool_name, hit_count, hit_count = 0 AS no_resu
 FROM trace""")
 def answer_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, corpus = views.questions(spark, sf_dir), views.corpus(spark, sf_dir)
-    return A.answer_trace(asked, corpus, K.MODE_RAW).unionByName(
-        A.answer_trace(asked, corpus, K.MODE_TAGGED))
+    return A.answer_trace(A.search_all(asked, corpus, K.MODE_RAW)).unionByName(
+        A.answer_trace(A.search_all(asked, corpus, K.MODE_TAGGED)))
 
 
 @query(ANSWERS_SQL + """,

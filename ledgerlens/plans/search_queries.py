@@ -269,8 +269,8 @@ FROM (SELECT * FROM searching WHERE intent <> 'REG_SEARCH' OR kind IS NULL) s
 LEFT JOIN layer_hits h ON s.question_id = h.question_id GROUP BY ALL""")
 def search_counts_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, corpus = views.questions(spark, sf_dir), views.corpus(spark, sf_dir)
-    return A.search_counts(asked, corpus, K.MODE_RAW).unionByName(
-        A.search_counts(asked, corpus, K.MODE_TAGGED))
+    return A.search_counts(A.search_all(asked, corpus, K.MODE_RAW)).unionByName(
+        A.search_counts(A.search_all(asked, corpus, K.MODE_TAGGED)))
 
 
 @query(HITS_SQL + """
@@ -278,10 +278,10 @@ SELECT question_id, id, n AS rank FROM (SELECT *, row_number() OVER (PARTITION B
     ORDER BY score DESC NULLS LAST, amount DESC NULLS LAST, id) AS n FROM layer_hits)
 WHERE n <= 3""")
 def preview_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = A.routed(views.questions(spark, sf_dir), K.MODE_TAGGED)
-    corpus, parts = views.corpus(spark, sf_dir), []
-    for intent in A.SEARCHES:
-        found = A.find(A.searching(routed, intent), corpus, intent, K.MODE_TAGGED)
+    results = A.search_all(views.questions(spark, sf_dir), views.corpus(spark, sf_dir),
+                           K.MODE_TAGGED)
+    parts = []
+    for found in results.found.values():
         top = S.top_per_question(found.keys, found.hits, found.order, K.PREVIEW_ROWS)
         parts.append(top.select("question_id", F.col(found.record_id).alias("id"), "rank"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -349,12 +349,11 @@ def cross_domain_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- validation ------------------------------------------------------------
 
-def _checked(spark: SparkSession, sf_dir: str):
-    """Reports of all three domains, each with its hits."""
-    routed = A.routed(views.questions(spark, sf_dir), K.MODE_TAGGED)
-    corpus = views.corpus(spark, sf_dir)
-    for intent in A.SEARCHES:
-        found = A.find(A.searching(routed, intent), corpus, intent, K.MODE_TAGGED)
+def _checked(spark: SparkSession, sf_dir: str, *intents: str):
+    """Reports of the domains, each with its hits."""
+    results = A.search_all(views.questions(spark, sf_dir), views.corpus(spark, sf_dir),
+                           K.MODE_TAGGED, intents=intents)
+    for intent, found in results.found.items():
         yield intent, found, A.report(intent, found)
 
 
@@ -367,7 +366,7 @@ def validate_report_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = {K.PII_SEARCH: V.MESSAGE_ID, K.AML_SEARCH: V.TRANSACTION_ID}
     parts = [V.check_ids(lines, S.per_question(found.keys, found.hits), found.record_id,
                          patterns[intent])
-             for intent, found, lines in _checked(spark, sf_dir) if intent in patterns]
+             for intent, found, lines in _checked(spark, sf_dir, *patterns)]
     return parts[0].unionByName(parts[1])
 
 
@@ -376,7 +375,7 @@ SELECT question_id, 'counts' AS check, 1 AS checked, true AS ok
 FROM layer_hits GROUP BY question_id""")
 def validate_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [V.check_counts(lines, S.counts_per_question(found.keys, found.hits))
-             for _, found, lines in _checked(spark, sf_dir)]
+             for _, found, lines in _checked(spark, sf_dir, *A.SEARCHES)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -387,10 +386,10 @@ SELECT question_id, CASE intent WHEN 'AML_SEARCH' THEN 'numbers' ELSE 'masking'
 FROM layer_hits WHERE intent <> 'REG_SEARCH' GROUP BY question_id, intent""")
 def validate_report_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for intent, found, lines in _checked(spark, sf_dir):
+    for intent, found, lines in _checked(spark, sf_dir, K.PII_SEARCH, K.AML_SEARCH):
         hits = S.per_question(found.keys, found.hits)
         if intent == K.PII_SEARCH:
             parts.append(V.check_masking(lines, hits))
-        elif intent == K.AML_SEARCH:
+        else:
             parts.append(V.check_numbers(lines, hits))
     return parts[0].unionByName(parts[1])

@@ -156,4 +156,5 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
         tagged_obligations=obligations(spark, sf_dir),
         topic=TABLE_TOPIC,
         source_token=TABLE_SOURCE_TOKEN,
+        keep=materialise,
     )
