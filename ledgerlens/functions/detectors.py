@@ -75,6 +75,16 @@ def detect(df: DataFrame, text: str, detectors: Sequence[Detector]) -> Detected:
     )
 
 
+def evaluate_once(*columns: Column) -> Column:
+    """The columns as the output of a one-row generator.
+
+    A filter on a tag would otherwise be pushed below the projection with the
+    whole chain of patterns copied into it, and every pattern would run several
+    times per row.  Filters are not pushed into a generator.
+    """
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def mask_text(df: DataFrame, text: str, detectors: Sequence[Detector],
               masked: str = "masked_text") -> DataFrame:
     """Add the masked form of ``text``."""

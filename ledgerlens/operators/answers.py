@@ -106,9 +106,10 @@ def search_all(questions: DataFrame, corpus: Corpus, mode: str, *, strict: bool
                intents: Sequence[str] = SEARCHES) -> Results:
     """Route the questions and search every domain once.
 
-    Counts, reports, previews and traces all read the hits, so they are kept.
+    Counts, reports, previews and traces all read the routed questions and the
+    hits, so both are kept.
     """
-    asked = routed(questions, mode, strict)
+    asked = corpus.keep(routed(questions, mode, strict), f"{mode}-questions")
     found = {}
     for intent in intents:
         one = find(searching(asked, intent), corpus, intent, mode)

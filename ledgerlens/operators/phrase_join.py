@@ -13,17 +13,25 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ledgerlens.functions.lists import compact
 
-# Piece lengths: a phrase uses the longest that fits into it.
-PIECE_SIZES = (8, 3, 1)
+# Kinds of pieces, best first; a phrase uses the first kind it holds.  Pieces that follow
+# white space are the cheapest: a text has only one per word.
+WORD = "word"
+PIECES = {
+    WORD: "(?s)\\s(?=(\\S.{7}))",
+    "long": "(?s)(?=(.{8}))",
+    "short": "(?s)(?=(.{3}))",
+    "letter": "(?s)(.)",
+}
+NO_PIECE = "none"
 # Most phrases written into the plan as constants.
 LITERAL_PHRASES = 64
 # Most phrases whose pieces are sent to every executor (about 100 bytes each).
 BROADCAST_PHRASES = 100_000
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """All overlapping substrings of one length, in one linear pass."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+def _pieces(text: Column, kind: str) -> Column:
+    """All pieces of one kind, in one linear pass."""
+    return F.regexp_extract_all(text, F.lit(PIECES[kind]), F.lit(1))
 
 
 def _literal_run(pattern: Column) -> Column:
@@ -40,27 +48,25 @@ def _literal_run(pattern: Column) -> Column:
 
 
 def phrase_keys(distinct: DataFrame, *, regex: bool = False) -> DataFrame:
-    """The join key of each distinct phrase: ``phrase, piece_size, piece``.
+    """The join key of each distinct phrase: ``phrase, kind, piece``.
 
     The piece shared with the fewest other phrases is taken, so that wording
     common to many questions does not become one hot key.
     """
     run = F.lower(_literal_run(F.col("phrase")) if regex else F.col("phrase"))
-    size = F.when(F.lit(False), 0)
-    pieces = F.when(F.lit(False), F.array(F.lit("")))
-    for length in PIECE_SIZES:
-        fits = F.length("run") >= length
-        size = size.when(fits, length)
-        pieces = pieces.when(fits, F.array_distinct(_pieces(F.col("run"), length)))
+    kind, pieces = F.when(F.lit(False), ""), F.when(F.lit(False), F.array(F.lit("")))
+    for name, pattern in PIECES.items():
+        holds = F.col("run").rlike(pattern)
+        kind, pieces = kind.when(holds, name), pieces.when(holds, _pieces(F.col("run"), name))
     keyed = distinct.withColumn("run", run).select(
         "phrase",
-        size.otherwise(0).alias("piece_size"),
-        F.explode(pieces.otherwise(F.array(F.lit("")))).alias("piece"),
+        kind.otherwise(NO_PIECE).alias("kind"),
+        F.explode(F.array_distinct(pieces.otherwise(F.array(F.lit(""))))).alias("piece"),
     )
     shared = keyed.groupBy("piece").agg(F.count("*").alias("uses"))
     return keyed.join(shared, "piece").groupBy("phrase").agg(
-        F.min_by(F.struct("piece_size", "piece"), F.struct("uses", "piece")).alias("key")
-    ).select("phrase", "key.piece_size", "key.piece")
+        F.min_by(F.struct("kind", "piece"), F.struct("uses", "piece")).alias("key")
+    ).select("phrase", "key.kind", "key.piece")
 
 
 def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFrame, phrase: str, *,
@@ -75,16 +81,27 @@ def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFram
     ``literal_phrases`` distinct ones become constants of a single projection;
     up to ``broadcast_phrases`` their pieces are broadcast and the records are
     not shuffled; beyond that ids and pieces are shuffled, and the records join
-    once on their id.
+    once on their id.  A few phrases without a word piece among many with one
+    are tested as constants, so that they do not make every text emit all kinds.
     """
     distinct = phrases.select(F.col(phrase).alias("phrase")).where("phrase is not null").distinct()
-    required = _literal_run(F.col("phrase")) if regex else F.col("phrase")
-    few = distinct.limit(literal_phrases + 1).select(
-        "phrase", F.lower(required).alias("required")).collect()
+    required = F.lower(_literal_run(F.col("phrase")) if regex else F.col("phrase"))
+    constants = distinct.select("phrase", required.alias("required"))
+    few = constants.limit(literal_phrases + 1).collect()
     if len(few) <= literal_phrases:
-        return _match_constants(records, text, sorted(few), regex)
-    return _match_pieces(records, record_id, text, phrase_keys(distinct, regex=regex), regex,
-                         broadcast_phrases)
+        return _match_constants(records, text, few, regex)
+
+    keys = phrase_keys(distinct, regex=regex)
+    kinds = {row["kind"]: row["n"]
+             for row in keys.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    others = sum(n for kind, n in kinds.items() if kind != WORD)
+    if WORD in kinds and 0 < others <= literal_phrases:
+        rest = constants.join(keys.where(F.col("kind") != WORD), "phrase", "left_semi").collect()
+        by_word = keys.where(F.col("kind") == WORD)
+        return _match_constants(records, text, rest, regex).unionByName(
+            _match_pieces(records, record_id, text, by_word, {WORD: kinds[WORD]}, regex,
+                          broadcast_phrases))
+    return _match_pieces(records, record_id, text, keys, kinds, regex, broadcast_phrases)
 
 
 def _match_constants(records: DataFrame, text: str, phrases: list[Row], regex: bool) -> DataFrame:
@@ -92,7 +109,7 @@ def _match_constants(records: DataFrame, text: str, phrases: list[Row], regex: b
         return records.select("*", F.lit("").alias("phrase")).where(F.lit(False))
     df = records.withColumn("__folded", F.lower(F.coalesce(F.col(text), F.lit(""))))
     tests = []
-    for phrase, required in phrases:
+    for phrase, required in sorted(phrases):
         test = F.col("__folded").contains(required)
         if regex:
             # The pattern only runs where the text holds what it requires.
@@ -101,21 +118,17 @@ def _match_constants(records: DataFrame, text: str, phrases: list[Row], regex: b
     return df.select(*records.columns, F.explode(compact(tests)).alias("phrase"))
 
 
-def _match_pieces(records: DataFrame, record_id: str, text: str, keys: DataFrame, regex: bool,
-                  broadcast_phrases: int) -> DataFrame:
-    sizes = {row["piece_size"]: row["n"]
-             for row in keys.groupBy("piece_size").agg(F.count("*").alias("n")).collect()}
+def _match_pieces(records: DataFrame, record_id: str, text: str, keys: DataFrame,
+                  kinds: dict[str, int], regex: bool, broadcast_phrases: int) -> DataFrame:
     content = F.coalesce(F.col(text), F.lit(""))
     folded = F.lower(content)
-    found = [F.array_distinct(_pieces(folded, size)) for size in sizes if size > 0]
-    if 0 in sizes:
-        found.append(F.array(F.lit("")))
-    piece = F.explode(F.concat(*found)).alias("piece")
+    found = [F.array(F.lit("")) if kind == NO_PIECE else _pieces(folded, kind) for kind in kinds]
+    piece = F.explode(F.array_distinct(F.concat(*found))).alias("piece")
     matches = F.rlike(content, F.concat(F.lit("(?iu)"), "phrase")) if regex \
         else folded.contains(F.lower("phrase"))
 
     keys = keys.select("phrase", "piece")
-    if sum(sizes.values()) <= broadcast_phrases:
+    if sum(kinds.values()) <= broadcast_phrases:
         return (
             records.select("*", piece)
             .join(F.broadcast(keys), "piece")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens import constants as K
-from ledgerlens.functions.detectors import BANKING, Detector, detect
+from ledgerlens.functions.detectors import BANKING, Detector, detect, evaluate_once
 from ledgerlens.functions.lists import compact
 from ledgerlens.functions.risk import initial_risk, upgraded_risk
 from ledgerlens.functions.text import strip
@@ -21,13 +21,16 @@ from ledgerlens.functions.text import strip
 def tag_messages(messages: DataFrame, detectors: Sequence[Detector] = BANKING) -> DataFrame:
     """Entities, masked text and initial risk per message."""
     found = detect(messages, "text", detectors)
-    return found.frame.select(
+    tags = found.frame.select(
         F.col("message_id").cast("string").alias("message_id"),
-        found.masked.alias("masked_text"),
-        found.labels.alias("pii_entities"),
-        initial_risk(found.types).alias("risk_flag"),
         F.col("text").alias("original_text"),
+        evaluate_once(
+            found.masked.alias("masked_text"),
+            found.labels.alias("pii_entities"),
+            initial_risk(found.types).alias("risk_flag"),
+        ),
     )
+    return tags.select("message_id", "masked_text", "pii_entities", "risk_flag", "original_text")
 
 
 def upgrade_risk(tagged: DataFrame, entities: str = "pii_entities",
@@ -77,17 +80,22 @@ def tag_transactions(transactions: DataFrame, policy: TransactionPolicy = Transa
     reasons = [F.when(flag, f"{tag} +{weight}") for tag, flag, weight in flagged]
     reasons.append(F.when(step > 0, F.concat(F.lit("amount +"), step.cast("string"))))
     explanation = F.concat_ws(", ", *reasons)
-    return found.frame.select(
+    tags = found.frame.select(
         F.col("transaction_id").cast("string").alias("transaction_id"),
-        found.masked.alias("masked_narrative"),
-        found.labels.alias("pii_found"),
-        compact([(flag, tag) for tag, flag, _ in flagged]).alias("aml_tags"),
-        F.least(F.lit(10), score).cast("double").alias("risk_score"),
-        F.when(explanation == "", "no typology found").otherwise(explanation).alias("explanation"),
         F.col("narrative").alias("original_narrative"),
         amount.alias("amount_sgd"),
         F.col("date"),
+        evaluate_once(
+            found.masked.alias("masked_narrative"),
+            found.labels.alias("pii_found"),
+            compact([(flag, tag) for tag, flag, _ in flagged]).alias("aml_tags"),
+            F.least(F.lit(10), score).cast("double").alias("risk_score"),
+            F.when(explanation == "", "no typology found").otherwise(explanation)
+            .alias("explanation"),
+        ),
     )
+    return tags.select("transaction_id", "masked_narrative", "pii_found", "aml_tags",
+                       "risk_score", "explanation", "original_narrative", "amount_sgd", "date")
 
 
 @dataclass(frozen=True)

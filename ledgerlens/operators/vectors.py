@@ -15,8 +15,8 @@ from ledgerlens import constants as K
 from ledgerlens.functions.text import clean_for_vectors
 from ledgerlens.operators.search import ranked_first
 
-# Largest query side sent to every executor, in numbers (64 MB as doubles).
-BROADCAST_NUMBERS = 8_000_000
+# Most query vectors sent to every executor (about 60 MB at 1,500 dimensions).
+BROADCAST_QUERIES = 5_000
 # Rows of either side that meet in one group beyond that size.
 BLOCK_ROWS = 20_000
 TEXT_DIMENSIONS = 512
@@ -92,32 +92,32 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K.NEIGHBOURS, *,
-                       broadcast_numbers: int = BROADCAST_NUMBERS,
+                       broadcast_queries: int = BROADCAST_QUERIES,
                        block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact k nearest vectors per query: ``query_id, id, distance, rank``.
 
     Distance is the square of the Euclidean one; ties go to the smaller id.
-    The query side is counted.  If it fits, each task keeps its own best k per
-    query and only those are shuffled.  If not, both sides are cut into blocks
-    of bounded size and each pair of blocks is one task.
+    The query side is read up to a limit.  If that is all of it, each task keeps
+    its own best k per query and only those are shuffled.  If not, both sides
+    are cut into blocks of bounded size and each pair of blocks is one task.
     """
     k_type = vectors.schema["id"].dataType.simpleString()
     q_type = queries.schema["id"].dataType.simpleString()
     found = f"query_id {q_type}, id {k_type}, distance double"
-    stats = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    if stats["n"] * (stats["d"] or 0) <= broadcast_numbers:
-        local = _neighbours_by_broadcast(vectors, queries, k, found)
+    few = queries.select("id", "vector").limit(broadcast_queries + 1).toPandas()
+    if len(few) <= broadcast_queries:
+        local = _neighbours_by_broadcast(vectors, few, k, found)
     else:
-        local = _neighbours_by_block(vectors, queries, stats["n"], k, found, block_rows)
+        local = _neighbours_by_block(vectors, queries, k, found, block_rows)
     best = ranked_first(local, "query_id", [F.asc("distance"), F.asc("id")], k)
     return best.select("query_id", "id", "distance", "rank")
 
 
-def _neighbours_by_broadcast(vectors: DataFrame, queries: DataFrame, k: int,
+def _neighbours_by_broadcast(vectors: DataFrame, queries: pd.DataFrame, k: int,
                              found: str) -> DataFrame:
-    rows = queries.select("id", "vector").orderBy("id").toPandas()  # size checked by the caller
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (rows["id"].to_numpy(), _matrix(rows["vector"]) if len(rows) else np.zeros((0, 0))))
+    shared = vectors.sparkSession.sparkContext.broadcast((
+        queries["id"].to_numpy(),
+        _matrix(queries["vector"]) if len(queries) else np.zeros((0, 0))))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, query_matrix = shared.value
@@ -141,10 +141,10 @@ def _neighbours_by_broadcast(vectors: DataFrame, queries: DataFrame, k: int,
     return vectors.select("id", "vector").mapInPandas(search, found)
 
 
-def _neighbours_by_block(vectors: DataFrame, queries: DataFrame, n_queries: int, k: int,
-                         found: str, block_rows: int) -> DataFrame:
+def _neighbours_by_block(vectors: DataFrame, queries: DataFrame, k: int, found: str,
+                         block_rows: int) -> DataFrame:
     vector_blocks = max(1, -(-vectors.count() // block_rows))
-    query_blocks = max(1, -(-n_queries // block_rows))
+    query_blocks = max(1, -(-queries.count() // block_rows))
 
     def block(blocks: int):
         return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")

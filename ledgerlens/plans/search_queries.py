@@ -221,7 +221,8 @@ SELECT question_id, message_id, risk_flag FROM asked JOIN tagged_up ON {MESSAGE_
 def batch_search_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = views.golden_questions(spark).unionByName(views.passages(spark, sf_dir))
     keys = S.message_keys(asked)
-    hits = S.match_messages(views.corpus(spark, sf_dir).tagged_messages, keys)
+    corpus = views.corpus(spark, sf_dir, [K.PII_SEARCH])
+    hits = S.match_messages(corpus.tagged_messages, keys)
     return S.per_question(keys, hits).select("question_id", "message_id", "risk_flag")
 
 
@@ -351,7 +352,7 @@ def cross_domain_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _checked(spark: SparkSession, sf_dir: str, *intents: str):
     """Reports of the domains, each with its hits."""
-    results = A.search_all(views.questions(spark, sf_dir), views.corpus(spark, sf_dir),
+    results = A.search_all(views.questions(spark, sf_dir), views.corpus(spark, sf_dir, intents),
                            K.MODE_TAGGED, intents=intents)
     for intent, found in results.found.items():
         yield intent, found, A.report(intent, found)

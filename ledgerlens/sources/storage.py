@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -19,9 +20,14 @@ CSV_WRITE = {"header": True, "escape": '"'}
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Works for any file system Spark can read."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    """Works for any file system Spark can read; looks at names only."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def first_existing(spark: SparkSession, paths: Iterable[str]) -> str | None:

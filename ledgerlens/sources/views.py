@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens import constants as K
 from ledgerlens.functions.detectors import TABLES
 from ledgerlens.functions.lists import compact
-from ledgerlens.operators.answers import Corpus
+from ledgerlens.operators.answers import SEARCHES, Corpus
 from ledgerlens.operators.reports import Topic
 from ledgerlens.operators.tagging import tag_messages, upgrade_risk
 from ledgerlens.sources.storage import materialise
@@ -144,16 +146,22 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("question_id"), "text")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """All tables; tagged messages are written once, as several searches read them."""
-    tagged = tagged_messages_upgraded(spark, sf_dir)
+def corpus(spark: SparkSession, sf_dir: str, intents: Sequence[str] = SEARCHES) -> Corpus:
+    """All tables; the tagged ones the intents search are written once and read back.
+
+    Tagged tables are what a deployment stores.  Transactions are left as they
+    are, their tags are a cheap projection.
+    """
+    tagged, owned = tagged_messages_upgraded(spark, sf_dir), obligations(spark, sf_dir)
     return Corpus(
         messages=messages(spark, sf_dir),
         transactions=transactions(spark, sf_dir),
         paragraphs=paragraphs(spark, sf_dir),
-        tagged_messages=materialise(tagged, "tagged-messages"),
+        tagged_messages=materialise(tagged, "tagged-messages")
+        if K.PII_SEARCH in intents else tagged,
         tagged_transactions=tagged_transactions(spark, sf_dir),
-        tagged_obligations=obligations(spark, sf_dir),
+        tagged_obligations=materialise(owned, "tagged-obligations")
+        if K.REG_SEARCH in intents else owned,
         topic=TABLE_TOPIC,
         source_token=TABLE_SOURCE_TOKEN,
         keep=materialise,
