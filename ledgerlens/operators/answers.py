@@ -198,6 +198,15 @@ def answer_trace(results: Results) -> DataFrame:
         (F.col("hit_count") == 0).alias("no_results"), "preview")
 
 
+def ask(question: str, corpus: Corpus, mode: str = K.MODE_TAGGED, *,
+        strict: bool = False) -> DataFrame:
+    """Answer one question: its lines in reading order."""
+    spark = corpus.messages.sparkSession
+    questions = spark.createDataFrame([("question", question)], "question_id string, text string")
+    return answer_lines(search_all(questions, corpus, mode, strict=strict)) \
+        .orderBy("section", "ord").select("line")
+
+
 def answer_lengths(lines: DataFrame) -> DataFrame:
     """Characters of each answer as one text, newlines between lines included."""
     return lines.groupBy("question_id").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -138,19 +138,26 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def ensure_vectors(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored vector table, built and written first if there is none."""
+    if not path_exists(spark, path):
+        write_vectors(build(), path)
+    return read_vectors(spark, path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables that all executors can reach.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only a local session
     without that setting gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="ledgerlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
