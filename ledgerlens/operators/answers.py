@@ -91,6 +91,7 @@ class Results:
 
     mode: str
     routed: DataFrame
+    intents: frozenset[str]
     found: dict[str, Found]
     corpus: Corpus
 
@@ -101,25 +102,39 @@ class Results:
     def structured(self) -> DataFrame:
         return self.routed.where("structured")
 
+    @property
+    def may_be_structured(self) -> bool:
+        return self.mode == K.MODE_TAGGED and K.REG_SEARCH in self.intents
+
+
+def _present(routed_questions: DataFrame) -> frozenset[str]:
+    """The intents that occur; at most five values."""
+    return frozenset(r["intent"] for r in routed_questions.select("intent").distinct().collect())
+
 
 def search_all(questions: DataFrame, corpus: Corpus, mode: str, *, strict: bool = False,
                intents: Sequence[str] = SEARCHES) -> Results:
-    """Route the questions and search every domain once.
+    """Route the questions and search once every domain that someone asks about.
 
     Counts, reports, previews and traces all read the routed questions and the
     hits, so both are kept.
     """
     asked = corpus.keep(routed(questions, mode, strict), f"{mode}-questions")
+    present = _present(asked)
     found = {}
     for intent in intents:
-        one = find(searching(asked, intent), corpus, intent, mode)
-        found[intent] = replace(one, hits=corpus.keep(one.hits, f"{mode}-{intent}".lower()))
-    return Results(mode, asked, found, corpus)
+        if intent in present:
+            one = find(searching(asked, intent), corpus, intent, mode)
+            found[intent] = replace(one, hits=corpus.keep(one.hits, f"{mode}-{intent}".lower()))
+    return Results(mode, asked, present, found, corpus)
 
 
 def search_counts(results: Results) -> DataFrame:
     """``question_id, mode, intent, hit_count`` for the questions that search."""
-    parts = [S.counts_per_question(found.keys, found.hits).select(
+    parts = [results.routed.where(F.lit(False)).select(
+        "question_id", F.lit(results.mode).alias("mode"), "intent",
+        F.lit(0).cast("bigint").alias("hit_count"))]
+    parts += [S.counts_per_question(found.keys, found.hits).select(
         "question_id", F.lit(results.mode).alias("mode"), F.lit(intent).alias("intent"),
         "hit_count") for intent, found in results.found.items()]
     return reduce(DataFrame.unionByName, parts)
@@ -140,9 +155,10 @@ def answer_lines(results: Results) -> DataFrame:
     parts = [results.with_intent(K.OUT_OF_SCOPE).select(
         "question_id", *first, F.lit(K.OUT_OF_SCOPE_TEXT).alias("line"))]
     parts += [report(intent, found) for intent, found in results.found.items()]
-    if results.mode == K.MODE_TAGGED:
+    if results.may_be_structured:
         parts.append(_structured(results).select("question_id", *first, "line"))
-    parts.append(R.sar_report(_drafts(results)))
+    if K.SAR_DRAFT in results.intents:
+        parts.append(R.sar_report(_drafts(results)))
     return reduce(DataFrame.unionByName, parts).select(
         "question_id", F.lit(results.mode).alias("mode"), "section", "ord", "line")
 
@@ -181,7 +197,7 @@ def answer_trace(results: Results) -> DataFrame:
             "question_id", F.lit(intent).alias("intent"),
             F.lit(K.TOOL_NAMES[intent, mode]).alias("tool_name"), "hit_count",
             F.coalesce("preview", F.lit("")).alias("preview")))
-    if mode == K.MODE_TAGGED:
+    if results.may_be_structured:
         rows = results.corpus.topic.rows(results.corpus.tagged_obligations)
         first = R.obligation_examples(rows, K.PREVIEW_ROWS).agg(
             F.array_join(F.array_sort(F.collect_list("paragraph_id")), ",").alias("preview"))
@@ -233,11 +249,10 @@ def fan_out(questions: DataFrame, corpus: Corpus) -> DataFrame:
     """Hits per question and intent, with every intent the question mentions."""
     spread = questions.select("question_id", "text",
                               F.explode(all_intents(F.col("text"))).alias("intent"))
-    parts = []
-    for intent in SEARCHES:
+    parts = [spread.where(~F.col("intent").isin(*SEARCHES)).select(
+        "question_id", F.lit(0).cast("bigint").alias("hit_count"), "intent")]
+    for intent in sorted(_present(spread) & set(SEARCHES)):
         found = find(spread.where(F.col("intent") == intent), corpus, intent, K.MODE_TAGGED)
         parts.append(S.counts_per_question(found.keys, found.hits)
                      .withColumn("intent", F.lit(intent)))
-    rest = spread.where(~F.col("intent").isin(*SEARCHES)).select(
-        "question_id", F.lit(0).cast("bigint").alias("hit_count"), "intent")
-    return reduce(DataFrame.unionByName, [*parts, rest])
+    return reduce(DataFrame.unionByName, parts)
