@@ -85,9 +85,8 @@ def rule_rank(types: Mapping[str, Column]) -> Column:
     return F.when(critical, 3).when(high, 2).when(medium, 1).otherwise(-1)
 
 
-def upgraded_risk(labels: Column, current: Column) -> Column:
+def upgraded_risk(types: Mapping[str, Column], current: Column) -> Column:
     """Raise, never lower, a risk label by the rules; no rule keeps it as it is."""
-    types = label_types(labels)
     final = F.greatest(rank_of(current), rule_rank(types))
     applies = _Flags(types).any_of(*types) & (final >= 0)
     return F.when(applies, level_of(final)).otherwise(current)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlens import constants as K
 from ledgerlens.functions.detectors import BANKING, Detector, detect, evaluate_once
 from ledgerlens.functions.lists import compact
-from ledgerlens.functions.risk import initial_risk, upgraded_risk
+from ledgerlens.functions.risk import initial_risk, label_types, upgraded_risk
 from ledgerlens.functions.text import strip
 
 
@@ -39,7 +39,10 @@ def upgrade_risk(tagged: DataFrame, entities: str = "pii_entities",
     if entities not in tagged.columns:
         return tagged
     current = F.col(risk) if risk in tagged.columns else F.lit(K.RISK_LEVELS[0])
-    return tagged.withColumn(risk, upgraded_risk(F.col(entities), current))
+    # One column per type flag, so that the rules do not test the labels again and again.
+    flags = {f"__is_{name}": flag for name, flag in label_types(F.col(entities)).items()}
+    types = {name: F.col(f"__is_{name}") for name in K.ENTITY_TYPE_WORDS}
+    return tagged.withColumns(flags).withColumn(risk, upgraded_risk(types, current)).drop(*flags)
 
 
 @dataclass(frozen=True)

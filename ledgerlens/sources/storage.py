@@ -161,12 +161,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def write_shared(df: DataFrame, name: str) -> str:
+    """Write an intermediate table to the shared folder and return its path."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several results read, and read it back.
 
     The written table survives the loss of executors, and later reads prune
     columns and rows instead of computing it again.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))

@@ -12,7 +12,7 @@ from ledgerlens.functions.lists import compact
 from ledgerlens.operators.answers import SEARCHES, Corpus
 from ledgerlens.operators.reports import Topic
 from ledgerlens.operators.tagging import tag_messages, upgrade_risk
-from ledgerlens.sources.storage import materialise
+from ledgerlens.sources.storage import materialise, path_exists, write_shared
 
 # The part of the obligations that plays the structured topic in the test tables.
 TABLE_TOPIC = Topic(source_document="src1", risk_type="en")
@@ -146,21 +146,33 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("question_id"), "text")
 
 
+# Paths of the tagged tables this session has written.
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
+    """A tagged table as a deployment has it: written once, read by every question."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored or not path_exists(spark, _stored[key]):
+        _stored[key] = write_shared(df, name)
+    return spark.read.schema(df.schema).parquet(_stored[key])
+
+
 def corpus(spark: SparkSession, sf_dir: str, intents: Sequence[str] = SEARCHES) -> Corpus:
-    """All tables; the tagged ones the intents search are written once and read back.
+    """All tables; the tagged ones that the intents search are stored.
 
-    Tagged tables are what a deployment stores.  Transactions are left as they
-    are, their tags are a cheap projection.
+    Transactions are left as they are, their tags are a cheap projection.
     """
     tagged, owned = tagged_messages_upgraded(spark, sf_dir), obligations(spark, sf_dir)
     return Corpus(
         messages=messages(spark, sf_dir),
         transactions=transactions(spark, sf_dir),
         paragraphs=paragraphs(spark, sf_dir),
-        tagged_messages=materialise(tagged, "tagged-messages")
+        tagged_messages=stored(tagged, sf_dir, "tagged-messages")
         if K.PII_SEARCH in intents else tagged,
         tagged_transactions=tagged_transactions(spark, sf_dir),
-        tagged_obligations=materialise(owned, "tagged-obligations")
+        tagged_obligations=stored(owned, sf_dir, "tagged-obligations")
         if K.REG_SEARCH in intents else owned,
         topic=TABLE_TOPIC,
         source_token=TABLE_SOURCE_TOKEN,

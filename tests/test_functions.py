@@ -144,7 +144,7 @@ def test_initial_risk(spark, types, level):
     (["phone"], "high", "High"), (["other"], "Low", "Low")])
 def test_upgraded_risk(spark, labels, current, expected):
     df = spark.createDataFrame([(labels, current)], "l array<string>, r string")
-    assert df.select(risk.upgraded_risk(F.col("l"), F.col("r"))).first()[0] == expected
+    assert df.select(risk.upgraded_risk(risk.label_types(F.col("l")), F.col("r"))).first()[0] == expected
 
 
 def test_rank_round_trip(spark):
