@@ -73,22 +73,29 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
         .select("id", F.col("v.x").alias("vector"))
 
 
-def _nearest(ids: np.ndarray, matrix: np.ndarray, query: np.ndarray,
-             k: int) -> tuple[np.ndarray, np.ndarray]:
-    """k smallest squared distances, ties by id."""
-    gap = matrix - query
-    squared = np.einsum("ij,ij->i", gap, gap)
-    if len(squared) > k:
-        # Keep everything up to the k-th distance so that ties are settled by id.
-        limit = np.partition(squared, k - 1)[k - 1]
-        keep = squared <= limit
-        ids, squared = ids[keep], squared[keep]
-    order = np.lexsort((ids, squared))[:k]
-    return ids[order], squared[order]
+def _task_functions(k: int):
+    """The two functions tasks run.
 
+    Nested, so that they travel with the job and workers need not have this
+    package installed.
+    """
+
+    def matrix(column: pd.Series) -> np.ndarray:
+        return np.stack(column.to_numpy()).astype(np.float64)
+
+    def nearest(ids: np.ndarray, rows: np.ndarray,
+                query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """k smallest squared distances, ties by id."""
+        gap = rows - query
+        squared = np.einsum("ij,ij->i", gap, gap)
+        if len(squared) > k:
+            # Keep everything up to the k-th distance so that ties are settled by id.
+            keep = squared <= np.partition(squared, k - 1)[k - 1]
+            ids, squared = ids[keep], squared[keep]
+        order = np.lexsort((ids, squared))[:k]
+        return ids[order], squared[order]
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+    return matrix, nearest
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K.NEIGHBOURS, *,
@@ -115,9 +122,10 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K.NEIGHB
 
 def _neighbours_by_broadcast(vectors: DataFrame, queries: pd.DataFrame, k: int,
                              found: str) -> DataFrame:
+    matrix, nearest = _task_functions(k)
     shared = vectors.sparkSession.sparkContext.broadcast((
         queries["id"].to_numpy(),
-        _matrix(queries["vector"]) if len(queries) else np.zeros((0, 0))))
+        matrix(queries["vector"]) if len(queries) else np.zeros((0, 0))))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, query_matrix = shared.value
@@ -125,9 +133,9 @@ def _neighbours_by_broadcast(vectors: DataFrame, queries: pd.DataFrame, k: int,
         for batch in batches:
             if batch.empty:
                 continue
-            ids, matrix = batch["id"].to_numpy(), _matrix(batch["vector"])
+            ids, rows = batch["id"].to_numpy(), matrix(batch["vector"])
             for number, query in enumerate(query_matrix):
-                near, squared = _nearest(ids, matrix, query, k)
+                near, squared = nearest(ids, rows, query)
                 if best[number] is not None:
                     near = np.concatenate([best[number][0], near])
                     squared = np.concatenate([best[number][1], squared])
@@ -145,6 +153,7 @@ def _neighbours_by_block(vectors: DataFrame, queries: DataFrame, k: int, found:
                          block_rows: int) -> DataFrame:
     vector_blocks = max(1, -(-vectors.count() // block_rows))
     query_blocks = max(1, -(-queries.count() // block_rows))
+    matrix, nearest = _task_functions(k)
 
     def block(blocks: int):
         return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
@@ -160,10 +169,10 @@ def _neighbours_by_block(vectors: DataFrame, queries: DataFrame, k: int, found:
     def search(near_side: pd.DataFrame, query_side: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "id": [], "distance": []})]
         if len(near_side) and len(query_side):
-            ids, matrix = near_side["id"].to_numpy(), _matrix(near_side["vector"])
+            ids, rows = near_side["id"].to_numpy(), matrix(near_side["vector"])
             out = []
-            for query_id, query in zip(query_side["id"], _matrix(query_side["vector"])):
-                near, squared = _nearest(ids, matrix, query, k)
+            for query_id, query in zip(query_side["id"], matrix(query_side["vector"])):
+                near, squared = nearest(ids, rows, query)
                 out.append(pd.DataFrame({"query_id": query_id, "id": near, "distance": squared}))
         return pd.concat(out)
 
