@@ -31,7 +31,7 @@ class Corpus:
 
 @dataclass(frozen=True)
 class Found:
-    """Hits of one domain: which question uses which key, and the hits per key."""
+    """Hits of one domain as shown: which question uses which key, and the hits per key."""
 
     keys: DataFrame
     hits: DataFrame
@@ -39,33 +39,42 @@ class Found:
     order: Sequence[Column]
 
 
+def _find_raw(questions: DataFrame, corpus: Corpus, intent: str) -> Found:
+    """The first raw hits per question, weakly tagged."""
+    keys = S.raw_keys(questions)
+    if intent == K.PII_SEARCH:
+        record_id = "message_id"
+        hits = S.match_raw(corpus.messages, record_id, "text", keys, S.RAW_MESSAGE_FIELDS)
+        first = S.first_hits(R.shown_messages(S.weak_message_tags(hits)), record_id)
+    elif intent == K.AML_SEARCH:
+        record_id = "transaction_id"
+        hits = S.match_raw(corpus.transactions, record_id, "narrative", keys,
+                           S.RAW_TRANSACTION_FIELDS)
+        first = S.first_hits(R.shown_transactions(S.weak_transaction_tags(hits)), record_id)
+    else:
+        # Without tags the whole paragraph stands in for the regulation.
+        record_id = "paragraph_id"
+        hits = S.match_raw(corpus.paragraphs, record_id, "paragraph_text", keys,
+                           S.RAW_PARAGRAPH_FIELDS)
+        first = S.first_hits(R.shown_obligations(S.raw_obligation_shape(hits)), record_id)
+    return Found(keys, first, record_id, [F.asc(record_id)])
+
+
 def find(questions: DataFrame, corpus: Corpus, intent: str, mode: str) -> Found:
     """Search one domain for all questions."""
     if mode == K.MODE_RAW:
-        keys = S.raw_keys(questions)
-        if intent == K.PII_SEARCH:
-            hits = S.weak_message_tags(S.match_raw(
-                corpus.messages, "message_id", "text", keys, S.RAW_MESSAGE_FIELDS))
-            return Found(keys, hits, "message_id", [F.asc("message_id")])
-        if intent == K.AML_SEARCH:
-            hits = S.weak_transaction_tags(S.match_raw(
-                corpus.transactions, "transaction_id", "narrative", keys,
-                S.RAW_TRANSACTION_FIELDS))
-            return Found(keys, hits, "transaction_id", [F.asc("transaction_id")])
-        hits = S.raw_obligation_shape(S.match_raw(
-            corpus.paragraphs, "paragraph_id", "paragraph_text", keys, S.RAW_PARAGRAPH_FIELDS))
-        return Found(keys, hits, "paragraph_id", [F.asc("paragraph_id")])
+        return _find_raw(questions, corpus, intent)
     if intent == K.PII_SEARCH:
         keys = S.message_keys(questions)
-        return Found(keys, S.match_messages(corpus.tagged_messages, keys),
-                     "message_id", [F.asc("message_id")])
+        hits = R.shown_messages(S.match_messages(corpus.tagged_messages, keys))
+        return Found(keys, hits, "message_id", [F.asc("message_id")])
     if intent == K.AML_SEARCH:
         keys = S.transaction_keys(questions)
-        return Found(keys, S.match_transactions(corpus.tagged_transactions, keys),
-                     "transaction_id", S.transaction_order())
+        hits = R.shown_transactions(S.match_transactions(corpus.tagged_transactions, keys))
+        return Found(keys, hits, "transaction_id", S.transaction_order())
     keys = S.obligation_keys(questions)
     hits = S.match_obligations(corpus.tagged_obligations, keys, source_token=corpus.source_token)
-    return Found(keys, hits, "paragraph_id", [F.asc("paragraph_id")])
+    return Found(keys, R.shown_obligations(hits), "paragraph_id", [F.asc("paragraph_id")])
 
 
 SEARCHES = (K.PII_SEARCH, K.AML_SEARCH, K.REG_SEARCH)

@@ -41,18 +41,45 @@ def _with_excerpt(head: Column, label: str, text: Column) -> Column:
     return F.when(text == "", head).otherwise(F.concat(head, F.lit("\n" + label), text))
 
 
+# What a report shows of a hit.  Whole texts are cut to their excerpt before hits are kept,
+# ranked or joined, so that no step after the search carries them.
+
+def shown_messages(hits: DataFrame) -> DataFrame:
+    return hits.select(
+        "search_key", "message_id", "risk_flag",
+        joined_or_default(F.col("pii_entities"), K.NOT_PROVIDED).alias("labels"),
+        excerpt(first_present(F.col("masked_text"), F.col("original_text")), K.PII_EXCERPT_CHARS)
+        .alias("excerpt"))
+
+
+def shown_transactions(hits: DataFrame) -> DataFrame:
+    narrative = first_present(F.col("masked_narrative"), F.col("original_narrative"))
+    return hits.select(
+        "search_key", "transaction_id", "amount_sgd", "risk_score",
+        joined_or_default(F.col("aml_tags"), K.NOT_PROVIDED).alias("labels"),
+        excerpt(narrative, K.AML_EXCERPT_CHARS).alias("excerpt"))
+
+
+def shown_obligations(hits: DataFrame) -> DataFrame:
+    regulation = first_present(F.col("regulation"), F.col("source_document"))
+    text = F.coalesce(first_present(F.col("paragraph_text"), F.col("original_text")),
+                      F.lit(K.NOT_PROVIDED))
+    return hits.select(
+        "search_key", "paragraph_id",
+        strip(F.coalesce(regulation, F.lit(""))).alias("regulation"),
+        excerpt(text, K.REG_EXCERPT_CHARS).alias("excerpt"),
+        owner_or_units(hits, K.NOT_PROVIDED).alias("owner"))
+
+
 def message_line() -> Column:
     head = F.format_string(
         K.PII_HIT, F.coalesce("message_id", F.lit("-")),
-        F.coalesce(F.nullif("risk_flag", F.lit("")), F.lit(K.NOT_PROVIDED)),
-        joined_or_default(F.col("pii_entities"), K.NOT_PROVIDED))
-    text = excerpt(first_present(F.col("masked_text"), F.col("original_text")),
-                   K.PII_EXCERPT_CHARS)
-    return _with_excerpt(head, K.PII_EXCERPT, text)
+        F.coalesce(F.nullif("risk_flag", F.lit("")), F.lit(K.NOT_PROVIDED)), "labels")
+    return _with_excerpt(head, K.PII_EXCERPT, F.col("excerpt"))
 
 
 def message_report(keys: DataFrame, hits: DataFrame) -> DataFrame:
-    """Headline, totals by risk and one line per hit."""
+    """Headline, totals by risk and one line per hit; ``hits`` as shown."""
     totals = keys.join(risk_summary(hits, "search_key"), "search_key", "left")
     summary = F.format_string(K.PII_TOTAL, "total", "critical", "high", "medium", "low")
     lines = hits.select("search_key", F.lit(2).alias("section"),
@@ -80,11 +107,8 @@ def transaction_line() -> Column:
         F.concat(number_text(F.col("risk_score")), F.lit("/10")))
     head = F.concat(
         F.lit("\n• **"), F.coalesce("transaction_id", F.lit(K.NOT_PROVIDED)), F.lit("**"), amount,
-        F.lit(" | Risk: **"), risk, F.lit("**\n  Tags: "),
-        joined_or_default(F.col("aml_tags"), K.NOT_PROVIDED))
-    text = excerpt(first_present(F.col("masked_narrative"), F.col("original_narrative")),
-                   K.AML_EXCERPT_CHARS)
-    return _with_excerpt(head, K.AML_NARRATIVE, text)
+        F.lit(" | Risk: **"), risk, F.lit("**\n  Tags: "), "labels")
+    return _with_excerpt(head, K.AML_NARRATIVE, F.col("excerpt"))
 
 
 def transaction_report(keys: DataFrame, hits: DataFrame,
@@ -103,22 +127,18 @@ def owner_or_units(hits: DataFrame, default: str) -> Column:
     return F.coalesce(first_present(strip(F.col("owner")), strip(units)), F.lit(default))
 
 
-def obligation_line(hits: DataFrame) -> Column:
-    regulation = strip(F.coalesce(first_present(F.col("regulation"), F.col("source_document")),
-                                  F.lit("")))
-    prefix = F.when(regulation == "", "").otherwise(
-        F.concat(F.lit("["), regulation, F.lit("] ")))
-    text = excerpt(F.coalesce(first_present(F.col("paragraph_text"), F.col("original_text")),
-                              F.lit(K.NOT_PROVIDED)), K.REG_EXCERPT_CHARS)
-    return F.concat(F.lit("\n• "), prefix, text, F.lit("\n  Owner: **"),
-                    owner_or_units(hits, K.NOT_PROVIDED), F.lit("**"))
+def obligation_line() -> Column:
+    prefix = F.when(F.col("regulation") == "", "").otherwise(
+        F.concat(F.lit("["), "regulation", F.lit("] ")))
+    return F.concat(F.lit("\n• "), prefix, "excerpt", F.lit("\n  Owner: **"), "owner",
+                    F.lit("**"))
 
 
 def obligation_report(keys: DataFrame, hits: DataFrame) -> DataFrame:
     """Headline, total and the first 20 obligations by id."""
     counts = counts_per_question(keys, hits)
     return _head(counts, "hit_count", K.REG_HEADLINE, _shown(K.REG_TOTAL)).unionByName(
-        _ranked_lines(keys, hits, [F.asc("paragraph_id")], obligation_line(hits)))
+        _ranked_lines(keys, hits, [F.asc("paragraph_id")], obligation_line()))
 
 
 def snapshot_report(metrics: DataFrame) -> DataFrame:

@@ -321,12 +321,15 @@ def raw_keys(questions: DataFrame) -> DataFrame:
 
 
 def match_raw(records: DataFrame, record_id: str, text: str, keys: DataFrame,
-              fields: Sequence[str], *, limit: int = K.RAW_HIT_LIMIT) -> DataFrame:
-    """First ``limit`` raw hits, by id, per search key."""
+              fields: Sequence[str]) -> DataFrame:
+    """All raw hits per search key: ``search_key, term`` and the fields."""
     found = _text_hits(_shape(records, fields), record_id, F.col(text), keys, regex=True)
-    found = found.withColumn("search_key", F.concat(F.lit("raw:"), "term"))
-    return ranked_first(found, "search_key", [F.asc(record_id)], limit, "hit_rank") \
-        .drop("hit_rank").select("search_key", "term", *fields)
+    return found.select(F.concat(F.lit("raw:"), "term").alias("search_key"), "term", *fields)
+
+
+def first_hits(hits: DataFrame, record_id: str, limit: int = K.RAW_HIT_LIMIT) -> DataFrame:
+    """First ``limit`` hits, by id, per search key.  Narrow the hits before."""
+    return ranked_first(hits, "search_key", [F.asc(record_id)], limit, "hit_rank").drop("hit_rank")
 
 
 # --- results per question --------------------------------------------------

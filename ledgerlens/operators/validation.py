@@ -1,4 +1,4 @@
-"""Check report lines against the hits they were written from."""
+"""Check report lines against the hits and the stored records."""
 
 from __future__ import annotations
 
@@ -49,31 +49,30 @@ def check_counts(lines: DataFrame, counts: DataFrame) -> DataFrame:
                     F.col("n") == F.col("hit_count"))
 
 
-def check_numbers(lines: DataFrame, hits: DataFrame) -> DataFrame:
-    """Amount and score of every transaction line equal the record's."""
+def check_numbers(lines: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Amount and score of every transaction line equal the stored record's."""
     shown = cited(lines, TRANSACTION_ID).withColumns({
         "amount": F.nullif(F.regexp_extract("line", TRANSACTION_NUMBERS, 1), F.lit("")),
         "score": F.nullif(F.regexp_extract("line", TRANSACTION_SCORE, 1), F.lit("")),
     })
-    actual = hits.select("question_id", F.col("transaction_id").alias("cited_id"),
-                         number_text(F.col("amount_sgd")).alias("true_amount"),
-                         number_text(F.col("risk_score")).alias("true_score"))
+    actual = transactions.select(F.col("transaction_id").alias("cited_id"),
+                                 number_text(F.col("amount_sgd")).alias("true_amount"),
+                                 number_text(F.col("risk_score")).alias("true_score"))
     same = F.col("amount").eqNullSafe(F.col("true_amount")) \
         & F.col("score").eqNullSafe(F.col("true_score"))
-    return _verdict(shown.join(actual, ["question_id", "cited_id"], "left"), "numbers", same)
+    return _verdict(shown.join(actual, "cited_id", "left"), "numbers", same)
 
 
-def check_masking(lines: DataFrame, hits: DataFrame) -> DataFrame:
+def check_masking(lines: DataFrame, messages: DataFrame) -> DataFrame:
     """The excerpt of every message line is that of the stored masked text."""
     label = "\n" + K.PII_EXCERPT
     place = F.instr("line", F.lit(label))
     shown = cited(lines, MESSAGE_ID).withColumn(
         "shown", F.when(place > 0, F.substr("line", place + len(label))).otherwise(""))
-    stored = excerpt(first_present(F.col("masked_text"), F.col("original_text")),
-                     K.PII_EXCERPT_CHARS)
-    actual = hits.select("question_id", F.col("message_id").alias("cited_id"),
-                         stored.alias("stored"))
-    return _verdict(shown.join(actual, ["question_id", "cited_id"], "left"), "masking",
+    text = first_present(F.col("masked_text"), F.col("original_text"))
+    actual = messages.select(F.col("message_id").alias("cited_id"),
+                             excerpt(text, K.PII_EXCERPT_CHARS).alias("stored"))
+    return _verdict(shown.join(actual, "cited_id", "left"), "masking",
                     F.col("shown") == F.col("stored"))
 
 

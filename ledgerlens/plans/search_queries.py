@@ -162,8 +162,9 @@ def pii_raw_weak_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = S.raw_keys(asked)
     hits = S.weak_message_tags(S.match_raw(views.messages(spark, sf_dir), "message_id", "text",
                                            keys, S.RAW_MESSAGE_FIELDS))
-    return S.per_question(keys, hits).select(
-        "question_id", "message_id", _bar("pii_entities").alias("pii_entities"), "risk_flag")
+    narrow = hits.select("search_key", "message_id", _bar("pii_entities").alias("pii_entities"),
+                         "risk_flag")
+    return S.per_question(keys, S.first_hits(narrow, "message_id"))
 
 
 @query(Q.views("txn", "golden") + """,
@@ -186,8 +187,9 @@ def aml_raw_weak_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = S.raw_keys(views.golden_questions(spark).unionByName(types))
     hits = S.weak_transaction_tags(S.match_raw(
         transactions, "transaction_id", "narrative", keys, S.RAW_TRANSACTION_FIELDS))
-    return S.per_question(keys, hits).select(
-        "question_id", "transaction_id", "amount_sgd", _bar("aml_tags").alias("aml_tags"))
+    narrow = hits.select("search_key", "transaction_id", "amount_sgd",
+                         _bar("aml_tags").alias("aml_tags"))
+    return S.per_question(keys, S.first_hits(narrow, "transaction_id"))
 
 
 @query(Q.views("golden", "passages") + """,
@@ -202,9 +204,9 @@ def reg_raw_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = S.raw_obligation_shape(S.match_raw(
         views.paragraphs(spark, sf_dir), "paragraph_id", "paragraph_text", keys,
         S.RAW_PARAGRAPH_FIELDS))
-    return S.per_question(keys, hits).select(
-        "question_id", "paragraph_id", "source_document", F.md5("regulation").alias("regulation"),
-        "owner", "deadline")
+    narrow = hits.select("search_key", "paragraph_id", "source_document",
+                         F.md5("regulation").alias("regulation"), "owner", "deadline")
+    return S.per_question(keys, S.first_hits(narrow, "paragraph_id"))
 
 
 # --- batch search ----------------------------------------------------------
@@ -357,7 +359,7 @@ def _checked(spark: SparkSession, sf_dir: str, *intents: str):
     results = A.search_all(views.questions(spark, sf_dir), views.corpus(spark, sf_dir, intents),
                            K.MODE_TAGGED, intents=intents)
     for intent, found in results.found.items():
-        yield intent, found, A.report(intent, found)
+        yield intent, found, A.report(intent, found), results.corpus
 
 
 @query(HITS_SQL + """
@@ -369,7 +371,7 @@ def validate_report_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = {K.PII_SEARCH: V.MESSAGE_ID, K.AML_SEARCH: V.TRANSACTION_ID}
     parts = [V.check_ids(lines, S.per_question(found.keys, found.hits), found.record_id,
                          patterns[intent])
-             for intent, found, lines in _checked(spark, sf_dir, *patterns)]
+             for intent, found, lines, _ in _checked(spark, sf_dir, *patterns)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -378,7 +380,7 @@ SELECT question_id, 'counts' AS check, 1 AS checked, true AS ok
 FROM layer_hits GROUP BY question_id""")
 def validate_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [V.check_counts(lines, S.counts_per_question(found.keys, found.hits))
-             for _, found, lines in _checked(spark, sf_dir, *A.SEARCHES)]
+             for _, found, lines, _ in _checked(spark, sf_dir, *A.SEARCHES)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -389,10 +391,9 @@ SELECT question_id, CASE intent WHEN 'AML_SEARCH' THEN 'numbers' ELSE 'masking'
 FROM layer_hits WHERE intent <> 'REG_SEARCH' GROUP BY question_id, intent""")
 def validate_report_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for intent, found, lines in _checked(spark, sf_dir, K.PII_SEARCH, K.AML_SEARCH):
-        hits = S.per_question(found.keys, found.hits)
+    for intent, _, lines, corpus in _checked(spark, sf_dir, K.PII_SEARCH, K.AML_SEARCH):
         if intent == K.PII_SEARCH:
-            parts.append(V.check_masking(lines, hits))
+            parts.append(V.check_masking(lines, corpus.tagged_messages))
         else:
-            parts.append(V.check_numbers(lines, hits))
+            parts.append(V.check_numbers(lines, corpus.tagged_transactions))
     return reduce(DataFrame.unionByName, parts)

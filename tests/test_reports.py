@@ -29,7 +29,7 @@ def test_message_report_lists_every_hit(spark):
                                          "pii_entities array<string>, risk_flag string, "
                                          "original_text string")
     keys = S.message_keys(X.questions(spark, "phone"))
-    lines = R.message_report(keys, S.match_messages(tagged, keys))
+    lines = R.message_report(keys, R.shown_messages(S.match_messages(tagged, keys)))
     assert lines.where("section = 2").count() == 30
     text = X.text_of(lines, "q1")
     assert "Total: 30 hits (Critical: 0, High: 0, Medium: 0, Low: 30)" in text
@@ -51,7 +51,8 @@ def test_transaction_report_shows_twenty_and_a_zero_score(spark):
         rows, "transaction_id string, amount_sgd double, risk_score double, "
               "original_narrative string").withColumn("aml_tags", F.array().cast("array<string>"))
     keys = S.transaction_keys(X.questions(spark, "crypto"))
-    text = X.text_of(R.transaction_report(keys, S.match_transactions(tagged, keys)), "q1")
+    hits = R.shown_transactions(S.match_transactions(tagged, keys))
+    text = X.text_of(R.transaction_report(keys, hits), "q1")
     assert "Total: 25 transactions (showing up to first 20)." in text
     assert text.count("•") == 20
     assert "• **T000** | SGD 10.0 | Risk: **0.0/10**\n  Tags: (not provided)" in text
@@ -190,27 +191,27 @@ def verdicts(df):
     return {r["question_id"]: r["ok"] for r in df.collect()}
 
 
-def test_reports_pass_their_checks(checked):
+def test_reports_pass_their_checks(checked, corpus):
     lines, hits, counts = checked[K.PII_SEARCH]
     assert verdicts(V.check_ids(lines, hits, "message_id", V.MESSAGE_ID)) == {"q1": True}
-    assert verdicts(V.check_masking(lines, hits)) == {"q1": True}
+    assert verdicts(V.check_masking(lines, corpus.tagged_messages)) == {"q1": True}
     assert verdicts(V.check_counts(lines, counts)) == {"q1": True}
     lines, hits, counts = checked[K.AML_SEARCH]
     assert verdicts(V.check_ids(lines, hits, "transaction_id", V.TRANSACTION_ID)) == {"q2": True}
-    assert verdicts(V.check_numbers(lines, hits)) == {"q2": True}
+    assert verdicts(V.check_numbers(lines, corpus.tagged_transactions)) == {"q2": True}
 
 
-def test_altered_reports_fail(checked):
+def test_altered_reports_fail(checked, corpus):
     lines, hits, counts = checked[K.PII_SEARCH]
     other = lines.withColumn("line", F.replace("line", F.lit("M01"), F.lit("M99")))
     assert verdicts(V.check_ids(other, hits, "message_id", V.MESSAGE_ID)) == {"q1": False}
     assert V.unknown_ids(other, hits, "message_id", V.MESSAGE_ID).first()["cited_id"] == "M99"
     open_text = lines.withColumn("line", F.replace("line", F.lit("<NRIC>"), F.lit("S1")))
-    assert verdicts(V.check_masking(open_text, hits)) == {"q1": False}
+    assert verdicts(V.check_masking(open_text, corpus.tagged_messages)) == {"q1": False}
     claimed = lines.withColumn("line", F.replace("line", F.lit("Total: 1"), F.lit("Total: 2")))
     bad = V.check_counts(claimed, counts)
     assert verdicts(bad) == {"q1": False}
     assert [r["line"] for r in V.final_lines(claimed, bad).collect()] == [K.VALIDATION_FALLBACK]
     lines, hits, _ = checked[K.AML_SEARCH]
     dearer = lines.withColumn("line", F.replace("line", F.lit("SGD 4"), F.lit("SGD 9")))
-    assert verdicts(V.check_numbers(dearer, hits)) == {"q2": False}
+    assert verdicts(V.check_numbers(dearer, corpus.tagged_transactions)) == {"q2": False}

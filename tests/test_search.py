@@ -144,8 +144,8 @@ def test_batch_obligations(spark, tagged):
 def test_batch_raw_and_weak_tags(spark):
     asked = ["account|salary", "nothing to see.", "m"]
     keys = S.raw_keys(X.questions(spark, *asked))
-    hits = S.match_raw(X.messages(spark), "message_id", "text", keys, S.RAW_MESSAGE_FIELDS,
-                       limit=2)
+    hits = S.first_hits(S.match_raw(X.messages(spark), "message_id", "text", keys,
+                                    S.RAW_MESSAGE_FIELDS), "message_id", 2)
     weak = S.per_question(keys, S.weak_message_tags(hits))
     rows = {(r["question_id"], r["message_id"]): r for r in weak.collect()}
     assert sorted(rows) == [("q1", "M01"), ("q1", "M03"), ("q2", "M06"), ("q3", "M01"),
