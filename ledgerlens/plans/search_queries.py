@@ -279,7 +279,7 @@ def search_counts_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(HITS_SQL + """
-SELECT question_id, id, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id
+SELECT question_id, id, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id
     ORDER BY score DESC NULLS LAST, amount DESC NULLS LAST, id) AS n FROM layer_hits)
 WHERE n <= 3""")
 def preview_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,8 +295,8 @@ def preview_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rankings --------------------------------------------------------------
 
 @query(Q.views("txn") + """
-SELECT transaction_id, risk_score, amount_sgd, row_number() OVER (PARTITION BY event_type
-    ORDER BY risk_score DESC NULLS LAST, amount_sgd DESC, transaction_id) AS rank
+SELECT transaction_id, risk_score, amount_sgd, CAST(row_number() OVER (PARTITION BY event_type
+    ORDER BY risk_score DESC NULLS LAST, amount_sgd DESC, transaction_id) AS INTEGER) AS rank
 FROM txn QUALIFY rank <= 20""")
 def aml_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 transactions of each leading tag."""
@@ -376,7 +376,7 @@ def validate_report_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(HITS_SQL + """
-SELECT question_id, 'counts' AS check, 1 AS checked, true AS ok
+SELECT question_id, 'counts' AS check, CAST(1 AS BIGINT) AS checked, true AS ok
 FROM layer_hits GROUP BY question_id""")
 def validate_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [V.check_counts(lines, S.counts_per_question(found.keys, found.hits))

@@ -24,8 +24,8 @@ def _bar(column: str):
 
 @query(Q.views("tagged") + """
 SELECT message_id, entities AS pii_entities, first_risk AS risk_flag,
-       length(masked_text) AS masked_length, md5(masked_text) AS masked_md5,
-       length(original_text) AS original_length FROM tagged""")
+       CAST(length(masked_text) AS INTEGER) AS masked_length, md5(masked_text) AS masked_md5,
+       CAST(length(original_text) AS INTEGER) AS original_length FROM tagged""")
 def pii_tag_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.tagged_messages(spark, sf_dir).select(
         "message_id", _bar("pii_entities").alias("pii_entities"), "risk_flag",
@@ -84,7 +84,7 @@ def _obligation_rules() -> str:
         {chain(K.TABLE_OWNER_RULES, "'" + K.DEFAULT_OWNER + "'")} AS owner,
         coalesce(nullif(regexp_extract(t, {Q.quote(K.TABLE_DEADLINE_PERIOD)}, 1), ''),
             {chain(K.TABLE_DEADLINE_RULES, 'NULL')}) AS deadline,
-        length(text) AS text_length
+        CAST(length(text) AS INTEGER) AS text_length
         FROM (SELECT *, lower(text) AS t FROM documents)"""
 
 
@@ -278,12 +278,13 @@ def reg_report_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(Q.views("tagged", "txn", "oblig") + """
+SELECT table_name, record_id, CAST(payload AS VARCHAR) AS payload FROM (
 SELECT 'tagged_pii' AS table_name, message_id AS record_id, to_json({message_id: message_id,
     entities: entities, risk_flag: first_risk, masked_text: masked_text}) AS payload FROM tagged
 UNION ALL SELECT 'tagged_aml', transaction_id, to_json({transaction_id: transaction_id,
     tags: tags, amount_sgd: amount_sgd, date: date}) FROM txn
 UNION ALL SELECT 'tagged_reg', paragraph_id, to_json({paragraph_id: paragraph_id,
-    source_document: source_document, owner: owner, deadline: deadline}) FROM oblig""")
+    source_document: source_document, owner: owner, deadline: deadline}) FROM oblig)""")
 def export_master_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     pii = views.tagged_messages(spark, sf_dir).select(
         "message_id", _bar("pii_entities").alias("entities"), "risk_flag", "masked_text")
