@@ -58,9 +58,7 @@ def difference(spark: SparkSession, con, query, sql: str, sf_dir: str) -> str |
         only_right = [r for r in right if r not in set(left)][:2] if len(right) < 20000 else ""
         return f"{len(left)} rows != {len(right)}: {only_left} / {only_right}"
     for a, b in zip(left, right):
-        if a != b and not all(
-                x == y or (isinstance(x, float) and y is not None and abs(x - float(y)) < 1e-9)
-                for x, y in zip(a, b)):
+        if a != b:
             return f"{str(a)[:400]} != {str(b)[:400]}"
     kinds = [(type(x).__name__, type(y).__name__) for a, b in zip(left[:1], right[:1])
              for x, y in zip(a, b) if x is not None and y is not None
