@@ -24,13 +24,18 @@ def _scalars(df: DataFrame, metrics: list[tuple[str, Column]]) -> DataFrame:
     return one.select(rows)
 
 
-def _breakdowns(df: DataFrame, metrics: list[tuple[str, str]]) -> DataFrame:
-    """Counts per label of several columns in one pass; null is the label '(missing)'."""
-    rows = F.inline(F.array(*[
-        F.struct(F.lit(metric).alias("metric"),
-                 F.coalesce(F.col(column).cast("string"), F.lit(K.MISSING)).alias("label"))
-        for metric, column in metrics]))
-    return df.select(rows).groupBy("metric", "label") \
+def _breakdowns(df: DataFrame, metrics: list[tuple[str, str]],
+                total: str | None = None) -> DataFrame:
+    """Counts per label of several columns in one pass; null is the label '(missing)'.
+
+    ``total`` names a metric that counts all rows in the same pass.
+    """
+    rows = [F.struct(F.lit(metric).alias("metric"),
+                     F.coalesce(F.col(column).cast("string"), F.lit(K.MISSING)).alias("label"))
+            for metric, column in metrics]
+    if total is not None:
+        rows.append(F.struct(F.lit(total).alias("metric"), F.lit("").alias("label")))
+    return df.select(F.inline(F.array(*rows))).groupBy("metric", "label") \
         .agg(F.count("*").cast("double").alias("value"))
 
 
@@ -54,10 +59,7 @@ def message_metrics(tagged: DataFrame) -> DataFrame:
     return _scalars(tagged, [("pii_critical_count", F.count_if(critical))])
 
 
-def obligation_total(tagged: DataFrame) -> DataFrame:
-    return _scalars(tagged, [("reg_total_paragraphs", F.count("*"))])
-
-
+REG_TOTAL = "reg_total_paragraphs"
 REG_BREAKDOWNS = (
     ("reg_owner_breakdown", "owner"),
     ("reg_doc_breakdown", "source_document"),
@@ -65,11 +67,23 @@ REG_BREAKDOWNS = (
 )
 
 
+def obligation_total(tagged: DataFrame) -> DataFrame:
+    return _scalars(tagged, [(REG_TOTAL, F.count("*"))])
+
+
+def _existing_breakdowns(tagged: DataFrame) -> list[tuple[str, str]]:
+    return [(metric, column) for metric, column in REG_BREAKDOWNS if column in tagged.columns]
+
+
 def obligation_breakdowns(tagged: DataFrame, *columns: str) -> DataFrame:
     """Counts per owner, document and risk type, for the columns that exist."""
-    wanted = [(m, c) for m, c in REG_BREAKDOWNS
-              if c in tagged.columns and (not columns or c in columns)]
-    return _breakdowns(tagged, wanted)
+    return _breakdowns(tagged, [(metric, column) for metric, column in _existing_breakdowns(tagged)
+                                if not columns or column in columns])
+
+
+def obligation_metrics(tagged: DataFrame) -> DataFrame:
+    """Total and all breakdowns in one pass."""
+    return _breakdowns(tagged, _existing_breakdowns(tagged), REG_TOTAL)
 
 
 def semantic_metrics(transactions: DataFrame | None = None, messages: DataFrame | None = None,
@@ -81,9 +95,7 @@ def semantic_metrics(transactions: DataFrame | None = None, messages: DataFrame
     if messages is not None and "risk_flag" in messages.columns:
         parts.append(message_metrics(messages))
     if obligations is not None:
-        parts.append(obligation_total(obligations))
-        if any(c in obligations.columns for _, c in REG_BREAKDOWNS):
-            parts.append(obligation_breakdowns(obligations))
+        parts.append(obligation_metrics(obligations))
     if not parts:
         raise ValueError("no domain to measure")
     return reduce(DataFrame.unionByName, parts)

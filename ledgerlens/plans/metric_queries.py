@@ -8,6 +8,7 @@ from ledgerlens import constants as K
 from ledgerlens.operators import metrics as M, reports as R, search as S
 from ledgerlens.plans import sql_views as Q
 from ledgerlens.plans.registry import query
+from ledgerlens.plans.search_queries import MESSAGE_MATCH
 from ledgerlens.plans.tagging_queries import AS_OF, EXTENDED_SQL
 from ledgerlens.sources import views
 
@@ -135,19 +136,22 @@ def aml_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.score_histogram(views.tagged_transactions(spark, sf_dir))
 
 
-@query(Q.views("tagged") + """
-SELECT channel AS question_id, count(*) AS total,
+@query(Q.views("tagged", "golden", "passages") + f""",
+asked AS (SELECT question_id, lower({Q.strip('text')}) AS q FROM
+    (SELECT question_id, text FROM golden UNION ALL SELECT question_id, text FROM passages))
+SELECT question_id, count(*) AS total,
     count(*) FILTER (WHERE risk_flag = 'Critical') AS critical,
     count(*) FILTER (WHERE risk_flag = 'High') AS high,
     count(*) FILTER (WHERE risk_flag = 'Medium') AS medium,
     count(*) FILTER (WHERE risk_flag = 'Low') AS low
-FROM (SELECT *, entities AS e FROM tagged_up) GROUP BY channel""")
+FROM asked JOIN tagged_up ON {MESSAGE_MATCH} GROUP BY question_id""")
 def pii_result_risk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risk distribution of the result set of each channel."""
-    risks = views.tagged_messages_upgraded(spark, sf_dir).select("message_id", "risk_flag")
-    channels = views.messages(spark, sf_dir).select(
-        "message_id", F.col("channel").alias("question_id"))
-    return M.risk_summary(risks.join(channels, "message_id"))
+    """Risk distribution of each question's result set."""
+    asked = views.golden_questions(spark).unionByName(views.passages(spark, sf_dir))
+    keys = S.message_keys(asked)
+    hits = S.match_messages(views.corpus(spark, sf_dir, [K.PII_SEARCH]).tagged_messages, keys)
+    per_key = M.risk_summary(hits, "search_key")
+    return S.per_question(keys, per_key)
 
 
 _TOPIC = Q.views("oblig", "topic")
