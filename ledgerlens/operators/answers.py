@@ -184,13 +184,39 @@ def _drafts(results: Results) -> DataFrame:
     return R.sar_drafts(requests, results.corpus.tagged_transactions)
 
 
+def _preview_list(entries: DataFrame) -> DataFrame:
+    """``question_id, preview`` from ``question_id, rank, id, record``; a few per question."""
+    entry = F.struct("rank", "id", "record")
+    ordered = F.array_sort(F.collect_list(entry))
+    return entries.groupBy("question_id").agg(F.transform(
+        ordered, lambda e: F.struct(e["id"].alias("id"), e["record"].alias("record")))
+        .alias("preview"))
+
+
+PREVIEW_TYPE = "array<struct<id:string,record:string>>"
+
+
 def previews(found: Found, n: int = K.PREVIEW_ROWS) -> DataFrame:
-    """``question_id, preview``: the ids of the first few hits, in order."""
+    """``question_id, preview``: id and JSON record of the first few hits, in order."""
+    shown = [c for c in found.hits.columns if c != "search_key"]
     top = S.top_per_question(found.keys, found.hits, found.order, n)
-    entry = F.struct("rank", F.col(found.record_id).alias("id"))
-    # At most n entries per question.
-    return top.groupBy("question_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(entry)), lambda e: e["id"]), ",").alias("preview"))
+    return _preview_list(top.select(
+        "question_id", "rank", F.col(found.record_id).alias("id"),
+        F.to_json(F.struct(*shown)).alias("record")))
+
+
+def _structured_trace(results: Results) -> DataFrame:
+    """Trace of the structured obligation questions; the preview is the same for all."""
+    rows = results.corpus.topic.rows(results.corpus.tagged_obligations)
+    examples = R.obligation_examples(rows, K.PREVIEW_ROWS)
+    first = _preview_list(examples.select(
+        F.lit(1).alias("question_id"), F.col("paragraph_id").alias("rank"),
+        F.col("paragraph_id").alias("id"), F.to_json(F.struct("*")).alias("record")))
+    # One row at most.
+    return _structured(results).withColumn("one", F.lit(1)).join(
+        F.broadcast(first.withColumnRenamed("question_id", "one")), "one", "left").select(
+        "question_id", F.lit(K.REG_SEARCH).alias("intent"),
+        F.lit(K.TOOL_STRUCTURED_REG).alias("tool_name"), "hit_count", "preview")
 
 
 def answer_trace(results: Results) -> DataFrame:
@@ -199,28 +225,26 @@ def answer_trace(results: Results) -> DataFrame:
     parts = [results.with_intent(K.OUT_OF_SCOPE).select(
         "question_id", F.lit(K.OUT_OF_SCOPE).alias("intent"),
         F.lit(None).cast("string").alias("tool_name"), F.lit(0).cast("bigint").alias("hit_count"),
-        F.lit("").alias("preview"))]
+        F.lit(None).cast(PREVIEW_TYPE).alias("preview"))]
     for intent, found in results.found.items():
         counts = S.counts_per_question(found.keys, found.hits)
         parts.append(counts.join(previews(found), "question_id", "left").select(
             "question_id", F.lit(intent).alias("intent"),
-            F.lit(K.TOOL_NAMES[intent, mode]).alias("tool_name"), "hit_count",
-            F.coalesce("preview", F.lit("")).alias("preview")))
+            F.lit(K.TOOL_NAMES[intent, mode]).alias("tool_name"), "hit_count", "preview"))
     if results.may_be_structured:
-        rows = results.corpus.topic.rows(results.corpus.tagged_obligations)
-        first = R.obligation_examples(rows, K.PREVIEW_ROWS).agg(
-            F.array_join(F.array_sort(F.collect_list("paragraph_id")), ",").alias("preview"))
-        parts.append(_structured(results).withColumn("one", F.lit(1)).join(
-            F.broadcast(first.withColumn("one", F.lit(1))), "one").select(
-            "question_id", F.lit(K.REG_SEARCH).alias("intent"),
-            F.lit(K.TOOL_STRUCTURED_REG).alias("tool_name"), "hit_count", "preview"))
-    parts.append(R.draft_requests(results.with_intent(K.SAR_DRAFT)).select(
-        "question_id", F.lit(K.SAR_DRAFT).alias("intent"),
-        F.lit(K.TOOL_NAMES[K.SAR_DRAFT, mode]).alias("tool_name"),
-        F.lit(1).cast("bigint").alias("hit_count"), F.col("wanted_id").alias("preview")))
+        parts.append(_structured_trace(results))
+    if K.SAR_DRAFT in results.intents:
+        record = F.to_json(F.struct("transaction_id", "sar_draft"))
+        parts.append(_drafts(results).select(
+            "question_id", F.lit(K.SAR_DRAFT).alias("intent"),
+            F.lit(K.TOOL_NAMES[K.SAR_DRAFT, mode]).alias("tool_name"),
+            F.lit(1).cast("bigint").alias("hit_count"),
+            F.array(F.struct(F.col("transaction_id").alias("id"), record.alias("record")))
+            .alias("preview")))
     return reduce(DataFrame.unionByName, parts).select(
         "question_id", F.lit(mode).alias("mode"), "intent", "tool_name", "hit_count",
-        (F.col("hit_count") == 0).alias("no_results"), "preview")
+        (F.col("hit_count") == 0).alias("no_results"),
+        F.coalesce("preview", F.array().cast(PREVIEW_TYPE)).alias("preview"))
 
 
 def ask(question: str, corpus: Corpus, mode: str = K.MODE_TAGGED, *,

@@ -9,6 +9,8 @@ it.  Both ways are exact and neither pairs every record with every phrase.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ledgerlens.functions.lists import compact
@@ -23,6 +25,8 @@ PIECES = {
     "letter": "(?s)(.)",
 }
 NO_PIECE = "none"
+# Pieces too common to shuffle by: nearly every text has them.
+COMMON = ("letter", NO_PIECE)
 # Most phrases written into the plan as constants.
 LITERAL_PHRASES = 64
 # Most phrases whose pieces are sent to every executor (about 100 bytes each).
@@ -120,20 +124,47 @@ def _match_constants(records: DataFrame, text: str, phrases: list[Row], regex: b
 
 def _match_pieces(records: DataFrame, record_id: str, text: str, keys: DataFrame,
                   kinds: dict[str, int], regex: bool, broadcast_phrases: int) -> DataFrame:
-    content = F.coalesce(F.col(text), F.lit(""))
-    folded = F.lower(content)
+    if sum(kinds.values()) <= broadcast_phrases:
+        return _match_broadcast(records, text, keys, kinds, regex)
+
+    rare = {kind: n for kind, n in kinds.items() if kind not in COMMON}
+    pieces = _record_pieces(F.col(text), rare)
+    pairs = records.select(record_id, pieces).join(
+        keys.where(~F.col("kind").isin(*COMMON)), "piece").select(record_id, "phrase")
+    found = records.join(pairs, record_id).where(_contains(text, regex)) \
+        .select(*records.columns, "phrase")
+
+    # Phrases with only a common piece would pair with nearly every record; they are
+    # broadcast in portions, where the join itself applies the full test.
+    common = {kind: n for kind, n in kinds.items() if kind in COMMON}
+    portions = -(-sum(common.values()) // max(1, broadcast_phrases))
+    portion = F.pmod(F.xxhash64("phrase"), F.lit(max(1, portions)))
+    for number in range(portions):
+        part = keys.where(F.col("kind").isin(*COMMON) & (portion == number))
+        found = found.unionByName(_match_broadcast(records, text, part, common, regex))
+    return found
+
+
+def _record_pieces(text: Column, kinds: Iterable[str]) -> Column:
+    folded = F.lower(F.coalesce(text, F.lit("")))
     found = [F.array(F.lit("")) if kind == NO_PIECE else _pieces(folded, kind) for kind in kinds]
-    piece = F.explode(F.array_distinct(F.concat(*found))).alias("piece")
-    matches = F.rlike(content, F.concat(F.lit("(?iu)"), "phrase")) if regex \
-        else folded.contains(F.lower("phrase"))
+    none = F.array().cast("array<string>")
+    return F.explode(F.array_distinct(F.concat(none, *found))).alias("piece")
 
-    keys = keys.select("phrase", "piece")
-    if sum(kinds.values()) <= broadcast_phrases:
-        return (
-            records.select("*", piece)
-            .join(F.broadcast(keys), "piece")
-            .where(matches)
-            .select(*records.columns, "phrase")
-        )
-    pairs = records.select(record_id, piece).join(keys, "piece").select(record_id, "phrase")
-    return records.join(pairs, record_id).where(matches).select(*records.columns, "phrase")
+
+def _contains(text: str, regex: bool) -> Column:
+    content = F.coalesce(F.col(text), F.lit(""))
+    if regex:
+        return F.rlike(content, F.concat(F.lit("(?iu)"), "phrase"))
+    return F.lower(content).contains(F.lower("phrase"))
+
+
+def _match_broadcast(records: DataFrame, text: str, keys: DataFrame, kinds: Iterable[str],
+                     regex: bool) -> DataFrame:
+    """The caller has bounded the keys."""
+    return (
+        records.select("*", _record_pieces(F.col(text), kinds))
+        .join(F.broadcast(keys.select("phrase", "piece")), "piece")
+        .where(_contains(text, regex))
+        .select(*records.columns, "phrase")
+    )

@@ -257,8 +257,9 @@ SELECT question_id, mode, intent, tool_name, hit_count, hit_count = 0 AS no_resu
 FROM trace""")
 def answer_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, corpus = views.questions(spark, sf_dir), views.corpus(spark, sf_dir)
-    return A.answer_trace(A.search_all(asked, corpus, K.MODE_RAW)).unionByName(
+    trace = A.answer_trace(A.search_all(asked, corpus, K.MODE_RAW)).unionByName(
         A.answer_trace(A.search_all(asked, corpus, K.MODE_TAGGED)))
+    return trace.withColumn("preview", F.array_join("preview.id", ","))
 
 
 @query(ANSWERS_SQL + """,

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,8 +145,12 @@ def test_trace(spark, corpus):
     rows = {r["question_id"]: r for r in A.answer_trace(
         A.search_all(golden(spark), corpus, K.MODE_TAGGED)).collect()}
     assert len(rows) == len(K.GOLDEN_QUESTIONS)
-    assert rows["q1"]["tool_name"] == "search_pii_tool" and rows["q1"]["preview"] == "M01"
-    assert rows["q5"]["hit_count"] == 4 and rows["q5"]["preview"] == "P1,P2,P3"
+    assert rows["q1"]["tool_name"] == "search_pii_tool" and [p["id"] for p in rows["q1"]["preview"]] == ["M01"]
+    assert rows["q5"]["hit_count"] == 4 and [p["id"] for p in rows["q5"]["preview"]] == [
+        "P1", "P2", "P3"]
+    assert json.loads(rows["q1"]["preview"][0]["record"])["risk_flag"] == "Critical"
+    assert json.loads(rows["q6"]["preview"][0]["record"])["sar_draft"].startswith("Amount")
+    assert [p["id"] for p in rows["q7"]["preview"]] == ["P1", "P2", "P3"]
     assert rows["q6"]["tool_name"] == "draft_sar_tool" and rows["q6"]["hit_count"] == 1
     assert rows["q7"]["tool_name"] == "query_regulations" and rows["q7"]["hit_count"] == 3
     assert rows["q10"]["intent"] == "OUT_OF_SCOPE" and rows["q10"]["no_results"]
