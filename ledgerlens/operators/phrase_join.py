@@ -38,6 +38,24 @@ def _pieces(text: Column, kind: str) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECES[kind]), F.lit(1))
 
 
+# Letters whose lower case differs from the lower case of their capital, such as the long s and
+# the final sigma.  A pattern that ignores case treats both forms as equal.
+_LETTERS = [(chr(c), chr(c).upper().lower()) for c in range(0x10000)]
+_VARIANTS = {a.lower(): b for a, b in _LETTERS if len(a.lower()) == len(b) == 1 and a.lower() != b}
+_FROM, _TO = "".join(_VARIANTS), "".join(_VARIANTS.values())
+
+
+def _fold(text: Column, regex: bool) -> Column:
+    """Text as it is compared: lower case, or for patterns one form per letter."""
+    text = F.coalesce(text, F.lit(""))
+    if not regex:
+        return F.lower(text)
+    mapped = F.translate(F.lower(F.translate(text, "İ", "i")), _FROM, _TO)
+    lower = F.lower(text)
+    special = (F.octet_length(text) > F.length(text)) & lower.rlike(f"[\u0307{_FROM}]")
+    return F.when(special, mapped).otherwise(lower)
+
+
 def _literal_run(pattern: Column) -> Column:
     """Longest text every match of a regular expression must contain, '' if unknown.
 
@@ -51,13 +69,18 @@ def _literal_run(pattern: Column) -> Column:
     return F.when(pattern.rlike("[|()\\[\\]\\\\]"), "").otherwise(longest["run"])
 
 
+def _required(regex: bool) -> Column:
+    """What every text with the phrase contains, folded."""
+    return _fold(_literal_run(F.col("phrase")) if regex else F.col("phrase"), regex)
+
+
 def phrase_keys(distinct: DataFrame, *, regex: bool = False) -> DataFrame:
     """The join key of each distinct phrase: ``phrase, kind, piece``.
 
     The piece shared with the fewest other phrases is taken, so that wording
     common to many questions does not become one hot key.
     """
-    run = F.lower(_literal_run(F.col("phrase")) if regex else F.col("phrase"))
+    run = _required(regex)
     kind, pieces = F.when(F.lit(False), ""), F.when(F.lit(False), F.array(F.lit("")))
     for name, pattern in PIECES.items():
         holds = F.col("run").rlike(pattern)
@@ -89,7 +112,7 @@ def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFram
     are tested as constants, so that they do not make every text emit all kinds.
     """
     distinct = phrases.select(F.col(phrase).alias("phrase")).where("phrase is not null").distinct()
-    required = F.lower(_literal_run(F.col("phrase")) if regex else F.col("phrase"))
+    required = _required(regex)
     constants = distinct.select("phrase", required.alias("required"))
     few = constants.limit(literal_phrases + 1).collect()
     if len(few) <= literal_phrases:
@@ -111,7 +134,7 @@ def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFram
 def _match_constants(records: DataFrame, text: str, phrases: list[Row], regex: bool) -> DataFrame:
     if not phrases:
         return records.select("*", F.lit("").alias("phrase")).where(F.lit(False))
-    df = records.withColumn("__folded", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    df = records.withColumn("__folded", _fold(F.col(text), regex))
     tests = []
     for phrase, required in sorted(phrases):
         test = F.col("__folded").contains(required)
@@ -128,7 +151,7 @@ def _match_pieces(records: DataFrame, record_id: str, text: str, keys: DataFrame
         return _match_broadcast(records, text, keys, kinds, regex)
 
     rare = {kind: n for kind, n in kinds.items() if kind not in COMMON}
-    pieces = _record_pieces(F.col(text), rare)
+    pieces = _record_pieces(_fold(F.col(text), regex), rare)
     pairs = records.select(record_id, pieces).join(
         keys.where(~F.col("kind").isin(*COMMON)), "piece").select(record_id, "phrase")
     found = records.join(pairs, record_id).where(_contains(text, regex)) \
@@ -145,25 +168,24 @@ def _match_pieces(records: DataFrame, record_id: str, text: str, keys: DataFrame
     return found
 
 
-def _record_pieces(text: Column, kinds: Iterable[str]) -> Column:
-    folded = F.lower(F.coalesce(text, F.lit("")))
+def _record_pieces(folded: Column, kinds: Iterable[str]) -> Column:
     found = [F.array(F.lit("")) if kind == NO_PIECE else _pieces(folded, kind) for kind in kinds]
     none = F.array().cast("array<string>")
     return F.explode(F.array_distinct(F.concat(none, *found))).alias("piece")
 
 
 def _contains(text: str, regex: bool) -> Column:
-    content = F.coalesce(F.col(text), F.lit(""))
     if regex:
+        content = F.coalesce(F.col(text), F.lit(""))
         return F.rlike(content, F.concat(F.lit("(?iu)"), "phrase"))
-    return F.lower(content).contains(F.lower("phrase"))
+    return _fold(F.col(text), regex).contains(_fold(F.col("phrase"), regex))
 
 
 def _match_broadcast(records: DataFrame, text: str, keys: DataFrame, kinds: Iterable[str],
                      regex: bool) -> DataFrame:
     """The caller has bounded the keys."""
     return (
-        records.select("*", _record_pieces(F.col(text), kinds))
+        records.select("*", _record_pieces(_fold(F.col(text), regex), kinds))
         .join(F.broadcast(keys.select("phrase", "piece")), "piece")
         .where(_contains(text, regex))
         .select(*records.columns, "phrase")

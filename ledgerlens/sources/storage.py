@@ -162,8 +162,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def write_shared(df: DataFrame, name: str) -> str:
-    """Write an intermediate table to the shared folder and return its path."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write an intermediate table to the shared folder and return its path.
+
+    All tables of a run lie in one folder named after the application.
+    """
+    spark = df.sparkSession
+    run = f"ledgerlens-{spark.sparkContext.applicationId}"
+    path = f"{shared_folder(spark)}/{run}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 

@@ -215,6 +215,20 @@ def test_pattern_join_matches_brute_force(spark, options):
         PATTERNS, lambda p, t: re.search(p, t, re.IGNORECASE) is not None)
 
 
+@pytest.mark.parametrize("options", [
+    {}, {"literal_phrases": 0}, {"literal_phrases": 0, "broadcast_phrases": 0}])
+def test_pattern_join_folds_letters_like_the_pattern_does(spark, options):
+    records = spark.createDataFrame(
+        [("1", "a mi\u017fsed letter"), ("2", "273 \u212aelvin"), ("3", "ΟΔΟΣΑ"),
+         ("4", "\u0130stanbul")],
+        "id string, text string")
+    phrases = spark.createDataFrame([("missed letter",), ("kelvin",), ("οδος",), ("istanbul",)],
+                                    "p string")
+    got = phrase_join(records, "id", "text", phrases, "p", regex=True, **options)
+    assert sorted((r["id"], r["phrase"]) for r in got.collect()) == [
+        ("1", "missed letter"), ("2", "kelvin"), ("3", "οδος"), ("4", "istanbul")]
+
+
 def test_phrase_join_without_phrases(spark):
     records = spark.createDataFrame(RECORDS, "id string, text string")
     none = spark.createDataFrame([], "p string")
