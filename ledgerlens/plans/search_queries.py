@@ -10,6 +10,7 @@ from ledgerlens import constants as K
 from ledgerlens.operators import answers as A, reports as R, search as S, validation as V
 from ledgerlens.plans import sql_views as Q
 from ledgerlens.plans.registry import query
+from ledgerlens.plans.tagging_queries import ALL_INTENTS_SQL
 from ledgerlens.sources import views
 
 RAW_MESSAGE_PATTERN = "token = |secret = "
@@ -323,9 +324,6 @@ def aml_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- several domains at once -----------------------------------------------
 
-from ledgerlens.plans.tagging_queries import ALL_INTENTS_SQL  # noqa: E402
-
-
 @query(Q.views("tagged", "txn", "oblig", "golden", "questions") + f""",
 spread AS (SELECT question_id, q, unnest(string_split({ALL_INTENTS_SQL}, '|')) AS intent
     FROM (SELECT *, lower(text) AS q FROM questions)),

@@ -92,14 +92,18 @@ def with_date(df: DataFrame, column: str = "date") -> DataFrame:
     return df.withColumn(column, F.try_to_date(F.col(column), K.DATE_FORMAT))
 
 
-def write_tagged(df: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """Parquet, or CSV with list columns as JSON text."""
+def write_tagged(df: DataFrame, path: str, file_format: str = "parquet",
+                 partition_by: Sequence[str] = ()) -> None:
+    """Parquet, or CSV with list columns as JSON text.
+
+    ``partition_by`` (the risk label, say) lets later searches skip whole folders.
+    """
     if file_format == "csv":
-        lists = {f.name: F.to_json(f.name) for f in df.schema.fields
-                 if isinstance(f.dataType, ArrayType)}
-        df.withColumns(lists).write.mode("overwrite").options(**CSV_WRITE).csv(path)
-    else:
-        df.write.mode("overwrite").format(file_format).save(path)
+        df = df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields
+                             if isinstance(f.dataType, ArrayType)})
+    options = CSV_WRITE if file_format == "csv" else {}
+    df.write.mode("overwrite").format(file_format).options(**options) \
+        .partitionBy(*partition_by).save(path)
 
 
 def read_tagged(spark: SparkSession, path: str, schema: StructType,

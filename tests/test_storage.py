@@ -71,6 +71,15 @@ def test_tagged_tables_round_trip(spark, tmp_path, file_format):
             sorted(map(tuple, df.collect()), key=lambda r: r[0]), key
 
 
+def test_partitioned_tables_prune(spark, tmp_path):
+    path = str(tmp_path / "by_risk")
+    storage.write_tagged(tag_messages(X.messages(spark)), path, partition_by=["risk_flag"])
+    high = storage.read_tagged(spark, path, schemas.TAGGED_MESSAGES).where("risk_flag = 'High'")
+    assert X.column(high, "message_id") == ["M03", "M05"]
+    assert "PartitionFilters: [isnotnull(risk_flag" in \
+        high._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stored_lists_of_another_program(spark, tmp_path):
     path = tmp_path / "tagged.csv"
     path.write_text("message_id,masked_text,pii_entities,risk_flag,original_text\n"
