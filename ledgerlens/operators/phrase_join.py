@@ -51,9 +51,8 @@ def _fold(text: Column, regex: bool) -> Column:
     if not regex:
         return F.lower(text)
     mapped = F.translate(F.lower(F.translate(text, "İ", "i")), _FROM, _TO)
-    lower = F.lower(text)
-    special = (F.octet_length(text) > F.length(text)) & lower.rlike(f"[\u0307{_FROM}]")
-    return F.when(special, mapped).otherwise(lower)
+    # Plain ASCII text, the common case, has none of these letters.
+    return F.when(F.octet_length(text) > F.length(text), mapped).otherwise(F.lower(text))
 
 
 def _literal_run(pattern: Column) -> Column:
