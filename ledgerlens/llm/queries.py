@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import mixing, sharding
+from ledgerlens.llm import decontaminate, mixing, secret_ledger, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,56 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
 
 
+_SPLIT = """list_transform(range(1, len({k}_m) + 1), lambda i: {{'kind': '{k}', 'place': {n},
+    'start': CAST(list_sum({k}_p[1:i]) + coalesce(list_sum(list_transform({k}_m[1:i - 1],
+        lambda x: length(x))), 0) AS BIGINT), 'match': {k}_m[i]}})"""
+
+
+def _secret_sql() -> str:
+    quoted = {r.kind: r.pattern.replace("'", "''") for r in secret_ledger.RULES}
+    parts = ", ".join(
+        f"regexp_extract_all(t, '{p}') AS {k}_m, list_transform("
+        f"string_split_regex(t, '{p}'), lambda x: length(x)) AS {k}_p" for k, p in quoted.items())
+    lists = " || ".join(_SPLIT.format(k=k, n=i) for i, k in enumerate(quoted))
+    long_enough = " AND ".join(
+        f"(s.kind <> '{r.kind}' OR length(regexp_extract(s.match, '{quoted[r.kind]}', {r.group}))"
+        f" >= {r.least})" for r in secret_ledger.RULES)
+    counts = ", ".join(f"CAST(len(list_filter(spans, lambda s: s.kind = '{k}')) AS BIGINT) AS n_{k}"
+                       for k in quoted)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, {parts} FROM d),
+a AS (SELECT doc_id, list_filter({lists}, lambda s: {long_enough}) AS found FROM m),
+b AS (SELECT doc_id, list_sort(list_transform(found, lambda s: {{'start': s.start,
+    'place': s.place, 'kind': s.kind, 'stop': s.start + length(s.match)}})) AS spans FROM a),
+c AS (SELECT *, array_to_string(list_transform(spans, lambda s: s.kind || ':' || s.start || ':'
+    || s.stop), ',') AS spelled FROM b)
+SELECT doc_id, {counts}, sha256(coalesce(spelled, '')) AS base_sha256,
+    coalesce(spelled, '') AS spans FROM c"""
+
+
+@query(_secret_sql())
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document, found once per content."""
+    found = secret_ledger.secrets_by_path(
+        _table(spark, sf_dir, "documents"), secret_ledger.new_ledger(spark))
+    spelled = secret_ledger.spelled(F.col("spans"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, r.kind))).cast("long")
+              .alias(f"n_{r.kind}") for r in secret_ledger.RULES]
+    return found.select("doc_id", *counts, F.sha2(spelled, 256).alias("base_sha256"),
+                        spelled.alias("spans"))
+
+
+@query()
+def op4_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in each document."""
+    hits = decontaminate.benchmark_hits(_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                        _table(spark, sf_dir, "benchmark"))
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 @query()
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of each document."""
