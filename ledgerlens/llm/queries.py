@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import decontaminate, mixing, secret_ledger, sharding
+from ledgerlens.llm import (
+    decontaminate, digests, mixing, secret_ledger, sharding, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +33,12 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document, of its edited form, and their likeness."""
+    return digests.edit_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 _SPLIT = """list_transform(range(1, len({k}_m) + 1), lambda i: {{'kind': '{k}', 'place': {n},
     'start': CAST(list_sum({k}_p[1:i]) + coalesce(list_sum(list_transform({k}_m[1:i - 1],
         lambda x: length(x))), 0) AS BIGINT), 'match': {k}_m[i]}})"""
@@ -82,6 +89,12 @@ def op4_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query()
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of each document."""
