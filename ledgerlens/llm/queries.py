@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.llm import (
-    decontaminate, digests, mixing, secret_ledger, sharding, token_counts)
+    decontaminate, digests, line_quality, mixing, secret_ledger, sharding, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +89,16 @@ def op4_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query()
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document from the labels outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return line_quality.scored(docs, model).select(
+        "doc_id", line_quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= line_quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query()
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document."""
