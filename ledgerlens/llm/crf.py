@@ -63,11 +63,11 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray
                 (u[:, t + 1] + back[:, t + 1])[:, :, None] + moves.T), 0.0)
         last = ahead[np.arange(len(sizes)), sizes - 1]
         whole = _spread(last[:, :, None])[:, 0]
-        out[places[real]] = np.exp(ahead + back - whole[:, None, None])[real]
+        out[places[real]] = np.exp((ahead + back - whole[:, None, None])[real])
         if steps > 1:
-            pair = np.exp(ahead[:, :-1, :, None] + moves + (u + back)[:, 1:, None, :]
-                          - whole[:, None, None, None])
-            expected += pair[real[:, 1:]].sum(axis=0)
+            pair = ahead[:, :-1, :, None] + moves + (u + back)[:, 1:, None, :] \
+                - whole[:, None, None, None]
+            expected += np.exp(pair[real[:, 1:]]).sum(axis=0)
     return out, expected
 
 

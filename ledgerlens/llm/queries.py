@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.llm import (
-    decontaminate, digests, line_quality, mixing, secret_ledger, sharding, token_counts)
+    decontaminate, digests, line_quality, mixing, personal_data, secret_ledger, sharding,
+    token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +90,15 @@ def op4_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query()
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document."""
+    found = personal_data.personal_data(_table(spark, sf_dir, "documents"))
+    counts = [F.regexp_count("base_spans", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}")
+              for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 @query()
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of each document from the labels outside the held-out fold."""
