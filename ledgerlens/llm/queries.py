@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.llm import (
-    decontaminate, digests, line_quality, mixing, personal_data, secret_ledger, sharding,
-    token_counts)
+    decontaminate, digests, line_quality, mixing, ngram_join, personal_data, secret_ledger,
+    sharding, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,3 +121,9 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "row_number", "position")
+
+
+@query()
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of each document."""
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
