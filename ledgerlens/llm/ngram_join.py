@@ -15,9 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerlens.llm.batches import slices
 from ledgerlens.llm.hashing import mixed, span_hashes
+from ledgerlens.llm.rows import COPIES, KEY, keyed, take_copies
 from ledgerlens.sources.storage import materialise
 
 NGRAM = 4
@@ -27,6 +29,8 @@ MOST_SLOTS = 1 << 16
 FREQUENT = 32  # documents that make a shingle frequent
 MOST_FREQUENT = 1 << 20  # frequent shingles that are told apart; at 5 bytes each
 MOST_BITS = 1 << 27  # of the filter for sets that are still needed
+LEADERS = 8  # sets of each block of a list that the others are first compared with
+MARKS = 8  # words of 64 bits that mark a set
 
 _BYTE = np.arange(256)
 _BLANK = (_BYTE == 32) | (_BYTE >= 9) & (_BYTE <= 13) | (_BYTE == 0xFF)
@@ -156,8 +160,9 @@ def _with_last(parts) -> Iterator[tuple[bool, list[bytes]]]:
 def index_lists(docs: DataFrame, slots: int, percent: int = PERCENT) -> DataFrame:
     """The lists of indexed shingles that more than one set has.
 
-    ``token, node, n, pos`` and the leader of the list among sets of about the same size
-    (``band``).  A node is the digest of a set, so equal sets are one node.
+    ``token, node, n, pos, band`` and the ``rank`` of the set, by a hash of its node, among
+    those of about the same size in the list.  A node is the digest of a set, so equal sets
+    are one node.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, slots))
 
@@ -217,13 +222,13 @@ def index_lists(docs: DataFrame, slots: int, percent: int = PERCENT) -> DataFram
         block[1:] |= band[1:] != band[:-1]
         head = np.flatnonzero(block)[np.cumsum(block) - 1]
         columns = {"token": token, "node": node, "n": n, "pos": pos, "band": band,
-                   "leader": node[head], "leader_n": n[head], "leader_pos": pos[head]}
+                   "rank": np.arange(len(token)) - head}
         return pa.table({c: pa.array(x[several].astype(np.int64)) for c, x in columns.items()})
 
-    names = "token node n pos band leader leader_n leader_pos".split()
     return docs.select("text") \
         .mapInArrow(local, "slot long, token binary, node binary, n binary, pos binary") \
-        .groupBy("slot").applyInArrow(join, ", ".join(f"{c} long" for c in names))
+        .groupBy("slot").applyInArrow(join, ", ".join(
+            f"{c} long" for c in ("token", "node", "n", "pos", "band", "rank")))
 
 
 def least_shared(sizes: Column, percent: int = PERCENT) -> Column:
@@ -238,10 +243,30 @@ def possible(n: Column, pos: Column, other_n: Column, other_pos: Column,
         & (F.least(n - pos, other_n - other_pos) >= least_shared(n + other_n, percent))
 
 
+def _marks(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """For each set, which of its bits an odd number of shingles fall on.
+
+    Two sets differ in as many shingles as their marks differ in bits, at least.
+    """
+    bits = 64 * MARKS
+    odd = np.bincount(owner * bits + (h >> np.uint64(8)).astype(np.int64) % bits,
+                      minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, MARKS)
+
+
+MARK_NAMES = [f"m{i}" for i in range(MARKS)]
+
+
+def unlike(one: str, other: str) -> Column:
+    """Bits in which the marks of two sets differ; the names end in the given letters."""
+    return sum((F.bit_count(F.col(m + one).bitwiseXOR(F.col(m + other))) for m in MARK_NAMES),
+               F.lit(0))
+
+
 def needed_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, items`` of the given nodes, and of some others that the filter lets through.
+    """``node, items`` and marks of the given nodes, and of some others.
 
-    The filter is a bit table of bounded size; sets it stops are not moved.
+    A bit table of bounded size tells which sets are needed; those it stops are not moved.
     """
     count = nodes.count()
     bits = min(MOST_BITS, 1 << max(10, (16 * count).bit_length()))
@@ -257,25 +282,27 @@ def needed_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         mask = held.value
         seen: set[int] = set()
         for _, texts in slices(batches, "text"):
-            _, h, sizes, digest = shingle_sets(texts)
+            owner, h, sizes, digest = shingle_sets(texts)
             place = digest & np.uint64(64 * len(mask) - 1)
             wanted = (mask[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
             edge = np.concatenate([[0], np.cumsum(sizes)])
-            ids, items = [], []
-            for i in np.flatnonzero((wanted > 0) & (sizes > 0)).tolist():
-                if digest[i] not in seen:
-                    seen.add(digest[i])
-                    ids.append(digest[i])
-                    items.append(h[edge[i]:edge[i + 1]].tobytes())
+            kept = [i for i in np.flatnonzero((wanted > 0) & (sizes > 0)).tolist()
+                    if digest[i] not in seen and not seen.add(digest[i])]
             if len(seen) > 1 << 20:
                 seen.clear()
-            if ids:
+            if kept:
+                place = np.full(len(sizes), -1)
+                place[kept] = np.arange(len(kept))
+                of = place[owner] >= 0
+                marks = _marks(place[owner[of]], h[of], len(kept))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(ids, np.uint64).view(np.int64)),
-                     pa.array(items, pa.binary())], names=["node", "items"])
+                    [pa.array(digest[kept].view(np.int64)),
+                     pa.array([h[edge[i]:edge[i + 1]].tobytes() for i in kept], pa.binary()),
+                     *[pa.array(np.ascontiguousarray(m)) for m in marks.T]],
+                    names=["node", "items", *MARK_NAMES])
 
-    return docs.select("text").mapInArrow(run, "node long, items binary") \
-        .dropDuplicates(["node"])
+    schema = "node long, items binary, " + ", ".join(f"{m} long" for m in MARK_NAMES)
+    return docs.select("text").mapInArrow(run, schema).dropDuplicates(["node"])
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -354,17 +381,27 @@ def linked_nodes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     slots = min(MOST_SLOTS, max(1, -(-size // SLOT_BYTES)))
     lists = materialise(index_lists(docs, slots, percent), "lists")
 
-    # Every set and the leader that it meets most often.
-    meets = lists.where(F.col("node") != F.col("leader")).where(possible(
-        F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"), percent))
+    sets = materialise(needed_sets(docs, lists.select("node").distinct()), "sets")
+    marks = sets.select("node", *MARK_NAMES)
+    entries = lists.join(marks, "node")
+
+    def side(df: DataFrame, end: str, *columns: str) -> DataFrame:
+        return df.select("token", "band", *[F.col(c).alias(c + end) for c in (
+            "node", "n", "pos", *columns, *MARK_NAMES)])
+
+    size_sum = F.col("n_a") + F.col("n_b")
+    meeting = possible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent) \
+        & (unlike("_a", "_b") <= size_sum - 2 * least_shared(size_sum, percent))
+    enough = F.col("shared") >= least_shared(size_sum, percent)
+
+    # Every set and the most similar leader that it meets; leaders have smaller ranks.
+    leaders = side(entries.where(F.col("rank") < LEADERS), "_b", "rank")
     first = materialise(
-        meets.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"))
-        .groupBy("node").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
-        .select(F.col("node").alias("a"), F.col("leader").alias("b")), "first")
-    ends = first.select(F.col("a").alias("node")).unionByName(
-        first.select(F.col("b").alias("node"))).distinct()
-    enough = F.col("shared") >= least_shared(F.col("n_a") + F.col("n_b"), percent)
-    sets = materialise(needed_sets(docs, ends), "sets")
+        side(entries, "_a", "rank").join(leaders, ["token", "band"])
+        .where((F.col("rank_b") < F.col("rank_a")) & meeting)
+        .groupBy(F.col("node_a").alias("a")).agg(F.min(F.struct(
+            (unlike("_a", "_b") / size_sum).alias("far"), F.col("node_b").alias("b"))).alias("m"))
+        .select("a", "m.b"), "first")
     home = materialise(compare(first, sets).where(enough).select(
         F.col("a").alias("node"), F.col("b").alias("leader"),
         (F.col("n_a") - F.col("shared")).alias("plus"),
@@ -372,42 +409,36 @@ def linked_nodes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = materialise(rooted(home.select("node", F.col("leader").alias("label"))), "labels")
 
     # Lists whose sets are not all linked yet, and their pairs across classes.
-    marked = lists.join(labels, "node", "left").withColumn(
-        "label", F.coalesce("label", "node")).select("token", "node", "n", "pos", "band", "label")
+    marked = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_tokens = marked.groupBy("token").agg(
         (F.min("label") != F.max("label")).alias("open")).where("open").select("token")
-    entries = materialise(marked.join(open_tokens, "token", "left_semi"), "open")
-    small = entries.where((F.col("n") - F.col("pos")) >= least_shared(2 * F.col("n"), percent)) \
-        .select("token", "band", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "label")])
-    large = entries.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))) \
-        .select("token", "band", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "label")])
+    entries = materialise(marked.join(open_tokens, "token", "left_semi").join(marks, "node"), "open")
+    small = side(entries.where(
+        (F.col("n") - F.col("pos")) >= least_shared(2 * F.col("n"), percent)), "_a", "label")
+    large = side(entries.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))),
+                 "_b", "label")
     pairs = materialise(
         small.join(large, ["token", "band"]).where(
             (F.col("label_a") != F.col("label_b"))
             & ((F.col("n_a") < F.col("n_b"))
-               | (F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-            & possible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent))
+               | (F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))) & meeting)
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b",
                 "label_a", "label_b").distinct(), "pairs")
 
     # What the leaders share decides most pairs of their sets; the rest is compared.
-    def of(side: str) -> DataFrame:
-        return home.select(F.col("node").alias(side), F.col("leader").alias(f"lead_{side}"),
-                           F.col("plus").alias(f"plus_{side}"), F.col("minus").alias(f"minus_{side}"))
+    def of(end: str) -> DataFrame:
+        return home.select(F.col("node").alias(end), *[
+            F.col(c).alias(f"{c}_{end}") for c in ("leader", "plus", "minus")])
 
     led = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left") \
-        .withColumns({f"lead_{s}": F.coalesce(f"lead_{s}", s) for s in "ab"}) \
+        .withColumns({f"leader_{s}": F.coalesce(f"leader_{s}", s) for s in "ab"}) \
         .fillna(0, [f"{x}_{s}" for x in ("plus", "minus") for s in "ab"])
-    led = materialise(led.withColumn("x", F.least("lead_a", "lead_b"))
-                      .withColumn("y", F.greatest("lead_a", "lead_b")), "led")
+    led = materialise(led.withColumn("x", F.least("leader_a", "leader_b"))
+                      .withColumn("y", F.greatest("leader_a", "leader_b")), "led")
     wanted = led.select("x", "y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
-    more = led.select(F.explode(F.array("a", "b", "x", "y")).alias("node")).distinct()
-    rest = needed_sets(docs, more.join(sets.select("node"), "node", "left_anti"))
-    sets = materialise(sets.join(more, "node", "left_semi").unionByName(
-        rest.join(sets.select("node"), "node", "left_anti")), "sets")
     known = compare(wanted, sets).select(F.col("a").alias("x"), F.col("b").alias("y"),
                                          F.col("shared").alias("base"))
-    least = least_shared(F.col("n_a") + F.col("n_b"), percent)
+    least = least_shared(size_sum, percent)
     judged = materialise(led.join(known, ["x", "y"]).withColumn(
         "sure", F.col("base") - F.col("minus_a") - F.col("minus_b") >= least).withColumn(
         "open", ~F.col("sure") & (F.col("base") + F.col("plus_a") + F.col("plus_b") >= least)),
@@ -426,18 +457,27 @@ def linked_nodes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _digests(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node`` of every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """All columns but ``text``, with ``n_shingles`` and ``node``, of every row."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             _, _, sizes, digest = shingle_sets(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes.astype(np.int64)),
-                 pa.array(digest.view(np.int64))], names=["doc_id", "n_shingles", "node"])
+                [*[batch.column(f.name) for f in kept], pa.array(sizes.astype(np.int64)),
+                 pa.array(digest.view(np.int64))],
+                names=[*[f.name for f in kept], "n_shingles", "node"])
+
+    return docs.mapInArrow(run, StructType(
+        [*kept, StructField("n_shingles", LongType()), StructField("node", LongType())]))
 
-    return docs.select("doc_id", "text") \
-        .mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
+
+def _classes(each: DataFrame, labels: DataFrame, least: Column) -> DataFrame:
+    """``node, top``: the least value in the class of each set that is not empty."""
+    per_node = each.where("n_shingles > 0").groupBy("node").agg(F.min(least).alias("least")) \
+        .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tops = per_node.groupBy("label").agg(F.min("least").alias("top"))
+    return per_node.join(tops, "label").select("node", "top")
 
 
 def similar_documents(docs: DataFrame, *, percent: int = PERCENT, id_column: str = "doc_id",
@@ -455,10 +495,28 @@ def similar_documents(docs: DataFrame, *, percent: int = PERCENT, id_column: str
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     labels = materialise(linked_nodes(rows, percent), "linked")
     each = materialise(_digests(rows), "digests")
-    least = each.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")) \
-        .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tops = least.groupBy("label").agg(F.min("least").alias("top"))
-    per_node = least.join(tops, "label").select("node", "top")
-    return each.join(per_node, "node", "left").select(
+    return each.join(_classes(each, labels, F.col("doc_id")), "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id"))
         .otherwise(F.col("top")).alias("component_id"))
+
+
+def first_of_each_class(docs: DataFrame, *, percent: int = PERCENT, id_column: str = "doc_id",
+                        text_column: str = "text") -> DataFrame:
+    """The documents with one row of each class: that with the smallest id.
+
+    Texts without words are in no class and all stay.  Of rows equal in all columns one
+    stays.
+    """
+    rows = keyed(docs)
+    narrow = rows.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), KEY)
+    labels = materialise(linked_nodes(narrow, percent), "linked")
+    each = materialise(_digests(narrow), "digests")
+    best = F.struct(F.col("doc_id"), F.col(KEY))
+    tops = _classes(each, labels, best).select(F.col("top")[KEY].alias(KEY)).distinct()
+    counts = each.groupBy(KEY).agg(F.count(F.lit(1)).alias(COPIES),
+                                   F.max("n_shingles").alias("n_shingles"))
+    kept = counts.where("n_shingles > 0").join(tops, KEY, "left_semi") \
+        .select(KEY, COPIES, F.lit(1).alias("__take"))
+    empty = counts.where("n_shingles = 0").select(KEY, COPIES, F.col(COPIES).alias("__take"))
+    return take_copies(rows, kept.unionByName(empty), "__take", "__index") \
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
