@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.llm import (
-    decontaminate, digests, line_quality, mixing, ngram_join, personal_data, secret_ledger,
-    sharding, token_counts)
+    decontaminate, digests, line_quality, mixing, ngram_join, personal_data,
+    quote_threads, secret_ledger, sharding, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,6 +123,40 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "row_number", "position")
 
 
+_OWN = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH RECURSIVE once AS (
+    SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL),
+m AS (SELECT conv_id, turn, {_OWN} AS own, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS reply
+    FROM once),
+said AS (SELECT conv_id, own, min(turn) AS original FROM m WHERE own <> '' GROUP BY ALL),
+asked AS (SELECT a.conv_id, a.turn, k.level, b.own FROM m AS a
+    CROSS JOIN (VALUES (1), (2)) AS k(level)
+    JOIN m AS b ON b.conv_id = a.conv_id AND b.turn = a.turn - k.level WHERE b.own <> ''),
+found AS (SELECT conv_id, turn, min(level) AS matched, min_by(original, level) AS parent
+    FROM asked JOIN said USING (conv_id, own) WHERE original < turn GROUP BY ALL),
+levels AS (SELECT conv_id, turn, CAST(count(*) AS INTEGER) AS n_levels FROM asked GROUP BY ALL),
+tree AS (SELECT conv_id, turn, turn AS root, 0 AS depth FROM m LEFT JOIN found USING (conv_id, turn)
+    WHERE parent IS NULL
+    UNION ALL SELECT f.conv_id, f.turn, t.root, t.depth + 1 FROM tree AS t
+    JOIN found AS f ON f.conv_id = t.conv_id AND f.parent = t.turn)
+SELECT conv_id, turn, root, depth, parent, CAST(matched AS INTEGER) AS matched,
+    coalesce(n_levels, 0) AS n_levels, sha256(reply) AS reply_sha256
+FROM m JOIN tree USING (conv_id, turn) LEFT JOIN found USING (conv_id, turn)
+LEFT JOIN levels USING (conv_id, turn)""")
+def op9_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which message each message answers, found by what it quotes.
+
+    The table has no quotes, so its turns are first written as mail that quotes the two
+    turns before.
+    """
+    mail = quote_threads.as_mail(_table(spark, sf_dir, "conversations"))
+    return quote_threads.threads(mail).select(
+        F.col("scope").alias("conv_id"), F.col("place").alias("turn"), "root", "depth", "parent",
+        "matched", "n_levels", F.sha2("reply", 256).alias("reply_sha256"))
+
+
 @query()
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies of each document."""
