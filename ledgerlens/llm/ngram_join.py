@@ -10,7 +10,9 @@ decided, where possible, by what their leaders share.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ SLOT_BYTES = 8 << 20  # text whose shingles one step holds in memory
 MOST_SLOTS = 1 << 16
 FREQUENT = 32  # documents that make a shingle frequent
 MOST_FREQUENT = 1 << 20  # frequent shingles that are told apart; at 5 bytes each
+SLICE_BYTES = 1 << 20  # text that is cut into shingles at once
 MOST_BITS = 1 << 27  # of the filter for sets that are still needed
 LEADERS = 8  # sets of each block of a list that the others are first compared with
 MARKS = 8  # words of 64 bits that mark a set
@@ -104,10 +107,10 @@ def frequent_shingles(docs: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarr
     """
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for last, batch_texts in _with_last(slices(batches, "text")):
+        for last, batch_texts in _with_last(slices(batches, "text", SLICE_BYTES)):
             held.append((shingle_sets(batch_texts)[1] >> np.uint64(32)).astype(np.uint32))
             size += len(held[-1])
-            if last or size > 1 << 23:
+            if last or size > 1 << 21:
                 value, count = np.unique(np.concatenate(held), return_counts=True)
                 cuts = np.searchsorted(_slot(value.astype(np.uint64) << np.uint64(32), slots),
                                        np.arange(slots + 1))
@@ -171,7 +174,7 @@ def index_lists(docs: DataFrame, slots: int, percent: int = PERCENT) -> DataFram
         seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
-        for last, texts in _with_last(slices(batches, "text")):
+        for last, texts in _with_last(slices(batches, "text", SLICE_BYTES)):
             owner, h, sizes, digest = shingle_sets(texts)
             new = np.array([d not in seen and not seen.add(d) for d in digest.tolist()], bool)
             if len(seen) > 1 << 20:
@@ -191,7 +194,7 @@ def index_lists(docs: DataFrame, slots: int, percent: int = PERCENT) -> DataFram
             held.append((h[early], digest[owner[early]], n[early].astype(np.uint32),
                          pos[early].astype(np.uint32)))
             size += int(early.sum())
-            if last or size > 1 << 21:
+            if last or size > 1 << 19:
                 columns = [np.concatenate(c) for c in zip(*held)]
                 slot = _slot(columns[0], slots)
                 order = np.argsort(slot, kind="stable")
@@ -263,14 +266,14 @@ def unlike(one: str, other: str) -> Column:
                F.lit(0))
 
 
-def needed_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, items`` and marks of the given nodes, and of some others.
+def needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, items`` of the sets in ``wanted`` (``node, crc``), and of a few others.
 
-    A bit table of bounded size tells which sets are needed; those it stops are not moved.
+    A bit table of bounded size tells by the checksum of a text whether its set is needed;
+    the others are neither cut into shingles nor moved.
     """
-    count = nodes.count()
-    bits = min(MOST_BITS, 1 << max(10, (16 * count).bit_length()))
-    words = nodes.select(F.pmod("node", F.lit(bits)).alias("b")) \
+    bits = min(MOST_BITS, 1 << max(10, (64 * wanted.count()).bit_length()))
+    words = wanted.select(F.pmod("crc", F.lit(bits)).alias("b")) \
         .select(F.floor(F.col("b") / 64).cast("long").alias("w"),
                 F.expr("shiftleft(1L, cast(b % 64 as int))").alias("bit")) \
         .groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -281,28 +284,26 @@ def needed_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = held.value
         seen: set[int] = set()
-        for _, texts in slices(batches, "text"):
-            owner, h, sizes, digest = shingle_sets(texts)
-            place = digest & np.uint64(64 * len(mask) - 1)
-            wanted = (mask[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
+        for _, texts in slices(batches, "text", SLICE_BYTES):
+            place = np.array([zlib.crc32(t) for t in texts], np.uint64) \
+                & np.uint64(64 * len(mask) - 1)
+            hit = (mask[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
+            texts = [texts[i] for i in np.flatnonzero(hit).tolist()]
+            if not texts:
+                continue
+            _, h, sizes, digest = shingle_sets(texts)
             edge = np.concatenate([[0], np.cumsum(sizes)])
-            kept = [i for i in np.flatnonzero((wanted > 0) & (sizes > 0)).tolist()
+            kept = [i for i in np.flatnonzero(sizes > 0).tolist()
                     if digest[i] not in seen and not seen.add(digest[i])]
-            if len(seen) > 1 << 20:
+            if len(seen) > 1 << 18:
                 seen.clear()
-            if kept:
-                place = np.full(len(sizes), -1)
-                place[kept] = np.arange(len(kept))
-                of = place[owner] >= 0
-                marks = _marks(place[owner[of]], h[of], len(kept))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest[kept].view(np.int64)),
-                     pa.array([h[edge[i]:edge[i + 1]].tobytes() for i in kept], pa.binary()),
-                     *[pa.array(np.ascontiguousarray(m)) for m in marks.T]],
-                    names=["node", "items", *MARK_NAMES])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digest[kept].view(np.int64)),
+                 pa.array([h[edge[i]:edge[i + 1]].tobytes() for i in kept], pa.binary())],
+                names=["node", "items"])
 
-    schema = "node long, items binary, " + ", ".join(f"{m} long" for m in MARK_NAMES)
-    return docs.select("text").mapInArrow(run, schema).dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(run, "node long, items binary") \
+        .dropDuplicates(["node"])
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -372,19 +373,29 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def linked_nodes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def linked_nodes(docs: DataFrame, each: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node, label`` of every set that is linked with a different one.
 
-    ``docs`` has a column ``text``.  Sets with equal labels are connected by links.
+    ``docs`` has a column ``text``; ``each`` are its ``digests``.  Sets with equal labels are
+    connected by links.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(MOST_SLOTS, max(1, -(-size // SLOT_BYTES)))
     lists = materialise(index_lists(docs, slots, percent), "lists")
 
-    sets = materialise(needed_sets(docs, lists.select("node").distinct()), "sets")
-    marks = sets.select("node", *MARK_NAMES)
+    nodes = materialise(
+        each.groupBy("node", *MARK_NAMES).agg(F.min("crc").alias("crc"))
+        .join(lists.select("node").distinct(), "node", "left_semi"), "nodes")
+    marks = nodes.select("node", *MARK_NAMES)
     entries = lists.join(marks, "node")
 
+    def whole_sets(pairs: DataFrame, *ends: str) -> DataFrame:
+        """The sets that stand in the pairs."""
+        wanted = reduce(DataFrame.unionByName,
+                        [pairs.select(F.col(e).alias("node")) for e in ends]).distinct()
+        return materialise(needed_sets(docs, materialise(
+            nodes.select("node", "crc").join(wanted, "node", "left_semi"), "wanted")), "sets")
+
     def side(df: DataFrame, end: str, *columns: str) -> DataFrame:
         return df.select("token", "band", *[F.col(c).alias(c + end) for c in (
             "node", "n", "pos", *columns, *MARK_NAMES)])
@@ -402,7 +413,7 @@ def linked_nodes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .groupBy(F.col("node_a").alias("a")).agg(F.min(F.struct(
             (unlike("_a", "_b") / size_sum).alias("far"), F.col("node_b").alias("b"))).alias("m"))
         .select("a", "m.b"), "first")
-    home = materialise(compare(first, sets).where(enough).select(
+    home = materialise(compare(first, whole_sets(first, "a", "b")).where(enough).select(
         F.col("a").alias("node"), F.col("b").alias("leader"),
         (F.col("n_a") - F.col("shared")).alias("plus"),
         (F.col("n_b") - F.col("shared")).alias("minus")), "home")
@@ -436,6 +447,7 @@ def linked_nodes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     led = materialise(led.withColumn("x", F.least("leader_a", "leader_b"))
                       .withColumn("y", F.greatest("leader_a", "leader_b")), "led")
     wanted = led.select("x", "y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+    sets = whole_sets(led, "a", "b", "x", "y")
     known = compare(wanted, sets).select(F.col("a").alias("x"), F.col("b").alias("y"),
                                          F.col("shared").alias("base"))
     least = least_shared(size_sum, percent)
@@ -443,7 +455,8 @@ def linked_nodes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "sure", F.col("base") - F.col("minus_a") - F.col("minus_b") >= least).withColumn(
         "open", ~F.col("sure") & (F.col("base") + F.col("plus_a") + F.col("plus_b") >= least)),
         "judged")
-    compared = compare(judged.where("open").select("a", "b"), sets).where(enough).select("a", "b")
+    compared = materialise(compare(judged.where("open").select("a", "b"), sets).where(enough)
+                           .select("a", "b"), "compared")
     found = judged.where("sure").unionByName(
         judged.join(compared, ["a", "b"], "left_semi")).select(
         F.col("label_a").alias("a"), F.col("label_b").alias("b"))
@@ -456,20 +469,23 @@ def linked_nodes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return members.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
 
 
-def _digests(docs: DataFrame) -> DataFrame:
-    """All columns but ``text``, with ``n_shingles`` and ``node``, of every row."""
+def digests(docs: DataFrame) -> DataFrame:
+    """All columns but ``text``, with ``n_shingles, node, crc`` and marks, of every row."""
     kept = [f for f in docs.schema.fields if f.name != "text"]
+    names = ["n_shingles", "node", "crc", *MARK_NAMES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text"):
-            _, _, sizes, digest = shingle_sets(texts)
+        for batch, texts in slices(batches, "text", SLICE_BYTES):
+            owner, h, sizes, digest = shingle_sets(texts)
+            marks = _marks(owner, h, len(texts))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(f.name) for f in kept], pa.array(sizes.astype(np.int64)),
-                 pa.array(digest.view(np.int64))],
-                names=[*[f.name for f in kept], "n_shingles", "node"])
+                 pa.array(digest.view(np.int64)),
+                 pa.array(np.array([zlib.crc32(t) for t in texts], np.int64)),
+                 *[pa.array(np.ascontiguousarray(m)) for m in marks.T]],
+                names=[*[f.name for f in kept], *names])
 
-    return docs.mapInArrow(run, StructType(
-        [*kept, StructField("n_shingles", LongType()), StructField("node", LongType())]))
+    return docs.mapInArrow(run, StructType([*kept, *[StructField(n, LongType()) for n in names]]))
 
 
 def _classes(each: DataFrame, labels: DataFrame, least: Column) -> DataFrame:
@@ -493,8 +509,8 @@ def similar_documents(docs: DataFrame, *, percent: int = PERCENT, id_column: str
     ignored.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    labels = materialise(linked_nodes(rows, percent), "linked")
-    each = materialise(_digests(rows), "digests")
+    each = materialise(digests(rows), "digests")
+    labels = materialise(linked_nodes(rows, each, percent), "linked")
     return each.join(_classes(each, labels, F.col("doc_id")), "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id"))
         .otherwise(F.col("top")).alias("component_id"))
@@ -509,8 +525,8 @@ def first_of_each_class(docs: DataFrame, *, percent: int = PERCENT, id_column: s
     """
     rows = keyed(docs)
     narrow = rows.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), KEY)
-    labels = materialise(linked_nodes(narrow, percent), "linked")
-    each = materialise(_digests(narrow), "digests")
+    each = materialise(digests(narrow), "digests")
+    labels = materialise(linked_nodes(narrow, each, percent), "linked")
     best = F.struct(F.col("doc_id"), F.col(KEY))
     tops = _classes(each, labels, best).select(F.col("top")[KEY].alias(KEY)).distinct()
     counts = each.groupBy(KEY).agg(F.count(F.lit(1)).alias(COPIES),
