@@ -20,8 +20,8 @@ MARK = 0xFF  # between documents; never part of UTF-8
 SPACE = 0x20
 
 RESULTS = ("n_words", "n_hit", "items", "contaminated")
-STATE = StructType([StructField("n_words", LongType()), StructField("n_hit", LongType()),
-                    StructField("items", ArrayType(StringType())),
+STATE = StructType([StructField("__n_words", LongType()), StructField("__n_hit", LongType()),
+                    StructField("__items", ArrayType(StringType())),
                     StructField("__hit", BinaryType())])
 
 
@@ -172,7 +172,7 @@ def _searcher(items: list[tuple[str, str | None]], width: int
             lists: dict[int, set[str]] = {}
             for d, k in set(zip(doc.tolist(), which.tolist())):
                 lists.setdefault(d, set()).update(names[i] for i in holders[strings[k]])
-            old_hit, old_items = (batch.column(c).to_pylist() for c in ("__hit", "items"))
+            old_hit, old_items = (batch.column(c).to_pylist() for c in ("__hit", "__items"))
             new_hit, new_items, n_hit = [], [], []
             for d in range(len(texts)):
                 mask = hit[first[d]:first[d] + counts[d]] if d in lists else None
@@ -183,9 +183,9 @@ def _searcher(items: list[tuple[str, str | None]], width: int
                 n_hit.append(0 if mask is None else int(mask.sum()))
                 new_hit.append(None if mask is None else np.packbits(mask).tobytes())
                 new_items.append(sorted(lists.get(d, set()).union(old_items[d] or ())))
-            new = {"n_words": pa.array(counts, pa.int64()),
-                   "n_hit": pa.array(n_hit, pa.int64()),
-                   "items": pa.array(new_items, pa.list_(pa.string())),
+            new = {"__n_words": pa.array(counts, pa.int64()),
+                   "__n_hit": pa.array(n_hit, pa.int64()),
+                   "__items": pa.array(new_items, pa.list_(pa.string())),
                    "__hit": pa.array(new_hit, pa.binary())}
             yield pa.RecordBatch.from_arrays(
                 [new.get(name, batch.column(name)) for name in batch.schema.names],
@@ -194,26 +194,15 @@ def _searcher(items: list[tuple[str, str | None]], width: int
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW,
-                   portion_bytes: int = PORTION_BYTES, text_column: str = "text",
-                   item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents with ``n_words, n_hit, items, contaminated``.
-
-    ``items`` are the ids, as sorted strings, of the benchmark items with an occurring
-    window.  The benchmark is searched in portions of bounded text; each portion is read to
-    the driver, broadcast, and searched in the same pass over the documents, so documents
-    are neither shuffled nor read again.  Hit words of all portions are joined.  A null
-    text has no words; an item without words hits nothing; an item without id counts under
-    the empty id; items that share an id count once.  An existing column of a result's
-    name is replaced.
-    """
+def _searched(docs: DataFrame, benchmark: DataFrame, width: int, portion_bytes: int,
+              text_column: str, item_column: str, item_text: str) -> DataFrame:
+    """The documents with the columns of ``STATE`` and ``__dirty``."""
     total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     portions = max(1, -(-total // portion_bytes))
     ids = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("i"),
                            F.col(item_text).alias("t"))
-    fields = [f for f in docs.schema.fields if f.name not in RESULTS]
-    schema = StructType([*fields, *STATE.fields])
-    state = docs.select(*[F.col(f"`{f.name}`") for f in fields],
+    schema = StructType([*docs.schema.fields, *STATE.fields])
+    state = docs.select(*[F.col(f"`{c}`") for c in docs.columns],
                         *[F.lit(None).cast(f.dataType).alias(f.name) for f in STATE.fields])
     for k in range(portions):
         part = ids.where(F.pmod(F.xxhash64("i", "t"), F.lit(portions)) == k)
@@ -223,11 +212,32 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW
             return _searcher(held.value, width)(batches, text_column)
 
         state = state.mapInArrow(run, schema)
-    dirty = (F.col("n_hit") > 0) & (F.col("n_hit") * DIRTY >= F.col("n_words"))
-    return state.drop("__hit").withColumn("contaminated", dirty)
+    hit = F.col("__n_hit")
+    return state.withColumn("__dirty", (hit > 0) & (hit * DIRTY >= F.col("__n_words")))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without the contaminated ones."""
-    return benchmark_hits(docs, benchmark, **options).where("not contaminated") \
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW,
+                   portion_bytes: int = PORTION_BYTES, text_column: str = "text",
+                   item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents with ``n_words, n_hit, items, contaminated``.
+
+    ``items`` are the ids, as sorted strings, of the benchmark items with an occurring
+    window.  The benchmark is searched in portions of bounded text; each portion is read to
+    the driver, broadcast, and searched in the same pass over the documents, so documents
+    are neither shuffled nor read again.  Hit words of all portions are joined.  A null
+    text has no words; an item without words hits nothing; an item without id counts under
+    the empty id; items that share an id count once.  An existing column of a result's
+    name is replaced.
+    """
+    found = _searched(docs, benchmark, width, portion_bytes, text_column, item_column, item_text)
+    names = dict(zip(RESULTS, ("__n_words", "__n_hit", "__items", "__dirty")))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names],
+                        *[F.col(c).alias(name) for name, c in names.items()])
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW,
+                    portion_bytes: int = PORTION_BYTES, text_column: str = "text",
+                    item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without the contaminated ones, all columns as they were."""
+    found = _searched(docs, benchmark, width, portion_bytes, text_column, item_column, item_text)
+    return found.where("not __dirty").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,6 +27,10 @@ _EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 _EMAIL_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 
 
+# A number in blanks alone needs a leading 0 or groups of 3, 3 and 4 to be a phone.
+_PHONE_FORM = re.compile(r"[().-]|^\+[0-9]+ |^0[0-9]+ |^[0-9]{3} [0-9]{3} [0-9]{4}$")
+
+
 def luhn(digits: str) -> bool:
     """Whether the last digit is the check digit of the others."""
     total = 0
@@ -244,7 +248,7 @@ def _certain(kind: str, text: str) -> bool:
     if kind == "card":
         return _is_card(text) and set(text) <= set("0123456789 -")
     return 10 <= len(digits) <= 15 and set(text) <= set("0123456789 ().+-") \
-        and not _is_card(text) and re.search(r"[ ().-]", text) is not None
+        and not _is_card(text) and _PHONE_FORM.search(text) is not None
 
 
 def tagged_spans(texts: list[bytes], tagger: Tagger) -> dict[int, list[tuple[str, int, int]]]:
