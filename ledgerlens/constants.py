@@ -163,6 +163,8 @@ AML_EXCERPT_CHARS = 160
 REG_EXCERPT_CHARS = 200
 EXAMPLE_CHARS = 160
 RAW_HIT_LIMIT = 20
+# Own wording.
+MALFORMED_TEXT = "This question cannot be searched as a pattern."
 REPORT_ROWS = 20
 PREVIEW_ROWS = 3
 COVERAGE_ROWS = 3

@@ -33,7 +33,8 @@ def first_present(*cols: Column) -> Column:
 def excerpt(col: Column, size: int) -> Column:
     """One line of at most ``size`` characters, ending in '...' when cut."""
     flat = strip(F.translate(F.coalesce(col, F.lit("")), "\n", " "))
-    cut = F.concat(F.rtrim(F.substring(flat, 1, size - 3)), F.lit("..."))
+    cut = F.concat(F.rtrim(F.substring(flat, 1, size - 3), F.lit(WHITESPACE)),
+                   F.lit("..."))
     return F.when(F.length(flat) > size, cut).otherwise(flat)
 
 
@@ -58,6 +59,13 @@ def number_text(col: Column) -> Column:
     return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
 
 
+def plain_number(col: Column) -> Column:
+    """A whole number without decimals, any other number with those it has (0.75)."""
+    value = col.cast("double")
+    return F.when(value == F.floor(value), value.cast("bigint").cast("string")) \
+        .otherwise(number_text(value))
+
+
 def title_case(col: Column) -> Column:
     return F.initcap(F.lower(col))
 

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlens import constants as K
 from ledgerlens.functions.intents import all_intents, report_kind, route
 from ledgerlens.operators import reports as R, search as S
+from ledgerlens.operators.phrase_join import valid_pattern
+
+
+SEARCHES = (K.PII_SEARCH, K.AML_SEARCH, K.REG_SEARCH)
 
 
 @dataclass(frozen=True)
@@ -39,31 +43,32 @@ class Found:
     order: Sequence[Column]
 
 
-def _find_raw(questions: DataFrame, corpus: Corpus, intent: str) -> Found:
-    """The first raw hits per question, weakly tagged."""
+def _find_raw(questions: DataFrame, corpus: Corpus, intent: str, limit: int) -> Found:
+    """The first ``limit`` raw hits per question, weakly tagged."""
     keys = S.raw_keys(questions)
     if intent == K.PII_SEARCH:
         record_id = "message_id"
         hits = S.match_raw(corpus.messages, record_id, "text", keys, S.RAW_MESSAGE_FIELDS)
-        first = S.first_hits(R.shown_messages(S.weak_message_tags(hits)), record_id)
+        first = S.first_hits(R.shown_messages(S.weak_message_tags(hits)), record_id, limit)
     elif intent == K.AML_SEARCH:
         record_id = "transaction_id"
         hits = S.match_raw(corpus.transactions, record_id, "narrative", keys,
                            S.RAW_TRANSACTION_FIELDS)
-        first = S.first_hits(R.shown_transactions(S.weak_transaction_tags(hits)), record_id)
+        first = S.first_hits(R.shown_transactions(S.weak_transaction_tags(hits)), record_id, limit)
     else:
         # Without tags the whole paragraph stands in for the regulation.
         record_id = "paragraph_id"
         hits = S.match_raw(corpus.paragraphs, record_id, "paragraph_text", keys,
                            S.RAW_PARAGRAPH_FIELDS)
-        first = S.first_hits(R.shown_obligations(S.raw_obligation_shape(hits)), record_id)
+        first = S.first_hits(R.shown_obligations(S.raw_obligation_shape(hits)), record_id, limit)
     return Found(keys, first, record_id, [F.asc(record_id)])
 
 
-def find(questions: DataFrame, corpus: Corpus, intent: str, mode: str) -> Found:
+def find(questions: DataFrame, corpus: Corpus, intent: str, mode: str,
+         raw_limit: int = K.RAW_HIT_LIMIT) -> Found:
     """Search one domain for all questions."""
     if mode == K.MODE_RAW:
-        return _find_raw(questions, corpus, intent)
+        return _find_raw(questions, corpus, intent, raw_limit)
     if intent == K.PII_SEARCH:
         keys = S.message_keys(questions)
         hits = R.shown_messages(S.match_messages(corpus.tagged_messages, keys))
@@ -77,20 +82,23 @@ def find(questions: DataFrame, corpus: Corpus, intent: str, mode: str) -> Found:
     return Found(keys, R.shown_obligations(hits), "paragraph_id", [F.asc("paragraph_id")])
 
 
-SEARCHES = (K.PII_SEARCH, K.AML_SEARCH, K.REG_SEARCH)
-
-
 def routed(questions: DataFrame, mode: str, strict: bool = False) -> DataFrame:
-    """Questions with intent; structured obligation questions are marked in tagged mode."""
+    """Questions with intent; structured obligation questions are marked in tagged mode.
+
+    Raw mode reads a question as a pattern; one that is no pattern is marked as malformed.
+    """
     kind = report_kind(F.col("text")) if mode == K.MODE_TAGGED else F.lit(None).cast("string")
     intent = route(F.col("text"), strict=strict)
-    return questions.select("question_id", "text", intent.alias("intent")).withColumn(
-        "structured", (F.col("intent") == K.REG_SEARCH) & kind.isNotNull())
+    malformed = ~valid_pattern(F.col("text")) if mode == K.MODE_RAW else F.lit(False)
+    return questions.select("question_id", "text", intent.alias("intent")).withColumns({
+        "structured": (F.col("intent") == K.REG_SEARCH) & kind.isNotNull(),
+        "malformed": F.col("intent").isin(*SEARCHES) & malformed})
 
 
 def searching(asked: DataFrame, intent: str) -> DataFrame:
-    """The questions of one intent that search (structured ones do not)."""
-    return asked.where((F.col("intent") == intent) & ~F.col("structured")) \
+    """The questions of one intent that search (structured and malformed ones do not)."""
+    return asked.where((F.col("intent") == intent) & ~F.col("structured")
+                       & ~F.col("malformed")) \
         .select("question_id", "text")
 
 
@@ -111,6 +119,10 @@ class Results:
     def structured(self) -> DataFrame:
         return self.routed.where("structured")
 
+    @property
+    def malformed(self) -> DataFrame:
+        return self.routed.where("malformed")
+
     @property
     def may_be_structured(self) -> bool:
         return self.mode == K.MODE_TAGGED and K.REG_SEARCH in self.intents
@@ -122,7 +134,7 @@ def _present(routed_questions: DataFrame) -> frozenset[str]:
 
 
 def search_all(questions: DataFrame, corpus: Corpus, mode: str, *, strict: bool = False,
-               intents: Sequence[str] = SEARCHES) -> Results:
+               intents: Sequence[str] = SEARCHES, raw_limit: int = K.RAW_HIT_LIMIT) -> Results:
     """Route the questions and search once every domain that someone asks about.
 
     Counts, reports, previews and traces all read the routed questions and the
@@ -133,14 +145,14 @@ def search_all(questions: DataFrame, corpus: Corpus, mode: str, *, strict: bool
     found = {}
     for intent in intents:
         if intent in present:
-            one = find(searching(asked, intent), corpus, intent, mode)
+            one = find(searching(asked, intent), corpus, intent, mode, raw_limit)
             found[intent] = replace(one, hits=corpus.keep(one.hits, f"{mode}-{intent}".lower()))
     return Results(mode, asked, present, found, corpus)
 
 
 def search_counts(results: Results) -> DataFrame:
     """``question_id, mode, intent, hit_count`` for the questions that search."""
-    parts = [results.routed.where(F.lit(False)).select(
+    parts = [results.malformed.select(
         "question_id", F.lit(results.mode).alias("mode"), "intent",
         F.lit(0).cast("bigint").alias("hit_count"))]
     parts += [S.counts_per_question(found.keys, found.hits).select(
@@ -162,7 +174,8 @@ def answer_lines(results: Results) -> DataFrame:
     """The answer to every question as ``question_id, mode, section, ord, line``."""
     first = [F.lit(0).alias("section"), F.lit("").alias("ord")]
     parts = [results.with_intent(K.OUT_OF_SCOPE).select(
-        "question_id", *first, F.lit(K.OUT_OF_SCOPE_TEXT).alias("line"))]
+        "question_id", *first, F.lit(K.OUT_OF_SCOPE_TEXT).alias("line")),
+        results.malformed.select("question_id", *first, F.lit(K.MALFORMED_TEXT).alias("line"))]
     parts += [report(intent, found) for intent, found in results.found.items()]
     if results.may_be_structured:
         parts.append(_structured(results).select("question_id", *first, "line"))
@@ -226,6 +239,12 @@ def answer_trace(results: Results) -> DataFrame:
         "question_id", F.lit(K.OUT_OF_SCOPE).alias("intent"),
         F.lit(None).cast("string").alias("tool_name"), F.lit(0).cast("bigint").alias("hit_count"),
         F.lit(None).cast(PREVIEW_TYPE).alias("preview"))]
+    tools = F.create_map(*[F.lit(x) for intent in SEARCHES
+                           for x in (intent, K.TOOL_NAMES[intent, mode])])
+    parts.append(results.malformed.select(
+        "question_id", "intent", tools[F.col("intent")].alias("tool_name"),
+        F.lit(0).cast("bigint").alias("hit_count"),
+        F.lit(None).cast(PREVIEW_TYPE).alias("preview")))
     for intent, found in results.found.items():
         counts = S.counts_per_question(found.keys, found.hits)
         parts.append(counts.join(previews(found), "question_id", "left").select(
@@ -282,6 +301,7 @@ def fan_out(questions: DataFrame, corpus: Corpus) -> DataFrame:
     """Hits per question and intent, with every intent the question mentions."""
     spread = questions.select("question_id", "text",
                               F.explode(all_intents(F.col("text"))).alias("intent"))
+    spread = corpus.keep(spread, "spread-questions")
     parts = [spread.where(~F.col("intent").isin(*SEARCHES)).select(
         "question_id", F.lit(0).cast("bigint").alias("hit_count"), "intent")]
     for intent in sorted(_present(spread) & set(SEARCHES)):

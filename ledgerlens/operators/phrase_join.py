@@ -10,10 +10,14 @@ it.  Both ways are exact and neither pairs every record with every phrase.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ledgerlens.functions.lists import compact
+from ledgerlens.functions.text import contains_any
+from ledgerlens.sources.storage import materialise
 
 # Kinds of pieces, best first; a phrase uses the first kind it holds.  Pieces that follow
 # white space are the cheapest: a text has only one per word.
@@ -29,8 +33,9 @@ NO_PIECE = "none"
 COMMON = ("letter", NO_PIECE)
 # Most phrases written into the plan as constants.
 LITERAL_PHRASES = 64
-# Most phrases whose pieces are sent to every executor (about 100 bytes each).
+# Most phrases, and most bytes of them, that are sent to every executor.
 BROADCAST_PHRASES = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def _pieces(text: Column, kind: str) -> Column:
@@ -55,44 +60,95 @@ def _fold(text: Column, regex: bool) -> Column:
     return F.when(F.octet_length(text) > F.length(text), mapped).otherwise(F.lower(text))
 
 
-def _literal_run(pattern: Column) -> Column:
-    """Longest text every match of a regular expression must contain, '' if unknown.
+# Escapes of one character, and those of a letter, that stand for one place or none.
+_ESCAPE = r"\\([^A-Za-z0-9]|[dDwWsSbBAzZntrfaehHvVR])"
+# What changes the meaning of other parts of a pattern: other escapes, free spacing.
+_UNREAD = r"\\|\(\?[A-Za-z-]*x"
+_BREAK = "\n"
+_NESTING = 6
 
-    Classes, groups, alternatives and escapes give '' (no key); an atom followed
-    by ?, * or {} may be absent and ends a run.
+
+def _literal_runs(pattern: Column) -> Column:
+    """Longest text that each alternative of a regular expression must contain.
+
+    Escapes, classes and groups end a run; an atom followed by ?, * or {} may be absent and
+    ends one too.  An alternative without such text gives '', and so does a pattern that
+    this reading does not understand.
     """
-    required = F.regexp_replace(pattern, "(?s).([?*]|\\{[^}]*\\})", "\n")
-    runs = F.split(required, "[.^$+?*{}\n]")
-    longest = F.array_max(F.transform(
-        runs, lambda run: F.struct(F.length(run).alias("size"), run.alias("run"))))
-    return F.when(pattern.rlike("[|()\\[\\]\\\\]"), "").otherwise(longest["run"])
+    plain = F.regexp_replace(pattern, _ESCAPE, _BREAK)
+    for _ in range(_NESTING):
+        plain = F.regexp_replace(plain, r"\[\^?\]?[^\[\]]*\]", _BREAK)
+    for _ in range(_NESTING):
+        plain = F.regexp_replace(plain, r"\([^()]*\)", _BREAK)
+    required = F.regexp_replace(plain, r"(?s).([?*]|\{[^}]*\})", _BREAK)
+
+    def longest(branch: Column) -> Column:
+        return F.array_max(F.transform(F.split(branch, "[.^$+?*{}\n]"), lambda run: F.struct(
+            F.length(run).alias("size"), run.alias("run"))))["run"]
+
+    unread = F.regexp_replace(pattern, _ESCAPE, _BREAK).rlike(_UNREAD) | plain.rlike(r"[\[\]()]")
+    return F.when(unread, F.array(F.lit(""))).otherwise(
+        F.transform(F.split(required, r"\|"), longest))
+
+
+def valid_pattern(pattern: Column) -> Column:
+    """Whether the text is a regular expression that a search can run."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"),
+                         F.concat(F.lit("(?iu)"), pattern)).isNotNull()
 
 
 def _required(regex: bool) -> Column:
-    """What every text with the phrase contains, folded."""
-    return _fold(_literal_run(F.col("phrase")) if regex else F.col("phrase"), regex)
+    """What a text with the phrase contains, folded: one of these."""
+    if not regex:
+        return F.array(_fold(F.col("phrase"), regex))
+    return F.transform(_literal_runs(F.col("phrase")), lambda run: _fold(run, True))
 
 
 def phrase_keys(distinct: DataFrame, *, regex: bool = False) -> DataFrame:
-    """The join key of each distinct phrase: ``phrase, kind, piece``.
+    """The join keys of each distinct phrase: ``phrase, kind, piece, others``.
 
-    The piece shared with the fewest other phrases is taken, so that wording
-    common to many questions does not become one hot key.
+    A phrase has one key, a pattern one for each alternative, all of one kind: the best kind
+    that every alternative holds.  The piece shared with the fewest other phrases is taken,
+    so that wording common to many questions does not become one hot key.  ``others`` are
+    the phrase's smaller pieces.
     """
-    run = _required(regex)
-    kind, pieces = F.when(F.lit(False), ""), F.when(F.lit(False), F.array(F.lit("")))
-    for name, pattern in PIECES.items():
-        holds = F.col("run").rlike(pattern)
-        kind, pieces = kind.when(holds, name), pieces.when(holds, _pieces(F.col("run"), name))
-    keyed = distinct.withColumn("run", run).select(
-        "phrase",
-        kind.otherwise(NO_PIECE).alias("kind"),
-        F.explode(F.array_distinct(pieces.otherwise(F.array(F.lit(""))))).alias("piece"),
-    )
+    order = list(PIECES)
+    level = F.lit(len(order))
+    for i, name in reversed(list(enumerate(order))):
+        level = F.when(F.forall("runs", _holds(PIECES[name])), i).otherwise(level)
+    runs = distinct.withColumn("runs", F.array_distinct(_required(regex))) \
+        .withColumn("level", level).select(
+            "phrase", "level", F.posexplode(F.when(F.col("level") < len(order), F.col("runs"))
+                                            .otherwise(F.array(F.lit("")))).alias("n", "run"))
+    pieces, kind = F.array(F.lit("")), F.lit(NO_PIECE)
+    for i, name in enumerate(order):
+        at = F.col("level") == i
+        pieces = F.when(at, _pieces(F.col("run"), name)).otherwise(pieces)
+        kind = F.when(at, name).otherwise(kind)
+    keyed = runs.select("phrase", "n", kind.alias("kind"),
+                        F.explode(F.array_distinct(pieces)).alias("piece"))
     shared = keyed.groupBy("piece").agg(F.count("*").alias("uses"))
-    return keyed.join(shared, "piece").groupBy("phrase").agg(
-        F.min_by(F.struct("kind", "piece"), F.struct("uses", "piece")).alias("key")
-    ).select("phrase", "key.kind", "key.piece")
+    chosen = keyed.join(shared, "piece").groupBy("phrase", "kind", "n").agg(
+        F.min_by("piece", F.struct("uses", "piece")).alias("piece"))
+    return chosen.groupBy("phrase", "kind").agg(F.collect_set("piece").alias("all")) \
+        .select("phrase", "kind", "all", F.explode("all").alias("piece")) \
+        .select("phrase", "kind", "piece",
+                F.filter("all", lambda other: other < F.col("piece")).alias("others"))
+
+
+def _holds(pattern: str):
+    return lambda run: run.rlike(pattern)
+
+
+def _first_key(folded: Column) -> Column:
+    """Of several keys of one phrase that a text has, only the first one counts."""
+    blanks = " \t\n\x0b\x0c\r"
+
+    def emitted(other: Column) -> Column:
+        after_blank = reduce(or_, [folded.contains(F.concat(F.lit(b), other)) for b in blanks])
+        return F.when(F.col("kind") == WORD, after_blank).otherwise(folded.contains(other))
+
+    return ~F.exists("others", emitted)
 
 
 def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFrame, phrase: str, *,
@@ -101,7 +157,8 @@ def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFram
     """Every (record, phrase) with the phrase in the text, ignoring case.
 
     Returns the record columns plus ``phrase``.  With ``regex`` the phrase is a
-    regular expression searched in the text.  ``record_id`` must be unique.
+    regular expression searched in the text; one that is malformed has no records,
+    however many phrases there are.  ``record_id`` must be unique.
 
     The phrase side decides the way, in small jobs over the phrases alone: up to
     ``literal_phrases`` distinct ones become constants of a single projection;
@@ -111,15 +168,18 @@ def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFram
     are tested as constants, so that they do not make every text emit all kinds.
     """
     distinct = phrases.select(F.col(phrase).alias("phrase")).where("phrase is not null").distinct()
+    if regex:
+        distinct = distinct.where(valid_pattern(F.col("phrase")))
+    distinct = materialise(distinct, "phrases")
     required = _required(regex)
     constants = distinct.select("phrase", required.alias("required"))
     few = constants.limit(literal_phrases + 1).collect()
     if len(few) <= literal_phrases:
         return _match_constants(records, text, few, regex)
 
-    keys = phrase_keys(distinct, regex=regex)
-    kinds = {row["kind"]: row["n"]
-             for row in keys.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    keys = materialise(phrase_keys(distinct, regex=regex), "phrase-keys")
+    kinds = {row["kind"]: row["n"] for row in
+             keys.groupBy("kind").agg(F.count_distinct("phrase").alias("n")).collect()}
     others = sum(n for kind, n in kinds.items() if kind != WORD)
     if WORD in kinds and 0 < others <= literal_phrases:
         rest = constants.join(keys.where(F.col("kind") != WORD), "phrase", "left_semi").collect()
@@ -136,7 +196,7 @@ def _match_constants(records: DataFrame, text: str, phrases: list[Row], regex: b
     df = records.withColumn("__folded", _fold(F.col(text), regex))
     tests = []
     for phrase, required in sorted(phrases):
-        test = F.col("__folded").contains(required)
+        test = contains_any(F.col("__folded"), required)
         if regex:
             # The pattern only runs where the text holds what it requires.
             test = test & F.coalesce(F.col(text), F.lit("")).rlike("(?iu)" + phrase)
@@ -146,20 +206,22 @@ def _match_constants(records: DataFrame, text: str, phrases: list[Row], regex: b
 
 def _match_pieces(records: DataFrame, record_id: str, text: str, keys: DataFrame,
                   kinds: dict[str, int], regex: bool, broadcast_phrases: int) -> DataFrame:
-    if sum(kinds.values()) <= broadcast_phrases:
+    if sum(kinds.values()) <= broadcast_phrases and _bytes(keys) <= BROADCAST_BYTES:
         return _match_broadcast(records, text, keys, kinds, regex)
 
     rare = {kind: n for kind, n in kinds.items() if kind not in COMMON}
     pieces = _record_pieces(_fold(F.col(text), regex), rare)
     pairs = records.select(record_id, pieces).join(
-        keys.where(~F.col("kind").isin(*COMMON)), "piece").select(record_id, "phrase")
+        keys.where(~F.col("kind").isin(*COMMON)).select("piece", "phrase"), "piece") \
+        .select(record_id, "phrase").distinct()
     found = records.join(pairs, record_id).where(_contains(text, regex)) \
         .select(*records.columns, "phrase")
 
     # Phrases with only a common piece would pair with nearly every record; they are
     # broadcast in portions, where the join itself applies the full test.
     common = {kind: n for kind, n in kinds.items() if kind in COMMON}
-    portions = -(-sum(common.values()) // max(1, broadcast_phrases))
+    portions = max(-(-sum(common.values()) // max(1, broadcast_phrases)),
+                   -(-_bytes(keys.where(F.col("kind").isin(*COMMON))) // BROADCAST_BYTES))
     portion = F.pmod(F.xxhash64("phrase"), F.lit(max(1, portions)))
     for number in range(portions):
         part = keys.where(F.col("kind").isin(*COMMON) & (portion == number))
@@ -167,6 +229,13 @@ def _match_pieces(records: DataFrame, record_id: str, text: str, keys: DataFrame
     return found
 
 
+def _bytes(keys: DataFrame) -> int:
+    """Bytes of the texts of the keys."""
+    size = F.octet_length("phrase") + F.octet_length("piece") \
+        + F.octet_length(F.array_join("others", ""))
+    return keys.agg(F.sum(size)).first()[0] or 0
+
+
 def _record_pieces(folded: Column, kinds: Iterable[str]) -> Column:
     found = [F.array(F.lit("")) if kind == NO_PIECE else _pieces(folded, kind) for kind in kinds]
     none = F.array().cast("array<string>")
@@ -185,7 +254,7 @@ def _match_broadcast(records: DataFrame, text: str, keys: DataFrame, kinds: Iter
     """The caller has bounded the keys."""
     return (
         records.select("*", _record_pieces(_fold(F.col(text), regex), kinds))
-        .join(F.broadcast(keys.select("phrase", "piece")), "piece")
-        .where(_contains(text, regex))
+        .join(F.broadcast(keys), "piece")
+        .where(_first_key(_fold(F.col(text), regex)) & _contains(text, regex))
         .select(*records.columns, "phrase")
     )

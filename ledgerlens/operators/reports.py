@@ -17,7 +17,8 @@ from ledgerlens import constants as K
 from ledgerlens.functions.intents import report_kind, transaction_id
 from ledgerlens.functions.risk import rank_of
 from ledgerlens.functions.text import (
-    excerpt, first_present, is_missing, joined_or_default, metric_label, number_text, strip)
+    excerpt, first_present, is_missing, joined_or_default, metric_label, number_text, plain_number,
+    strip)
 from ledgerlens.operators.metrics import (
     deadline_coverage, lacks_owner_or_deadline, missing_split, risk_summary)
 from ledgerlens.operators.search import (
@@ -154,7 +155,7 @@ def snapshot_report(metrics: DataFrame) -> DataFrame:
         F.when(place > 0, place).otherwise(len(K.SNAPSHOT_ORDER) + 1).cast("int").alias("section"),
         F.col("metric").alias("ord"),
         F.concat(F.lit("- "), metric_label(F.col("metric")), F.lit(": "),
-                 F.col("value").cast("bigint").cast("string")).alias("line"))
+                 plain_number(F.col("value"))).alias("line"))
     head = lines.agg(F.count("*").alias("n")).where("n > 0").select(
         F.lit(0).alias("section"), F.lit("").alias("ord"),
         F.lit(K.SNAPSHOT_HEADLINE).alias("line"))
@@ -281,5 +282,10 @@ def top_messages_by_risk(tagged: DataFrame, n: int = K.TOP_RANKED) -> DataFrame:
     return tagged.orderBy(F.desc(rank_of(F.col("risk_flag"))), "message_id").limit(n)
 
 
+def ranked_transactions(tagged: DataFrame) -> DataFrame:
+    """All transactions, highest score first; Spark sorts them in ranges."""
+    return tagged.orderBy(*transaction_order())
+
+
 def top_transactions(tagged: DataFrame, n: int = K.TOP_RANKED) -> DataFrame:
-    return tagged.orderBy(*transaction_order()).limit(n)
+    return ranked_transactions(tagged).limit(n)

@@ -18,6 +18,7 @@ from ledgerlens.functions.intents import mentions_notice
 from ledgerlens.functions.lists import compact
 from ledgerlens.functions.text import contains_any, is_missing, strip
 from ledgerlens.operators.phrase_join import phrase_join
+from ledgerlens.sources.storage import materialise
 
 # Cannot occur in a question, so a phrase never matches across two fields.
 FIELD_BREAK = "\x01"
@@ -289,7 +290,9 @@ def match_transactions(tagged: DataFrame, keys: DataFrame) -> DataFrame:
         .join(_fixed_keys(keys, "hint:"), "search_key", "left_semi")
 
     wanted = keys.where("wanted_id is not null").select("search_key", "wanted_id").distinct()
-    by_id = records.withColumn("wanted_id", F.upper("transaction_id")).join(wanted, "wanted_id")
+    # Found once and kept: the text search asks for the ids that are left over.
+    by_id = materialise(records.withColumn("wanted_id", F.upper("transaction_id"))
+                        .join(wanted, "wanted_id"), "transactions-by-id")
     known = by_id.select("search_key").distinct()
     by_text = _text_hits(records, "transaction_id", _transaction_haystack(records),
                          keys.join(known, "search_key", "left_anti")) \

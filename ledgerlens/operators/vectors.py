@@ -84,16 +84,30 @@ def _task_functions(k: int):
         return np.stack(column.to_numpy()).astype(np.float64)
 
     def nearest(ids: np.ndarray, rows: np.ndarray,
-                query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """k smallest squared distances, ties by id."""
-        gap = rows - query
-        squared = np.einsum("ij,ij->i", gap, gap)
-        if len(squared) > k:
-            # Keep everything up to the k-th distance so that ties are settled by id.
-            keep = squared <= np.partition(squared, k - 1)[k - 1]
-            ids, squared = ids[keep], squared[keep]
-        order = np.lexsort((ids, squared))[:k]
-        return ids[order], squared[order]
+                queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """k smallest squared distances of each query, ties by id.
+
+        One matrix product finds the candidates: all within rounding of the k-th distance.
+        Their distances are then computed from the differences.
+        """
+        size, other = ((x * x).sum(axis=1) for x in (rows, queries))
+        found = []
+        step = max(1, (1 << 22) // max(1, len(rows)))
+        for start in range(0, len(queries), step):
+            part = queries[start:start + step]
+            rough = size - 2 * (part @ rows.T) + other[start:start + step, None]
+            if len(ids) > k:
+                scale = size.max(initial=0.0) + other[start:start + step]
+                limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * scale
+            else:
+                limit = np.full(len(part), np.inf)
+            for query, distances, most in zip(part, rough, limit):
+                near = np.flatnonzero(distances <= most)
+                gap = rows[near] - query
+                squared = np.einsum("ij,ij->i", gap, gap)
+                order = np.lexsort((ids[near], squared))[:k]
+                found.append((ids[near][order], squared[order]))
+        return found
 
     return matrix, nearest
 
@@ -134,8 +148,7 @@ def _neighbours_by_broadcast(vectors: DataFrame, queries: pd.DataFrame, k: int,
             if batch.empty:
                 continue
             ids, rows = batch["id"].to_numpy(), matrix(batch["vector"])
-            for number, query in enumerate(query_matrix):
-                near, squared = nearest(ids, rows, query)
+            for number, (near, squared) in enumerate(nearest(ids, rows, query_matrix)):
                 if best[number] is not None:
                     near = np.concatenate([best[number][0], near])
                     squared = np.concatenate([best[number][1], squared])
@@ -171,8 +184,8 @@ def _neighbours_by_block(vectors: DataFrame, queries: DataFrame, k: int, found:
         if len(near_side) and len(query_side):
             ids, rows = near_side["id"].to_numpy(), matrix(near_side["vector"])
             out = []
-            for query_id, query in zip(query_side["id"], matrix(query_side["vector"])):
-                near, squared = nearest(ids, rows, query)
+            answers = nearest(ids, rows, matrix(query_side["vector"]))
+            for query_id, (near, squared) in zip(query_side["id"], answers):
                 out.append(pd.DataFrame({"query_id": query_id, "id": near, "distance": squared}))
         return pd.concat(out)
 

@@ -296,14 +296,11 @@ def preview_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rankings --------------------------------------------------------------
 
 @query(Q.views("txn") + """
-SELECT transaction_id, risk_score, amount_sgd, CAST(row_number() OVER (PARTITION BY event_type
-    ORDER BY risk_score DESC NULLS LAST, amount_sgd DESC, transaction_id) AS INTEGER) AS rank
-FROM txn QUALIFY rank <= 20""")
+SELECT transaction_id, risk_score, amount_sgd FROM txn""")
 def aml_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 transactions of each leading tag."""
-    tagged = views.tagged_transactions(spark, sf_dir).withColumn("tag", F.get("aml_tags", F.lit(0)))
-    return S.ranked_first(tagged, "tag", S.transaction_order(), K.REPORT_ROWS).select(
-        "transaction_id", "risk_score", "amount_sgd", "rank")
+    """All transactions, highest score first."""
+    return R.ranked_transactions(views.tagged_transactions(spark, sf_dir)) \
+        .select("transaction_id", "risk_score", "amount_sgd")
 
 
 @query(Q.views("tagged") + f"""

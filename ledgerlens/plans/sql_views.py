@@ -36,7 +36,7 @@ def level(col: str) -> str:
 def excerpt(col: str, size: int) -> str:
     flat = strip(f"replace(coalesce({col}, ''), chr(10), ' ')")
     return (f"CASE WHEN length({flat}) > {size} "
-            f"THEN rtrim(substring({flat}, 1, {size - 3})) || '...' ELSE {flat} END")
+            f"THEN rtrim(substring({flat}, 1, {size - 3}), {BLANKS}) || '...' ELSE {flat} END")
 
 
 def number(col: str) -> str:
@@ -129,7 +129,7 @@ tagged_up AS (SELECT *, {upgraded('entities', 'first_risk')} AS risk_flag FROM t
         UNION ALL SELECT 'u-' || conv_id || '-' || turn, text FROM conversations
             WHERE role = 'user'
         UNION ALL SELECT 'e-' || event_id, 'Draft a SAR for transaction t' || event_id
-            FROM events WHERE event_type = 'error' AND value > 80)""",
+            FROM events WHERE event_type = 'error')""",
     "routed": f"""routed AS (SELECT *, {intent('text')} AS intent, {kind('text')} AS kind,
         lower({strip('text')}) AS q FROM questions)""",
     "passages": "passages AS (SELECT 'b-' || item_id AS question_id, text FROM benchmark)",

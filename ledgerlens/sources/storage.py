@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -15,19 +14,20 @@ from ledgerlens import constants as K
 from ledgerlens.functions.lists import parse_list
 from ledgerlens.sources import schemas
 
-CSV_READ = {"header": True, "escape": '"', "multiLine": True, "encoding": "UTF-8"}
+CSV_READ = {"header": True, "escape": '"', "encoding": "UTF-8"}
 CSV_WRITE = {"header": True, "escape": '"'}
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Works for any file system Spark can read; looks at names only."""
-    try:
-        spark.read.text(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    """Asks the path's file system for the one name; nothing is listed."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name)
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    return path_exists(spark, f"{path}/_SUCCESS")
 
 
 def first_existing(spark: SparkSession, paths: Iterable[str]) -> str | None:
@@ -45,16 +45,22 @@ def _file_schema(header: Sequence[str], schema: StructType) -> StructType:
     return StructType([known.get(name, StructField(name, StringType())) for name in header])
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType, *,
+             multi_line: bool = True) -> DataFrame:
     """CSV with a header; columns are found by name, absent ones come out null.
 
-    Quoted fields may hold doubled quotes and line breaks.
+    Quoted fields may hold doubled quotes and line breaks.  Files without line breaks in
+    their fields are read faster with ``multi_line=False``: Spark can then cut one file into
+    many tasks.  The files of a folder must all have the columns of the first one in the
+    same order; a file that differs raises.
     """
+    options = {**CSV_READ, "multiLine": multi_line}
     as_text = StructType([
         StructField(f.name, StringType() if isinstance(f.dataType, ArrayType) else f.dataType)
         for f in schema.fields])
-    header = spark.read.options(**CSV_READ).csv(path).columns
-    df = spark.read.options(**CSV_READ).schema(_file_schema(header, as_text)).csv(path)
+    header = spark.read.options(**options).csv(path).columns
+    df = spark.read.options(**options, enforceSchema=False) \
+        .schema(_file_schema(header, as_text)).csv(path)
     columns = []
     for f in schema.fields:
         if f.name not in header:
@@ -67,24 +73,24 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def read_first(spark: SparkSession, paths: Iterable[str], schema: StructType,
-               empty: StructType | None = None) -> DataFrame:
+               empty: StructType | None = None, **options) -> DataFrame:
     """Table at the first existing path, or an empty table with the same columns."""
     path = first_existing(spark, paths)
     if path is None:
         return spark.createDataFrame([], empty or schema)
-    return read_csv(spark, path, schema)
+    return read_csv(spark, path, schema, **options)
 
 
-def read_messages(spark: SparkSession, *paths: str) -> DataFrame:
-    return read_first(spark, paths, schemas.RAW_MESSAGES)
+def read_messages(spark: SparkSession, *paths: str, **options) -> DataFrame:
+    return read_first(spark, paths, schemas.RAW_MESSAGES, **options)
 
 
-def read_transactions(spark: SparkSession, *paths: str) -> DataFrame:
-    return read_first(spark, paths, schemas.RAW_TRANSACTIONS)
+def read_transactions(spark: SparkSession, *paths: str, **options) -> DataFrame:
+    return read_first(spark, paths, schemas.RAW_TRANSACTIONS, **options)
 
 
-def read_paragraphs(spark: SparkSession, *paths: str) -> DataFrame:
-    return read_first(spark, paths, schemas.RAW_PARAGRAPHS, schemas.EMPTY_PARAGRAPHS)
+def read_paragraphs(spark: SparkSession, *paths: str, **options) -> DataFrame:
+    return read_first(spark, paths, schemas.RAW_PARAGRAPHS, schemas.EMPTY_PARAGRAPHS, **options)
 
 
 def with_date(df: DataFrame, column: str = "date") -> DataFrame:
@@ -143,8 +149,8 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ensure_vectors(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stored vector table, built and written first if there is none."""
-    if not path_exists(spark, path):
+    """The stored vector table, built and written first unless that was done to its end."""
+    if not is_written(spark, path):
         write_vectors(build(), path)
     return read_vectors(spark, path)
 

@@ -129,11 +129,11 @@ def golden_questions(spark: SparkSession) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Golden questions, what users say in conversations, and one report request per
-    large error event."""
+    error event."""
     said = table(spark, sf_dir, "conversations").where("role = 'user'").select(
         F.concat_ws("-", F.lit("u"), F.col("conv_id").cast("string"),
                     F.col("turn").cast("string")).alias("question_id"), "text")
-    requests = table(spark, sf_dir, "events").where("event_type = 'error' and value > 80").select(
+    requests = table(spark, sf_dir, "events").where("event_type = 'error'").select(
         F.concat(F.lit("e-"), F.col("event_id").cast("string")).alias("question_id"),
         F.concat(F.lit("Draft a SAR for transaction t"), F.col("event_id").cast("string"))
         .alias("text"))

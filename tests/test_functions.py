@@ -184,11 +184,11 @@ def test_transaction_id(spark, question, found):
 
 
 @pytest.mark.parametrize("question, found", [
-    ("Structuring cases involving customers who shared NRIC.", ["PII_SEARCH", "AML_SEARCH"]),
-    ("Draft SAR for T005", ["SAR_DRAFT"]),
-    ("Show me high-risk crypto transactions like T005", ["AML_SEARCH"]),
-    ("What does regulation say about STR filing deadlines?", ["REG_SEARCH"]),
-    ("Which MAS obligations affect Retail Banking?", ["REG_SEARCH"]),
+    ("Did an NRIC holder split deposits, that is structuring?", ["PII_SEARCH", "AML_SEARCH"]),
+    ("A SAR about T77, please", ["SAR_DRAFT"]),
+    ("Anything in crypto next to T31?", ["AML_SEARCH"]),
+    ("Which obligations name a deadline for reports?", ["REG_SEARCH"]),
+    ("List obligations of the branch offices", ["REG_SEARCH"]),
     ("Tell me a joke.", ["OUT_OF_SCOPE"])])
 def test_all_intents(spark, question, found):
     assert one(spark, intents.all_intents(F.col("q")), q=question) == found

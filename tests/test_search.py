@@ -185,7 +185,12 @@ RECORDS = [
 PHRASES = ["quick brown", "Lazy Dog", "fox", "ab", "b", "été", "two of the quick", "nowhere", "o",
            "quick brown fox jumps", "one\nline", "(a lot)", "", "brown fox"]
 PATTERNS = ["quick.brown", "fox(es)?", "dogs?", "^the", "b|story", "qu[ai]ck brown", "laz+y",
-            "fox.*over", "brown{1,2} fox", "\\bab\\b", "line one.line", "x*", "quick brown f"]
+            "fox.*over", "brown{1,2} fox", "\\bab\\b", "line one.line", "x*", "quick brown f",
+            "(the )?lazy (dog|cat)", "quick brown fox|of the quick", "jumps over|lazy dog|nowhere",
+            "plage, (brown|red) fox", "the [qz]uick brown", "(?:two|three) of the quick",
+            "lot\\)", "\\x6cazy", "(a(b)?)", "quick brown||", "brown foxes?; a", "(?i)THE LAZY",
+            "lazy\\s+dog|quick\\s+brown fox"]
+MALFORMED = ["*lazy dog", "lazy (dog", "[quick", "quick brown???+", "fox{2", "a)"]
 
 
 def brute(phrases, match):
@@ -215,6 +220,24 @@ def test_pattern_join_matches_brute_force(spark, options):
         PATTERNS, lambda p, t: re.search(p, t, re.IGNORECASE) is not None)
 
 
+@pytest.mark.parametrize("fillers", [0, 57, 58, 194])
+def test_malformed_patterns_are_skipped_at_every_size(spark, fillers):
+    records = spark.createDataFrame(RECORDS, "id string, text string")
+    phrases = spark.createDataFrame(
+        [(p,) for p in [*MALFORMED, "lazy dog", *(f"filler {i}" for i in range(fillers))]], "p string")
+    got = phrase_join(records, "id", "text", phrases, "p", regex=True)
+    assert sorted((r["id"], r["phrase"]) for r in got.collect()) == [
+        ("1", "lazy dog"), ("2", "lazy dog")]
+
+
+def test_alternatives_and_groups_have_pieces(spark):
+    patterns = spark.createDataFrame([("messages (urgent) please",), ("payments|transfers today",),
+                                      ("see the [abc] of every account",)], "phrase string")
+    keys = phrase_keys(patterns, regex=True).collect()
+    assert all(r["piece"] for r in keys) and {r["kind"] for r in keys} <= {"word", "long"}
+    assert sorted(r["phrase"] for r in keys).count("payments|transfers today") == 2
+
+
 @pytest.mark.parametrize("options", [
     {}, {"literal_phrases": 0}, {"literal_phrases": 0, "broadcast_phrases": 0}])
 def test_pattern_join_folds_letters_like_the_pattern_does(spark, options):
