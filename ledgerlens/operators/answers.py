@@ -35,17 +35,43 @@ class Corpus:
 
 @dataclass(frozen=True)
 class Found:
-    """Hits of one domain as shown: which question uses which key, and the hits per key."""
+    """Hits of one domain as shown, for each distinct set of search keys.
+
+    Questions that use the same keys have the same answer.  ``keys`` names each such set
+    once, in place of a question, so counts, previews, reports and checks are computed per
+    set; ``members`` tells which question has which set, and ``spread`` gives each question
+    the result of its set.
+    """
 
     keys: DataFrame
+    members: DataFrame
     hits: DataFrame
     record_id: str
     order: Sequence[Column]
 
+    def spread(self, per_set: DataFrame) -> DataFrame:
+        """Rows per set of keys as rows per question.
+
+        Both sides are plain tables, so Spark can split a set that very many questions
+        share.
+        """
+        named = per_set.withColumnRenamed("question_id", "set_id")
+        return self.members.join(named, "set_id").select(
+            *[F.col(c) for c in per_set.columns])
+
+
+def key_sets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The keys of each distinct set, under the set's id, and ``question_id, set_id``."""
+    members = keys.groupBy("question_id").agg(F.sha2(F.array_join(
+        F.array_sort(F.collect_set("search_key")), "\x02"), 256).alias("set_id"))
+    named = keys.join(members, "question_id").drop("question_id") \
+        .withColumnRenamed("set_id", "question_id").dropDuplicates(["question_id", "search_key"])
+    return named, members
+
 
 def _find_raw(questions: DataFrame, corpus: Corpus, intent: str, limit: int) -> Found:
     """The first ``limit`` raw hits per question, weakly tagged."""
-    keys = S.raw_keys(questions)
+    keys, members = key_sets(S.raw_keys(questions))
     if intent == K.PII_SEARCH:
         record_id = "message_id"
         hits = S.match_raw(corpus.messages, record_id, "text", keys, S.RAW_MESSAGE_FIELDS)
@@ -61,7 +87,7 @@ def _find_raw(questions: DataFrame, corpus: Corpus, intent: str, limit: int) ->
         hits = S.match_raw(corpus.paragraphs, record_id, "paragraph_text", keys,
                            S.RAW_PARAGRAPH_FIELDS)
         first = S.first_hits(R.shown_obligations(S.raw_obligation_shape(hits)), record_id, limit)
-    return Found(keys, first, record_id, [F.asc(record_id)])
+    return Found(keys, members, first, record_id, [F.asc(record_id)])
 
 
 def find(questions: DataFrame, corpus: Corpus, intent: str, mode: str,
@@ -70,16 +96,16 @@ def find(questions: DataFrame, corpus: Corpus, intent: str, mode: str,
     if mode == K.MODE_RAW:
         return _find_raw(questions, corpus, intent, raw_limit)
     if intent == K.PII_SEARCH:
-        keys = S.message_keys(questions)
+        keys, members = key_sets(S.message_keys(questions))
         hits = R.shown_messages(S.match_messages(corpus.tagged_messages, keys))
-        return Found(keys, hits, "message_id", [F.asc("message_id")])
+        return Found(keys, members, hits, "message_id", [F.asc("message_id")])
     if intent == K.AML_SEARCH:
-        keys = S.transaction_keys(questions)
+        keys, members = key_sets(S.transaction_keys(questions))
         hits = R.shown_transactions(S.match_transactions(corpus.tagged_transactions, keys))
-        return Found(keys, hits, "transaction_id", S.transaction_order())
-    keys = S.obligation_keys(questions)
+        return Found(keys, members, hits, "transaction_id", S.transaction_order())
+    keys, members = key_sets(S.obligation_keys(questions))
     hits = S.match_obligations(corpus.tagged_obligations, keys, source_token=corpus.source_token)
-    return Found(keys, R.shown_obligations(hits), "paragraph_id", [F.asc("paragraph_id")])
+    return Found(keys, members, R.shown_obligations(hits), "paragraph_id", [F.asc("paragraph_id")])
 
 
 def routed(questions: DataFrame, mode: str, strict: bool = False) -> DataFrame:
@@ -146,7 +172,10 @@ def search_all(questions: DataFrame, corpus: Corpus, mode: str, *, strict: bool
     for intent in intents:
         if intent in present:
             one = find(searching(asked, intent), corpus, intent, mode, raw_limit)
-            found[intent] = replace(one, hits=corpus.keep(one.hits, f"{mode}-{intent}".lower()))
+            name = f"{mode}-{intent}".lower()
+            found[intent] = replace(one, hits=corpus.keep(one.hits, name),
+                                    keys=corpus.keep(one.keys, f"{name}-keys"),
+                                    members=corpus.keep(one.members, f"{name}-members"))
     return Results(mode, asked, present, found, corpus)
 
 
@@ -155,14 +184,14 @@ def search_counts(results: Results) -> DataFrame:
     parts = [results.malformed.select(
         "question_id", F.lit(results.mode).alias("mode"), "intent",
         F.lit(0).cast("bigint").alias("hit_count"))]
-    parts += [S.counts_per_question(found.keys, found.hits).select(
+    parts += [found.spread(S.counts_per_question(found.keys, found.hits)).select(
         "question_id", F.lit(results.mode).alias("mode"), F.lit(intent).alias("intent"),
         "hit_count") for intent, found in results.found.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
 def report(intent: str, found: Found) -> DataFrame:
-    """Report lines of one domain."""
+    """Report lines of one domain, one report for each set of keys."""
     if intent == K.PII_SEARCH:
         return R.message_report(found.keys, found.hits)
     if intent == K.AML_SEARCH:
@@ -170,21 +199,35 @@ def report(intent: str, found: Found) -> DataFrame:
     return R.obligation_report(found.keys, found.hits)
 
 
-def answer_lines(results: Results) -> DataFrame:
-    """The answer to every question as ``question_id, mode, section, ord, line``."""
+def _short_lines(results: Results) -> DataFrame:
+    """Answers that are no search report: ``question_id, section, ord, line``."""
     first = [F.lit(0).alias("section"), F.lit("").alias("ord")]
     parts = [results.with_intent(K.OUT_OF_SCOPE).select(
         "question_id", *first, F.lit(K.OUT_OF_SCOPE_TEXT).alias("line")),
         results.malformed.select("question_id", *first, F.lit(K.MALFORMED_TEXT).alias("line"))]
-    parts += [report(intent, found) for intent, found in results.found.items()]
     if results.may_be_structured:
         parts.append(_structured(results).select("question_id", *first, "line"))
     if K.SAR_DRAFT in results.intents:
         parts.append(R.sar_report(_drafts(results)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def answer_lines(results: Results) -> DataFrame:
+    """The answer to every question as ``question_id, mode, section, ord, line``."""
+    parts = [_short_lines(results)]
+    parts += [found.spread(report(intent, found)) for intent, found in results.found.items()]
     return reduce(DataFrame.unionByName, parts).select(
         "question_id", F.lit(results.mode).alias("mode"), "section", "ord", "line")
 
 
+def lengths_per_question(results: Results) -> DataFrame:
+    """``question_id, answer_length``; a report is measured once for each set of keys."""
+    parts = [answer_lengths(_short_lines(results))]
+    parts += [found.spread(answer_lengths(report(intent, found)))
+              for intent, found in results.found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _structured(results: Results) -> DataFrame:
     return R.structured_answers(results.structured, results.corpus.tagged_obligations,
                                 results.corpus.topic)
@@ -210,7 +253,7 @@ PREVIEW_TYPE = "array<struct<id:string,record:string>>"
 
 
 def previews(found: Found, n: int = K.PREVIEW_ROWS) -> DataFrame:
-    """``question_id, preview``: id and JSON record of the first few hits, in order."""
+    """``question_id, preview`` of each set of keys: id and JSON record of its first hits."""
     shown = [c for c in found.hits.columns if c != "search_key"]
     top = S.top_per_question(found.keys, found.hits, found.order, n)
     return _preview_list(top.select(
@@ -247,7 +290,7 @@ def answer_trace(results: Results) -> DataFrame:
         F.lit(None).cast(PREVIEW_TYPE).alias("preview")))
     for intent, found in results.found.items():
         counts = S.counts_per_question(found.keys, found.hits)
-        parts.append(counts.join(previews(found), "question_id", "left").select(
+        parts.append(found.spread(counts.join(previews(found), "question_id", "left")).select(
             "question_id", F.lit(intent).alias("intent"),
             F.lit(K.TOOL_NAMES[intent, mode]).alias("tool_name"), "hit_count", "preview"))
     if results.may_be_structured:
@@ -286,7 +329,7 @@ def compare_modes(questions: DataFrame, corpus: Corpus, *, strict: bool = False)
     sides = []
     for mode, prefix in ((K.MODE_RAW, "raw"), (K.MODE_TAGGED, "tagged")):
         results = search_all(questions, corpus, mode, strict=strict)
-        trace, lengths = answer_trace(results), answer_lengths(answer_lines(results))
+        trace, lengths = answer_trace(results), lengths_per_question(results)
         sides.append(trace.join(lengths, "question_id", "left").select(
             "question_id",
             F.col("intent").alias(f"{prefix}_intent"),
@@ -306,6 +349,6 @@ def fan_out(questions: DataFrame, corpus: Corpus) -> DataFrame:
         "question_id", F.lit(0).cast("bigint").alias("hit_count"), "intent")]
     for intent in sorted(_present(spread) & set(SEARCHES)):
         found = find(spread.where(F.col("intent") == intent), corpus, intent, K.MODE_TAGGED)
-        parts.append(S.counts_per_question(found.keys, found.hits)
+        parts.append(found.spread(S.counts_per_question(found.keys, found.hits))
                      .withColumn("intent", F.lit(intent)))
     return reduce(DataFrame.unionByName, parts)

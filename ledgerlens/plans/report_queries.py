@@ -208,7 +208,8 @@ def report_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _report(spark: SparkSession, sf_dir: str, intent: str) -> DataFrame:
     results = A.search_all(views.questions(spark, sf_dir), views.corpus(spark, sf_dir, [intent]),
                            K.MODE_TAGGED, intents=[intent])
-    return A.report(intent, results.found[intent])
+    found = results.found[intent]
+    return found.spread(A.report(intent, found))
 
 
 @query(Q.views("oblig") + f""",

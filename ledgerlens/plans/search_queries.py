@@ -289,7 +289,8 @@ def preview_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for found in results.found.values():
         top = S.top_per_question(found.keys, found.hits, found.order, K.PREVIEW_ROWS)
-        parts.append(top.select("question_id", F.col(found.record_id).alias("id"), "rank"))
+        parts.append(found.spread(
+            top.select("question_id", F.col(found.record_id).alias("id"), "rank")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -364,8 +365,8 @@ FROM layer_hits WHERE intent <> 'REG_SEARCH' GROUP BY question_id, intent""")
 def validate_report_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Obligation lines carry no id, so two domains are checked."""
     patterns = {K.PII_SEARCH: V.MESSAGE_ID, K.AML_SEARCH: V.TRANSACTION_ID}
-    parts = [V.check_ids(lines, S.per_question(found.keys, found.hits), found.record_id,
-                         patterns[intent])
+    parts = [found.spread(V.check_ids(lines, S.per_question(found.keys, found.hits),
+                                      found.record_id, patterns[intent]))
              for intent, found, lines, _ in _checked(spark, sf_dir, *patterns)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -374,7 +375,7 @@ def validate_report_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT question_id, 'counts' AS check, CAST(1 AS BIGINT) AS checked, true AS ok
 FROM layer_hits GROUP BY question_id""")
 def validate_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [V.check_counts(lines, S.counts_per_question(found.keys, found.hits))
+    parts = [found.spread(V.check_counts(lines, S.counts_per_question(found.keys, found.hits)))
              for _, found, lines, _ in _checked(spark, sf_dir, *A.SEARCHES)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -386,9 +387,10 @@ SELECT question_id, CASE intent WHEN 'AML_SEARCH' THEN 'numbers' ELSE 'masking'
 FROM layer_hits WHERE intent <> 'REG_SEARCH' GROUP BY question_id, intent""")
 def validate_report_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for intent, _, lines, corpus in _checked(spark, sf_dir, K.PII_SEARCH, K.AML_SEARCH):
+    for intent, found, lines, corpus in _checked(spark, sf_dir, K.PII_SEARCH, K.AML_SEARCH):
         if intent == K.PII_SEARCH:
-            parts.append(V.check_masking(lines, corpus.tagged_messages))
+            checked = V.check_masking(lines, corpus.tagged_messages)
         else:
-            parts.append(V.check_numbers(lines, corpus.tagged_transactions))
+            checked = V.check_numbers(lines, corpus.tagged_transactions)
+        parts.append(found.spread(checked))
     return reduce(DataFrame.unionByName, parts)

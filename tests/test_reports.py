@@ -188,8 +188,9 @@ def checked(spark, corpus):
     results = A.search_all(asked, corpus, K.MODE_TAGGED)
     out = {}
     for intent, found in results.found.items():
-        out[intent] = (A.report(intent, found), S.per_question(found.keys, found.hits),
-                       S.counts_per_question(found.keys, found.hits))
+        out[intent] = tuple(found.spread(df) for df in (
+            A.report(intent, found), S.per_question(found.keys, found.hits),
+            S.counts_per_question(found.keys, found.hits)))
     return out
 
 
