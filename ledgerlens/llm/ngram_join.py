@@ -16,7 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerlens.llm.batches import slices
@@ -373,6 +373,17 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` after classes (``a, b``: labels, or sets without one) were linked."""
+    tops = materialise(components(links), "tops")
+    up = tops.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    known = labels.unionByName(tops).unionByName(
+        tops.select(F.col("label").alias("node"), "label")).unionByName(
+        labels.select(F.col("label").alias("node"), "label"))
+    return known.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label")) \
+        .groupBy("node").agg(F.min("label").alias("label"))
+
+
 def linked_nodes(docs: DataFrame, each: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node, label`` of every set that is linked with a different one.
 
@@ -405,20 +416,42 @@ def linked_nodes(docs: DataFrame, each: DataFrame, percent: int = PERCENT) -> Da
         & (unlike("_a", "_b") <= size_sum - 2 * least_shared(size_sum, percent))
     enough = F.col("shared") >= least_shared(size_sum, percent)
 
-    # Every set and the most similar leader that it meets; leaders have smaller ranks.
-    leaders = side(entries.where(F.col("rank") < LEADERS), "_b", "rank")
-    first = materialise(
-        side(entries, "_a", "rank").join(leaders, ["token", "band"])
-        .where((F.col("rank_b") < F.col("rank_a")) & meeting)
-        .groupBy(F.col("node_a").alias("a")).agg(F.min(F.struct(
-            (unlike("_a", "_b") / size_sum).alias("far"), F.col("node_b").alias("b"))).alias("m"))
-        .select("a", "m.b"), "first")
+    def nearest(members: DataFrame, leaders: DataFrame, allowed: Column) -> DataFrame:
+        """``a, b``: each set and the most similar leader that it meets."""
+        return members.join(leaders, ["token", "band"]).where(allowed & meeting) \
+            .groupBy(F.col("node_a").alias("a")).agg(F.min(F.struct(
+                (unlike("_a", "_b") / size_sum).alias("far"), F.col("node_b").alias("b"))).alias("m")) \
+            .select("a", "m.b")
+
+    # Every set and a leader of smaller rank: a forest.
+    first = materialise(nearest(
+        side(entries, "_a", "rank"), side(entries.where(F.col("rank") < LEADERS), "_b", "rank"),
+        F.col("rank_b") < F.col("rank_a")), "first")
     home = materialise(compare(first, whole_sets(first, "a", "b")).where(enough).select(
         F.col("a").alias("node"), F.col("b").alias("leader"),
         (F.col("n_a") - F.col("shared")).alias("plus"),
         (F.col("n_b") - F.col("shared")).alias("minus")), "home")
     labels = materialise(rooted(home.select("node", F.col("leader").alias("label"))), "labels")
 
+    # Every set and a leader that is linked already, from another class than its own.
+    linked = labels.unionByName(
+        labels.select(F.col("label").alias("node"), "label").distinct())
+    some = F.row_number().over(Window.partitionBy("token", "band")
+                               .orderBy(F.xxhash64("node"), "node")) <= LEADERS
+    chosen = materialise(lists.join(linked, "node").withColumn("some", some).where("some")
+                         .drop("some"), "leaders")
+    members = entries.join(chosen.select("token", "band").distinct(), ["token", "band"], "left_semi") \
+        .join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    second = materialise(nearest(
+        side(members, "_a", "label"), side(chosen.join(marks, "node"), "_b", "label"),
+        F.col("label_a") != F.col("label_b")), "second")
+    alike = compare(second, whole_sets(second, "a", "b")).where(enough).select("a", "b")
+    for end in "ab":
+        alike = alike.join(linked.select(F.col("node").alias(end), F.col("label").alias("l" + end)),
+                           end, "left").withColumn("l" + end, F.coalesce("l" + end, end))
+    labels = materialise(merged(linked, alike.select(
+        F.col("la").alias("a"), F.col("lb").alias("b"))), "labels")
+
     # Lists whose sets are not all linked yet, and their pairs across classes.
     marked = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_tokens = marked.groupBy("token").agg(
@@ -460,13 +493,7 @@ def linked_nodes(docs: DataFrame, each: DataFrame, percent: int = PERCENT) -> Da
     found = judged.where("sure").unionByName(
         judged.join(compared, ["a", "b"], "left_semi")).select(
         F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    tops = components(found)
-    up = tops.select(F.col("node").alias("label"), F.col("label").alias("top"))
-    members = labels.unionByName(labels.select("label").distinct().select(
-        F.col("label").alias("node"), "label")).unionByName(
-        tops.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))) \
-        .unionByName(tops.select(F.col("label").alias("node"), "label")).distinct()
-    return members.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return merged(labels, found)
 
 
 def digests(docs: DataFrame) -> DataFrame:
