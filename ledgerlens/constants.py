@@ -163,6 +163,18 @@ AML_EXCERPT_CHARS = 160
 REG_EXCERPT_CHARS = 200
 EXAMPLE_CHARS = 160
 RAW_HIT_LIMIT = 20
+# Other names under which a table may hold a column, in order of preference.
+COLUMN_NAMES = {
+    "message_id": ("id",),
+    "risk_flag": ("risk_level",),
+    "pii_entities": ("entities",),
+    "original_text": ("text",),
+    "transaction_id": ("tx_id",),
+    "amount_sgd": ("amount", "amount_SGD"),
+    "risk_score": ("risk",),
+    "aml_tags": ("tags", "typology"),
+    "original_narrative": ("narrative",),
+}
 # Own wording.
 MALFORMED_TEXT = "This question cannot be searched as a pattern."
 REPORT_ROWS = 20

@@ -122,11 +122,12 @@ def transaction_report(keys: DataFrame, hits: DataFrame,
 
 
 def owner_or_units(hits: DataFrame, default: str) -> Column:
-    """Owner, else the units joined by commas, else ``default``."""
+    """Owner, else the units joined by commas, else who it is assigned to, else ``default``."""
     units = F.col("business_unit")
     if hits.schema["business_unit"].dataType.simpleString().startswith("array"):
         units = F.array_join(units, ", ")
-    return F.coalesce(first_present(strip(F.col("owner")), strip(units)), F.lit(default))
+    last = [strip(F.col("assigned_to"))] if "assigned_to" in hits.columns else []
+    return F.coalesce(first_present(strip(F.col("owner")), strip(units), *last), F.lit(default))
 
 
 def obligation_line() -> Column:

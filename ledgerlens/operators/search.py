@@ -28,13 +28,24 @@ MESSAGE_FIELDS = ("message_id", "pii_entities", "risk_flag", "original_text", "m
 TRANSACTION_FIELDS = ("transaction_id", "amount_sgd", "aml_tags", "risk_score",
                       "masked_narrative", "original_narrative")
 OBLIGATION_FIELDS = ("paragraph_id", "source_document", "regulation", "paragraph_text", "owner",
-                     "business_unit", "deadline", "original_text")
+                     "business_unit", "assigned_to", "deadline", "original_text")
 RAW_MESSAGE_FIELDS = ("message_id", "channel", "text")
 RAW_TRANSACTION_FIELDS = ("transaction_id", "amount_sgd", "date", "narrative")
 RAW_PARAGRAPH_FIELDS = ("paragraph_id", "source_document", "regulation", "article",
                         "paragraph_text")
 
 
+def known_columns(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """A user's table under the names used here.
+
+    A wanted column that is missing is taken from the first other name that the table has.
+    """
+    held = {c.lower() for c in df.columns}
+    found = {name: next((c for c in K.COLUMN_NAMES.get(name, ()) if c.lower() in held), None)
+             for name in fields if name.lower() not in held}
+    return df.withColumns({name: F.col(c) for name, c in found.items() if c is not None})
+
+
 def _shape(df: DataFrame, fields: Sequence[str], *extra: str) -> DataFrame:
     """Keep the wanted fields; a field the table lacks becomes null."""
     return df.select(*extra, *[F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f)
@@ -120,6 +131,7 @@ def _message_haystack(df: DataFrame) -> Column:
 def search_messages(tagged: DataFrame, query: str) -> DataFrame:
     """Tagged messages for one question: by entity if it names one, else by text."""
     folded = query.strip().lower()
+    tagged = known_columns(tagged, MESSAGE_FIELDS)
     flags = _entity_flags(F.col("pii_entities"))
     if "nric" in folded:
         match = flags["nric"]
@@ -151,6 +163,7 @@ def search_transactions(tagged: DataFrame, query: str) -> DataFrame:
     is searched as text like any other question.
     """
     folded = query.strip().lower()
+    tagged = known_columns(tagged, TRANSACTION_FIELDS)
     haystack = F.lower(_transaction_haystack(tagged))
     word = next((hint for hint in ("crypto", "structuring") if hint in folded), folded)
     hits = tagged.where(haystack.contains(word))
@@ -269,7 +282,7 @@ def _text_hits(records: DataFrame, record_id: str, haystack: Column, keys: DataF
 
 def match_messages(tagged: DataFrame, keys: DataFrame) -> DataFrame:
     """Hits per search key: ``search_key`` plus the message fields."""
-    records = _shape(tagged, MESSAGE_FIELDS)
+    records = _shape(known_columns(tagged, MESSAGE_FIELDS), MESSAGE_FIELDS)
     flags = _entity_flags(F.col("pii_entities"))
     names = compact([(F.coalesce(flag, F.lit(False)), f"entity:{name}")
                      for name, flag in flags.items()])
@@ -282,7 +295,7 @@ def match_messages(tagged: DataFrame, keys: DataFrame) -> DataFrame:
 
 def match_transactions(tagged: DataFrame, keys: DataFrame) -> DataFrame:
     """Hits per search key: ``search_key`` plus the transaction fields."""
-    records = _shape(tagged, TRANSACTION_FIELDS)
+    records = _shape(known_columns(tagged, TRANSACTION_FIELDS), TRANSACTION_FIELDS)
     haystack = F.lower(_transaction_haystack(records))
     names = compact([(haystack.contains("crypto"), "hint:crypto"),
                      (haystack.contains("structuring"), "hint:structuring")])
@@ -396,6 +409,7 @@ def raw_obligation_shape(hits: DataFrame) -> DataFrame:
         "regulation": F.coalesce(F.nullif(F.col("regulation"), F.lit("")), "paragraph_text"),
         "owner": F.lit(K.NOT_TAGGED),
         "business_unit": F.lit(None).cast("array<string>"),
+        "assigned_to": null,
         "deadline": null,
         "original_text": F.col("paragraph_text"),
     })
