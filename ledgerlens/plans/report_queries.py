@@ -107,7 +107,9 @@ searching AS (SELECT question_id, intent, mode FROM routed, (VALUES ('layer'), (
 shown AS (SELECT s.*, coalesce(n, 0) AS n, critical, high, medium, low FROM searching s
     LEFT JOIN totals t ON s.question_id = t.question_id AND s.mode = t.mode),
 search_lines AS (
-    SELECT question_id, mode, intent, 0 AS section, '' AS ord, CASE WHEN n = 0
+    SELECT question_id, mode, intent, 0 AS section, '' AS ord,
+        CASE WHEN mode = 'no_layer' AND {Q.malformed('question_id')}
+        THEN {Q.quote(K.MALFORMED_TEXT)} WHEN n = 0
         THEN {Q.quote(K.NO_RESULTS)} ELSE CASE intent WHEN 'PII_SEARCH'
         THEN {Q.quote(K.PII_HEADLINE)} WHEN 'AML_SEARCH' THEN {Q.quote(K.AML_HEADLINE)}
         ELSE {Q.quote(K.REG_HEADLINE)} END END AS line FROM shown

@@ -153,7 +153,7 @@ asked AS (SELECT question_id, text FROM golden UNION ALL SELECT question_id, tex
 hits AS (SELECT a.question_id, a.text AS q, CAST(d.doc_id AS VARCHAR) AS message_id,
         lower(d.text) AS t, row_number() OVER (PARTITION BY a.question_id
             ORDER BY CAST(d.doc_id AS VARCHAR)) AS n
-    FROM asked a JOIN documents d ON regexp_matches(d.text, a.text, 'i'))
+    FROM asked a JOIN documents d ON regexp_matches(d.text, {Q.pattern('a.question_id', 'a.text')}, 'i'))
 SELECT question_id, message_id, coalesce(nullif(concat_ws('|', {_WEAK}), ''), q) AS pii_entities,
     CASE WHEN {Q.contains_any('t', K.RAW_HIGH_WORDS)} THEN 'High'
          WHEN contains(t, 'salary') THEN 'Medium' ELSE 'Low' END AS risk_flag
@@ -168,13 +168,13 @@ def pii_raw_weak_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.per_question(keys, S.first_hits(narrow, "message_id"))
 
 
-@query(Q.views("txn", "golden") + """,
+@query(Q.views("txn", "golden") + f""",
 asked AS (SELECT question_id, text FROM golden UNION ALL
     SELECT DISTINCT 't-' || event_type, event_type FROM events),
 hits AS (SELECT question_id, lower(text) AS q, text, transaction_id, amount_sgd,
         lower(narrative) AS n, row_number() OVER (PARTITION BY question_id
             ORDER BY transaction_id) AS r
-    FROM asked JOIN txn ON regexp_matches(narrative, text, 'i'))
+    FROM asked JOIN txn ON regexp_matches(narrative, {Q.pattern('question_id', 'text')}, 'i'))
 SELECT question_id, transaction_id, amount_sgd, coalesce(nullif(concat_ws('|',
     CASE WHEN contains(q, 'crypto') OR contains(n, 'crypto') THEN 'Crypto' END,
     CASE WHEN contains(q, 'structuring') OR contains(q, 'structured')
@@ -193,11 +193,11 @@ def aml_raw_weak_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.per_question(keys, S.first_hits(narrow, "transaction_id"))
 
 
-@query(Q.views("golden", "passages") + """,
+@query(Q.views("golden", "passages") + f""",
 asked AS (SELECT question_id, text FROM golden UNION ALL SELECT question_id, text FROM passages),
 hits AS (SELECT a.question_id, CAST(d.doc_id AS VARCHAR) AS paragraph_id, source, d.text,
         row_number() OVER (PARTITION BY a.question_id ORDER BY CAST(d.doc_id AS VARCHAR)) AS n
-    FROM asked a JOIN documents d ON regexp_matches(d.text, a.text, 'i'))
+    FROM asked a JOIN documents d ON regexp_matches(d.text, {Q.pattern('a.question_id', 'a.text')}, 'i'))
 SELECT question_id, paragraph_id, source AS source_document, md5(text) AS regulation,
     '(not tagged)' AS owner, CAST(NULL AS VARCHAR) AS deadline FROM hits WHERE n <= 20""")
 def reg_raw_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,11 +235,11 @@ HITS_SQL = Q.views("tagged", "txn", "oblig", "topic", "golden", "questions", "ro
 raw_hits AS (
     SELECT question_id, intent, CAST(doc_id AS VARCHAR) AS id,
         CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS amount
-    FROM routed r JOIN documents d ON regexp_matches(d.text, r.text, 'i')
+    FROM routed r JOIN documents d ON regexp_matches(d.text, {Q.pattern('r.question_id', 'r.text')}, 'i')
     WHERE intent IN ('PII_SEARCH', 'REG_SEARCH')
     UNION ALL
     SELECT question_id, intent, transaction_id, NULL, NULL FROM routed r
-        JOIN txn ON regexp_matches(narrative, r.text, 'i') WHERE intent = 'AML_SEARCH'),
+        JOIN txn ON regexp_matches(narrative, {Q.pattern('r.question_id', 'r.text')}, 'i') WHERE intent = 'AML_SEARCH'),
 raw_first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY id)
     AS n FROM raw_hits) WHERE n <= 20),
 layer_hits AS (

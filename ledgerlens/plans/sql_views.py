@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerlens import constants as K
-from ledgerlens.sources.views import PATTERN_QUESTIONS
+from ledgerlens.sources.views import MALFORMED_QUESTIONS, PATTERN_QUESTIONS
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
@@ -70,7 +70,8 @@ _LABELS = ", ".join(f"CASE WHEN {hit} THEN '{label}' END" for label, hit in _HIT
 _COUNT = " + ".join(f"CAST({hit} AS INTEGER)" for hit in _HITS.values())
 
 _GOLDEN = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in [*K.GOLDEN_QUESTIONS,
-                                                             *PATTERN_QUESTIONS])
+                                                             *PATTERN_QUESTIONS,
+                                                             *MALFORMED_QUESTIONS])
 
 
 def intent(col: str, strict: bool = False) -> str:
@@ -97,6 +98,15 @@ def kind(col: str) -> str:
         AND {contains_any(q, ('owner', 'deadline'))} THEN 'missing' END"""
 
 
+def malformed(question_id: str) -> str:
+    return f"{question_id} IN ({', '.join(quote(i) for i, _ in MALFORMED_QUESTIONS)})"
+
+
+def pattern(question_id: str, text: str) -> str:
+    """The text as a pattern; null, which matches nothing, if it is malformed."""
+    return f"CASE WHEN NOT {malformed(question_id)} THEN {text} END"
+
+
 VIEWS = {
     "tagged": f"""m0 AS (SELECT CAST(doc_id AS VARCHAR) AS message_id, source AS channel, text,
         text AS t0 FROM documents),

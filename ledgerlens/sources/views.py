@@ -121,9 +121,17 @@ PATTERN_QUESTIONS = (
     ("p3", "suspicious transactions|licensed under"),
 )
 
+# No patterns: raw mode answers these without a search.
+MALFORMED_QUESTIONS = (
+    ("x1", "messages (urgent"),
+    ("x2", "suspicious transactions *?+"),
+    ("x3", "[regulations of mas 610"),
+)
+
 
 def golden_questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([*K.GOLDEN_QUESTIONS, *PATTERN_QUESTIONS],
+    return spark.createDataFrame([*K.GOLDEN_QUESTIONS, *PATTERN_QUESTIONS,
+                                  *MALFORMED_QUESTIONS],
                                  "question_id string, text string")
 
 
