@@ -202,6 +202,16 @@ def parse_list_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(parse_list(F.col("stored"), strip_quotes=True), "|").alias("items"))
 
 
+@query("WITH " + _LIST_SQL.replace("WHEN contains(s, ',') THEN string_split(trim(s), ',')", "") + """
+SELECT event_id, array_to_string(list_filter(list_transform(items,
+    lambda x: regexp_replace(trim(x), '^[''"]+|[''"]+$', '', 'g')),
+    lambda x: x <> ''), '|') AS items FROM parsed""")
+def parse_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text that is no list stays one item, commas included."""
+    return _stored_lists(spark, sf_dir).select("event_id", F.array_join(parse_list(
+        F.col("stored"), split_commas=False, strip_quotes=True), "|").alias("items"))
+
+
 AS_OF = "2025-01-01"
 
 EXTENDED_SQL = f"""SELECT * FROM (
