@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 22
-STEP = 1024
+STEP = 256
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -29,3 +29,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
                     start, size = i, 0
                 size += len(text)
             yield batch.slice(start), texts[start:]
+        pa.default_memory_pool().release_unused()

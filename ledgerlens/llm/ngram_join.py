@@ -30,7 +30,7 @@ SLOT_BYTES = 8 << 20  # text whose shingles one step holds in memory
 MOST_SLOTS = 1 << 16
 FREQUENT = 32  # documents that make a shingle frequent
 MOST_FREQUENT = 1 << 20  # frequent shingles that are told apart; at 5 bytes each
-SLICE_BYTES = 1 << 20  # text that is cut into shingles at once
+SLICE_BYTES = 1 << 18  # text that is cut into shingles at once
 MOST_BITS = 1 << 27  # of the filter for sets that are still needed
 LEADERS = 8  # sets of each block of a list that the others are first compared with
 MARKS = 8  # words of 64 bits that mark a set
@@ -110,7 +110,7 @@ def frequent_shingles(docs: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarr
         for last, batch_texts in _with_last(slices(batches, "text", SLICE_BYTES)):
             held.append((shingle_sets(batch_texts)[1] >> np.uint64(32)).astype(np.uint32))
             size += len(held[-1])
-            if last or size > 1 << 21:
+            if last or size > 1 << 20:
                 value, count = np.unique(np.concatenate(held), return_counts=True)
                 cuts = np.searchsorted(_slot(value.astype(np.uint64) << np.uint64(32), slots),
                                        np.arange(slots + 1))
