@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.llm.rows import (
     COPIES, KEY, distinct_rows, keyed, repeated, running_total, take_copies, text_bytes)
+from ledgerlens.sources.storage import materialise
 
 SEED = 20_240_601
 ROUNDS = 6
@@ -62,8 +63,8 @@ def numbered(rows: DataFrame, total: int, per_bucket: int = ROWS_PER_BUCKET) ->
     """
     columns = rows.columns
     buckets = max(1, -(-total // per_bucket))
-    counted = distinct_rows(rows).withColumn(
-        "__bucket", F.pmod(F.xxhash64(*columns), F.lit(buckets)))
+    counted = materialise(distinct_rows(rows).withColumn(
+        "__bucket", F.pmod(F.xxhash64(*columns), F.lit(buckets))), "numbers")
     starts = running_total(counted.groupBy("__bucket").agg(F.sum(COPIES).alias("__n")),
                            "__bucket", "__n", "__start")
     before = Window.partitionBy("__bucket").orderBy(*columns) \
