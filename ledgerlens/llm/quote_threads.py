@@ -81,23 +81,22 @@ def link_quotes(messages: DataFrame, *, scope: str = "conv_id", order: str = "tu
 def reply_trees(linked: DataFrame) -> DataFrame:
     """Add ``root`` (the message that a reply goes back to) and ``depth`` (replies on the way).
 
-    Each step doubles how far a message looks up; only keys and numbers are joined.  Parents
-    come before their replies, so the walk ends.
+    Each step doubles how far a message looks up; only keys and numbers are joined, and only
+    for messages that have not arrived.  Parents come before their replies, so the walk ends.
     """
     known = F.col("scope").isNotNull() & F.col("place").isNotNull()
     up = materialise(linked.where(known).select(
         "scope", "place", F.coalesce("parent", "place").alias("root"),
-        F.col("parent").isNotNull().cast("int").alias("depth")), "replies")
-    while True:
-        next_up = up.select("scope", F.col("place").alias("root"), F.col("root").alias("above"),
-                            F.col("depth").alias("more"))
-        jumped = materialise(up.join(next_up, ["scope", "root"]).select(
+        F.col("parent").isNotNull().cast("int").alias("depth"),
+        F.col("parent").isNotNull().alias("open")), "replies")
+    while up.where("open").limit(1).count():
+        ahead = up.select("scope", F.col("place").alias("root"), F.col("root").alias("above"),
+                          F.col("depth").alias("more"), F.col("open").alias("further"))
+        jumped = up.where("open").join(ahead, ["scope", "root"]).select(
             "scope", "place", F.col("above").alias("root"),
-            (F.col("depth") + F.col("more")).alias("depth"),
-            (F.col("more") > 0).alias("moved")), "replies")
-        up = jumped.drop("moved")
-        if not jumped.where("moved").limit(1).count():
-            break
+            (F.col("depth") + F.col("more")).alias("depth"), F.col("further").alias("open"))
+        up = materialise(up.where("not open").unionByName(jumped), "replies")
+    up = up.drop("open")
     return linked.join(up, ["scope", "place"], "left") \
         .withColumn("root", F.coalesce("root", "place")) \
         .withColumn("depth", F.coalesce("depth", F.lit(0)))
