@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlens.sources.storage import materialise
 
 QUOTE = r"^((?:[ \t]*>)+)"  # a line's quote marks
+OTHER = "\x00"  # stands for a line of another level
+RUN = r"\n?(?:\x00\n?)+"  # what parts the runs of a level, their paragraphs and lines
+PARAGRAPH = RUN + r"|\n(?:[ \t]*\n)+"
+LINE = r"[\n\x00]+"
 
 
 def lines(text: Column) -> Column:
@@ -22,17 +26,15 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def passage_hash(text: Column) -> Column:
-    """Hash of a passage that line breaks, blanks and case don't change; null if empty."""
-    return F.when(normal(text) != "", F.sha2(normal(text), 256))
-
-
 def passages(messages: DataFrame) -> DataFrame:
-    """The messages with ``reply`` (their own text), ``own`` (its hash) and ``quoted``.
-
-    ``quoted`` has ``level, hash`` of each quote level that holds words.  A level's passage
-    is all lines with exactly that many marks, in order; so the text that a level answers is
-    one level deeper.
+    """The messages with ``reply`` (their own text), ``said``, ``quoted`` and ``n_levels``.
+
+    What a message says, and what it quotes on one level, is cut into passages: all lines of
+    that level in order, each run of lines that no other level interrupts, each paragraph of
+    a run, and (``loose``) each line.  ``said`` has ``hash, whole`` of the message's own
+    passages, ``quoted`` has ``level, loose, size, hash`` of those of each quote level; a
+    hash is one of words that line breaks, blanks and case don't change.  The text that a
+    level answers is one level deeper.  ``n_levels`` counts the quote levels that hold words.
     """
     parsed = messages.withColumn("__lines", lines(F.col("text")))
 
@@ -40,41 +42,74 @@ def passages(messages: DataFrame) -> DataFrame:
         return F.array_join(F.transform(
             F.filter("__lines", lambda x: x["level"] == level), lambda x: x["line"]), "\n")
 
+    def interrupted(level: Column | int) -> Column:
+        return F.array_join(F.transform("__lines", lambda x: F.when(
+            x["level"] == level, x["line"]).otherwise(OTHER)), "\n")
+
+    def words(texts: Column) -> Column:
+        return F.array_distinct(F.filter(F.transform(texts, normal), lambda x: x != ""))
+
+    def hashed(level: Column, text: Column, broken: Column) -> Column:
+        blocks = words(F.concat(F.array(text), F.split(broken, RUN), F.split(broken, PARAGRAPH)))
+        alone = F.instr(text, "\n") == 0
+        tight = F.when(alone, words(F.array(text))).otherwise(blocks)
+        loose = F.when(alone, F.array().cast("array<string>")).otherwise(
+            F.array_except(words(F.split(broken, LINE)), blocks))
+
+        def marked(which: Column, is_loose: bool) -> Column:
+            return F.transform(which, lambda x: F.struct(
+                level.alias("level"), F.lit(is_loose).alias("loose"),
+                F.length(x).alias("size"), (x == normal(text)).alias("whole"),
+                F.sha2(x, 256).alias("hash")))
+
+        return F.concat(marked(tight, False), marked(loose, True))
+
     levels = F.array_sort(F.array_distinct(F.filter(
         F.transform("__lines", lambda x: x["level"]), lambda level: level > 0)))
-    quoted = F.filter(F.transform(levels, lambda level: F.struct(
-        level.alias("level"), passage_hash(level_text(level)).alias("hash"))),
-        lambda q: q["hash"].isNotNull())
-    return parsed.withColumn("reply", F.trim(F.regexp_replace(
-        level_text(0), r"(^\s+)|(\s+$)", ""))) \
-        .withColumn("own", passage_hash(F.col("reply"))).withColumn("quoted", quoted) \
-        .drop("__lines")
+    texts = F.transform(F.concat(F.array(F.lit(0)), levels), lambda level: F.struct(
+        level.alias("level"), level_text(level).alias("text"), interrupted(level).alias("broken")))
+    return parsed.withColumn("__texts", texts) \
+        .withColumn("__all", F.flatten(F.transform(
+            "__texts", lambda x: hashed(x["level"], x["text"], x["broken"])))) \
+        .withColumn("reply", F.trim(F.regexp_replace(
+            F.col("__texts")[0]["text"], r"(^\s+)|(\s+$)", ""))) \
+        .withColumn("said", F.filter("__all", lambda x: x["level"] == 0)) \
+        .withColumn("quoted", F.filter("__all", lambda x: x["level"] > 0)) \
+        .withColumn("n_levels", F.size(F.array_distinct(F.col("quoted.level")))) \
+        .drop("__lines", "__texts", "__all")
 
 
 def link_quotes(messages: DataFrame, *, scope: str = "conv_id", order: str = "turn",
                 text_column: str = "text") -> DataFrame:
     """``scope, order, reply, n_levels, parent, matched`` of each message.
 
-    The passage of the outermost quote level is looked up by its hash among the messages of
-    the same scope; the original is the first message that says it, if it comes before.  If
-    no message says it, deeper levels are tried in turn.  ``matched`` is the level that was
-    found.  The originals are reduced to one row per scope and hash before the join, so a
-    passage that many messages say or quote makes no pairs.  Messages without a scope or an
-    order and repeated places are ranked by their text: of equal places the smallest text
-    stays, null last.
+    The passages of the quote levels are looked up by their hashes among the messages of the
+    same scope.  The original of a passage is the first message whose whole reply it is, if
+    that comes before, or else the first one that says it among other things.  Of the
+    passages that are found the outermost level counts, there the longest passage, then the
+    earliest original; single lines of a passage count only if nothing larger is found.
+    ``matched`` is the level.  The originals are reduced to one row per scope and hash before
+    the join, so a passage that many messages say or quote makes no pairs.  Messages without
+    a scope or an order and repeated places are ranked by their text: of equal places the
+    smallest text stays, null last.
     """
     place = [F.col(scope).alias("scope"), F.col(order).alias("place")]
     once = messages.select(*place, F.col(text_column).alias("text")) \
         .groupBy("scope", "place").agg(F.min("text").alias("text"))
     parsed = materialise(passages(once).drop("text"), "passages")
-    said = parsed.where("own is not null").groupBy("scope", "own") \
-        .agg(F.min("place").alias("original"))
+    said = parsed.select("scope", "place", F.explode("said").alias("s")) \
+        .groupBy("scope", F.col("s.hash").alias("hash")) \
+        .agg(F.min(F.when(F.col("s.whole"), F.col("place"))).alias("whole"),
+             F.min("place").alias("part"))
     asked = parsed.select("scope", "place", F.explode("quoted").alias("q")) \
-        .select("scope", "place", "q.level", F.col("q.hash").alias("own"))
-    found = asked.join(said, ["scope", "own"]).where("original < place") \
-        .groupBy("scope", "place").agg(F.min(F.struct("level", "original")).alias("m"))
+        .select("scope", "place", "q.level", "q.loose", "q.size", "q.hash")
+    original = F.when(F.col("whole") < F.col("place"), F.col("whole")) \
+        .when(F.col("part") < F.col("place"), F.col("part"))
+    found = asked.join(said, ["scope", "hash"]).withColumn("original", original) \
+        .where("original is not null").groupBy("scope", "place").agg(F.min(F.struct(
+            "loose", "level", (-F.col("size")).alias("size"), "original")).alias("m"))
     return parsed.join(found, ["scope", "place"], "left") \
-        .select("scope", "place", "reply", F.size("quoted").alias("n_levels"),
+        .select("scope", "place", "reply", "n_levels",
                 F.col("m.original").alias("parent"), F.col("m.level").alias("matched"))
 
 
