@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerlens.llm.rows import repeated
 from ledgerlens.sources.storage import materialise
 
 QUOTE = r"^((?:[ \t]*>)+)"  # a line's quote marks
@@ -81,65 +82,71 @@ def passages(messages: DataFrame) -> DataFrame:
 
 def link_quotes(messages: DataFrame, *, scope: str = "conv_id", order: str = "turn",
                 text_column: str = "text") -> DataFrame:
-    """``scope, order, reply, n_levels, parent, matched`` of each message.
+    """``id, copies, scope, place, reply, n_levels, above, parent, matched`` of each message.
+
+    Every message stays: equal ones (scope, order and text) are one row with their number in
+    ``copies``, others at the same place are rows of their own.  ``id`` is a number that
+    this call gives; ``above`` is the id of the original and ``parent`` its place.
 
     The passages of the quote levels are looked up by their hashes among the messages of the
     same scope.  The original of a passage is the first message whose whole reply it is, if
-    that comes before, or else the first one that says it among other things.  Of the
-    passages that are found the outermost level counts, there the longest passage, then the
-    earliest original; single lines of a passage count only if nothing larger is found.
-    ``matched`` is the level.  The originals are reduced to one row per scope and hash before
-    the join, so a passage that many messages say or quote makes no pairs.  Messages without
-    a scope or an order and repeated places are ranked by their text: of equal places the
-    smallest text stays, null last.
+    that comes before, or else the first one that says it among other things; of several at
+    one place the one whose text hashes lowest.  Of the passages that are found the
+    outermost level counts, there the longest passage, then the earliest original; single
+    lines of a passage count only if nothing larger is found.  ``matched`` is the level.  The
+    originals are reduced to one row per scope and hash before the join, so a passage that
+    many messages say or quote makes no pairs.  Messages without a scope or an order never
+    link.
     """
-    place = [F.col(scope).alias("scope"), F.col(order).alias("place")]
-    once = messages.select(*place, F.col(text_column).alias("text")) \
-        .groupBy("scope", "place").agg(F.min("text").alias("text"))
-    parsed = materialise(passages(once).drop("text"), "passages")
-    said = parsed.select("scope", "place", F.explode("said").alias("s")) \
+    once = messages.select(F.col(scope).alias("scope"), F.col(order).alias("place"),
+                           F.col(text_column).alias("text")) \
+        .groupBy("scope", "place", "text").agg(F.count(F.lit(1)).alias("copies"))
+    parsed = materialise(
+        passages(once).withColumn("tie", F.xxhash64("text")).drop("text")
+        .withColumn("id", F.monotonically_increasing_id()), "passages")
+    seat = F.struct("place", "tie", "id")
+    said = parsed.where("scope is not null and place is not null") \
+        .select("scope", "place", "tie", "id", F.explode("said").alias("s")) \
         .groupBy("scope", F.col("s.hash").alias("hash")) \
-        .agg(F.min(F.when(F.col("s.whole"), F.col("place"))).alias("whole"),
-             F.min("place").alias("part"))
-    asked = parsed.select("scope", "place", F.explode("quoted").alias("q")) \
-        .select("scope", "place", "q.level", "q.loose", "q.size", "q.hash")
-    original = F.when(F.col("whole") < F.col("place"), F.col("whole")) \
-        .when(F.col("part") < F.col("place"), F.col("part"))
+        .agg(F.min(F.when(F.col("s.whole"), seat)).alias("whole"), F.min(seat).alias("part"))
+    asked = parsed.where("scope is not null and place is not null") \
+        .select("scope", "place", "id", F.explode("quoted").alias("q")) \
+        .select("scope", "place", "id", "q.level", "q.loose", "q.size", "q.hash")
+    original = F.when(F.col("whole.place") < F.col("place"), F.col("whole")) \
+        .when(F.col("part.place") < F.col("place"), F.col("part"))
     found = asked.join(said, ["scope", "hash"]).withColumn("original", original) \
-        .where("original is not null").groupBy("scope", "place").agg(F.min(F.struct(
+        .where("original is not null").groupBy("id").agg(F.min(F.struct(
             "loose", "level", (-F.col("size")).alias("size"), "original")).alias("m"))
-    return parsed.join(found, ["scope", "place"], "left") \
-        .select("scope", "place", "reply", "n_levels",
-                F.col("m.original").alias("parent"), F.col("m.level").alias("matched"))
+    return parsed.join(found, "id", "left").select(
+        "id", "copies", "scope", "place", "reply", "n_levels", F.col("m.original.id").alias("above"),
+        F.col("m.original.place").alias("parent"), F.col("m.level").alias("matched"))
 
 
 def reply_trees(linked: DataFrame) -> DataFrame:
-    """Add ``root`` (the message that a reply goes back to) and ``depth`` (replies on the way).
+    """Add ``root`` (the place that a reply goes back to) and ``depth`` (replies on the way).
 
-    Each step doubles how far a message looks up; only keys and numbers are joined, and only
+    Each step doubles how far a message looks up; only ids and numbers are joined, and only
     for messages that have not arrived.  Parents come before their replies, so the walk ends.
     """
-    known = F.col("scope").isNotNull() & F.col("place").isNotNull()
-    up = materialise(linked.where(known).select(
-        "scope", "place", F.coalesce("parent", "place").alias("root"),
-        F.col("parent").isNotNull().cast("int").alias("depth"),
-        F.col("parent").isNotNull().alias("open")), "replies")
+    linked = materialise(linked, "links")
+    up = materialise(linked.select(
+        "id", F.coalesce("above", "id").alias("top"), F.coalesce("parent", "place").alias("root"),
+        F.col("above").isNotNull().cast("int").alias("depth"),
+        F.col("above").isNotNull().alias("open")), "replies")
     while up.where("open").limit(1).count():
-        ahead = up.select("scope", F.col("place").alias("root"), F.col("root").alias("above"),
-                          F.col("depth").alias("more"), F.col("open").alias("further"))
-        jumped = up.where("open").join(ahead, ["scope", "root"]).select(
-            "scope", "place", F.col("above").alias("root"),
+        ahead = up.select(F.col("id").alias("top"), F.col("top").alias("higher"),
+                          F.col("root").alias("above"), F.col("depth").alias("more"),
+                          F.col("open").alias("further"))
+        jumped = up.where("open").join(ahead, "top").select(
+            "id", F.col("higher").alias("top"), F.col("above").alias("root"),
             (F.col("depth") + F.col("more")).alias("depth"), F.col("further").alias("open"))
         up = materialise(up.where("not open").unionByName(jumped), "replies")
-    up = up.drop("open")
-    return linked.join(up, ["scope", "place"], "left") \
-        .withColumn("root", F.coalesce("root", "place")) \
-        .withColumn("depth", F.coalesce("depth", F.lit(0)))
+    return linked.join(up.select("id", "root", "depth"), "id")
 
 
 def threads(messages: DataFrame, *, scope: str = "conv_id", order: str = "turn",
             text_column: str = "text") -> DataFrame:
-    """Messages without quotes in reply order.
+    """Messages without quotes in reply order, one row for each message.
 
     ``scope, place, root, depth, parent, n_levels, matched, reply``; reading by scope, root,
     depth and place gives each conversation, originals before their replies.  A message
@@ -147,7 +154,8 @@ def threads(messages: DataFrame, *, scope: str = "conv_id", order: str = "turn",
     message; a null scope or place never links; an empty table gives an empty result; other
     columns are ignored.
     """
-    return reply_trees(link_quotes(messages, scope=scope, order=order, text_column=text_column)) \
+    trees = reply_trees(link_quotes(messages, scope=scope, order=order, text_column=text_column))
+    return repeated(trees, F.col("copies"), "copy") \
         .select("scope", "place", "root", "depth", "parent", "n_levels", "matched", "reply")
 
 
@@ -155,11 +163,14 @@ def as_mail(turns: DataFrame, *, scope: str = "conv_id", order: str = "turn",
             text_column: str = "text") -> DataFrame:
     """Turns as mail: each quotes the turn before it, and that one's own quote, nested.
 
-    For tables without quotes.  Joins on scope and order, so one very long conversation is
-    spread like many short ones.
+    For tables without quotes.  Every turn becomes a mail; of several turns at one place the
+    one with the smallest text is quoted.  Joins on scope and order, so one very long
+    conversation is spread like many short ones.
     """
-    once = turns.groupBy(F.col(scope).alias("scope"), F.col(order).alias("place")) \
-        .agg(F.min(text_column).alias("text"))
+    every = turns.select(F.col(scope).alias("scope"), F.col(order).alias("place"),
+                         F.col(text_column).alias("text"))
+    once = every.where("scope is not null and place is not null") \
+        .groupBy("scope", "place").agg(F.min("text").alias("text"))
 
     def earlier(by: int, name: str) -> DataFrame:
         return once.select("scope", (F.col("place") + by).alias("place"),
@@ -168,7 +179,7 @@ def as_mail(turns: DataFrame, *, scope: str = "conv_id", order: str = "turn",
     def quoted(text: Column, marks: str) -> Column:
         return F.concat(F.lit(marks), F.regexp_replace(text, "\n", "\n" + marks), F.lit("\n"))
 
-    both = once.join(earlier(1, "one"), ["scope", "place"], "left") \
+    both = every.join(earlier(1, "one"), ["scope", "place"], "left") \
         .join(earlier(2, "two"), ["scope", "place"], "left")
     return both.select(F.col("scope").alias(scope), F.col("place").alias(order), F.concat(
         F.coalesce(quoted(F.col("two"), "> > "), F.lit("")),
