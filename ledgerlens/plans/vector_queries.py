@@ -8,6 +8,7 @@ from ledgerlens.operators import vectors as V
 from ledgerlens.plans import sql_views as Q
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import views
+from ledgerlens.sources.storage import materialise
 
 
 @query("""SELECT count(*) AS vectors, CAST(min(len(embedding)) AS INTEGER) AS min_dimensions,
@@ -53,13 +54,12 @@ def vec_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_question_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three narratives closest to each report request, by text features.
 
-    The requests are the narratives of the largest event of each type, so that the
-    question side stays as small as the list of types.
+    The requests are those of ``views.questions``: the narrative of every error event.
     """
     tagged = views.tagged_transactions(spark, sf_dir)
     texts = V.vector_text(tagged)
     model = V.fit_text_model(texts)
-    kind = F.get("aml_tags", F.lit(0))
-    asked = tagged.groupBy(kind.alias("id")).agg(
-        F.max_by("masked_narrative", F.struct("amount_sgd", "transaction_id")).alias("text"))
-    return V.nearest_neighbours(V.embed_texts(texts, model), V.embed_texts(asked, model))
+    asked = V.vector_text(tagged.where(F.get("aml_tags", F.lit(0)) == "error"))
+    vectors = materialise(V.embed_texts(texts, model), "narrative_vectors")
+    requests = materialise(V.embed_texts(asked, model), "request_vectors")
+    return V.nearest_neighbours(vectors, requests)

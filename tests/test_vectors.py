@@ -4,6 +4,8 @@ import pytest
 
 from ledgerlens.operators import vectors as V
 from ledgerlens.operators.tagging import tag_transactions
+from ledgerlens.plans import vector_queries
+from ledgerlens.sources import views
 from tests import fixtures as X
 
 
@@ -96,3 +98,12 @@ def test_only_the_best_of_each_task_are_shuffled(spark):
     near = V.nearest_neighbours(vectors(spark, [(1, [0.0])]), vectors(spark, [(0, [4.0])]))
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Nested" not in plan and "Cartesian" not in plan
+
+
+def test_every_report_request_is_asked(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    events = views.table(spark, sf_dir, "events").where("event_type = 'error'")
+    asked = {f"T{r['event_id']}" for r in events.select("event_id").collect()}
+    rows = vector_queries.vec_question_neighbours(spark, sf_dir).collect()
+    assert {r["query_id"] for r in rows} == asked
+    assert len(rows) == 3 * len(asked)
