@@ -83,6 +83,37 @@ def _votes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.ndar
     return np.bincount(chosen, minlength=len(data))
 
 
+def _pooled(data: np.ndarray, votes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Votes where equal windows of a stretch that repeats its bytes share theirs.
+
+    Ties go to the leftmost window, so with a period under ``VOTES`` none gets enough by
+    itself.  The first window of each kind in a stretch gets the votes of its equals.
+    """
+    votes = votes.copy()
+    for period in range(1, VOTES):
+        same = data[period:] == data[:-period]
+        for k in range(1, period + 1):  # a stretch lies within one text
+            at = ends - k
+            same[at[(at >= 0) & (at < len(same))]] = False
+        turns = np.flatnonzero(np.concatenate((same[:1], same[1:] != same[:-1], same[-1:])))
+        begin, stop = turns[::2], turns[1::2]
+        wide = stop - begin >= WIDTH
+        for a, b in zip(begin[wide].tolist(), stop[wide].tolist()):
+            part = votes[a:b - WIDTH + period + 1]
+            for k in range(min(period, len(part))):
+                total = min(255, int(part[k::period].sum()))  # more than enough, fits a byte
+                part[k::period] = 0
+                part[k] = total
+    return votes
+
+
+def _enough(votes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places of the features: ``VOTES`` votes, or the most of a text that has no such window."""
+    places = np.flatnonzero(votes)
+    least = np.minimum(VOTES, np.maximum.reduceat(votes, starts))
+    return places[votes[places] >= least[np.searchsorted(starts, places, "right") - 1]]
+
+
 def _hashes(data: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     parts = data[places[:, None] + np.arange(width)].view("<u8")
     h = np.full(len(places), width, np.uint64)
@@ -102,7 +133,8 @@ def features(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarr
     long = sizes >= SHORT
     found = []
     if long.any():
-        places = np.flatnonzero(_votes(data, starts[long], ends[long], rank) >= VOTES)
+        votes = _pooled(data, _votes(data, starts[long], ends[long], rank), ends)
+        places = _enough(votes, starts[long])
         found.append((np.searchsorted(ends, places, "right"), places,
                       _hashes(data, places, WIDTH)))
     for i in np.flatnonzero(~long & (sizes > 0)).tolist():
@@ -135,7 +167,7 @@ def _long_features(text: bytes, rank: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for a, b in _segments(text):
         part = _votes(data[a:b], np.array([0]), np.array([b - a]), rank)
         votes[a:b] += part.astype(np.uint8)
-    places = np.flatnonzero(votes >= VOTES)
+    places = _enough(_pooled(data, votes, np.array([len(data)])), np.array([0]))
     value = np.concatenate([_hashes(data, places[i:i + SLICE_BYTES // WIDTH], WIDTH)
                             for i in range(0, len(places), SLICE_BYTES // WIDTH)]
                            or [np.empty(0, np.uint64)])

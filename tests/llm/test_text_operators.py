@@ -271,3 +271,28 @@ def test_token_counts(spark, model):
         assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in got) == expected
         assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in got)
     assert T.token_counts(documents(spark, [])).count() == 0
+
+
+# Digests of texts that repeat themselves
+
+def test_only_an_empty_text_has_an_empty_digest(monkeypatch):
+    rank = G.rarity({})
+    tail = " ".join(words(9, 200))
+    texts = ["x" * 4000, "spam " * 800, "ab " * 1300, "x" * 96, "abcdefg" * 14, "y" * 4000]
+    marks = G.digests([t.encode() for t in texts], rank)
+    assert all(len(m) for m in marks) and not len(G.digests([b""], rank)[0])
+    assert all(G.likeness(m, m) == 1 for m in marks)
+    assert G.likeness(marks[0], marks[1]) == 0 and G.likeness(marks[0], marks[5]) == 0
+    for text, mark in zip(texts[:3], marks):
+        changed = text[:3000] + tail[:1000]
+        assert G.likeness(mark, G.digests([changed.encode()], rank)[0]) > 0.5
+    falling = np.zeros(200, np.int64)
+    falling[10:60] = 1
+    falling[150] = 20
+    assert G._enough(falling, np.array([0, 100])).tolist() == [*range(10, 60), 150]
+    joined = G.features([b"x" * 100, b"x" * 100], rank)
+    assert joined[0].tolist() == [0, 1] and joined[1][0] == joined[1][1]
+    data = ("x" * 3000 + tail + "spam " * 500).encode()
+    whole = G.features([data], rank)[1].tolist()
+    monkeypatch.setattr(G, "SLICE_BYTES", 1000)
+    assert G._long_features(data, rank)[1].tolist() == whole
