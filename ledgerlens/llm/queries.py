@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.llm import (
-    decontaminate, digests, line_quality, mixing, ngram_join, personal_data,
-    quote_threads, secret_ledger, sharding, token_counts)
+    decontaminate, digests, filter_audit, line_quality, mixing, ngram_join, personal_data,
+    piece_coding, quote_threads, secret_ledger, sharding, spelling, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,3 +161,63 @@ def op9_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies of each document."""
     return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
+def _audit_sql() -> str:
+    letters = filter_audit.FILTERS
+    orders = ", ".join(f"('{o}')" for o in filter_audit.orders())
+    return rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t
+    FROM documents),
+f AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t)
+        THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS failed FROM f),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic
+    FROM labels GROUP BY doc_id),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good,
+    count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o AS (SELECT col0 AS filter_order, CAST(s AS INTEGER) AS step, substr(col0, CAST(s AS INTEGER), 1)
+    AS letter FROM (VALUES {orders}), range(1, {len(letters) + 1}) AS r(s)),
+p AS (SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (step = at), 0) AS removed,
+    coalesce(sum(n) FILTER (at > step), 0) AS kept,
+    coalesce(sum(n) FILTER (at < step AND contains(failed, letter)), 0) AS redundant,
+    coalesce(sum(n) FILTER (failed = letter), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (step = at), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (step = at), 0) AS toxic_lost
+    FROM (SELECT *, CASE WHEN failed = '' THEN {len(letters) + 1} ELSE list_min(list_transform(
+        string_split(failed, ''), lambda x: strpos(filter_order, x))) END AS at
+        FROM c, o) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM p"""
+
+
+@query(_audit_sql())
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each of their orders, for each source."""
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"),
+                                     _table(spark, sf_dir, "labels"))
+
+
+@query()
+def op12_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the text that they decode to."""
+    coded = piece_coding.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = piece_coding.decoded(coded.select("doc_id", "ids"))
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op13_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likely right form of each word of the documents."""
+    words = spelling.word_counts(_table(spark, sf_dir, "documents"))
+    return spelling.spelling_forms(words)
