@@ -183,14 +183,14 @@ c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good,
 o AS (SELECT col0 AS filter_order, CAST(s AS INTEGER) AS step, substr(col0, CAST(s AS INTEGER), 1)
     AS letter FROM (VALUES {orders}), range(1, {len(letters) + 1}) AS r(s)),
 p AS (SELECT part, filter_order, step, letter,
-    coalesce(sum(n) FILTER (step = at), 0) AS removed,
-    coalesce(sum(n) FILTER (at > step), 0) AS kept,
-    coalesce(sum(n) FILTER (at < step AND contains(failed, letter)), 0) AS redundant,
+    coalesce(sum(n) FILTER (step = gone), 0) AS removed,
+    coalesce(sum(n) FILTER (gone > step), 0) AS kept,
+    coalesce(sum(n) FILTER (gone < step AND contains(failed, letter)), 0) AS redundant,
     coalesce(sum(n) FILTER (failed = letter), 0) AS unique_fails,
-    coalesce(sum(good) FILTER (step = at), 0) AS good_lost,
-    coalesce(sum(toxic) FILTER (step = at), 0) AS toxic_lost
+    coalesce(sum(good) FILTER (step = gone), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (step = gone), 0) AS toxic_lost
     FROM (SELECT *, CASE WHEN failed = '' THEN {len(letters) + 1} ELSE list_min(list_transform(
-        string_split(failed, ''), lambda x: strpos(filter_order, x))) END AS at
+        string_split(failed, ''), lambda x: strpos(filter_order, x))) END AS gone
         FROM c, o) GROUP BY ALL)
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
     CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
