@@ -1,6 +1,7 @@
 """Conditional random fields, personal data and line quality."""
 
 import itertools
+import random
 import re
 import zlib
 
@@ -23,9 +24,10 @@ def paths(scores, moves):
             moves[a][b] for a, b in zip(path, path[1:]))
 
 
-@pytest.mark.parametrize("cells", [crf.CELLS, 4])
-def test_marginals_and_best_paths_by_enumeration(monkeypatch, cells):
+@pytest.mark.parametrize("cells, block", [(crf.CELLS, crf.BLOCK), (4, crf.BLOCK), (4, 2), (9, 1)])
+def test_marginals_and_best_paths_by_enumeration(monkeypatch, cells, block):
     monkeypatch.setattr(crf, "CELLS", cells)
+    monkeypatch.setattr(crf, "BLOCK", block)
     rng = np.random.default_rng(1)
     lengths = np.array([3, 1, 0, 5, 4, 1, 2])
     moves = rng.normal(size=(3, 3))
@@ -51,6 +53,20 @@ def test_marginals_and_best_paths_by_enumeration(monkeypatch, cells):
     assert np.allclose(expected, pairs)
 
 
+def test_a_long_chain_in_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    lengths = np.array([1500, 3, 700])
+    moves, scores = rng.normal(size=(4, 4)), rng.normal(size=(lengths.sum(), 4))
+    chance, expected = crf.marginals(scores, lengths, moves)
+    best = crf.viterbi(scores, lengths, moves)
+    monkeypatch.setattr(crf, "BLOCK", 1 << 30)
+    whole, counted = crf.marginals(scores, lengths, moves)
+    assert np.allclose(chance, whole) and np.allclose(expected, counted)
+    assert np.array_equal(best, crf.viterbi(scores, lengths, moves))
+    equal = crf.viterbi(np.zeros((1500, 3)), np.array([1500]), np.zeros((3, 3)))
+    assert not equal.any()  # of equal paths the smallest labels
+
+
 def test_training_learns_moves_and_repeats():
     rng = np.random.default_rng(2)
     lengths = np.full(60, 12)
@@ -120,20 +136,76 @@ def test_tagger_reads_texts_apart_from_each_other(tagger):
     assert together == [P.all_spans([t], tagger)[0] for t in texts]
 
 
-def test_tagging_keeps_held_out_formats(tagger):
-    """Labelled rows in frames that the tagger has not seen."""
+HELD_OUT = {"phone": "(0##) #### ####", "email": "josé.b@exämple.de", "ip": "192.168.1#.2#",
+            "card": "51##/####/####/####"}
+
+
+def test_formats_that_no_training_row_has():
+    formats = {k: tuple(f for f in forms if f != HELD_OUT.get(k)) for k, forms in P.FORMATS.items()}
+    own = P.train_tagger(P.labelled_examples(formats))
+    rng = random.Random(8)
     right = total = 0
-    for text, spans in P.labelled_examples()[::7]:
-        framed = "Footer — " + text + " — end"
-        got = P.tagged_spans([framed.encode()], tagger).get(0, [])
-        want = {(k, a + 9, b + 9) for k, a, b in spans}
-        raw = framed.encode()
-        got = {(k, len(raw[:a].decode()), len(raw[:b].decode())) for k, a, b in got}
-        right += got == want
-        total += 1
+    for kind, form in HELD_OUT.items():
+        for frame in ("Footer — {} — end", "reach me: {} or later", "see {}, thanks"):
+            for _ in range(5):
+                value = P.written(form, kind, rng)
+                text, start = frame.format(value), frame.index("{}")
+                base, more = P.all_spans([text.encode()], own)[0]
+                right += (kind, start, start + len(value)) in base + more
+                total += 1
     assert right / total >= 0.9
 
 
+def test_spans_that_only_the_field_finds(tagger):
+    for kind, form in (("card", "4###.####.####.####"), ("email", "josé.b@exämple.de"),
+                       ("ip", "2001:db8:0:#:8:8##:20#c:4#7a"), ("phone", "###.###.####")):
+        value = P.written(form, kind, random.Random(9))
+        base, more = P.all_spans([f"write {value} down".encode()], tagger)[0]
+        assert base == [] and more == [(kind, 6, 6 + len(value))]
+
+
+def test_spans_side_by_side_stay_apart(tagger):
+    values = [P.written("(###) ###-####", "phone", random.Random(i)) for i in range(6)]
+    _, more = P.all_spans([" ".join(values).encode()], tagger)[0]
+    assert more == [("phone", 15 * i, 15 * i + 14) for i in range(6)]
+
+
+def slow_added(raw, tagged, base):
+    for kind, a, b in tagged:
+        value, start = raw[a:b].decode(), len(raw[:a].decode())
+        end = start + len(value)
+        if P._certain(kind, value) and all(e <= start or end <= s for _, s, e in base):
+            yield kind, start, end
+
+
+def number_text(seed, n):
+    rng = random.Random(seed)
+    kinds = [(k, f) for k, forms in P.FORMATS.items() for f in forms]
+    out = []
+    for _ in range(n):
+        kind, form = rng.choice(kinds)
+        out += [P.written(form, kind, rng), rng.choice(["", "é", "und", "\n", "word word"])]
+    return " ".join(out)
+
+
+def test_long_texts_like_the_slow_way(tagger, monkeypatch):
+    raw = number_text(5, 4000).encode()
+    tagged = P.tagged_spans([raw], tagger)[0]
+    base = slow_base(raw.decode())
+    want = (base, list(slow_added(raw, tagged, base)))
+    assert P.all_spans([raw], tagger) == [want] and want[1]
+    monkeypatch.setattr(P, "PIECE_BYTES", 700)
+    assert len(list(P._pieces(raw))) > 20
+    assert P.all_spans([raw, b"", raw], tagger) == [want, ([], []), want]
+
+
+@pytest.mark.parametrize("text", ["9" * 60_000, "1." * 40_000, "a" * 90_000 + "@b", "a@" * 40_000,
+                                  "+1" + "(" * 90_000, "x.y@z." + "z." * 30_000])
+def test_base_spans_of_long_runs(text):
+    """Runs that a plain search would read again from each of their characters."""
+    assert len(P.base_spans(text)) <= len(text) // 8
+
+
 def test_personal_data_of_tables(spark):
     rows = awkward() + [(100 + i, t, "s") for i, t in enumerate(PERSONAL)]
     got = collect(P.personal_data(documents(spark, rows)))
