@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 CELLS = 1 << 16  # places, padding included, that are worked on at once
-BLOCK = 1 << 9  # places of a long chain that stay together
+BLOCK = 1 << 7  # places of a long chain that stay together
 NEVER = -1e9  # score of a forbidden label
 
 
@@ -86,26 +86,36 @@ class _Blocks:
             real = steps < sizes[some][:, None]
             yield some, np.where(real, self.starts[some][:, None] + steps, 0), real
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+    def ways(self, wanted: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """For the wanted blocks the ways from each label before them to each at their end;
+        a chain's first block has no label before it, only ways into it."""
+        out = np.zeros((len(self.sizes), len(self.moves), len(self.moves)))
+        for some, places, real in self.groups(wanted):
+            u = self.scores[places]
+            here = np.where(self.first[some][:, None, None], into[some][:, None], self.moves) \
+                + u[:, 0, None]
+            for t in range(1, u.shape[1]):
+                here = np.where(real[:, t, None, None],
+                                self.on(here, self.moves) + u[:, t, None], here)
+            out[some] = here
+        return out
+
+    def tables(self, enter: np.ndarray | None = None, leave: np.ndarray | None = None
+               ) -> tuple[np.ndarray, np.ndarray]:
         """Ways into each block's first place and out of its last one, by label.
 
-        Only chains of several blocks need more than zeros.
+        ``enter`` and ``leave`` are those of the chains, zeros by default; only the inner
+        blocks of long chains need more.
         """
-        kinds = len(self.moves)
-        into = np.zeros((len(self.sizes), kinds))
-        out = np.zeros((len(self.sizes), kinds))
+        into, out = (np.zeros((len(self.sizes), len(self.moves))) for _ in range(2))
+        if enter is not None:
+            into[self.first] = enter[self.chain[self.first]]
+        if leave is not None:
+            out[self.last] = leave[self.chain[self.last]]
         several = ~(self.first & self.last)
         if not several.any():
             return into, out
-        ways = np.zeros((len(self.sizes), kinds, kinds))  # from a label before to the last one
-        for some, places, real in self.groups(several):
-            u = self.scores[places]
-            here = np.where(self.first[some][:, None, None], 0.0, self.moves) + u[:, 0, None]
-            for t in range(1, u.shape[1]):
-                here = np.where(real[:, t, None, None],
-                                self.on(here, self.moves) + u[:, t, None], here)
-            ways[some] = here
-        ends = np.zeros(kinds)
+        ways, ends = self.ways(several, into), into[0]
         for b in np.flatnonzero(several).tolist():
             if not self.first[b]:
                 into[b] = self.combine(ends[:, None] + self.moves)
@@ -116,16 +126,34 @@ class _Blocks:
         return into, out
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray
+def chain_ways(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Ways from each label before a part of a chain to each label at its end."""
+    blocks = _Blocks(scores, np.array([len(scores)]), moves, _spread, _spread_on)
+    blocks.first[:] = False
+    each = blocks.ways(np.ones(len(blocks.sizes), bool), np.zeros((len(blocks.sizes), len(moves))))
+    whole = each[0]
+    for one in each[1:]:
+        whole = onward(whole, one)
+    return whole
+
+
+def onward(state: np.ndarray, ways: np.ndarray) -> np.ndarray:
+    """A state (or several) carried on along ways from label to label."""
+    return _spread(state[..., None] + ways)
+
+
+def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, *,
+              enter: np.ndarray | None = None, leave: np.ndarray | None = None
               ) -> tuple[np.ndarray, np.ndarray]:
     """Chance of each label at each place, and the expected number of each move.
 
-    ``scores`` holds the places of all chains one after the other.
+    ``scores`` holds the places of all chains one after the other.  ``enter`` and ``leave``
+    are the ways into and out of each chain, if it is a part of a longer one.
     """
     out = np.zeros(scores.shape)
     expected = np.zeros(moves.shape)
     blocks = _Blocks(scores, lengths, moves, _spread, _spread_on)
-    into, leave = blocks.tables()
+    into, leave = blocks.tables(enter, leave)
     head, tail = np.zeros(into.shape), np.zeros(into.shape)
     for some, places, real in blocks.groups():
         rows, ends = np.arange(len(some)), blocks.sizes[some] - 1

@@ -11,6 +11,14 @@ KEY = "__key"
 CHUNK = 1 << 16
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like the given one that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def unit_interval(*parts: Column) -> Column:
     """A reproducible number in [0, 1) for the given values."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))

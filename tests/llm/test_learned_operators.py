@@ -283,3 +283,77 @@ def test_quality_of_awkward_rows(spark):
     got = collect(Q.scored(docs, Q.fit(docs, table), score="score"))
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     assert Q.scored(documents(spark, []), model).count() == 0
+
+
+def lines_of(seed, n):
+    rng = random.Random(seed)
+    return "\n".join(rng.choice(["a", "b c", "", "!!", "AB", "buy now buy now", "One more line."])
+                     for _ in range(n)).encode()
+
+
+@pytest.fixture(scope="module")
+def quality_model():
+    rng = np.random.default_rng(4)
+    width = Q.line_features([b""])[0].shape[1]
+    return crf.Model(rng.normal(size=(width, 2)) * 0.3, rng.normal(size=(2, 2)))
+
+
+def test_scores_without_the_wide_table(quality_model):
+    texts = [lines_of(i, n) for i, n in enumerate((1, 2, 3, 40))] + [b"", b"\n"]
+    table = Q.line_features(texts)[0]
+    assert np.allclose(Q.line_scores(texts, quality_model.weights)[0], table @ quality_model.weights)
+
+
+@pytest.mark.parametrize("lines, size", [(7, 1 << 20), (1 << 14, 50), (1, 1 << 20), (100, 300)])
+def test_a_long_text_in_pieces_has_the_same_score(quality_model, monkeypatch, lines, size):
+    texts = [lines_of(7, 400), lines_of(8, 1), b"\n" * 300, b"x" * 900 + b"\n" + lines_of(9, 50),
+             lines_of(10, 60) + b"\n", b""]
+    whole = Q.document_scores(texts, quality_model)
+    monkeypatch.setattr(Q, "PIECE_LINES", lines)
+    monkeypatch.setattr(Q, "PIECE_BYTES", size)
+    ends = list(Q._piece_ends(texts[0]))
+    assert len(ends) > 3 and ends == sorted(set(ends)) and ends[-1] == len(texts[0]) + 1
+    assert np.allclose(Q.document_scores(texts, quality_model), whole)
+
+
+def test_very_many_short_lines_in_bounded_memory(quality_model):
+    import resource
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    Q.document_scores([b"a\n" * 1_000_000], quality_model)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # in KB
+
+
+def test_sampled_lines_lie_all_over_a_text():
+    raw = b"\n".join(b"w" * (i % 50) for i in range(1000))
+    table = Q.line_features([raw])[0]
+    seen = set()
+    for key in range(40):
+        parts = Q.sampled_lines(raw, str(key))
+        assert [len(p) for p in parts] == [16] * 4
+        for n, part in enumerate(parts):
+            at = next(i for i in range(250 * n, 250 * (n + 1) - 15)
+                      if np.allclose(table[i:i + 16], part))
+            seen.add(at // 100)
+    assert seen == set(range(10))
+    assert np.allclose(Q.sampled_lines(raw[:300], "1")[0], Q.line_features([raw[:300]])[0])
+
+
+def test_quality_of_other_ids_labels_and_names(spark):
+    rows, labels = quality_rows()
+    plain = documents(spark, rows)
+    want = Q.fit(plain, spark.createDataFrame(labels, "doc_id long, quality int"))
+    named = plain.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")) \
+        .withColumns({"_score": F.lit(7.5), "__score": F.lit("x"), "Score": F.lit(1)})
+    table = spark.createDataFrame([(f"d{i}", q) for i, q in labels] + [("d1", 2), ("d2", None)],
+                                  "doc_id string, quality int")
+    model = Q.fit(named, table)
+    assert model.weights.shape == want.weights.shape
+    kept = Q.good_documents(named, model)
+    assert kept.columns == named.columns
+    got = collect(kept)
+    assert got and all(r["_score"] == 7.5 and r["__score"] == "x" and r["Score"] == 1 for r in got)
+    # Rows of one id count once, whatever their number.
+    many = plain.unionByName(plain.where("doc_id = 3").withColumn("c", F.explode(
+        F.sequence(F.lit(1), F.lit(50)))).drop("c"))
+    again = Q.fit(many, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert np.allclose(again.weights, want.weights)
