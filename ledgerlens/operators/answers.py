@@ -12,6 +12,7 @@ from ledgerlens import constants as K
 from ledgerlens.functions.intents import all_intents, report_kind, route
 from ledgerlens.operators import reports as R, search as S
 from ledgerlens.operators.phrase_join import valid_pattern
+from ledgerlens.sources.storage import regrouped
 
 
 SEARCHES = (K.PII_SEARCH, K.AML_SEARCH, K.REG_SEARCH)
@@ -52,10 +53,10 @@ class Found:
     def spread(self, per_set: DataFrame) -> DataFrame:
         """Rows per set of keys as rows per question.
 
-        Both sides are plain tables, so Spark can split a set that very many questions
-        share.
+        ``per_set`` is mostly an aggregate by set; it is shuffled anew, so that Spark can split
+        a set that very many questions share.
         """
-        named = per_set.withColumnRenamed("question_id", "set_id")
+        named = regrouped(per_set.withColumnRenamed("question_id", "set_id"), "set_id")
         return self.members.join(named, "set_id").select(
             *[F.col(c) for c in per_set.columns])
 

@@ -4,14 +4,15 @@
 tested in one pass over the records.  Many phrases get a key: a phrase can only
 occur in a text that also contains any chosen piece of that phrase, so one
 piece per phrase is joined on, and the full test runs on the pairs that share
-it.  Both ways are exact and neither pairs every record with every phrase.
+it.  Only ids and pieces take part in that join; a text is joined to its pairs
+once, afterwards.  Both ways are exact and neither pairs every record with every
+phrase.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
@@ -33,9 +34,11 @@ NO_PIECE = "none"
 COMMON = ("letter", NO_PIECE)
 # Most phrases written into the plan as constants.
 LITERAL_PHRASES = 64
-# Most phrases, and most bytes of them, that are sent to every executor.
-BROADCAST_PHRASES = 100_000
+# Most bytes of phrases and their pieces that are sent to every executor.
 BROADCAST_BYTES = 32 << 20
+# One record in so many tells how frequent pieces are in texts.  This only chooses pieces;
+# any choice gives the same result.
+FREQUENCY_SHARE = 64
 
 
 def _pieces(text: Column, kind: str) -> Column:
@@ -104,13 +107,10 @@ def _required(regex: bool) -> Column:
     return F.transform(_literal_runs(F.col("phrase")), lambda run: _fold(run, True))
 
 
-def phrase_keys(distinct: DataFrame, *, regex: bool = False) -> DataFrame:
-    """The join keys of each distinct phrase: ``phrase, kind, piece, others``.
+def _phrase_pieces(distinct: DataFrame, regex: bool) -> DataFrame:
+    """``phrase, n, kind, piece``: all pieces of alternative ``n`` of each phrase.
 
-    A phrase has one key, a pattern one for each alternative, all of one kind: the best kind
-    that every alternative holds.  The piece shared with the fewest other phrases is taken,
-    so that wording common to many questions does not become one hot key.  ``others`` are
-    the phrase's smaller pieces.
+    All alternatives of a phrase use one kind: the best that every one of them holds.
     """
     order = list(PIECES)
     level = F.lit(len(order))
@@ -125,35 +125,46 @@ def phrase_keys(distinct: DataFrame, *, regex: bool = False) -> DataFrame:
         at = F.col("level") == i
         pieces = F.when(at, _pieces(F.col("run"), name)).otherwise(pieces)
         kind = F.when(at, name).otherwise(kind)
-    keyed = runs.select("phrase", "n", kind.alias("kind"),
-                        F.explode(F.array_distinct(pieces)).alias("piece"))
-    shared = keyed.groupBy("piece").agg(F.count("*").alias("uses"))
-    chosen = keyed.join(shared, "piece").groupBy("phrase", "kind", "n").agg(
-        F.min_by("piece", F.struct("uses", "piece")).alias("piece"))
-    return chosen.groupBy("phrase", "kind").agg(F.collect_set("piece").alias("all")) \
-        .select("phrase", "kind", "all", F.explode("all").alias("piece")) \
-        .select("phrase", "kind", "piece",
-                F.filter("all", lambda other: other < F.col("piece")).alias("others"))
+    return runs.select("phrase", "n", kind.alias("kind"),
+                       F.explode(F.array_distinct(pieces)).alias("piece"))
 
 
-def _holds(pattern: str):
-    return lambda run: run.rlike(pattern)
+def phrase_keys(distinct: DataFrame, *, regex: bool = False, records: DataFrame | None = None,
+                record_id: str = "id", text: str = "text") -> DataFrame:
+    """The join keys of each distinct phrase: ``phrase, kind, piece``.
 
+    A phrase has one key, a pattern one for each alternative.  The piece in the fewest texts
+    is taken, as one record in ``FREQUENCY_SHARE`` tells, and of equal ones the piece shared
+    with the fewest other phrases, so that wording common to many texts or questions does
+    not become a hot key.  Pieces and their numbers are written before they are joined, so
+    that Spark can split a piece that very many phrases have.
+    """
+    keyed = materialise(_phrase_pieces(distinct, regex), "phrase-pieces")
+    shared = materialise(keyed.groupBy("piece", "kind").agg(F.count("*").alias("uses")),
+                         "pieces")
+    if records is not None:
+        some = records.where(F.pmod(F.xxhash64(record_id), F.lit(FREQUENCY_SHARE)) == 0)
+        kinds = [r["kind"] for r in shared.select("kind").distinct().collect()]
+        texts = some.select(_record_pieces(_fold(F.col(text), regex),
+                                           [k for k in kinds if k not in COMMON])) \
+            .join(shared.select("piece"), "piece", "left_semi") \
+            .groupBy("piece").agg(F.count("*").alias("texts"))
+        shared = materialise(shared.join(texts, "piece", "left").fillna(0, ["texts"]),
+                             "piece-numbers")
+    else:
+        shared = shared.withColumn("texts", F.lit(0))
+    return keyed.join(shared.drop("kind"), "piece").groupBy("phrase", "kind", "n").agg(
+        F.min_by("piece", F.struct("texts", "uses", "piece")).alias("piece")) \
+        .select("phrase", "kind", "piece").distinct()
 
-def _first_key(folded: Column) -> Column:
-    """Of several keys of one phrase that a text has, only the first one counts."""
-    blanks = " \t\n\x0b\x0c\r"
-
-    def emitted(other: Column) -> Column:
-        after_blank = reduce(or_, [folded.contains(F.concat(F.lit(b), other)) for b in blanks])
-        return F.when(F.col("kind") == WORD, after_blank).otherwise(folded.contains(other))
 
-    return ~F.exists("others", emitted)
+def _holds(pattern: str):
+    return lambda run: run.rlike(pattern)
 
 
 def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFrame, phrase: str, *,
                 regex: bool = False, literal_phrases: int = LITERAL_PHRASES,
-                broadcast_phrases: int = BROADCAST_PHRASES) -> DataFrame:
+                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every (record, phrase) with the phrase in the text, ignoring case.
 
     Returns the record columns plus ``phrase``.  With ``regex`` the phrase is a
@@ -161,11 +172,12 @@ def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFram
     however many phrases there are.  ``record_id`` must be unique.
 
     The phrase side decides the way, in small jobs over the phrases alone: up to
-    ``literal_phrases`` distinct ones become constants of a single projection;
-    up to ``broadcast_phrases`` their pieces are broadcast and the records are
-    not shuffled; beyond that ids and pieces are shuffled, and the records join
-    once on their id.  A few phrases without a word piece among many with one
-    are tested as constants, so that they do not make every text emit all kinds.
+    ``literal_phrases`` distinct ones become constants of a single projection; of more,
+    the pieces are joined with those of the texts.  They are broadcast up to
+    ``broadcast_bytes`` of them; beyond that ids and pieces are shuffled.  The pairs found
+    are written and the records join them once on their id.  A few phrases without a word
+    piece among many with one are tested as constants, so that they do not make every text
+    emit all kinds.
     """
     distinct = phrases.select(F.col(phrase).alias("phrase")).where("phrase is not null").distinct()
     if regex:
@@ -177,17 +189,23 @@ def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFram
     if len(few) <= literal_phrases:
         return _match_constants(records, text, few, regex)
 
-    keys = materialise(phrase_keys(distinct, regex=regex), "phrase-keys")
-    kinds = {row["kind"]: row["n"] for row in
-             keys.groupBy("kind").agg(F.count_distinct("phrase").alias("n")).collect()}
-    others = sum(n for kind, n in kinds.items() if kind != WORD)
+    keys = materialise(phrase_keys(distinct, regex=regex, records=records, record_id=record_id,
+                                   text=text), "phrase-keys")
+    kinds = {row["kind"]: row for row in keys.groupBy("kind").agg(
+        F.count_distinct("phrase").alias("n"),
+        F.sum(F.octet_length("phrase") + F.octet_length("piece")).alias("bytes")).collect()}
+    others = sum(row["n"] for kind, row in kinds.items() if kind != WORD)
+    constant = []
     if WORD in kinds and 0 < others <= literal_phrases:
-        rest = constants.join(keys.where(F.col("kind") != WORD), "phrase", "left_semi").collect()
-        by_word = keys.where(F.col("kind") == WORD)
-        return _match_constants(records, text, rest, regex).unionByName(
-            _match_pieces(records, record_id, text, by_word, {WORD: kinds[WORD]}, regex,
-                          broadcast_phrases))
-    return _match_pieces(records, record_id, text, keys, kinds, regex, broadcast_phrases)
+        constant = constants.join(keys.where(F.col("kind") != WORD), "phrase",
+                                  "left_semi").collect()
+        keys, kinds = keys.where(F.col("kind") == WORD), {WORD: kinds[WORD]}
+    found = _match_pieces(records, record_id, text, keys,
+                          {kind: row["bytes"] for kind, row in kinds.items()}, regex,
+                          broadcast_bytes)
+    if constant:
+        found = found.unionByName(_match_constants(records, text, constant, regex))
+    return found
 
 
 def _match_constants(records: DataFrame, text: str, phrases: list[Row], regex: bool) -> DataFrame:
@@ -205,35 +223,33 @@ def _match_constants(records: DataFrame, text: str, phrases: list[Row], regex: b
 
 
 def _match_pieces(records: DataFrame, record_id: str, text: str, keys: DataFrame,
-                  kinds: dict[str, int], regex: bool, broadcast_phrases: int) -> DataFrame:
-    if sum(kinds.values()) <= broadcast_phrases and _bytes(keys) <= BROADCAST_BYTES:
-        return _match_broadcast(records, text, keys, kinds, regex)
-
-    rare = {kind: n for kind, n in kinds.items() if kind not in COMMON}
-    pieces = _record_pieces(_fold(F.col(text), regex), rare)
-    pairs = records.select(record_id, pieces).join(
-        keys.where(~F.col("kind").isin(*COMMON)).select("piece", "phrase"), "piece") \
-        .select(record_id, "phrase").distinct()
-    found = records.join(pairs, record_id).where(_contains(text, regex)) \
-        .select(*records.columns, "phrase")
-
+                  kinds: dict[str, int], regex: bool, broadcast_bytes: int) -> DataFrame:
+    """``kinds`` are those of the keys, with the bytes of each."""
+    folded = _fold(F.col(text), regex)
+    common = F.col("kind").isin(*COMMON)
+    rare = {kind: size for kind, size in kinds.items() if kind not in COMMON}
+    parts = []
+    if rare:
+        side = keys.where(~common).select("piece", "phrase")
+        parts.append(records.select(record_id, _record_pieces(folded, rare)).join(
+            F.broadcast(side) if sum(rare.values()) <= broadcast_bytes else side, "piece")
+            .select(record_id, "phrase"))
     # Phrases with only a common piece would pair with nearly every record; they are
     # broadcast in portions, where the join itself applies the full test.
-    common = {kind: n for kind, n in kinds.items() if kind in COMMON}
-    portions = max(-(-sum(common.values()) // max(1, broadcast_phrases)),
-                   -(-_bytes(keys.where(F.col("kind").isin(*COMMON))) // BROADCAST_BYTES))
+    left = {kind: size for kind, size in kinds.items() if kind in COMMON}
+    portions = -(-sum(left.values()) // max(1, broadcast_bytes))
     portion = F.pmod(F.xxhash64("phrase"), F.lit(max(1, portions)))
     for number in range(portions):
-        part = keys.where(F.col("kind").isin(*COMMON) & (portion == number))
-        found = found.unionByName(_match_broadcast(records, text, part, common, regex))
-    return found
-
-
-def _bytes(keys: DataFrame) -> int:
-    """Bytes of the texts of the keys."""
-    size = F.octet_length("phrase") + F.octet_length("piece") \
-        + F.octet_length(F.array_join("others", ""))
-    return keys.agg(F.sum(size)).first()[0] or 0
+        part = keys.where(common & (portion == number)).select("piece", "phrase")
+        parts.append(records.select(record_id, text, _record_pieces(folded, left))
+                     .join(F.broadcast(part), "piece")
+                     .where(_contains(F.col(text), regex)).select(record_id, "phrase"))
+    pairs = materialise(reduce(DataFrame.unionByName, parts).distinct(), "phrase-pairs")
+    # Each text is folded once, however many phrases it may hold.
+    content = F.coalesce(F.col(text), F.lit("")) if regex else folded
+    return records.withColumn("__content", content).join(pairs, record_id) \
+        .where(_contains(F.col("__content"), regex, folded=True)) \
+        .select(*records.columns, "phrase")
 
 
 def _record_pieces(folded: Column, kinds: Iterable[str]) -> Column:
@@ -242,19 +258,7 @@ def _record_pieces(folded: Column, kinds: Iterable[str]) -> Column:
     return F.explode(F.array_distinct(F.concat(none, *found))).alias("piece")
 
 
-def _contains(text: str, regex: bool) -> Column:
+def _contains(content: Column, regex: bool, folded: bool = False) -> Column:
     if regex:
-        content = F.coalesce(F.col(text), F.lit(""))
-        return F.rlike(content, F.concat(F.lit("(?iu)"), "phrase"))
-    return _fold(F.col(text), regex).contains(_fold(F.col("phrase"), regex))
-
-
-def _match_broadcast(records: DataFrame, text: str, keys: DataFrame, kinds: Iterable[str],
-                     regex: bool) -> DataFrame:
-    """The caller has bounded the keys."""
-    return (
-        records.select("*", _record_pieces(_fold(F.col(text), regex), kinds))
-        .join(F.broadcast(keys), "piece")
-        .where(_first_key(_fold(F.col(text), regex)) & _contains(text, regex))
-        .select(*records.columns, "phrase")
-    )
+        return F.rlike(F.coalesce(content, F.lit("")), F.concat(F.lit("(?iu)"), "phrase"))
+    return (content if folded else _fold(content, regex)).contains(_fold(F.col("phrase"), regex))

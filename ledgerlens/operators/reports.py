@@ -23,6 +23,7 @@ from ledgerlens.operators.metrics import (
     deadline_coverage, lacks_owner_or_deadline, missing_split, risk_summary)
 from ledgerlens.operators.search import (
     counts_per_question, filter_obligations, ranked_first, top_per_question, transaction_order)
+from ledgerlens.sources.storage import regrouped
 
 LINE_COLUMNS = ("question_id", "section", "ord", "line")
 
@@ -82,7 +83,8 @@ def message_line() -> Column:
 
 def message_report(keys: DataFrame, hits: DataFrame) -> DataFrame:
     """Headline, totals by risk and one line per hit; ``hits`` as shown."""
-    totals = keys.join(risk_summary(hits, "search_key"), "search_key", "left")
+    totals = keys.join(regrouped(risk_summary(hits, "search_key"), "search_key"),
+                       "search_key", "left")
     summary = F.format_string(K.PII_TOTAL, "total", "critical", "high", "medium", "low")
     lines = hits.select("search_key", F.lit(2).alias("section"),
                         F.col("message_id").alias("ord"), message_line().alias("line"))

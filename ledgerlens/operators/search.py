@@ -18,7 +18,7 @@ from ledgerlens.functions.intents import mentions_notice
 from ledgerlens.functions.lists import compact
 from ledgerlens.functions.text import contains_any, is_missing, strip
 from ledgerlens.operators.phrase_join import phrase_join
-from ledgerlens.sources.storage import materialise
+from ledgerlens.sources.storage import materialise, regrouped
 
 # Cannot occur in a question, so a phrase never matches across two fields.
 FIELD_BREAK = "\x01"
@@ -351,13 +351,13 @@ def first_hits(hits: DataFrame, record_id: str, limit: int = K.RAW_HIT_LIMIT) ->
 # --- results per question --------------------------------------------------
 
 def per_question(keys: DataFrame, hits: DataFrame) -> DataFrame:
-    """Every (question, hit)."""
+    """Every (question, hit).  Hits that were aggregated or numbered by key: regroup them."""
     return keys.select("question_id", "search_key").join(hits, "search_key").drop("search_key")
 
 
 def counts_per_question(keys: DataFrame, hits: DataFrame) -> DataFrame:
     """``question_id, hit_count``, zero included; hits are counted once per key."""
-    per_key = hits.groupBy("search_key").agg(F.count("*").alias("n"))
+    per_key = regrouped(hits.groupBy("search_key").agg(F.count("*").alias("n")), "search_key")
     return keys.join(per_key, "search_key", "left").groupBy("question_id").agg(
         F.sum(F.coalesce("n", F.lit(0))).alias("hit_count"))
 
@@ -365,7 +365,7 @@ def counts_per_question(keys: DataFrame, hits: DataFrame) -> DataFrame:
 def top_per_question(keys: DataFrame, hits: DataFrame, order: Sequence[Column],
                      n: int) -> DataFrame:
     """First ``n`` hits per question with ``rank``; at most ``n`` rows leave each key."""
-    top = ranked_first(hits, "search_key", order, n).drop("rank")
+    top = regrouped(ranked_first(hits, "search_key", order, n).drop("rank"), "search_key")
     return ranked_first(per_question(keys, top), "question_id", order, n)
 
 

@@ -11,6 +11,7 @@ from ledgerlens.plans.registry import query
 from ledgerlens.plans.search_queries import MESSAGE_MATCH
 from ledgerlens.plans.tagging_queries import AS_OF, EXTENDED_SQL
 from ledgerlens.sources import views
+from ledgerlens.sources.storage import regrouped
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def pii_result_risk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = S.message_keys(asked)
     hits = S.match_messages(views.corpus(spark, sf_dir, [K.PII_SEARCH]).tagged_messages, keys)
     per_key = M.risk_summary(hits, "search_key")
-    return S.per_question(keys, per_key)
+    return S.per_question(keys, regrouped(per_key, "search_key"))
 
 
 _TOPIC = Q.views("oblig", "topic")

@@ -45,7 +45,12 @@ def _file_schema(header: Sequence[str], schema: StructType) -> StructType:
     return StructType([known.get(name, StructField(name, StringType())) for name in header])
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, *,
+def csv_header(spark: SparkSession, path: str | Sequence[str], **options) -> list[str]:
+    """The column names of a CSV file, or of the first one of a folder."""
+    return spark.read.options(**{**CSV_READ, **options}).csv(path).columns
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType, *,
              multi_line: bool = True) -> DataFrame:
     """CSV with a header; columns are found by name, absent ones come out null.
 
@@ -58,7 +63,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, *,
     as_text = StructType([
         StructField(f.name, StringType() if isinstance(f.dataType, ArrayType) else f.dataType)
         for f in schema.fields])
-    header = spark.read.options(**options).csv(path).columns
+    header = csv_header(spark, path, multiLine=multi_line)
     df = spark.read.options(**options, enforceSchema=False) \
         .schema(_file_schema(header, as_text)).csv(path)
     columns = []
@@ -190,3 +195,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     columns and rows instead of computing it again.
     """
     return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
+
+
+def regrouped(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows with a shuffle of their own behind them.
+
+    Spark splits a key that very many rows of a join share only if both sides come straight
+    out of a shuffle.  A side that was just aggregated (or numbered) by the join key does
+    not: it would be joined where it lies.  Dealt by another hash it is shuffled for the
+    join once more, which costs little after an aggregate.
+    """
+    return df.repartition(F.xxhash64(F.lit("regrouped"), *[F.col(k) for k in keys]))

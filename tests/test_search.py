@@ -198,7 +198,7 @@ def brute(phrases, match):
 
 
 @pytest.mark.parametrize("options", [
-    {}, {"literal_phrases": 0}, {"literal_phrases": 0, "broadcast_phrases": 0},
+    {}, {"literal_phrases": 0}, {"literal_phrases": 0, "broadcast_bytes": 40},
     {"literal_phrases": 9}])
 def test_phrase_join_matches_brute_force(spark, options):
     records = spark.createDataFrame(RECORDS, "id string, text string")
@@ -210,7 +210,7 @@ def test_phrase_join_matches_brute_force(spark, options):
 
 
 @pytest.mark.parametrize("options", [
-    {}, {"literal_phrases": 0}, {"literal_phrases": 0, "broadcast_phrases": 0}])
+    {}, {"literal_phrases": 0}, {"literal_phrases": 0, "broadcast_bytes": 40}])
 def test_pattern_join_matches_brute_force(spark, options):
     import re
     records = spark.createDataFrame(RECORDS, "id string, text string")
@@ -239,7 +239,7 @@ def test_alternatives_and_groups_have_pieces(spark):
 
 
 @pytest.mark.parametrize("options", [
-    {}, {"literal_phrases": 0}, {"literal_phrases": 0, "broadcast_phrases": 0}])
+    {}, {"literal_phrases": 0}, {"literal_phrases": 0, "broadcast_bytes": 40}])
 def test_pattern_join_folds_letters_like_the_pattern_does(spark, options):
     records = spark.createDataFrame(
         [("1", "a mi\u017fsed letter"), ("2", "273 \u212aelvin"), ("3", "ΟΔΟΣΑ"),
@@ -267,6 +267,22 @@ def test_phrase_keys_avoid_shared_pieces(spark):
     assert {r["kind"] for r in rows} == {"word"}
 
 
+def test_phrase_keys_avoid_pieces_of_many_texts(spark):
+    texts = [(str(i), f"number {i} about elephants") for i in range(3000)]
+    records = spark.createDataFrame([*texts, ("x", "some crocodiles")], "id string, text string")
+    phrases = spark.createDataFrame([("about elephants and zebrafish",)], "phrase string")
+    keys = phrase_keys(phrases, records=records).collect()
+    assert [r["piece"] for r in keys] not in ([["elephant"]], [["about el"]])
+
+
+def test_texts_do_not_take_part_in_the_join_of_pieces(spark):
+    records = spark.createDataFrame(RECORDS, "id string, text string")
+    phrases = spark.createDataFrame([(p,) for p in PHRASES], "p string")
+    got = phrase_join(records, "id", "text", phrases, "p", literal_phrases=0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == 1
+
+
 def test_many_random_phrases(spark):
     """Phrases cut out of the texts at random places, all ways against each other."""
     import random
@@ -281,7 +297,7 @@ def test_many_random_phrases(spark):
     records = spark.createDataFrame(texts, "id string, text string")
     frame = spark.createDataFrame([(p,) for p in phrases], "p string")
     expected = sorted((i, p) for i, t in texts for p in phrases if p in t)
-    for options in ({"literal_phrases": 5}, {"literal_phrases": 0, "broadcast_phrases": 0},
+    for options in ({"literal_phrases": 5}, {"literal_phrases": 0, "broadcast_bytes": 40},
                     {"literal_phrases": 1000}):
         got = phrase_join(records, "id", "text", frame, "p", **options)
         assert sorted((r["id"], r["phrase"]) for r in got.collect()) == expected
