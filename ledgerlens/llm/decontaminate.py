@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from ledgerlens.llm.batches import slices
+from ledgerlens.llm.rows import unused
+from ledgerlens.sources.storage import materialise
 
 WINDOW = 13
-PORTION_BYTES = 4 << 20  # benchmark text that one search holds in memory
+PORTION_BYTES = 4 << 20  # benchmark text of one search
+PORTIONS_AT_ONCE = 4  # searches that are held in memory together
 DIRTY = 20  # contaminated from one hit word in so many
 LANE = 2048  # window starts that one pointer walks over
 BLOCK = 8
@@ -20,9 +23,8 @@ MARK = 0xFF  # between documents; never part of UTF-8
 SPACE = 0x20
 
 RESULTS = ("n_words", "n_hit", "items", "contaminated")
-STATE = StructType([StructField("__n_words", LongType()), StructField("__n_hit", LongType()),
-                    StructField("__items", ArrayType(StringType())),
-                    StructField("__hit", BinaryType())])
+STATE = (("n_words", LongType()), ("n_hit", LongType()), ("items", ArrayType(StringType())),
+         ("hit", BinaryType()))
 
 
 def _fold_table() -> np.ndarray:
@@ -139,9 +141,12 @@ def searches(strings: list[bytes]) -> list[tuple[Search, np.ndarray]]:
             for _, members in sorted(classes.items())]
 
 
-def _searcher(items: list[tuple[str, str | None]], width: int
-              ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds what one portion of the benchmark hits to the rows of a partition."""
+def _searcher(items: list[tuple[str, str | None]], width: int, names_of: dict[str, str]
+              ) -> Callable[[Iterator[pa.RecordBatch], str], Iterator[pa.RecordBatch]]:
+    """Adds what one portion of the benchmark hits to the rows of a partition.
+
+    ``names_of`` are the columns that hold the state.
+    """
 
     def run(batches: Iterator[pa.RecordBatch], text_column: str) -> Iterator[pa.RecordBatch]:
         names = [name for name, _ in items]
@@ -172,7 +177,8 @@ def _searcher(items: list[tuple[str, str | None]], width: int
             lists: dict[int, set[str]] = {}
             for d, k in set(zip(doc.tolist(), which.tolist())):
                 lists.setdefault(d, set()).update(names[i] for i in holders[strings[k]])
-            old_hit, old_items = (batch.column(c).to_pylist() for c in ("__hit", "__items"))
+            old_hit, old_items = (
+                batch.column(names_of[c]).to_pylist() for c in ("hit", "items"))
             new_hit, new_items, n_hit = [], [], []
             for d in range(len(texts)):
                 mask = hit[first[d]:first[d] + counts[d]] if d in lists else None
@@ -183,10 +189,10 @@ def _searcher(items: list[tuple[str, str | None]], width: int
                 n_hit.append(0 if mask is None else int(mask.sum()))
                 new_hit.append(None if mask is None else np.packbits(mask).tobytes())
                 new_items.append(sorted(lists.get(d, set()).union(old_items[d] or ())))
-            new = {"__n_words": pa.array(counts, pa.int64()),
-                   "__n_hit": pa.array(n_hit, pa.int64()),
-                   "__items": pa.array(new_items, pa.list_(pa.string())),
-                   "__hit": pa.array(new_hit, pa.binary())}
+            new = {"n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
+                   "items": pa.array(new_items, pa.list_(pa.string())),
+                   "hit": pa.array(new_hit, pa.binary())}
+            new = {names_of[c]: values for c, values in new.items()}
             yield pa.RecordBatch.from_arrays(
                 [new.get(name, batch.column(name)) for name in batch.schema.names],
                 names=batch.schema.names)
@@ -195,25 +201,38 @@ def _searcher(items: list[tuple[str, str | None]], width: int
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, width: int, portion_bytes: int,
-              text_column: str, item_column: str, item_text: str) -> DataFrame:
-    """The documents with the columns of ``STATE`` and ``__dirty``."""
+              text_column: str, item_column: str, item_text: str) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with columns for ``RESULTS``, and the names of these.
+
+    The names are ones that the documents don't have.
+    """
     total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     portions = max(1, -(-total // portion_bytes))
     ids = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("i"),
                            F.col(item_text).alias("t"))
-    schema = StructType([*docs.schema.fields, *STATE.fields])
+    names = {c: unused(docs, f"found_{c}") for c in ("n_words", "n_hit", "items", "hit",
+                                                     "contaminated")}
+    fields = [StructField(names[c], kind) for c, kind in STATE]
+    schema = StructType([*docs.schema.fields, *fields])
     state = docs.select(*[F.col(f"`{c}`") for c in docs.columns],
-                        *[F.lit(None).cast(f.dataType).alias(f.name) for f in STATE.fields])
+                        *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    held = []
     for k in range(portions):
+        if len(held) == PORTIONS_AT_ONCE:
+            state = materialise(state, "searched")
+            for one in held:
+                one.destroy()
+            held = []
         part = ids.where(F.pmod(F.xxhash64("i", "t"), F.lit(portions)) == k)
-        held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+        held.append(docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()]))
 
-        def run(batches, held=held):
-            return _searcher(held.value, width)(batches, text_column)
+        def run(batches, items=held[-1]):
+            return _searcher(items.value, width, names)(batches, text_column)
 
         state = state.mapInArrow(run, schema)
-    hit = F.col("__n_hit")
-    return state.withColumn("__dirty", (hit > 0) & (hit * DIRTY >= F.col("__n_words")))
+    hit = F.col(names["n_hit"])
+    return state.withColumn(names["contaminated"],
+                            (hit > 0) & (hit * DIRTY >= F.col(names["n_words"]))), names
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW,
@@ -222,22 +241,25 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW
     """The documents with ``n_words, n_hit, items, contaminated``.
 
     ``items`` are the ids, as sorted strings, of the benchmark items with an occurring
-    window.  The benchmark is searched in portions of bounded text; each portion is read to
-    the driver, broadcast, and searched in the same pass over the documents, so documents
-    are neither shuffled nor read again.  Hit words of all portions are joined.  A null
+    window.  The benchmark is searched in portions of ``portion_bytes`` of text; each is read
+    to the driver, broadcast and searched.  ``PORTIONS_AT_ONCE`` of them share one pass over
+    the documents, which are not shuffled; of a larger benchmark what was found so far is
+    written and the portions are given up before the next ones are read, so neither the
+    driver nor a task ever holds more of it.  Hit words of all portions are joined.  A null
     text has no words; an item without words hits nothing; an item without id counts under
     the empty id; items that share an id count once.  An existing column of a result's
     name is replaced.
     """
-    found = _searched(docs, benchmark, width, portion_bytes, text_column, item_column, item_text)
-    names = dict(zip(RESULTS, ("__n_words", "__n_hit", "__items", "__dirty")))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names],
-                        *[F.col(c).alias(name) for name, c in names.items()])
+    found, names = _searched(docs, benchmark, width, portion_bytes, text_column, item_column,
+                             item_text)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS],
+                        *[F.col(names[c]).alias(c) for c in RESULTS])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW,
                     portion_bytes: int = PORTION_BYTES, text_column: str = "text",
                     item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents without the contaminated ones, all columns as they were."""
-    found = _searched(docs, benchmark, width, portion_bytes, text_column, item_column, item_text)
-    return found.where("not __dirty").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found, names = _searched(docs, benchmark, width, portion_bytes, text_column, item_column,
+                             item_text)
+    return found.where(~F.col(names["contaminated"])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,18 +5,22 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ledgerlens.llm.batches import slices
+from ledgerlens.llm.rows import ranked
+from ledgerlens.sources.storage import materialise
 
 WIDTH = 32  # bytes of a window
 NEIGHBOURS = 32  # windows among which the most improbable one gets a vote
 VOTES = 8  # that make a window a feature
-SHORT = 96  # texts of fewer bytes give all windows of SHORT_WIDTH
+SHORT = 256  # texts of fewer bytes also give all windows of SHORT_WIDTH
 SHORT_WIDTH = 8
 LEVELS = 1000  # of entropy
 WEAK = 100  # windows below this level say nothing; they are chosen last
@@ -124,27 +128,9 @@ def _hashes(data: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def features(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the text and hash of each feature, in order, each hash once per text."""
-    data = np.frombuffer(b"".join(texts) + bytes(SHORT_WIDTH), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    long = sizes >= SHORT
-    found = []
-    if long.any():
-        votes = _pooled(data, _votes(data, starts[long], ends[long], rank), ends)
-        places = _enough(votes, starts[long])
-        found.append((np.searchsorted(ends, places, "right"), places,
-                      _hashes(data, places, WIDTH)))
-    for i in np.flatnonzero(~long & (sizes > 0)).tolist():
-        text = texts[i].ljust(SHORT_WIDTH, b"\0")
-        places = np.arange(len(text) - SHORT_WIDTH + 1)
-        found.append((np.full(len(places), i), starts[i] + places,
-                      _hashes(np.frombuffer(text, np.uint8), places, SHORT_WIDTH)))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    text, place, value = (np.concatenate(x) for x in zip(*found))
+def _once(text: np.ndarray, place: np.ndarray, value: np.ndarray
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """Features in order of text and place, each hash once per text."""
     order = np.lexsort((place, value, text))
     text, place, value = text[order], place[order], value[order]
     first = np.ones(len(text), bool)
@@ -154,6 +140,37 @@ def features(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return text[order], value[order]
 
 
+def features(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the text and hash of each feature, in order, each hash once per text.
+
+    A text of fewer bytes than a window and its neighbours has none.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    long = sizes >= WIDTH + NEIGHBOURS - 1
+    if not long.any():
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    votes = _pooled(data, _votes(data, starts[long], ends[long], rank), ends)
+    places = _enough(votes, starts[long])
+    return _once(np.searchsorted(ends, places, "right"), places, _hashes(data, places, WIDTH))
+
+
+def short_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of ``SHORT_WIDTH`` bytes of the texts under ``SHORT`` bytes."""
+    found = []
+    for i, text in enumerate(texts):
+        if 0 < len(text) < SHORT:
+            padded = text.ljust(SHORT_WIDTH, b"\0")
+            places = np.arange(len(padded) - SHORT_WIDTH + 1)
+            found.append((np.full(len(places), i), places,
+                          _hashes(np.frombuffer(padded, np.uint8), places, SHORT_WIDTH)))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return _once(*(np.concatenate(x) for x in zip(*found)))
+
+
 def _segments(text: bytes) -> list[tuple[int, int]]:
     """A very long text in parts; each run of neighbours lies whole in one of them."""
     step, reach = SLICE_BYTES, WIDTH + NEIGHBOURS - 2
@@ -187,21 +204,37 @@ def _filters(text: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(packed, np.cumsum(chains)[:-1])
 
 
-def digests(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
-    """The chain of filters of each text, 32 words of 64 bits each; none for an empty text."""
-    out: list[np.ndarray] = []
+class Digest(NamedTuple):
+    """Chains of filters, 32 words of 64 bits each: of improbable windows, of small ones.
+
+    A text under ``SHORT`` bytes has the second, one of ``WIDTH + NEIGHBOURS - 1`` or more the
+    first, an empty one none; so texts whose sizes don't differ fourfold share a kind.
+    """
+
+    windows: np.ndarray
+    small: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.windows) + len(self.small)
+
+
+def digests(texts: list[bytes], rank: np.ndarray) -> list[Digest]:
+    """The digest of each text."""
+    out: list[Digest] = []
     group: list[bytes] = []
 
     def flush() -> None:
         if group:
-            out.extend(_filters(*features(group, rank), len(group)))
+            windows = _filters(*features(group, rank), len(group))
+            out.extend(map(Digest, windows, _filters(*short_features(group), len(group))))
             group.clear()
 
     size = 0
     for text in texts:
         if len(text) > 2 * SLICE_BYTES:
             flush()
-            out.extend(_filters(*_long_features(text, rank), 1))
+            out.append(Digest(_filters(*_long_features(text, rank), 1)[0],
+                              np.empty((0, FILTER_BITS // 64), np.uint64)))
             size = 0
             continue
         if size + len(text) > SLICE_BYTES:
@@ -213,15 +246,25 @@ def digests(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def likeness(one: np.ndarray, other: np.ndarray) -> float:
+def likeness(one: Digest, other: Digest) -> float:
     """Overlap of two digests, 0 to 1, beyond what chance explains.
 
-    Each filter of the shorter chain is held against its best partner; the overlap is
-    scaled from the expected one (plus a margin) to the greatest possible one, and filters
-    count by their bits.  Two empty digests are equal; an empty one is like no other.
+    Small windows are compared if both digests have them, improbable ones otherwise.  Each
+    filter of the shorter chain is held against its best partner; the overlap is scaled
+    from the expected one (plus a margin) to the greatest possible one, and filters count by
+    their bits.  Two empty digests are equal; an empty one is like no other, and neither are
+    two without a kind in common.
     """
     if not len(one) or not len(other):
         return float(len(one) == len(other))
+    if len(one.small) and len(other.small):
+        return _overlap(one.small, other.small)
+    if len(one.windows) and len(other.windows):
+        return _overlap(one.windows, other.windows)
+    return 0.0
+
+
+def _overlap(one: np.ndarray, other: np.ndarray) -> float:
     if len(one) > len(other):
         one, other = other, one
     ours, theirs = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (one, other))
@@ -235,8 +278,9 @@ def likeness(one: np.ndarray, other: np.ndarray) -> float:
     return min(1.0, total / int(ours.sum()))
 
 
-def spelled(digest: np.ndarray) -> str:
-    return base64.b64encode(digest.tobytes()).decode()
+def spelled(digest: Digest) -> str:
+    """Both chains as text; the empty digest is the empty text."""
+    return ".".join(base64.b64encode(x.tobytes()).decode() for x in digest) if len(digest) else ""
 
 
 def edited(text: str, following: str) -> str:
@@ -271,12 +315,17 @@ def fit_rarity(docs: DataFrame, text_column: str = "text") -> np.ndarray:
     return rarity({r["level"]: r["n"] for r in counts.collect()})
 
 
-RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-          "edited_fingerprint string, near_edited double, near_next double")
-ANSWER = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()),
-                    *[(c, pa.string()) for c in ("edited_sha256", "fingerprint",
-                                                 "edited_fingerprint")],
-                    ("near_edited", pa.float64()), ("near_next", pa.float64())])
+RESULT = (("n_chars", "long", pa.int64()), ("edited_sha256", "string", pa.string()),
+          ("fingerprint", "string", pa.string()), ("edited_fingerprint", "string", pa.string()),
+          ("near_edited", "double", pa.float64()), ("near_next", "double", pa.float64()))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``doc_id, text`` with ``number``, a long that sorts like the id; null stays null."""
+    if isinstance(rows.schema["doc_id"].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        return rows.withColumn("number", F.col("doc_id").cast("long"))
+    ids = ranked(rows.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "number")
+    return rows.join(materialise(ids, "ids"), "doc_id", "left")
 
 
 def edit_fingerprints(docs: DataFrame, rank: np.ndarray | None = None, *,
@@ -287,17 +336,18 @@ def edit_fingerprints(docs: DataFrame, rank: np.ndarray | None = None, *,
     near_next``.  The next text follows by id, then by text; after the last comes the
     first.  Ids are cut into ranges of about ``BUCKET_BYTES``; each range is sorted and read
     as a stream, and the first text of the next range is sent along with it, so no task
-    needs another's rows.  A null text is empty; null ids come first; a single row is its
+    needs another's rows.  Ids that are no whole numbers are numbered in their order first.  A
+    null text is empty; null ids come first; a single row is its
     own successor; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     rank = fit_rarity(docs, text_column) if rank is None else rank
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    size, low, nulls = rows.agg(F.sum(F.octet_length("text")), F.min("doc_id"),
-                                F.count_if(F.col("doc_id").isNull())).first()
+    rows = _numbered(docs.select(F.col(id_column).alias("doc_id"),
+                                 F.coalesce(F.col(text_column), F.lit("")).alias("text")))
+    size, low, nulls = rows.agg(F.sum(F.octet_length("text")), F.min("number"),
+                                F.count_if(F.col("number").isNull())).first()
     buckets = min(MOST_BUCKETS, max(1, -(-(size or 0) // BUCKET_BYTES)))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)],
+    cuts = rows.agg(F.percentile_approx("number", [i / buckets for i in range(1, buckets)],
                                         max(10_000, 4 * buckets))).first()[0] \
         if buckets > 1 else None
     bounds = np.array(sorted({c for c in cuts or () if c > low or nulls}), np.int64)
@@ -313,14 +363,15 @@ def edit_fingerprints(docs: DataFrame, rank: np.ndarray | None = None, *,
         opens[at > 0] = cuts[at[at > 0] - 1] == known[at > 0]
         return pd.Series(2 * at + opens)
 
-    first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(low)
+    first = F.col("number").isNull() if nulls else F.col("number") == F.lit(low)
     own = F.floor(F.col("r") / 2).cast("int")
     seats = F.array_compact(F.array(
         F.struct(own.alias("bucket"), F.lit(False).alias("after")),
         F.when(F.col("r") % 2 == 1, F.struct((own - 1).alias("bucket"), F.lit(True).alias("after"))),
         F.when(first, F.struct(F.lit(len(bounds)).alias("bucket"), F.lit(True).alias("after")))))
-    dealt = rows.withColumn("r", range_of("doc_id")).withColumn("seat", F.explode(seats)) \
-        .select("seat.bucket", "seat.after", "doc_id", "text")
+    dealt = rows.withColumn("r", range_of("number")).withColumn("seat", F.explode(seats)) \
+        .select("seat.bucket", "seat.after", "number", "doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, waiting = held.value[1], []
@@ -329,22 +380,25 @@ def edit_fingerprints(docs: DataFrame, rank: np.ndarray | None = None, *,
             waiting = [] if lines[-1][1] else [lines[-1]]
             out = _answers(lines, ranks)
             if out:
-                yield pa.RecordBatch.from_pylist(out, ANSWER)
+                yield pa.RecordBatch.from_pylist(out, pa.schema([
+                    ("doc_id", batch.schema.field("doc_id").type),
+                    *[(name, arrow) for name, _, arrow in RESULT]]))
 
     return dealt.repartition("bucket") \
-        .sortWithinPartitions("bucket", "after", F.col("doc_id").asc_nulls_first(), "text") \
-        .mapInArrow(run, RESULT)
+        .sortWithinPartitions("bucket", "after", F.col("number").asc_nulls_first(), "text") \
+        .mapInArrow(run, ", ".join([f"doc_id {kind}", *[f"{n} {t}" for n, t, _ in RESULT]]))
 
 
 def _answers(lines: list[tuple], rank: np.ndarray) -> list[dict]:
-    """Result rows of all lines (bucket, after, id, text) but the last, from their successors."""
+    """Result rows of all lines (bucket, after, number, id, text) but the last, from their
+    successors."""
     marks = digests([text.encode() for *_, text in lines], rank)
     todo = [i for i in range(len(lines) - 1) if not lines[i][1]]
-    changed = [edited(lines[i][3], lines[i + 1][3]).encode() for i in todo]
+    changed = [edited(lines[i][4], lines[i + 1][4]).encode() for i in todo]
     out = []
     for i, data, mark in zip(todo, changed, digests(changed, rank)):
         out.append({
-            "doc_id": lines[i][2], "n_chars": len(lines[i][3]),
+            "doc_id": lines[i][3], "n_chars": len(lines[i][4]),
             "edited_sha256": hashlib.sha256(data).hexdigest(),
             "fingerprint": spelled(marks[i]), "edited_fingerprint": spelled(mark),
             "near_edited": likeness(marks[i], mark),

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.llm.rows import (
-    COPIES, KEY, distinct_rows, keyed, ranked, repeated, take_copies, unit_interval)
+    COPIES, KEY, distinct_rows, keyed, ranked, repeated, row_key, take_copies, unit_interval,
+    unpacked)
 from ledgerlens.sources.storage import materialise
 
 SEED = 20_240_602
@@ -128,11 +129,11 @@ def pivotal(items: DataFrame, widest: int, seed: int = SEED) -> DataFrame:
 def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
         most: float = MOST, seed: int = SEED, id_column: str = "doc_id",
         text_column: str = "text", source_column: str = "source",
-        key_column: str | None = None) -> DataFrame:
+        key: Column | None = None) -> DataFrame:
     """How often the mix takes each distinct row.
 
-    One row for rows equal in id, source, size and key (the text's checksum, or the column
-    named): ``doc_id, key, source, size, source_size, target, __copies`` (equal rows),
+    One row for rows equal in id, source, size and key (the text's checksum, or the one
+    given): ``doc_id, key, source, size, source_size, target, __copies`` (equal rows),
     ``base`` (copies that each of them gives) and ``extra`` (how many of them give one
     more).  All rows of a source share one rate, its target by its size; the whole part of
     the rate is given to all, the rest is rounded by ``pivotal``.  Equal rows are
@@ -141,8 +142,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = S
     table gives an empty result; other columns are ignored.
     """
     text = F.col(text_column)
-    key = F.col(key_column) if key_column else \
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    key = F.crc32(F.coalesce(text, F.lit("")).cast("binary")) if key is None else key
     counted = materialise(distinct_rows(docs.select(
         F.col(id_column).alias("doc_id"), key.alias("key"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -180,8 +180,8 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix has them: each row as often as it is taken."""
-    rows = keyed(docs)
-    decided = mix(rows, key_column=KEY, **options).select(
+    decided = mix(docs, key=row_key(docs), **options).select(
         F.col("key").alias(KEY), COPIES,
         (F.col("base") * F.col(COPIES) + F.col("extra")).alias("__take"))
-    return take_copies(rows, decided, "__take", "__index").select(*docs.columns)
+    return take_copies(keyed(docs), decided, "__take", "__index") \
+        .select(*unpacked(*docs.columns))

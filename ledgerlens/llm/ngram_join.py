@@ -21,13 +21,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerlens.llm.batches import slices
 from ledgerlens.llm.hashing import mixed, span_hashes
-from ledgerlens.llm.rows import COPIES, KEY, keyed, take_copies
-from ledgerlens.sources.storage import materialise
+from ledgerlens.llm.rows import COPIES, KEY, keyed, row_key, take_copies, unpacked
+from ledgerlens.sources.storage import materialise, regrouped
 
 NGRAM = 4
 PERCENT = 85  # of the union that two linked sets share
 SLOT_BYTES = 8 << 20  # text whose shingles one step holds in memory
-MOST_SLOTS = 1 << 16
 FREQUENT = 32  # documents that make a shingle frequent
 MOST_FREQUENT = 1 << 20  # frequent shingles that are told apart; at 5 bytes each
 SLICE_BYTES = 1 << 18  # text that is cut into shingles at once
@@ -112,12 +111,11 @@ def frequent_shingles(docs: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarr
             size += len(held[-1])
             if last or size > 1 << 20:
                 value, count = np.unique(np.concatenate(held), return_counts=True)
-                cuts = np.searchsorted(_slot(value.astype(np.uint64) << np.uint64(32), slots),
-                                       np.arange(slots + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                pieces = [slice(cuts[s], cuts[s + 1]) for s in full]
+                full, cuts = np.unique(_slot(value.astype(np.uint64) << np.uint64(32), slots),
+                                       return_index=True)
+                pieces = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(value)])]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(full, pa.int64()),
+                    pa.array(full.astype(np.int64)),
                     pa.array([_planes(value[p]) for p in pieces], pa.binary()),
                     pa.array([_planes(np.minimum(count[p], 65535).astype(np.uint16))
                               for p in pieces], pa.binary())], names=["slot", "v", "n"])
@@ -198,13 +196,13 @@ def index_lists(docs: DataFrame, slots: int, percent: int = PERCENT) -> DataFram
                 columns = [np.concatenate(c) for c in zip(*held)]
                 slot = _slot(columns[0], slots)
                 order = np.argsort(slot, kind="stable")
-                cuts = np.searchsorted(slot[order], np.arange(slots + 1))
-                full = np.flatnonzero(np.diff(cuts))
+                full, cuts = np.unique(slot[order], return_index=True)
+                pieces = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(slot)])]
                 columns = [c[order] for c in columns]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int64()),
-                     *[pa.array([_planes(c[cuts[s]:cuts[s + 1]]) for s in full], pa.binary())
-                       for c in columns]], names=["slot", "token", "node", "n", "pos"])
+                    [pa.array(full.astype(np.int64)),
+                     *[pa.array([_planes(c[p]) for p in pieces], pa.binary()) for c in columns]],
+                    names=["slot", "token", "node", "n", "pos"])
                 held, size = [], 0
 
     def join(table: pa.Table) -> pa.Table:
@@ -349,12 +347,12 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each connected component of ``a, b``.
 
     Alternating large and small stars: each node sends its larger (then its smaller)
-    neighbours to the smallest one it knows.  Only minima and joins; a node with very many
-    neighbours is a skewed join key, which Spark splits.
+    neighbours to the smallest one it knows.  Only minima and joins; the minima are shuffled
+    anew, so that Spark can split the join at a node with very many neighbours.
     """
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        least = regrouped(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "a")
         joined = both.join(least, "a")
         if large:
             return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -391,7 +389,7 @@ def linked_nodes(docs: DataFrame, each: DataFrame, percent: int = PERCENT) -> Da
     connected by links.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slots = min(MOST_SLOTS, max(1, -(-size // SLOT_BYTES)))
+    slots = max(1, -(-size // SLOT_BYTES))
     lists = materialise(index_lists(docs, slots, percent), "lists")
 
     nodes = materialise(
@@ -519,7 +517,7 @@ def _classes(each: DataFrame, labels: DataFrame, least: Column) -> DataFrame:
     """``node, top``: the least value in the class of each set that is not empty."""
     per_node = each.where("n_shingles > 0").groupBy("node").agg(F.min(least).alias("least")) \
         .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tops = per_node.groupBy("label").agg(F.min("least").alias("top"))
+    tops = regrouped(per_node.groupBy("label").agg(F.min("least").alias("top")), "label")
     return per_node.join(tops, "label").select("node", "top")
 
 
@@ -550,8 +548,8 @@ def first_of_each_class(docs: DataFrame, *, percent: int = PERCENT, id_column: s
     Texts without words are in no class and all stay.  Of rows equal in all columns one
     stays.
     """
-    rows = keyed(docs)
-    narrow = rows.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), KEY)
+    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"),
+                         row_key(docs).alias(KEY))
     each = materialise(digests(narrow), "digests")
     labels = materialise(linked_nodes(narrow, each, percent), "linked")
     best = F.struct(F.col("doc_id"), F.col(KEY))
@@ -561,5 +559,5 @@ def first_of_each_class(docs: DataFrame, *, percent: int = PERCENT, id_column: s
     kept = counts.where("n_shingles > 0").join(tops, KEY, "left_semi") \
         .select(KEY, COPIES, F.lit(1).alias("__take"))
     empty = counts.where("n_shingles = 0").select(KEY, COPIES, F.col(COPIES).alias("__take"))
-    return take_copies(rows, kept.unionByName(empty), "__take", "__index") \
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    return take_copies(keyed(docs), kept.unionByName(empty), "__take", "__index") \
+        .select(*unpacked(*docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.llm.rows import repeated
-from ledgerlens.sources.storage import materialise
+from ledgerlens.sources.storage import materialise, regrouped
 
 QUOTE = r"^((?:[ \t]*>)+)"  # a line's quote marks
 OTHER = "\x00"  # stands for a line of another level
@@ -95,7 +95,8 @@ def link_quotes(messages: DataFrame, *, scope: str = "conv_id", order: str = "tu
     outermost level counts, there the longest passage, then the earliest original; single
     lines of a passage count only if nothing larger is found.  ``matched`` is the level.  The
     originals are reduced to one row per scope and hash before the join, so a passage that
-    many messages say or quote makes no pairs.  Messages without a scope or an order never
+    many messages say or quote makes no pairs, and are shuffled anew, so that Spark can split
+    one that very many quote.  Messages without a scope or an order never
     link.
     """
     once = messages.select(F.col(scope).alias("scope"), F.col(order).alias("place"),
@@ -114,7 +115,7 @@ def link_quotes(messages: DataFrame, *, scope: str = "conv_id", order: str = "tu
         .select("scope", "place", "id", "q.level", "q.loose", "q.size", "q.hash")
     original = F.when(F.col("whole.place") < F.col("place"), F.col("whole")) \
         .when(F.col("part.place") < F.col("place"), F.col("part"))
-    found = asked.join(said, ["scope", "hash"]).withColumn("original", original) \
+    found = asked.join(regrouped(said, "scope", "hash"), ["scope", "hash"]).withColumn("original", original) \
         .where("original is not null").groupBy("id").agg(F.min(F.struct(
             "loose", "level", (-F.col("size")).alias("size"), "original")).alias("m"))
     return parsed.join(found, "id", "left").select(

@@ -8,6 +8,7 @@ from ledgerlens.sources.storage import materialise
 
 COPIES = "__copies"
 KEY = "__key"
+ROW = "__row"
 CHUNK = 1 << 16
 
 
@@ -81,9 +82,23 @@ def ranked(df: DataFrame, column: str, rank: str) -> DataFrame:
         .withColumn(rank, (F.col("__start") + place).cast("long")).drop("__part", "__start")
 
 
+def row_key(df: DataFrame) -> Column:
+    """A key of all values of a row; equal rows have equal keys."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def keyed(df: DataFrame) -> DataFrame:
-    """The rows with a key of all their values; equal rows have equal keys."""
-    return df.withColumn(KEY, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    """Whole rows as one struct, ``ROW``, with their key.
+
+    The table's own names lie inside the struct and clash with none that are added.
+    """
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW),
+                     row_key(df).alias(KEY))
+
+
+def unpacked(*names: str) -> list[Column]:
+    """The named columns of packed rows."""
+    return [F.col(f"{ROW}.`{c}`") for c in names]
 
 
 def take_copies(rows: DataFrame, decided: DataFrame, times: str, index: str) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ledgerlens.sources.storage import path_exists, shared_folder
+from ledgerlens.sources.storage import path_exists, regrouped, shared_folder
 
 
 def either_case(word: str) -> str:
@@ -49,17 +49,20 @@ def _label(rule: Rule) -> str:
 
 def unseen_contents(versions: DataFrame, rules: Sequence[Rule], scanned: DataFrame | None
                     ) -> DataFrame:
-    """``blob_id, text, due``: each content once, with the rules that have not seen it."""
+    """``blob_id, text, due``: each content once, with the rules that have not seen it.
+
+    Equal contents are reduced to one before they meet the ledger.
+    """
     due = F.array(*[F.lit(_label(r)) for r in rules])
+    contents = versions.select("blob_id", "text").dropDuplicates(["blob_id"])
     if scanned is None:
-        return versions.select("blob_id", "text").dropDuplicates(["blob_id"]) \
-            .withColumn("due", due)
+        return contents.withColumn("due", due)
     seen = scanned.where(F.col("rule").isin([_label(r) for r in rules])) \
         .groupBy("blob_id").agg(F.collect_set("rule").alias("seen"))
-    return versions.select("blob_id", "text").join(seen, "blob_id", "left") \
+    return contents.join(seen, "blob_id", "left") \
         .withColumn("due", F.when(F.col("seen").isNull(), due)
                     .otherwise(F.array_except(due, F.col("seen")))) \
-        .where(F.size("due") > 0).drop("seen").dropDuplicates(["blob_id"])
+        .where(F.size("due") > 0).drop("seen")
 
 
 def find(contents: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -145,7 +148,9 @@ def secrets_by_path(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RUL
     place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     per_blob = ledger.findings(rules).groupBy("blob_id").agg(F.sort_array(F.collect_list(
         F.struct("start", place[F.col("kind")].alias("place"), "end", "kind"))).alias("spans"))
-    return paths.select("doc_id", "blob_id").join(per_blob, "blob_id", "left") \
+    # Shuffled anew, so that Spark can split a content that very many paths hold.
+    return paths.select("doc_id", "blob_id") \
+        .join(regrouped(per_blob, "blob_id"), "blob_id", "left") \
         .select("doc_id", "blob_id", F.coalesce("spans", F.array()).alias("spans"))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.llm.rows import (
-    COPIES, KEY, distinct_rows, keyed, repeated, running_total, take_copies, text_bytes)
+    COPIES, KEY, distinct_rows, keyed, repeated, running_total, take_copies, text_bytes, unpacked)
 from ledgerlens.sources.storage import materialise
 
 SEED = 20_240_601
@@ -114,5 +114,5 @@ def sharded_documents(docs: DataFrame, shards: int = 8, seed: int = SEED) -> Dat
     placed = take_copies(rows, numbered(rows.select(KEY), total), COPIES, "__index") \
         .withColumn("row_number", F.col("__first") + F.col("__index"))
     return with_places(placed, total, shards, seed) \
-        .select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")],
+        .select(*unpacked(*[c for c in docs.columns if c.lower() not in ("shard", "slot")]),
                 "shard", "slot")
