@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlens import constants as K
 from ledgerlens.functions.text import clean_for_vectors
+from ledgerlens.operators import vector_cells
 from ledgerlens.operators.search import ranked_first
+from ledgerlens.operators.vector_cells import task_functions
 
-# Most query vectors sent to every executor (about 60 MB at 1,500 dimensions).
-BROADCAST_QUERIES = 5_000
-# Rows of either side that meet in one group beyond that size.
-BLOCK_ROWS = 20_000
+# Most bytes of query vectors sent to every executor; more are searched by cells.
+BROADCAST_BYTES = 64 << 20
 TEXT_DIMENSIONS = 512
+WORD = "[\\p{L}\\p{N}]+"
 
 
 def vector_text(tagged: DataFrame, record_id: str = "transaction_id") -> DataFrame:
@@ -30,21 +30,74 @@ def vector_text(tagged: DataFrame, record_id: str = "transaction_id") -> DataFra
         .where(F.length("text") > 0)
 
 
-def fit_text_model(texts: DataFrame, dimensions: int = TEXT_DIMENSIONS) -> PipelineModel:
-    """Weighted word-hash features of unit length; save and load like any Spark ML model."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="words", pattern="[^\\p{L}\\p{N}]+"),
-        HashingTF(inputCol="words", outputCol="counts", numFeatures=dimensions),
-        IDF(inputCol="counts", outputCol="weighted"),
-        Normalizer(inputCol="weighted", outputCol="features"),
-    ]).fit(texts)
+def word_buckets(text: Column, dimensions: int) -> Column:
+    """The feature number of each word: the first half of its MD5, by remainder."""
+    def bucket(word: Column) -> Column:
+        head = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long")
+        return F.pmod(head, F.lit(dimensions)).cast("int")
 
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), bucket)
 
-def embed_texts(texts: DataFrame, model: PipelineModel) -> DataFrame:
-    """``id, vector``; a text without words has nothing to embed and is dropped."""
-    vectors = model.transform(texts).select(
-        "id", vector_to_array("features", "float32").alias("vector"), F.size("words").alias("n"))
-    return vectors.where("n > 0").drop("n")
+
+@dataclass(frozen=True)
+class TextModel:
+    """The weight of each word feature: the rarer among the texts, the heavier."""
+
+    weights: tuple[float, ...]
+
+    @property
+    def dimensions(self) -> int:
+        return len(self.weights)
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame(list(enumerate(self.weights)), "bucket int, weight double") \
+            .coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> TextModel:
+        rows = spark.read.parquet(path).collect()
+        return TextModel(tuple(r["weight"] for r in sorted(rows)))
+
+
+def fit_text_model(texts: DataFrame, dimensions: int = TEXT_DIMENSIONS) -> TextModel:
+    """Weights from all texts; one count for each feature reaches the driver."""
+    buckets = F.array_distinct(word_buckets(F.col("text"), dimensions))
+    # A mark that no feature has counts the texts in the same pass.
+    seen = texts.select(F.explode(F.concat(buckets, F.array(F.lit(-1)))).alias("bucket")) \
+        .groupBy("bucket").count().collect()
+    counts = {r["bucket"]: r["count"] for r in seen}
+    n = counts.get(-1, 0)
+    return TextModel(tuple(math.log((n + 1) / (counts.get(b, 0) + 1)) for b in range(dimensions)))
+
+
+def embed_texts(texts: DataFrame, model: TextModel) -> DataFrame:
+    """``id, vector``: weighted word counts of unit length, in one projection.
+
+    A text without words has nothing to embed and is dropped; one whose words all have no
+    weight is the zero vector.
+    """
+    weights = F.array(*[F.lit(w) for w in model.weights])
+    table = texts.select("id", word_buckets(F.col("text"), model.dimensions).alias("words")) \
+        .where(F.size("words") > 0)
+    entries = F.transform(F.array_sort(F.array_distinct("words")), lambda b: F.struct(
+        b.alias("b"), (F.size(F.filter("words", lambda x: x == b)) * F.get(F.col("weights"), b))
+        .alias("w")))
+    table = table.select("id", "words", weights.alias("weights")) \
+        .select("id", entries.alias("e"))
+    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0.0).cast("float"), n)
+
+    def piece(entry: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("e"), i - 1)["b"])
+        value = F.when(F.col("length") > 0, entry["w"] / F.col("length")).otherwise(0.0)
+        return F.concat(zeros(entry["b"] - before - 1), F.array(value.cast("float")))
+
+    last = F.element_at("e", -1)["b"]
+    return table.withColumn("length", length).select("id", F.concat(
+        F.flatten(F.transform("e", piece)), zeros(F.lit(model.dimensions) - 1 - last))
+        .alias("vector"))
 
 
 def vector_table(df: DataFrame, record_id: str, vector: str,
@@ -73,70 +126,31 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
         .select("id", F.col("v.x").alias("vector"))
 
 
-def _task_functions(k: int):
-    """The two functions tasks run.
-
-    Nested, so that they travel with the job and workers need not have this
-    package installed.
-    """
-
-    def matrix(column: pd.Series) -> np.ndarray:
-        return np.stack(column.to_numpy()).astype(np.float64)
-
-    def nearest(ids: np.ndarray, rows: np.ndarray,
-                queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """k smallest squared distances of each query, ties by id.
-
-        One matrix product finds the candidates: all within rounding of the k-th distance.
-        Their distances are then computed from the differences.
-        """
-        size, other = ((x * x).sum(axis=1) for x in (rows, queries))
-        found = []
-        step = max(1, (1 << 22) // max(1, len(rows)))
-        for start in range(0, len(queries), step):
-            part = queries[start:start + step]
-            rough = size - 2 * (part @ rows.T) + other[start:start + step, None]
-            if len(ids) > k:
-                scale = size.max(initial=0.0) + other[start:start + step]
-                limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * scale
-            else:
-                limit = np.full(len(part), np.inf)
-            for query, distances, most in zip(part, rough, limit):
-                near = np.flatnonzero(distances <= most)
-                gap = rows[near] - query
-                squared = np.einsum("ij,ij->i", gap, gap)
-                order = np.lexsort((ids[near], squared))[:k]
-                found.append((ids[near][order], squared[order]))
-        return found
-
-    return matrix, nearest
-
-
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K.NEIGHBOURS, *,
-                       broadcast_queries: int = BROADCAST_QUERIES,
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
+                       broadcast_bytes: int = BROADCAST_BYTES, **cells) -> DataFrame:
     """Exact k nearest vectors per query: ``query_id, id, distance, rank``.
 
-    Distance is the square of the Euclidean one; ties go to the smaller id.
-    The query side is read up to a limit.  If that is all of it, each task keeps
-    its own best k per query and only those are shuffled.  If not, both sides
-    are cut into blocks of bounded size and each pair of blocks is one task.
+    Distance is the square of the Euclidean one; ties go to the smaller id.  Query vectors
+    of ``broadcast_bytes`` together at most are sent to every task, each task keeps its own
+    best k per query and only those are shuffled.  More are searched through cells around
+    trained centres, where most pairs of blocks are skipped unread; ``cells`` are options of
+    ``vector_cells.build``.  Query ids are distinct.
     """
     k_type = vectors.schema["id"].dataType.simpleString()
     q_type = queries.schema["id"].dataType.simpleString()
     found = f"query_id {q_type}, id {k_type}, distance double"
-    few = queries.select("id", "vector").limit(broadcast_queries + 1).toPandas()
-    if len(few) <= broadcast_queries:
+    size = queries.agg(F.sum(8 * F.size("vector"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        few = queries.select("id", "vector").toPandas()
         local = _neighbours_by_broadcast(vectors, few, k, found)
-    else:
-        local = _neighbours_by_block(vectors, queries, k, found, block_rows)
-    best = ranked_first(local, "query_id", [F.asc("distance"), F.asc("id")], k)
-    return best.select("query_id", "id", "distance", "rank")
+        best = ranked_first(local, "query_id", [F.asc("distance"), F.asc("id")], k)
+        return best.select("query_id", "id", "distance", "rank")
+    return vector_cells.search(vector_cells.build(vectors, **cells), queries, k)
 
 
 def _neighbours_by_broadcast(vectors: DataFrame, queries: pd.DataFrame, k: int,
                              found: str) -> DataFrame:
-    matrix, nearest = _task_functions(k)
+    matrix, _, nearest = task_functions(k)
     shared = vectors.sparkSession.sparkContext.broadcast((
         queries["id"].to_numpy(),
         matrix(queries["vector"]) if len(queries) else np.zeros((0, 0))))
@@ -162,36 +176,6 @@ def _neighbours_by_broadcast(vectors: DataFrame, queries: pd.DataFrame, k: int,
     return vectors.select("id", "vector").mapInPandas(search, found)
 
 
-def _neighbours_by_block(vectors: DataFrame, queries: DataFrame, k: int, found: str,
-                         block_rows: int) -> DataFrame:
-    vector_blocks = max(1, -(-vectors.count() // block_rows))
-    query_blocks = max(1, -(-queries.count() // block_rows))
-    matrix, nearest = _task_functions(k)
-
-    def block(blocks: int):
-        return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-
-    def every(blocks: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = vectors.select(block(vector_blocks).alias("v"), every(query_blocks).alias("q"),
-                          "id", "vector")
-    right = queries.select(every(vector_blocks).alias("v"), block(query_blocks).alias("q"),
-                           "id", "vector")
-
-    def search(near_side: pd.DataFrame, query_side: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "id": [], "distance": []})]
-        if len(near_side) and len(query_side):
-            ids, rows = near_side["id"].to_numpy(), matrix(near_side["vector"])
-            out = []
-            answers = nearest(ids, rows, matrix(query_side["vector"]))
-            for query_id, (near, squared) in zip(query_side["id"], answers):
-                out.append(pd.DataFrame({"query_id": query_id, "id": near, "distance": squared}))
-        return pd.concat(out)
-
-    return left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(search, found)
-
-
 def neighbours_with_record(neighbours: DataFrame, records: DataFrame, record_id: str) -> DataFrame:
     """Attach the record behind each neighbour, by id."""
     return neighbours.join(records.withColumnRenamed(record_id, "id"), "id")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from ledgerlens.operators import vectors as V
+from ledgerlens.operators import vector_cells as C, vectors as V
 from ledgerlens.operators.tagging import tag_transactions
 from ledgerlens.plans import vector_queries
 from ledgerlens.sources import views
@@ -26,7 +26,7 @@ def brute(rows, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_queries": 0, "block_rows": 17}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "cell_rows": 20, "block_bytes": 300}, {"broadcast_bytes": 0}])
 def test_neighbours_match_brute_force(spark, options):
     rng = random.Random(3)
     rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(150)]
@@ -43,7 +43,7 @@ def test_ties_go_to_the_smaller_id_and_few_rows_are_all_returned(spark):
     assert V.nearest_neighbours(vectors(spark, rows), query, 5).count() == 3
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_queries": 0}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
 def test_empty_index_or_no_query_gives_nothing(spark, options):
     some, none = vectors(spark, [(1, [1.0])]), vectors(spark, [])
     assert V.nearest_neighbours(none, some, **options).count() == 0
@@ -107,3 +107,84 @@ def test_every_report_request_is_asked(spark):
     rows = vector_queries.vec_question_neighbours(spark, sf_dir).collect()
     assert {r["query_id"] for r in rows} == asked
     assert len(rows) == 3 * len(asked)
+
+
+def clustered(seed, n, dims=8, clusters=12):
+    rng = random.Random(seed)
+    centres = [[rng.uniform(-20, 20) for _ in range(dims)] for _ in range(clusters)]
+    return [(i, [x + rng.gauss(0, 1) for x in centres[i % clusters]]) for i in range(n)]
+
+
+def test_cells_are_exact_and_most_are_skipped(spark):
+    rows = [(i, [round(x, 3) for x in v]) for i, v in clustered(4, 1200)]
+    rows = [(i, [float(x) for x in v]) for i, v in rows]
+    queries = [(10_000 + i, v) for i, v in rows[::40]]
+    table = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = spark.createDataFrame(queries, "id long, vector array<double>")
+    index = C.build(table, cell_rows=40, block_bytes=2_000)
+    assert len(index.known) >= 20 and index.known["rows"].sum() == len(rows)
+    assert found(C.search(index, asked, 3)) == brute(rows, queries, 3)
+    reach = C.search(index, asked, 3).where("rank = 3").select("query_id", "distance")
+    first = C.first_cells(asked, index, 3).count()
+    more = C.further_cells(asked.join(reach.withColumnsRenamed(
+        {"query_id": "id", "distance": "reach"}), "id"), index, 3).count()
+    assert (first + more) / (len(queries) * len(index.known)) < 0.25
+
+
+def test_cells_of_scattered_and_equal_vectors(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(300)] \
+        + [(1000 + i, [0.5, 0.5, 0.5]) for i in range(100)]
+    queries = [(5000 + i, [rng.uniform(-2, 2) for _ in range(3)]) for i in range(25)] \
+        + [(6000, [0.5, 0.5, 0.5])]
+    table = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = spark.createDataFrame(queries, "id long, vector array<double>")
+    for options in ({"cell_rows": 10}, {"cell_rows": 10, "block_bytes": 100}, {"most_cells": 1},
+                    {"cell_rows": 5, "sample_bytes": 24 * 50}):
+        assert found(C.search(C.build(table, **options), asked, 4)) == brute(rows, queries, 4)
+
+
+def test_recall_of_probes(spark):
+    rows = clustered(7, 1500, dims=16, clusters=40)
+    queries = [(10_000 + i, v) for i, v in rows[::10]]
+    index = C.build(spark.createDataFrame(rows, "id long, vector array<double>"), cell_rows=30)
+    got = C.search(index, spark.createDataFrame(queries, "id long, vector array<double>"), 5,
+                   probes=6)
+    want = {(q, i) for q, _, i, _ in brute(rows, queries, 5)}
+    assert len(want & {(r["query_id"], r["id"]) for r in got.collect()}) / len(want) >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_the_registered_probes(spark, sf):
+    sf_dir = f"/root/testdata/{sf}"
+    vectors = views.vectors(spark, sf_dir).select("id", "vector")
+    exact = V.nearest_neighbours(vectors, vectors.where("id % 100 = 0"), 3).collect()
+    got = vector_queries.vec_topk_probes(spark, sf_dir).collect()
+    want = {(r["query_id"], r["id"]) for r in exact}
+    assert len(want & {(r["query_id"], r["id"]) for r in got}) / len(want) >= 0.9
+
+
+def test_text_model_is_stored(spark, tmp_path):
+    texts = V.vector_text(tag_transactions(X.transactions(spark)))
+    model = V.fit_text_model(texts, 64)
+    model.write(spark, str(tmp_path / "model"))
+    assert V.TextModel.read(spark, str(tmp_path / "model")) == model
+
+
+def test_embedding_by_hand(spark):
+    import hashlib
+    import math
+    texts = spark.createDataFrame([("1", "Red fox, red"), ("2", "fox é9"), ("3", "...")],
+                                  "id string, text string")
+    model = V.fit_text_model(texts, 16)
+    bucket = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16 for w in ("red", "fox", "é9")}
+    sets = [{bucket["red"], bucket["fox"]}, {bucket["fox"], bucket["é9"]}, set()]
+    weights = [math.log(4 / (sum(b in s for s in sets) + 1)) for b in range(16)]
+    assert model.weights == tuple(weights)
+    plain = [0.0] * 16
+    for w in ("red", "fox", "red"):
+        plain[bucket[w]] += weights[bucket[w]]
+    norm = math.sqrt(sum(x * x for x in plain))
+    got = {r["id"]: r["vector"] for r in V.embed_texts(texts, model).collect()}
+    assert set(got) == {"1", "2"} and all(len(v) == 16 for v in got.values())
+    assert max(abs(a - b / norm) for a, b in zip(got["1"], plain)) < 1e-6
