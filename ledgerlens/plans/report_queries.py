@@ -255,6 +255,14 @@ def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         A.answer_lines(A.search_all(asked, corpus, K.MODE_TAGGED)))
 
 
+@query(ANSWERS_SQL.replace(Q.VIEWS["questions"], Q.VIEWS["passage_questions"]) + """
+SELECT * FROM answers WHERE mode = 'no_layer'""")
+def answer_passage_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw answers to two searches for each benchmark passage, all of them distinct patterns."""
+    asked, corpus = views.passage_questions(spark, sf_dir), views.corpus(spark, sf_dir, [])
+    return A.answer_lines(A.search_all(asked, corpus, K.MODE_RAW))
+
+
 @query(ANSWERS_SQL + """
 SELECT question_id, mode, intent, tool_name, hit_count, hit_count = 0 AS no_results, preview
 FROM trace""")

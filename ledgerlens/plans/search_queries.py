@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens import constants as K
 from ledgerlens.operators import answers as A, reports as R, search as S, validation as V
+from ledgerlens.operators.phrase_join import phrase_join
 from ledgerlens.plans import sql_views as Q
 from ledgerlens.plans.registry import query
 from ledgerlens.plans.tagging_queries import ALL_INTENTS_SQL
 from ledgerlens.sources import views
+from ledgerlens.sources.storage import materialise
 
 RAW_MESSAGE_PATTERN = "token = |secret = "
 RAW_TRANSACTION_PATTERN = "purchase.*7"
@@ -231,6 +233,19 @@ def batch_search_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.per_question(keys, hits).select("question_id", "message_id", "risk_flag")
 
 
+@query(Q.views("passages") + """
+SELECT question_id, CAST(doc_id AS VARCHAR) AS message_id
+FROM passages p JOIN documents d ON contains(lower(d.text), lower(p.text))""")
+def passage_hits_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which messages quote which passages, when the passages are too many to be broadcast:
+    ids and pieces are shuffled."""
+    passages = views.passages(spark, sf_dir)
+    hits = phrase_join(views.messages(spark, sf_dir).select("message_id", "text"), "message_id",
+                       "text", passages, "text", literal_phrases=0, broadcast_bytes=1)
+    return hits.select("message_id", "phrase").join(
+        passages.withColumnRenamed("text", "phrase"), "phrase").select("question_id", "message_id")
+
+
 HITS_SQL = Q.views("tagged", "txn", "oblig", "topic", "golden", "questions", "routed") + f""",
 raw_hits AS (
     SELECT question_id, intent, CAST(doc_id AS VARCHAR) AS id,
@@ -394,3 +409,46 @@ def validate_report_values(spark: SparkSession, sf_dir: str) -> DataFrame:
             checked = V.check_numbers(lines, corpus.tagged_transactions)
         parts.append(found.spread(checked))
     return reduce(DataFrame.unionByName, parts)
+
+
+def _with_faults(lines: DataFrame) -> DataFrame:
+    """Report lines with faults by the last character of the question's id.
+
+    1: another excerpt; 2: another total; 3: another id; 4: another amount.
+    """
+    def fault(last: str, section: int, pattern: str, by: str):
+        return F.when(F.col("question_id").endswith(last) & (F.col("section") == section),
+                      F.regexp_replace("line", pattern, by))
+
+    return lines.withColumn("line", F.coalesce(
+        fault("1", 2, "$", " and more"), fault("2", 1, "Total: ", "Total: 9"),
+        fault("3", 2, "([`*])(T?[0-9]+[`*])", "$1X$2"), fault("4", 2, "SGD ", "SGD 1"), "line"))
+
+
+@query(HITS_SQL.replace(Q.VIEWS["questions"], Q.VIEWS["checked_questions"]) + """,
+counted AS (SELECT question_id, intent, count(*) AS n FROM layer_hits GROUP BY ALL),
+cited AS (SELECT question_id, intent, CASE intent WHEN 'AML_SEARCH' THEN least(n, 20) ELSE n END
+    AS checked FROM counted WHERE intent <> 'REG_SEARCH')
+SELECT question_id, 'ids' AS check, checked, question_id NOT LIKE '%3' AS ok FROM cited
+UNION ALL SELECT question_id, 'counts', 1, question_id NOT LIKE '%2' FROM counted
+UNION ALL SELECT question_id, 'numbers', checked, right(question_id, 1) NOT IN ('3', '4')
+    FROM cited WHERE intent = 'AML_SEARCH'
+UNION ALL SELECT question_id, 'masking', checked, right(question_id, 1) NOT IN ('1', '3')
+    FROM cited WHERE intent = 'PII_SEARCH'""")
+def validate_faulty_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of written reports, some of which were changed after they were made."""
+    results = A.search_all(views.checked_questions(spark), views.corpus(spark, sf_dir),
+                           K.MODE_TAGGED)
+    parts = []
+    for intent, found in results.found.items():
+        lines = materialise(_with_faults(found.spread(A.report(intent, found))), "reports")
+        hits = found.spread(S.per_question(found.keys, found.hits))
+        parts.append(V.check_counts(
+            lines, found.spread(S.counts_per_question(found.keys, found.hits))))
+        if intent == K.PII_SEARCH:
+            parts += [V.check_ids(lines, hits, found.record_id, V.MESSAGE_ID),
+                      V.check_masking(lines, results.corpus.tagged_messages)]
+        if intent == K.AML_SEARCH:
+            parts += [V.check_ids(lines, hits, found.record_id, V.TRANSACTION_ID),
+                      V.check_numbers(lines, results.corpus.tagged_transactions)]
+    return reduce(DataFrame.unionByName, parts)

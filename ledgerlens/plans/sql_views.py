@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerlens import constants as K
-from ledgerlens.sources.views import MALFORMED_QUESTIONS, PATTERN_QUESTIONS
+from ledgerlens.sources.views import CHECKED_QUESTIONS, MALFORMED_QUESTIONS, PATTERN_QUESTIONS
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
@@ -73,6 +73,9 @@ _GOLDEN = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in [*K.GOLDEN_QUESTIONS
                                                              *PATTERN_QUESTIONS,
                                                              *MALFORMED_QUESTIONS])
 
+_CHECKED = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in [*K.GOLDEN_QUESTIONS,
+                                                              *CHECKED_QUESTIONS])
+
 
 def intent(col: str, strict: bool = False) -> str:
     q = f"lower({col})"
@@ -140,6 +143,10 @@ tagged_up AS (SELECT *, {upgraded('entities', 'first_risk')} AS risk_flag FROM t
             WHERE role = 'user'
         UNION ALL SELECT 'e-' || event_id, 'Draft a SAR for transaction t' || event_id
             FROM events WHERE event_type = 'error')""",
+    "passage_questions": """questions AS (SELECT 'mb-' || item_id AS question_id,
+            'pii|' || text AS text FROM benchmark
+        UNION ALL SELECT 'rb-' || item_id, 'suspicious transactions|' || text FROM benchmark)""",
+    "checked_questions": f"questions AS (SELECT * FROM (VALUES {_CHECKED}) AS c(question_id, text))",
     "routed": f"""routed AS (SELECT *, {intent('text')} AS intent, {kind('text')} AS kind,
         lower({strip('text')}) AS q FROM questions)""",
     "passages": "passages AS (SELECT 'b-' || item_id AS question_id, text FROM benchmark)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -30,6 +31,25 @@ def is_written(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, f"{path}/_SUCCESS")
 
 
+def snapshot(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of a table's files.
+
+    One listing per folder; the digest changes when the table is written anew.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, folders = hashlib.sha256(), [root]
+    while folders:
+        for status in files.listStatus(folders.pop()):
+            if status.isDirectory():
+                folders.append(status.getPath())
+            else:
+                found.update(f"{status.getPath()} {status.getLen()} "
+                             f"{status.getModificationTime()}\n".encode())
+    return found.hexdigest()
+
+
 def first_existing(spark: SparkSession, paths: Iterable[str]) -> str | None:
     return next((p for p in paths if path_exists(spark, p)), None)
 

@@ -12,7 +12,7 @@ from ledgerlens.functions.lists import compact
 from ledgerlens.operators.answers import SEARCHES, Corpus
 from ledgerlens.operators.reports import Topic
 from ledgerlens.operators.tagging import tag_messages, upgrade_risk
-from ledgerlens.sources.storage import materialise, path_exists, write_shared
+from ledgerlens.sources.storage import materialise, path_exists, snapshot, write_shared
 
 # The part of the obligations that plays the structured topic in the test tables.
 TABLE_TOPIC = Topic(source_document="src1", risk_type="en")
@@ -154,14 +154,44 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("question_id"), "text")
 
 
+def passage_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of messages and one of paragraphs for each benchmark passage.
+
+    In raw mode each is a pattern of its own: the words that route it, or the passage.
+    """
+    said = passages(spark, sf_dir)
+    return said.select(F.concat(F.lit("m"), "question_id").alias("question_id"),
+                       F.concat(F.lit("pii|"), "text").alias("text")).unionByName(
+        said.select(F.concat(F.lit("r"), "question_id").alias("question_id"),
+                    F.concat(F.lit("suspicious transactions|"), "text").alias("text")))
+
+
+# Questions whose reports get faults, so that the checks have something to find.
+CHECKED_QUESTIONS = (
+    ("v1", "Which messages show a phone number?"),
+    ("v2", "Show messages with phone contacts."),
+    ("v3", "Messages that give a phone number"),
+    ("v5", "pii: phone"),
+)
+
+
+def checked_questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([*K.GOLDEN_QUESTIONS, *CHECKED_QUESTIONS],
+                                 "question_id string, text string")
+
+
 # Paths of the tagged tables this session has written.
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, ...], str] = {}
 
 
-def stored(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
-    """A tagged table as a deployment has it: written once, read by every question."""
+def stored(df: DataFrame, sf_dir: str, name: str, inputs: Sequence[str]) -> DataFrame:
+    """A tagged table as a deployment has it: written once, read by every question.
+
+    It is written anew when a file of its inputs has changed.
+    """
     spark = df.sparkSession
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name,
+           *[snapshot(spark, f"{sf_dir}/{table}.parquet") for table in inputs])
     if key not in _stored or not path_exists(spark, _stored[key]):
         _stored[key] = write_shared(df, name)
     return spark.read.schema(df.schema).parquet(_stored[key])
@@ -177,10 +207,10 @@ def corpus(spark: SparkSession, sf_dir: str, intents: Sequence[str] = SEARCHES)
         messages=messages(spark, sf_dir),
         transactions=transactions(spark, sf_dir),
         paragraphs=paragraphs(spark, sf_dir),
-        tagged_messages=stored(tagged, sf_dir, "tagged-messages")
+        tagged_messages=stored(tagged, sf_dir, "tagged-messages", ["documents"])
         if K.PII_SEARCH in intents else tagged,
         tagged_transactions=tagged_transactions(spark, sf_dir),
-        tagged_obligations=stored(owned, sf_dir, "tagged-obligations")
+        tagged_obligations=stored(owned, sf_dir, "tagged-obligations", ["documents", "labels"])
         if K.REG_SEARCH in intents else owned,
         topic=TABLE_TOPIC,
         source_token=TABLE_SOURCE_TOKEN,

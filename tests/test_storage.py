@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators.tagging import tag_messages, tag_obligations, tag_transactions
 from ledgerlens.operators.vectors import nearest_neighbours
@@ -192,3 +193,31 @@ def test_stream_of_tagged_fixture_rows(spark, tmp_path):
 
 def test_tagged_stream_before_its_first_batch(spark, tmp_path):
     assert read_tagged_stream(spark, str(tmp_path / "none"), schemas.RAW_MESSAGES).count() == 0
+
+
+def test_stored_table_follows_its_input(spark, tmp_path):
+    from ledgerlens.sources import views
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+
+    def stored():
+        documents = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        return sorted(tuple(r) for r in views.stored(
+            documents.withColumn("n", F.col("doc_id") * 2), str(tmp_path), "test",
+            ["documents"]).collect())
+
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    assert stored() == [(1, "a", 2)]
+    paths = set(views._stored.values())
+    assert stored() == [(1, "a", 2)] and set(views._stored.values()) == paths
+    rows.withColumn("doc_id", F.lit(5).cast("long")).write.mode("overwrite") \
+        .parquet(f"{tmp_path}/documents.parquet")
+    assert stored() == [(5, "a", 10)]
+
+
+def test_snapshot_sees_files_of_inner_folders(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(4).withColumn("p", F.col("id") % 2).write.partitionBy("p").parquet(path)
+    first = storage.snapshot(spark, path)
+    assert storage.snapshot(spark, path) == first
+    spark.range(1).withColumn("p", F.lit(1)).write.mode("append").partitionBy("p").parquet(path)
+    assert storage.snapshot(spark, path) != first
