@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -160,6 +161,15 @@ def _present(routed_questions: DataFrame) -> frozenset[str]:
     return frozenset(r["intent"] for r in routed_questions.select("intent").distinct().collect())
 
 
+def together(*tasks: Callable) -> list:
+    """What the tasks return.  They run at the same time, so that the small jobs of one do not
+    wait for those of another."""
+    if len(tasks) < 2:
+        return [task() for task in tasks]
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [one.result() for one in [pool.submit(task) for task in tasks]]
+
+
 def search_all(questions: DataFrame, corpus: Corpus, mode: str, *, strict: bool = False,
                intents: Sequence[str] = SEARCHES, raw_limit: int = K.RAW_HIT_LIMIT) -> Results:
     """Route the questions and search once every domain that someone asks about.
@@ -169,15 +179,24 @@ def search_all(questions: DataFrame, corpus: Corpus, mode: str, *, strict: bool
     """
     asked = corpus.keep(routed(questions, mode, strict), f"{mode}-questions")
     present = _present(asked)
-    found = {}
-    for intent in intents:
-        if intent in present:
-            one = find(searching(asked, intent), corpus, intent, mode, raw_limit)
-            name = f"{mode}-{intent}".lower()
-            found[intent] = replace(one, hits=corpus.keep(one.hits, name),
-                                    keys=corpus.keep(one.keys, f"{name}-keys"),
-                                    members=corpus.keep(one.members, f"{name}-members"))
-    return Results(mode, asked, present, found, corpus)
+
+    def search(intent: str) -> Found:
+        one = find(searching(asked, intent), corpus, intent, mode, raw_limit)
+        name = f"{mode}-{intent}".lower()
+        hits, keys, members = together(
+            lambda: corpus.keep(one.hits, name), lambda: corpus.keep(one.keys, f"{name}-keys"),
+            lambda: corpus.keep(one.members, f"{name}-members"))
+        return replace(one, hits=hits, keys=keys, members=members)
+
+    wanted = [intent for intent in intents if intent in present]
+    found = together(*[lambda intent=intent: search(intent) for intent in wanted])
+    return Results(mode, asked, present, dict(zip(wanted, found)), corpus)
+
+
+def search_both(questions: DataFrame, corpus: Corpus, **options) -> tuple[Results, Results]:
+    """The questions searched in raw and in tagged mode."""
+    return tuple(together(*[lambda mode=mode: search_all(questions, corpus, mode, **options)
+                            for mode in (K.MODE_RAW, K.MODE_TAGGED)]))
 
 
 def search_counts(results: Results) -> DataFrame:
@@ -328,8 +347,8 @@ def answer_lengths(lines: DataFrame) -> DataFrame:
 def compare_modes(questions: DataFrame, corpus: Corpus, *, strict: bool = False) -> DataFrame:
     """Raw against tagged mode, one row per question."""
     sides = []
-    for mode, prefix in ((K.MODE_RAW, "raw"), (K.MODE_TAGGED, "tagged")):
-        results = search_all(questions, corpus, mode, strict=strict)
+    both = search_both(questions, corpus, strict=strict)
+    for results, prefix in zip(both, ("raw", "tagged")):
         trace, lengths = answer_trace(results), lengths_per_question(results)
         sides.append(trace.join(lengths, "question_id", "left").select(
             "question_id",

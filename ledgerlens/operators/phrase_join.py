@@ -182,13 +182,13 @@ def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFram
     distinct = phrases.select(F.col(phrase).alias("phrase")).where("phrase is not null").distinct()
     if regex:
         distinct = distinct.where(valid_pattern(F.col("phrase")))
-    distinct = materialise(distinct, "phrases")
     required = _required(regex)
-    constants = distinct.select("phrase", required.alias("required"))
-    few = constants.limit(literal_phrases + 1).collect()
+    few = distinct.select("phrase", required.alias("required")).limit(literal_phrases + 1).collect()
     if len(few) <= literal_phrases:
         return _match_constants(records, text, few, regex)
 
+    distinct = materialise(distinct, "phrases")
+    constants = distinct.select("phrase", required.alias("required"))
     keys = materialise(phrase_keys(distinct, regex=regex, records=records, record_id=record_id,
                                    text=text), "phrase-keys")
     kinds = {row["kind"]: row for row in keys.groupBy("kind").agg(

@@ -302,16 +302,19 @@ def match_transactions(tagged: DataFrame, keys: DataFrame) -> DataFrame:
     by_hint = records.select("*", F.explode(names).alias("search_key")) \
         .join(_fixed_keys(keys, "hint:"), "search_key", "left_semi")
 
+    out = ["search_key", *TRANSACTION_FIELDS]
+    found, open_keys = by_hint.select(out), keys
     wanted = keys.where("wanted_id is not null").select("search_key", "wanted_id").distinct()
-    # Found once and kept: the text search asks for the ids that are left over.
-    by_id = materialise(records.withColumn("wanted_id", F.upper("transaction_id"))
-                        .join(wanted, "wanted_id"), "transactions-by-id")
-    known = by_id.select("search_key").distinct()
-    by_text = _text_hits(records, "transaction_id", _transaction_haystack(records),
-                         keys.join(known, "search_key", "left_anti")) \
+    if not wanted.isEmpty():
+        # Found once and kept: the text search asks for the ids that are left over.
+        by_id = materialise(records.withColumn("wanted_id", F.upper("transaction_id"))
+                            .join(wanted, "wanted_id"), "transactions-by-id")
+        known = by_id.select("search_key").distinct()
+        found = found.unionByName(by_id.select(out))
+        open_keys = keys.join(known, "search_key", "left_anti")
+    by_text = _text_hits(records, "transaction_id", _transaction_haystack(records), open_keys) \
         .withColumn("search_key", F.concat(F.lit(TEXT_KEY), "term"))
-    out = ["search_key", *TRANSACTION_FIELDS]
-    return by_hint.select(out).unionByName(by_id.select(out)).unionByName(by_text.select(out))
+    return found.unionByName(by_text.select(out))
 
 
 def match_obligations(tagged: DataFrame, keys: DataFrame, *,

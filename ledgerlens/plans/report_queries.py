@@ -251,8 +251,8 @@ def sar_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ANSWERS_SQL + "SELECT * FROM answers")
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, corpus = views.questions(spark, sf_dir), views.corpus(spark, sf_dir)
-    return A.answer_lines(A.search_all(asked, corpus, K.MODE_RAW)).unionByName(
-        A.answer_lines(A.search_all(asked, corpus, K.MODE_TAGGED)))
+    raw, tagged = A.search_both(asked, corpus)
+    return A.answer_lines(raw).unionByName(A.answer_lines(tagged))
 
 
 @query(ANSWERS_SQL.replace(Q.VIEWS["questions"], Q.VIEWS["passage_questions"]) + """
@@ -268,8 +268,8 @@ SELECT question_id, mode, intent, tool_name, hit_count, hit_count = 0 AS no_resu
 FROM trace""")
 def answer_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, corpus = views.questions(spark, sf_dir), views.corpus(spark, sf_dir)
-    trace = A.answer_trace(A.search_all(asked, corpus, K.MODE_RAW)).unionByName(
-        A.answer_trace(A.search_all(asked, corpus, K.MODE_TAGGED)))
+    raw, tagged = A.search_both(asked, corpus)
+    trace = A.answer_trace(raw).unionByName(A.answer_trace(tagged))
     return trace.withColumn("preview", F.array_join("preview.id", ","))
 
 

@@ -290,8 +290,8 @@ FROM (SELECT * FROM searching WHERE intent <> 'REG_SEARCH' OR kind IS NULL) s
 LEFT JOIN layer_hits h ON s.question_id = h.question_id GROUP BY ALL""")
 def search_counts_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, corpus = views.questions(spark, sf_dir), views.corpus(spark, sf_dir)
-    return A.search_counts(A.search_all(asked, corpus, K.MODE_RAW)).unionByName(
-        A.search_counts(A.search_all(asked, corpus, K.MODE_TAGGED)))
+    raw, tagged = A.search_both(asked, corpus)
+    return A.search_counts(raw).unionByName(A.search_counts(tagged))
 
 
 @query(HITS_SQL + """
