@@ -240,6 +240,45 @@ def answer_lines(results: Results) -> DataFrame:
         "question_id", F.lit(results.mode).alias("mode"), "section", "ord", "line")
 
 
+def answer_tables(results: Results) -> tuple[DataFrame, DataFrame]:
+    """Each answer once, and who has it.
+
+    ``answer_id, mode, section, ord, line`` and ``question_id, mode, answer_id``.  An answer
+    has the smallest id of the questions that share it.  However many questions ask for the
+    same hits, their lines are stored once; joined on ``answer_id`` the tables are
+    ``answer_lines``.
+    """
+    shared, own = [], []
+    lines, members = [], []
+    for fixed, line in ((results.with_intent(K.OUT_OF_SCOPE), K.OUT_OF_SCOPE_TEXT),
+                        (results.malformed, K.MALFORMED_TEXT)):
+        # One row: all of these questions have the same sentence.
+        first = fixed.agg(F.min("question_id").alias("answer_id")).where("answer_id is not null")
+        shared.append(first.select("answer_id", F.lit(0).alias("section"), F.lit("").alias("ord"),
+                                   F.lit(line).alias("line")))
+        members.append(fixed.select("question_id", F.lit(1).alias("one")).join(
+            F.broadcast(first.withColumn("one", F.lit(1))), "one").drop("one"))
+    if results.may_be_structured:
+        own.append(_structured(results).select(
+            "question_id", F.lit(0).alias("section"), F.lit("").alias("ord"), "line"))
+    if K.SAR_DRAFT in results.intents:
+        own.append(R.sar_report(_drafts(results)))
+    for part in own:
+        lines.append(part.withColumnRenamed("question_id", "answer_id"))
+    alone = results.routed.where(F.col("structured") | (F.col("intent") == K.SAR_DRAFT))
+    members.append(alone.select("question_id", F.col("question_id").alias("answer_id")))
+    for intent, found in results.found.items():
+        named = results.corpus.keep(found.members.groupBy("set_id").agg(
+            F.min("question_id").alias("answer_id")), "answer-names")
+        lines.append(report(intent, found).withColumnRenamed("question_id", "set_id")
+                     .join(named, "set_id").select("answer_id", "section", "ord", "line"))
+        members.append(found.members.join(named, "set_id").select("question_id", "answer_id"))
+    mode = F.lit(results.mode).alias("mode")
+    return (reduce(DataFrame.unionByName, shared + lines).select(
+                "answer_id", mode, "section", "ord", "line"),
+            reduce(DataFrame.unionByName, members).select("question_id", mode, "answer_id"))
+
+
 def lengths_per_question(results: Results) -> DataFrame:
     """``question_id, answer_length``; a report is measured once for each set of keys."""
     parts = [answer_lengths(_short_lines(results))]

@@ -270,14 +270,18 @@ def _search(index: Cells, queries: DataFrame, pairs: DataFrame, k: int) -> DataF
         search, f"query_id {q_kind}, id {kind}, distance double")
 
 
-def search(index: Cells, queries: DataFrame, k: int, *, probes: int | None = None) -> DataFrame:
+def search(index: Cells, queries: DataFrame, k: int, *, probes: int | None = None,
+           written: bool = False) -> DataFrame:
     """k nearest vectors per query: ``query_id, id, distance, rank``.
 
-    ``queries`` has ``id, vector`` with distinct ids.  Without ``probes`` the answer is
+    ``queries`` has ``id, vector`` with distinct ids; ``written`` says that it is a stored
+    table already.  Without ``probes`` the answer is
     exact: the nearest cells give k vectors, and then every cell is read that may hold a
     nearer one.
     """
-    queries = materialise(queries.select("id", "vector"), "query-vectors")
+    queries = queries.select("id", "vector")
+    if not written:
+        queries = materialise(queries, "query-vectors")
     order = [F.asc("distance"), F.asc("id")]
 
     def best(found: DataFrame) -> DataFrame:

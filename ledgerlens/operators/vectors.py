@@ -15,6 +15,7 @@ from ledgerlens.functions.text import clean_for_vectors
 from ledgerlens.operators import vector_cells
 from ledgerlens.operators.search import ranked_first
 from ledgerlens.operators.vector_cells import task_functions
+from ledgerlens.sources.storage import materialise
 
 # Most bytes of query vectors sent to every executor; more are searched by cells.
 BROADCAST_BYTES = 64 << 20
@@ -139,13 +140,14 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K.NEIGHB
     k_type = vectors.schema["id"].dataType.simpleString()
     q_type = queries.schema["id"].dataType.simpleString()
     found = f"query_id {q_type}, id {k_type}, distance double"
+    queries = materialise(queries.select("id", "vector"), "query-vectors")
     size = queries.agg(F.sum(8 * F.size("vector"))).first()[0] or 0
     if size <= broadcast_bytes:
-        few = queries.select("id", "vector").toPandas()
+        few = queries.toPandas()
         local = _neighbours_by_broadcast(vectors, few, k, found)
         best = ranked_first(local, "query_id", [F.asc("distance"), F.asc("id")], k)
         return best.select("query_id", "id", "distance", "rank")
-    return vector_cells.search(vector_cells.build(vectors, **cells), queries, k)
+    return vector_cells.search(vector_cells.build(vectors, **cells), queries, k, written=True)
 
 
 def _neighbours_by_broadcast(vectors: DataFrame, queries: pd.DataFrame, k: int,

@@ -286,3 +286,42 @@ FROM (SELECT * FROM sides WHERE mode = 'no_layer') r
 FULL JOIN (SELECT * FROM sides WHERE mode = 'layer') t ON r.question_id = t.question_id""")
 def compare_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.compare_modes(views.questions(spark, sf_dir), views.corpus(spark, sf_dir))
+
+
+# Questions with one key have one answer, named after the first of them.
+_MEMBERS = f"""
+asked_keys AS (SELECT question_id, mode, CASE
+    WHEN intent = 'OUT_OF_SCOPE' THEN 'out'
+    WHEN intent = 'SAR_DRAFT' OR (mode = 'layer' AND intent = 'REG_SEARCH' AND kind IS NOT NULL)
+        THEN 'own ' || question_id
+    WHEN mode = 'no_layer' AND {Q.malformed('question_id')} THEN 'malformed'
+    WHEN mode = 'no_layer' THEN intent || ' ' || text
+    WHEN intent = 'PII_SEARCH' AND contains(q, 'nric') THEN 'entity nric'
+    WHEN intent = 'PII_SEARCH' AND {Q.contains_any('q', ('salary', 'income', 'pay'))}
+        THEN 'entity salary'
+    WHEN intent = 'PII_SEARCH' AND contains(q, 'phone') THEN 'entity phone'
+    WHEN intent = 'AML_SEARCH' AND contains(q, 'crypto') THEN 'hint crypto'
+    WHEN intent = 'AML_SEARCH' AND contains(q, 'structuring') THEN 'hint structuring'
+    ELSE intent || ' ' || q END AS key
+    FROM routed, (VALUES ('layer'), ('no_layer')) m(mode)),
+members AS (SELECT question_id, mode, min(question_id) OVER (PARTITION BY mode, key) AS answer_id
+    FROM asked_keys)"""
+
+
+@query(Q.views("golden", "questions", "routed") + "," + _MEMBERS + """
+SELECT question_id, mode, answer_id FROM members""")
+def answer_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stored answer each question has."""
+    both = A.search_both(views.questions(spark, sf_dir), views.corpus(spark, sf_dir))
+    raw, tagged = (A.answer_tables(results)[1] for results in both)
+    return raw.unionByName(tagged)
+
+
+@query(ANSWERS_SQL + "," + _MEMBERS + """
+SELECT a.question_id AS answer_id, a.mode, section, ord, line FROM answers a
+JOIN members m ON a.question_id = m.answer_id AND m.question_id = m.answer_id AND a.mode = m.mode""")
+def answer_lines_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored answers; no line stands there once for each question."""
+    both = A.search_both(views.questions(spark, sf_dir), views.corpus(spark, sf_dir))
+    raw, tagged = (A.answer_tables(results)[0] for results in both)
+    return raw.unionByName(tagged)

@@ -80,7 +80,8 @@ FROM asked JOIN txn ON transaction_id = id""")
 def aml_lookup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = R.draft_requests(views.questions(spark, sf_dir)
                            .where(F.col("text").rlike("(?i)\\bT[0-9]+\\b")))
-    keys = S.transaction_keys(ids.select("question_id", F.lower("wanted_id").alias("text")))
+    keys = materialise(S.transaction_keys(
+        ids.select("question_id", F.lower("wanted_id").alias("text"))), "lookup-keys")
     hits = S.match_transactions(views.tagged_transactions(spark, sf_dir), keys)
     return S.per_question(keys, hits).select(
         "question_id", "transaction_id", "amount_sgd", "risk_score",

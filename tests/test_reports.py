@@ -222,3 +222,23 @@ def test_altered_reports_fail(checked, corpus):
     lines, hits, _ = checked[K.AML_SEARCH]
     dearer = lines.withColumn("line", F.replace("line", F.lit("SGD 4"), F.lit("SGD 9")))
     assert verdicts(V.check_numbers(dearer, corpus.tagged_transactions)) == {"q2": False}
+
+
+def test_answers_are_stored_once(spark, corpus):
+    asked = [("a", "Show me any messages with NRIC leaks."), ("b", "messages with nric please"),
+             ("c", "Show me examples of structuring."), ("d", "more structuring"), ("e", "hello"),
+             ("f", "good day"), ("g", "Draft a SAR for transaction T028"), ("h", "messages (urgent"),
+             ("i", "How many MAS 610 suspicious transactions rules have a deadline?"),
+             ("j", "What are the MAS 610 rules on suspicious transactions?")]
+    questions = spark.createDataFrame(asked, "question_id string, text string")
+    for mode in (K.MODE_RAW, K.MODE_TAGGED):
+        results = A.search_all(questions, corpus, mode)
+        lines, members = A.answer_tables(results)
+        joined = members.join(lines, ["answer_id", "mode"]).drop("answer_id")
+        whole = A.answer_lines(results)
+        key = lambda df: sorted(tuple(r[c] for c in whole.columns) for r in df.collect())
+        assert key(joined) == key(whole)
+        names = {r["question_id"]: r["answer_id"] for r in members.collect()}
+        assert set(names) == {i for i, _ in asked} and names["f"] == "e" and names["g"] == "g"
+        assert (names["b"] == "a") == (names["d"] == "c") == (mode == K.MODE_TAGGED)
+        assert {r["answer_id"] for r in lines.collect()} == set(names.values())
