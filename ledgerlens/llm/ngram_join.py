@@ -2,10 +2,12 @@
 
 Shingles are put in one order, frequent ones last.  Two similar sets share one of their
 first shingles, so only those are indexed: each indexed shingle has a list of (set, size,
-position).  Sizes and positions skip most entries of a list.  Relations between sets skip
-most of the rest: every set is first compared with one leader of its lists; the sets that
-a leader's class already links need no comparison, and pairs between two classes are
-decided, where possible, by what their leaders share.
+position).  Lists of frequent shingles are dealt in parts of bounded length.  A list is cut
+into blocks of sizes; size and position of an entry tell which blocks can hold a partner,
+and the others are skipped unread.  Relations between sets skip most of the rest: every
+set is first compared with one leader of its lists; the sets that a leader's class already
+links need no comparison, and pairs between two classes are decided, where possible, by
+what their leaders share.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ MOST_FREQUENT = 1 << 20  # frequent shingles that are told apart; at 5 bytes eac
 SLICE_BYTES = 1 << 18  # text that is cut into shingles at once
 MOST_BITS = 1 << 27  # of the filter for sets that are still needed
 LEADERS = 8  # sets of each block of a list that the others are first compared with
+PART_BITS = 12  # logarithm of the documents from which on a list is dealt in parts
+BLOCKS = 4  # blocks of a list per doubling of the set size
 MARKS = 8  # words of 64 bits that mark a set
 
 _BYTE = np.arange(256)
@@ -91,6 +95,19 @@ def _slot(h: np.ndarray, slots: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
 
 
+def list_key(token: np.ndarray, node: np.ndarray, classes: np.ndarray, slots: int) -> np.ndarray:
+    """The group that an index entry is dealt to: ``part * slots + slot``.
+
+    First shingles are those of small hashes, so slots go by another hash.  The list of a
+    shingle in 2**k documents (``classes`` has k, 0 for the rare ones) is one part, the
+    part 0, or is dealt by its sets to parts from 1 on of about ``2**PART_BITS`` documents.
+    """
+    extra = np.maximum(classes.astype(np.int64) - PART_BITS, 0)
+    part = np.where(extra > 0, mixed(node) >> np.minimum(64 - extra, 63).astype(np.uint64), 0) \
+        .astype(np.int64) + (extra > 0)
+    return part * slots + _slot(mixed(token), slots).astype(np.int64)
+
+
 def prefix_length(n: Column | np.ndarray, percent: int = PERCENT):
     """How many first shingles of a set two similar sets must share one of."""
     return n - (percent * n + 99) // 100 + 1
@@ -161,9 +178,9 @@ def _with_last(parts) -> Iterator[tuple[bool, list[bytes]]]:
 def index_lists(docs: DataFrame, slots: int, percent: int = PERCENT) -> DataFrame:
     """The lists of indexed shingles that more than one set has.
 
-    ``token, node, n, pos, band`` and the ``rank`` of the set, by a hash of its node, among
-    those of about the same size in the list.  A node is the digest of a set, so equal sets
-    are one node.
+    ``token, part, node, n, pos, band`` and the ``rank`` of the set, by a hash of its node,
+    among those of about the same size in its part of the list.  A node is the digest of a
+    set, so equal sets are one node.  Lists in parts stay also if they have one set.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, slots))
 
@@ -190,17 +207,17 @@ def index_lists(docs: DataFrame, slots: int, percent: int = PERCENT) -> DataFram
             pos = np.arange(len(h)) - np.repeat(np.cumsum(inner) - inner, inner)
             early = pos < prefix_length(n, percent)
             held.append((h[early], digest[owner[early]], n[early].astype(np.uint32),
-                         pos[early].astype(np.uint32)))
+                         pos[early].astype(np.uint32), common[order][early]))
             size += int(early.sum())
             if last or size > 1 << 19:
-                columns = [np.concatenate(c) for c in zip(*held)]
-                slot = _slot(columns[0], slots)
+                *columns, common = [np.concatenate(c) for c in zip(*held)]
+                slot = list_key(columns[0], columns[1], common, slots)
                 order = np.argsort(slot, kind="stable")
                 full, cuts = np.unique(slot[order], return_index=True)
                 pieces = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(slot)])]
                 columns = [c[order] for c in columns]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full.astype(np.int64)),
+                    [pa.array(full),
                      *[pa.array([_planes(c[p]) for p in pieces], pa.binary()) for c in columns]],
                     names=["slot", "token", "node", "n", "pos"])
                 held, size = [], 0
@@ -209,6 +226,7 @@ def index_lists(docs: DataFrame, slots: int, percent: int = PERCENT) -> DataFram
         token, node, n, pos = (
             np.concatenate([_unplanes(x, kind) for x in table[c].to_pylist()])
             for c, kind in (("token", "<u8"), ("node", "<u8"), ("n", "<u4"), ("pos", "<u4")))
+        part = table["slot"][0].as_py() // slots
         band = np.floor(2 * np.log2(np.maximum(n, 1))).astype(np.int64)
         lead = mixed(node)
         order = np.lexsort((lead, band, token))
@@ -218,18 +236,18 @@ def index_lists(docs: DataFrame, slots: int, percent: int = PERCENT) -> DataFram
         token, node, n, pos, band = (x[once] for x in (token, node, n, pos, band))
         opens = np.concatenate([[True], token[1:] != token[:-1]])
         sizes = np.diff(np.append(np.flatnonzero(opens), len(token)))
-        several = np.repeat(sizes > 1, sizes)
+        several = np.repeat((sizes > 1) | (part > 0), sizes)
         block = opens.copy()
         block[1:] |= band[1:] != band[:-1]
         head = np.flatnonzero(block)[np.cumsum(block) - 1]
-        columns = {"token": token, "node": node, "n": n, "pos": pos, "band": band,
-                   "rank": np.arange(len(token)) - head}
+        columns = {"token": token, "part": np.full(len(token), part), "node": node, "n": n, "pos": pos,
+                   "band": band, "rank": np.arange(len(token)) - head}
         return pa.table({c: pa.array(x[several].astype(np.int64)) for c, x in columns.items()})
 
     return docs.select("text") \
         .mapInArrow(local, "slot long, token binary, node binary, n binary, pos binary") \
         .groupBy("slot").applyInArrow(join, ", ".join(
-            f"{c} long" for c in ("token", "node", "n", "pos", "band", "rank")))
+            f"{c} long" for c in ("token", "part", "node", "n", "pos", "band", "rank")))
 
 
 def least_shared(sizes: Column, percent: int = PERCENT) -> Column:
@@ -244,6 +262,23 @@ def possible(n: Column, pos: Column, other_n: Column, other_pos: Column,
         & (F.least(n - pos, other_n - other_pos) >= least_shared(n + other_n, percent))
 
 
+def size_block(n: Column) -> Column:
+    """The block of a list that a set of this size stands in."""
+    return F.floor(BLOCKS * F.log2(n)).cast("int")
+
+
+def partner_blocks(n: Column, pos: Column, larger: bool, percent: int = PERCENT) -> Column:
+    """The blocks that can hold a partner that is not smaller, or not larger.
+
+    A set of n shingles that meets another one at its position has only the n - pos from
+    there on to share; that bounds the other's size from above, the smaller one's share
+    from below.  Null if no partner is possible.
+    """
+    reach = F.floor((100 + percent) * (n - pos) / percent) - n
+    low, high = (n, reach) if larger else (F.ceil(percent * n / 100), F.least(n, reach))
+    return F.when(low <= high, F.sequence(size_block(low), size_block(high)))
+
+
 def _marks(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """For each set, which of its bits an odd number of shingles fall on.
 
@@ -405,8 +440,8 @@ def linked_nodes(docs: DataFrame, each: DataFrame, percent: int = PERCENT) -> Da
         return materialise(needed_sets(docs, materialise(
             nodes.select("node", "crc").join(wanted, "node", "left_semi"), "wanted")), "sets")
 
-    def side(df: DataFrame, end: str, *columns: str) -> DataFrame:
-        return df.select("token", "band", *[F.col(c).alias(c + end) for c in (
+    def side(df: DataFrame, end: str, keys: list[str], *columns: str) -> DataFrame:
+        return df.select(*keys, *[F.col(c).alias(c + end) for c in (
             "node", "n", "pos", *columns, *MARK_NAMES)])
 
     size_sum = F.col("n_a") + F.col("n_b")
@@ -414,17 +449,20 @@ def linked_nodes(docs: DataFrame, each: DataFrame, percent: int = PERCENT) -> Da
         & (unlike("_a", "_b") <= size_sum - 2 * least_shared(size_sum, percent))
     enough = F.col("shared") >= least_shared(size_sum, percent)
 
-    def nearest(members: DataFrame, leaders: DataFrame, allowed: Column) -> DataFrame:
+    def nearest(members: DataFrame, leaders: DataFrame, keys: list[str],
+                allowed: Column) -> DataFrame:
         """``a, b``: each set and the most similar leader that it meets."""
-        return members.join(leaders, ["token", "band"]).where(allowed & meeting) \
+        return members.join(leaders, keys).where(allowed & meeting) \
             .groupBy(F.col("node_a").alias("a")).agg(F.min(F.struct(
                 (unlike("_a", "_b") / size_sum).alias("far"), F.col("node_b").alias("b"))).alias("m")) \
             .select("a", "m.b")
 
-    # Every set and a leader of smaller rank: a forest.
+    # Every set and a leader of smaller rank in its part of a list: a forest.
+    by_part, by_band = ["token", "part", "band"], ["token", "band"]
     first = materialise(nearest(
-        side(entries, "_a", "rank"), side(entries.where(F.col("rank") < LEADERS), "_b", "rank"),
-        F.col("rank_b") < F.col("rank_a")), "first")
+        side(entries, "_a", by_part, "rank"),
+        side(entries.where(F.col("rank") < LEADERS), "_b", by_part, "rank"),
+        by_part, F.col("rank_b") < F.col("rank_a")), "first")
     home = materialise(compare(first, whole_sets(first, "a", "b")).where(enough).select(
         F.col("a").alias("node"), F.col("b").alias("leader"),
         (F.col("n_a") - F.col("shared")).alias("plus"),
@@ -441,8 +479,9 @@ def linked_nodes(docs: DataFrame, each: DataFrame, percent: int = PERCENT) -> Da
     members = entries.join(chosen.select("token", "band").distinct(), ["token", "band"], "left_semi") \
         .join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     second = materialise(nearest(
-        side(members, "_a", "label"), side(chosen.join(marks, "node"), "_b", "label"),
-        F.col("label_a") != F.col("label_b")), "second")
+        side(members, "_a", by_band, "label"),
+        side(chosen.join(marks, "node"), "_b", by_band, "label"),
+        by_band, F.col("label_a") != F.col("label_b")), "second")
     alike = compare(second, whole_sets(second, "a", "b")).where(enough).select("a", "b")
     for end in "ab":
         alike = alike.join(linked.select(F.col("node").alias(end), F.col("label").alias("l" + end)),
@@ -455,12 +494,16 @@ def linked_nodes(docs: DataFrame, each: DataFrame, percent: int = PERCENT) -> Da
     open_tokens = marked.groupBy("token").agg(
         (F.min("label") != F.max("label")).alias("open")).where("open").select("token")
     entries = materialise(marked.join(open_tokens, "token", "left_semi").join(marks, "node"), "open")
-    small = side(entries.where(
-        (F.col("n") - F.col("pos")) >= least_shared(2 * F.col("n"), percent)), "_a", "label")
-    large = side(entries.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))),
-                 "_b", "label")
+
+    def blocks(end: str, own: str, other: str) -> DataFrame:
+        """The entries in their own block, once for each block that can hold a partner."""
+        return side(entries.withColumn(own, size_block(F.col("n"))).withColumn(
+            other, F.explode(partner_blocks(F.col("n"), F.col("pos"), end == "_a", percent))),
+            end, by_blocks, "label")
+
+    by_blocks = ["token", "block_a", "block_b"]
     pairs = materialise(
-        small.join(large, ["token", "band"]).where(
+        blocks("_a", "block_a", "block_b").join(blocks("_b", "block_b", "block_a"), by_blocks).where(
             (F.col("label_a") != F.col("label_b"))
             & ((F.col("n_a") < F.col("n_b"))
                | (F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))) & meeting)

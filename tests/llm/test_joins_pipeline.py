@@ -1,7 +1,10 @@
 """The n-gram join, quotations and the pipeline against brute force."""
 
+import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,10 +66,12 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("leaders,frequent", [(N.LEADERS, N.FREQUENT), (0, 1 << 30), (2, 4)])
-def test_components_like_brute_force(spark, monkeypatch, leaders, frequent):
+@pytest.mark.parametrize("leaders,frequent,part_bits", [
+    (N.LEADERS, N.FREQUENT, N.PART_BITS), (0, 1 << 30, N.PART_BITS), (2, 4, 2)])
+def test_components_like_brute_force(spark, monkeypatch, leaders, frequent, part_bits):
     monkeypatch.setattr(N, "LEADERS", leaders)
     monkeypatch.setattr(N, "FREQUENT", frequent)
+    monkeypatch.setattr(N, "PART_BITS", part_bits)
     monkeypatch.setattr(N, "SLOT_BYTES", 20_000)
     rows = near_copies() + [(2000 + i if d is not None else None, t, s)
                             for i, (d, t, s) in enumerate(awkward())]
@@ -75,6 +80,47 @@ def test_components_like_brute_force(spark, monkeypatch, leaders, frequent):
         == slow_components(rows)
 
 
+def test_index_entries_are_dealt_evenly():
+    rng = np.random.default_rng(5)
+    node = rng.integers(0, 1 << 63, 1 << 16).astype(np.uint64)
+    small = rng.integers(0, 1 << 60, 1 << 16).astype(np.uint64)  # as first shingles are
+    key = N.list_key(small, node, np.zeros(1 << 16, np.uint8), 16)
+    assert np.bincount(key, minlength=16).min() > (1 << 16) / 16 / 2
+    assert len(np.bincount(key)) == 16
+    hot = N.list_key(np.full(1 << 16, small[0]), node, np.full(1 << 16, 16, np.uint8), 16)
+    parts, sizes = np.unique(hot, return_counts=True)
+    assert len(parts) == 16 and (parts >= 16).all() and sizes.max() < (1 << 16) / 8
+    assert len(set((hot % 16).tolist())) == 1
+    again = N.list_key(np.full(1 << 16, small[0]), node, np.full(1 << 16, 16, np.uint8), 16)
+    assert (again == hot).all()
+
+
+def test_blocks_hold_every_possible_pair_once_and_skip_others(spark):
+    rng = random.Random(6)
+    entries = []
+    for i in range(400):
+        n = rng.randint(1, 400)
+        entries.append((i, n, rng.randrange(n - (85 * n + 99) // 100 + 1)))
+    df = spark.createDataFrame(entries, "node long, n long, pos long")
+    n, pos = F.col("n"), F.col("pos")
+
+    def side(end, own, other):
+        return df.withColumn(own, N.size_block(n)).withColumn(
+            other, F.explode(N.partner_blocks(n, pos, end == "_a"))).select(
+            "block_a", "block_b", *[F.col(c).alias(c + end) for c in ("node", "n", "pos")])
+
+    met = collect(side("_a", "block_a", "block_b").join(
+        side("_b", "block_b", "block_a"), ["block_a", "block_b"]).where("n_a <= n_b"))
+    times = Counter((r["node_a"], r["node_b"]) for r in met)
+    assert max(times.values()) == 1
+    wanted = {(a, b) for a, n_a, p_a in entries for b, n_b, p_b in entries
+              if n_a <= n_b and 100 * n_a >= 85 * n_b
+              and 185 * min(n_a - p_a, n_b - p_b) >= 85 * (n_a + n_b)}
+    by_size = sum(n_a <= n_b and 2 * n_a >= n_b for _, n_a, _ in entries for _, n_b, _ in entries)
+    assert wanted and wanted <= set(times)
+    assert len(times) < by_size / 3
+
+
 def test_rows_with_equal_ids(spark):
     rows = awkward()
     got = collect(N.similar_documents(documents(spark, rows)))
