@@ -61,12 +61,16 @@ class TextModel:
 
 
 def fit_text_model(texts: DataFrame, dimensions: int = TEXT_DIMENSIONS) -> TextModel:
-    """Weights from all texts; one count for each feature reaches the driver."""
+    """Weights from all texts; one count for each feature reaches the driver.
+
+    The words of equal texts are read once.
+    """
     buckets = F.array_distinct(word_buckets(F.col("text"), dimensions))
     # A mark that no feature has counts the texts in the same pass.
-    seen = texts.select(F.explode(F.concat(buckets, F.array(F.lit(-1)))).alias("bucket")) \
-        .groupBy("bucket").count().collect()
-    counts = {r["bucket"]: r["count"] for r in seen}
+    seen = texts.groupBy("text").agg(F.count("*").alias("times")) \
+        .select("times", F.explode(F.concat(buckets, F.array(F.lit(-1)))).alias("bucket")) \
+        .groupBy("bucket").agg(F.sum("times").alias("texts")).collect()
+    counts = {r["bucket"]: r["texts"] for r in seen}
     n = counts.get(-1, 0)
     return TextModel(tuple(math.log((n + 1) / (counts.get(b, 0) + 1)) for b in range(dimensions)))
 
@@ -101,6 +105,12 @@ def embed_texts(texts: DataFrame, model: TextModel) -> DataFrame:
         .alias("vector"))
 
 
+def embed_distinct(texts: DataFrame, model: TextModel) -> DataFrame:
+    """``text, vector`` of each distinct text: equal texts are embedded once."""
+    each = texts.select("text").distinct().select(F.col("text").alias("id"), "text")
+    return embed_texts(each, model).withColumnRenamed("id", "text")
+
+
 def vector_table(df: DataFrame, record_id: str, vector: str,
                  dimensions: int | None = None) -> DataFrame:
     """``id, vector`` of the usable rows: not null and, if given, of the right size."""
@@ -150,6 +160,33 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K.NEIGHB
     return vector_cells.search(vector_cells.build(vectors, **cells), queries, k, written=True)
 
 
+def nearest_texts(texts: DataFrame, asked: DataFrame, model: TextModel,
+                  k: int = K.NEIGHBOURS, **options) -> DataFrame:
+    """``nearest_neighbours`` of the embedded texts, each distinct text searched once.
+
+    ``texts`` and ``asked`` have ``id, text``.  A text is searched under the first id that has
+    it: no row before the k-th can lie behind more than k texts ranked by distance and first
+    id, so the first k rows of the k nearest texts hold the k nearest rows.  ``options`` are
+    those of ``nearest_neighbours``.
+    """
+    first = materialise(ranked_first(texts, "text", [F.asc("id")], k, "nth"), "first-of-texts")
+    # Numbers in the order of the first ids; an id may stand for several texts.
+    known = materialise(first.where("nth = 1").select("id", "text").orderBy("id", "text").select(
+        "text", F.monotonically_increasing_id().alias("number")), "numbered-texts")
+    vectors = embed_texts(known.select(F.col("number").alias("id"), "text"), model)
+    each = embed_distinct(asked, model).withColumnRenamed("text", "id")
+    near = nearest_neighbours(materialise(vectors, "text-vectors"), each, k, **options) \
+        .select(F.col("query_id").alias("asked"), F.col("id").alias("number"), "distance")
+    order = [F.asc("distance"), F.asc("id")]
+    rows = near.join(known, "number").join(first.select("text", "id"), "text") \
+        .select("asked", "id", "distance")
+    # k rows for each distinct text asked; written, so that the join can be split.
+    answers = materialise(ranked_first(rows, "asked", order, k).drop("rank"), "text-neighbours")
+    given = asked.select(F.col("id").alias("query_id"), F.col("text").alias("asked")) \
+        .join(answers, "asked").select("query_id", "id", "distance")
+    return ranked_first(given, "query_id", order, k).select("query_id", "id", "distance", "rank")
+
+
 def _neighbours_by_broadcast(vectors: DataFrame, queries: pd.DataFrame, k: int,
                              found: str) -> DataFrame:
     matrix, _, nearest = task_functions(k)

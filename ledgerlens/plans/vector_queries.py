@@ -8,7 +8,6 @@ from ledgerlens.operators import vector_cells, vectors as V
 from ledgerlens.plans import sql_views as Q
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import views
-from ledgerlens.sources.storage import materialise
 
 
 @query("""SELECT count(*) AS vectors, CAST(min(len(embedding)) AS INTEGER) AS min_dimensions,
@@ -70,16 +69,13 @@ def vec_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _narratives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors of all narratives and of the report requests.
+    """The texts of all narratives and of the report requests.
 
     The requests are those of ``views.questions``: the narrative of every error event.
     """
     tagged = views.tagged_transactions(spark, sf_dir)
-    texts = V.vector_text(tagged)
-    model = V.fit_text_model(texts)
-    asked = V.vector_text(tagged.where(F.get("aml_tags", F.lit(0)) == "error"))
-    return (materialise(V.embed_texts(texts, model), "narrative_vectors"),
-            materialise(V.embed_texts(asked, model), "request_vectors"))
+    asked = tagged.where(F.get("aml_tags", F.lit(0)) == "error")
+    return V.vector_text(tagged), V.vector_text(asked)
 
 
 @query(_FEATURES + """,
@@ -96,8 +92,9 @@ SELECT t.transaction_id AS query_id, id, round(distance, 4) AS distance,
     CAST(rank AS INTEGER) AS rank FROM txn t JOIN best ON t.narrative = one""")
 def vec_question_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three narratives closest to each report request, by text features."""
-    vectors, requests = _narratives(spark, sf_dir)
-    return V.nearest_neighbours(vectors, requests).withColumn("distance", F.round("distance", 4))
+    texts, requests = _narratives(spark, sf_dir)
+    near = V.nearest_texts(texts, requests, V.fit_text_model(texts))
+    return near.withColumn("distance", F.round("distance", 4))
 
 
 @query(_TOPK + "SELECT query_id, id, distance, rank FROM best")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import vector_cells as C, vectors as V
 from ledgerlens.operators.tagging import tag_transactions
@@ -188,3 +189,53 @@ def test_embedding_by_hand(spark):
     got = {r["id"]: r["vector"] for r in V.embed_texts(texts, model).collect()}
     assert set(got) == {"1", "2"} and all(len(v) == 16 for v in got.values())
     assert max(abs(a - b / norm) for a, b in zip(got["1"], plain)) < 1e-6
+
+
+def events(spark, folder, narratives):
+    """A folder with an events table of these narratives, ``event_type props``."""
+    rows = [(i, 20.0, *n.split(" ", 1)) for i, n in enumerate(narratives)]
+    spark.createDataFrame(rows, "event_id long, value double, event_type string, props string") \
+        .withColumn("ts", F.lit("2024-01-01").cast("timestamp")) \
+        .write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_equal_texts_are_embedded_and_searched_once(spark, tmp_path, monkeypatch):
+    words = ["red fox", "red cat", "blue fox", "green owl", "red red fox"]
+    texts = [("error " if i % 3 == 0 else "view ") + words[i % 5] for i in range(90)]
+    sf_dir = events(spark, tmp_path, texts)
+    embedded, searched = [], []
+    embed, nearest = V.embed_texts, V.nearest_neighbours
+    monkeypatch.setattr(V, "embed_texts", lambda t, m: embedded.append(t.count()) or embed(t, m))
+    monkeypatch.setattr(V, "nearest_neighbours", lambda v, q, *a, **o: searched.append(
+        (v.count(), q.count())) or nearest(v, q, *a, **o))
+    got = vector_queries.vec_question_neighbours(spark, sf_dir).collect()
+    assert max(embedded) == 10 and searched == [(10, 5)]
+    features = vector_queries.vec_text_features(spark, sf_dir).collect()
+
+    vector = {r["id"]: [tuple(e.split(":")) for e in r["vector"].split()] for r in features}
+    assert len(vector) == 90
+
+    def gap(a, b):
+        a, b = (dict((int(p), float(x)) for p, x in vector[i]) for i in (a, b))
+        return sum((a.get(p, 0) - b.get(p, 0)) ** 2 for p in {*a, *b})
+
+    found_rows = {(r["query_id"], r["rank"]): r for r in got}
+    asked = [f"T{i}" for i, t in enumerate(texts) if t.startswith("error")]
+    assert len(got) == 3 * len(asked) == len(found_rows)
+    for q in asked:
+        best = sorted((round(gap(q, i), 3), i) for i in vector)[:3]
+        assert [(found_rows[q, n]["id"]) for n in (1, 2, 3)] == [i for _, i in best]
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "cell_rows": 2}])
+def test_nearest_texts_match_the_search_of_all_rows(spark, options):
+    rng = random.Random(5)
+    rows = [(rng.randrange(400), " ".join(rng.choices(["a", "b", "c", "d"], k=rng.randint(1, 3))))
+            for _ in range(120)]  # some ids stand for several texts
+    texts = spark.createDataFrame(rows, "id long, text string")
+    asked = spark.createDataFrame([(1000 + i, t) for i, (_, t) in enumerate(rows[:30])]
+                                  + [(2000, "..."), (2001, "e")], "id long, text string")
+    model = V.fit_text_model(texts, 32)
+    plain = V.nearest_neighbours(V.embed_texts(texts, model), V.embed_texts(asked, model), 4)
+    assert found(V.nearest_texts(texts, asked, model, 4, **options)) == found(plain)
