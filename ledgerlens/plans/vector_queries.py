@@ -8,6 +8,7 @@ from ledgerlens.operators import vector_cells, vectors as V
 from ledgerlens.plans import sql_views as Q
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import views
+from ledgerlens.sources.storage import materialise
 
 
 @query("""SELECT count(*) AS vectors, CAST(min(len(embedding)) AS INTEGER) AS min_dimensions,
@@ -62,10 +63,13 @@ SELECT transaction_id AS id, vector FROM txn JOIN spelled ON narrative = text"""
 def vec_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed word features of every narrative, spelled as ``place:value``."""
     texts = V.vector_text(views.tagged_transactions(spark, sf_dir))
-    vectors = V.embed_texts(texts, V.fit_text_model(texts))
+    vectors = V.embed_distinct(texts, V.fit_text_model(texts))
     entries = F.filter(F.transform("vector", lambda x, i: F.when(x != 0, F.format_string(
         "%d:%.4f", i, x.cast("double")))), lambda e: e.isNotNull())
-    return vectors.select("id", F.array_join(entries, " ").alias("vector"))
+    # Written, so that few are broadcast and a text that very many rows have can be split.
+    spelled = materialise(vectors.select("text", F.array_join(entries, " ").alias("vector")),
+                          "spelled-vectors")
+    return texts.join(spelled, "text").select("id", "vector")
 
 
 def _narratives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

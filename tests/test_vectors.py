@@ -211,7 +211,9 @@ def test_equal_texts_are_embedded_and_searched_once(spark, tmp_path, monkeypatch
         (v.count(), q.count())) or nearest(v, q, *a, **o))
     got = vector_queries.vec_question_neighbours(spark, sf_dir).collect()
     assert max(embedded) == 10 and searched == [(10, 5)]
+    embedded.clear()
     features = vector_queries.vec_text_features(spark, sf_dir).collect()
+    assert embedded == [10]
 
     vector = {r["id"]: [tuple(e.split(":")) for e in r["vector"].split()] for r in features}
     assert len(vector) == 90
