@@ -110,16 +110,17 @@ def _required(regex: bool) -> Column:
 def _phrase_pieces(distinct: DataFrame, regex: bool) -> DataFrame:
     """``phrase, n, kind, piece``: all pieces of alternative ``n`` of each phrase.
 
-    All alternatives of a phrase use one kind: the best that every one of them holds.
+    Each alternative uses the best kind that it holds, so a short one does not make the
+    others short.  If one holds no piece at all, neither does the phrase.
     """
     order = list(PIECES)
     level = F.lit(len(order))
     for i, name in reversed(list(enumerate(order))):
-        level = F.when(F.forall("runs", _holds(PIECES[name])), i).otherwise(level)
-    runs = distinct.withColumn("runs", F.array_distinct(_required(regex))) \
-        .withColumn("level", level).select(
-            "phrase", "level", F.posexplode(F.when(F.col("level") < len(order), F.col("runs"))
-                                            .otherwise(F.array(F.lit("")))).alias("n", "run"))
+        level = F.when(F.col("run").rlike(PIECES[name]), i).otherwise(level)
+    runs = distinct.withColumn("runs", F.array_distinct(_required(regex))).select(
+        "phrase", F.posexplode(F.when(F.forall("runs", lambda run: F.length(run) > 0),
+                                      F.col("runs")).otherwise(F.array(F.lit(""))))
+        .alias("n", "run")).withColumn("level", level)
     pieces, kind = F.array(F.lit("")), F.lit(NO_PIECE)
     for i, name in enumerate(order):
         at = F.col("level") == i
@@ -158,10 +159,6 @@ def phrase_keys(distinct: DataFrame, *, regex: bool = False, records: DataFrame
         .select("phrase", "kind", "piece").distinct()
 
 
-def _holds(pattern: str):
-    return lambda run: run.rlike(pattern)
-
-
 def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFrame, phrase: str, *,
                 regex: bool = False, literal_phrases: int = LITERAL_PHRASES,
                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -192,17 +189,21 @@ def phrase_join(records: DataFrame, record_id: str, text: str, phrases: DataFram
     keys = materialise(phrase_keys(distinct, regex=regex, records=records, record_id=record_id,
                                    text=text), "phrase-keys")
     kinds = {row["kind"]: row for row in keys.groupBy("kind").agg(
-        F.count_distinct("phrase").alias("n"),
+        F.count_distinct("phrase").alias("n"), F.count_distinct("piece").alias("pieces"),
         F.sum(F.octet_length("phrase") + F.octet_length("piece")).alias("bytes")).collect()}
     others = sum(row["n"] for kind, row in kinds.items() if kind != WORD)
     constant = []
     if WORD in kinds and 0 < others <= literal_phrases:
         constant = constants.join(keys.where(F.col("kind") != WORD), "phrase",
                                   "left_semi").collect()
-        keys, kinds = keys.where(F.col("kind") == WORD), {WORD: kinds[WORD]}
+        keys = keys.where(F.col("kind") == WORD).join(
+            keys.where(F.col("kind") != WORD).select("phrase"), "phrase", "left_anti")
+        kinds = {WORD: kinds[WORD]}
+    named = [kind for kind, row in kinds.items()
+             if kind not in (WORD, *COMMON) and row["pieces"] <= literal_phrases]
     found = _match_pieces(records, record_id, text, keys,
                           {kind: row["bytes"] for kind, row in kinds.items()}, regex,
-                          broadcast_bytes)
+                          broadcast_bytes, named)
     if constant:
         found = found.unionByName(_match_constants(records, text, constant, regex))
     return found
@@ -223,15 +224,23 @@ def _match_constants(records: DataFrame, text: str, phrases: list[Row], regex: b
 
 
 def _match_pieces(records: DataFrame, record_id: str, text: str, keys: DataFrame,
-                  kinds: dict[str, int], regex: bool, broadcast_bytes: int) -> DataFrame:
-    """``kinds`` are those of the keys, with the bytes of each."""
+                  kinds: dict[str, int], regex: bool, broadcast_bytes: int,
+                  named: list[str]) -> DataFrame:
+    """``kinds`` are those of the keys, with the bytes of each.
+
+    Of the ``named`` kinds there are so few pieces that each is a constant: a text is tested
+    for them and does not emit all of its own.
+    """
     folded = _fold(F.col(text), regex)
     common = F.col("kind").isin(*COMMON)
     rare = {kind: size for kind, size in kinds.items() if kind not in COMMON}
     parts = []
     if rare:
         side = keys.where(~common).select("piece", "phrase")
-        parts.append(records.select(record_id, _record_pieces(folded, rare)).join(
+        few = sorted({row["piece"] for row in keys.where(F.col("kind").isin(named))
+                      .select("piece").collect()}) if named else []
+        many = [kind for kind in rare if kind not in named]
+        parts.append(records.select(record_id, _record_pieces(folded, many, few)).join(
             F.broadcast(side) if sum(rare.values()) <= broadcast_bytes else side, "piece")
             .select(record_id, "phrase"))
     # Phrases with only a common piece would pair with nearly every record; they are
@@ -252,8 +261,9 @@ def _match_pieces(records: DataFrame, record_id: str, text: str, keys: DataFrame
         .select(*records.columns, "phrase")
 
 
-def _record_pieces(folded: Column, kinds: Iterable[str]) -> Column:
+def _record_pieces(folded: Column, kinds: Iterable[str], few: Iterable[str] = ()) -> Column:
     found = [F.array(F.lit("")) if kind == NO_PIECE else _pieces(folded, kind) for kind in kinds]
+    found += [compact([(folded.contains(piece), piece) for piece in few])] if few else []
     none = F.array().cast("array<string>")
     return F.explode(F.array_distinct(F.concat(none, *found))).alias("piece")
 

@@ -301,3 +301,23 @@ def test_many_random_phrases(spark):
                     {"literal_phrases": 1000}):
         got = phrase_join(records, "id", "text", frame, "p", **options)
         assert sorted((r["id"], r["phrase"]) for r in got.collect()) == expected
+
+
+def test_a_short_alternative_leaves_the_others_their_pieces(spark):
+    patterns = spark.createDataFrame([("pii|every account of the town",), ("x|",)], "phrase string")
+    keys = sorted((r["phrase"], r["kind"]) for r in phrase_keys(patterns, regex=True).collect())
+    assert keys == [("pii|every account of the town", "short"),
+                    ("pii|every account of the town", "word"), ("x|", "none")]
+
+
+@pytest.mark.parametrize("literal_phrases", [0, 5, 40])
+def test_patterns_with_one_short_alternative(spark, literal_phrases):
+    import re
+    texts = [("1", "Some PII here"), ("2", "passage number 7 of the book"), ("3", "p, i and i"),
+             ("4", None), ("5", "passage number 17 of the book with pii"), ("6", "passage")]
+    patterns = [f"{'pii' if i % 2 else 'i and i'}|passage number {i} of the book" for i in range(20)]
+    got = phrase_join(spark.createDataFrame(texts, "id string, text string"), "id", "text",
+                      spark.createDataFrame([(p,) for p in [*patterns, "p|q"]], "p string"), "p",
+                      regex=True, literal_phrases=literal_phrases)
+    assert sorted((r["id"], r["phrase"]) for r in got.collect()) == sorted(
+        (i, p) for i, t in texts for p in [*patterns, "p|q"] if re.search(p, t or "", re.I))
