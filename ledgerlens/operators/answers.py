@@ -31,6 +31,9 @@ class Corpus:
     tagged_obligations: DataFrame
     topic: R.Topic = field(default_factory=R.Topic)
     source_token: str = "610"
+    # The obligations in two parts, if their texts are kept apart from the rest: what is
+    # searched, and ``paragraph_id`` with the columns that only hits need.
+    obligation_parts: tuple[DataFrame, DataFrame] | None = None
     # How to keep hits that several results read: (frame, name) -> frame.
     keep: Callable[[DataFrame, str], DataFrame] = lambda hits, name: hits
 
@@ -106,8 +109,10 @@ def find(questions: DataFrame, corpus: Corpus, intent: str, mode: str,
         hits = R.shown_transactions(S.match_transactions(corpus.tagged_transactions, keys))
         return Found(keys, members, hits, "transaction_id", S.transaction_order())
     keys, members = key_sets(S.obligation_keys(questions))
-    hits = S.match_obligations(corpus.tagged_obligations, keys, source_token=corpus.source_token)
-    return Found(keys, members, R.shown_obligations(hits), "paragraph_id", [F.asc("paragraph_id")])
+    searched, details = corpus.obligation_parts or (corpus.tagged_obligations, None)
+    hits = S.match_obligations(searched, keys, source_token=corpus.source_token)
+    return Found(keys, members, R.shown_obligations(hits, details), "paragraph_id",
+                 [F.asc("paragraph_id")])
 
 
 def routed(questions: DataFrame, mode: str, strict: bool = False) -> DataFrame:

@@ -63,15 +63,23 @@ def shown_transactions(hits: DataFrame) -> DataFrame:
         excerpt(narrative, K.AML_EXCERPT_CHARS).alias("excerpt"))
 
 
-def shown_obligations(hits: DataFrame) -> DataFrame:
+def shown_obligations(hits: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """``details`` gives other columns of the obligations, by ``paragraph_id``."""
     regulation = first_present(F.col("regulation"), F.col("source_document"))
     text = F.coalesce(first_present(F.col("paragraph_text"), F.col("original_text")),
                       F.lit(K.NOT_PROVIDED))
-    return hits.select(
+    known = [] if details is None else details.columns
+    # Joined with the short columns only; whole texts are not moved.
+    shown = hits.select(
         "search_key", "paragraph_id",
         strip(F.coalesce(regulation, F.lit(""))).alias("regulation"),
         excerpt(text, K.REG_EXCERPT_CHARS).alias("excerpt"),
-        owner_or_units(hits, K.NOT_PROVIDED).alias("owner"))
+        *[c for c in ("owner", "business_unit", "assigned_to") if c in hits.columns
+          and c not in known])
+    if details is not None:
+        shown = shown.join(details, "paragraph_id", "left")
+    return shown.select("search_key", "paragraph_id", "regulation", "excerpt",
+                        owner_or_units(shown, K.NOT_PROVIDED).alias("owner"))
 
 
 def message_line() -> Column:

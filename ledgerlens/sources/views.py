@@ -95,18 +95,23 @@ def obligations(spark: SparkSession, sf_dir: str, *, with_text: bool = True) ->
     Leave the text out where only the metadata is measured: the join with the
     labels then moves a few short columns instead of whole documents.
     """
+    documents, details = obligation_parts(spark, sf_dir)
+    return documents.join(details, "paragraph_id", "left").select(
+        "paragraph_id", "source_document", "regulation", "risk_type", "owner", "deadline",
+        *(["original_text"] if with_text else []))
+
+
+def obligation_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents as obligations, and owner and deadline of the labelled ones by their id."""
     documents = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("doc_id").cast("string").alias("paragraph_id"),
+        F.col("doc_id").cast("string").alias("paragraph_id"),
         F.col("source").alias("source_document"), F.col("source").alias("regulation"),
-        F.col("lang").alias("risk_type"),
-        *([F.col("text").alias("original_text")] if with_text else []))
+        F.col("lang").alias("risk_type"), F.col("text").alias("original_text"))
     labels = table(spark, sf_dir, "labels")
     owner = F.when(F.col("quality") == 1, "Compliance").when(F.col("quality") == 0, "Operations")
     deadline = F.when(F.col("toxic") == 1, "Annual").when(F.col("toxic") == 0, "")
-    return documents.join(labels, "doc_id", "left").select(
-        "paragraph_id", "source_document", "regulation", "risk_type",
-        owner.alias("owner"), deadline.alias("deadline"),
-        *(["original_text"] if with_text else []))
+    return documents, labels.select(F.col("doc_id").cast("string").alias("paragraph_id"),
+                                    owner.alias("owner"), deadline.alias("deadline"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,34 +189,46 @@ def checked_questions(spark: SparkSession) -> DataFrame:
 _stored: dict[tuple[str, ...], str] = {}
 
 
-def stored(df: DataFrame, sf_dir: str, name: str, inputs: Sequence[str]) -> DataFrame:
+def stored(df: DataFrame, sf_dir: str, name: str, inputs: Sequence[str],
+           copied: tuple[str, str] | None = None) -> DataFrame:
     """A tagged table as a deployment has it: written once, read by every question.
 
-    It is written anew when a file of its inputs has changed.
+    It is written anew when a file of its inputs has changed.  The first column of
+    ``copied`` is written only where it differs from the second.
     """
     spark = df.sparkSession
     key = (spark.sparkContext.applicationId, sf_dir, name,
            *[snapshot(spark, f"{sf_dir}/{table}.parquet") for table in inputs])
+    written = df
+    if copied is not None:
+        copy, of = (F.col(c) for c in copied)
+        written = df.withColumn("__same", copy.eqNullSafe(of)) \
+            .withColumn(copied[0], F.when(~F.col("__same"), copy))
     if key not in _stored or not path_exists(spark, _stored[key]):
-        _stored[key] = write_shared(df, name)
-    return spark.read.schema(df.schema).parquet(_stored[key])
+        _stored[key] = write_shared(written, name)
+    written_table = spark.read.schema(written.schema).parquet(_stored[key])
+    if copied is not None:
+        written_table = written_table.withColumn(copied[0], F.when(F.col("__same"), of).otherwise(copy))
+    return written_table.select(*df.columns)
 
 
 def corpus(spark: SparkSession, sf_dir: str, intents: Sequence[str] = SEARCHES) -> Corpus:
-    """All tables; the tagged ones that the intents search are stored.
+    """All tables; tagged messages are stored if the intents search them.
 
-    Transactions are left as they are, their tags are a cheap projection.
+    Transactions and obligations are left as they are: the tags of the first are a cheap
+    projection, the texts of the second are searched where they lie.
     """
-    tagged, owned = tagged_messages_upgraded(spark, sf_dir), obligations(spark, sf_dir)
+    tagged = tagged_messages_upgraded(spark, sf_dir)
     return Corpus(
         messages=messages(spark, sf_dir),
         transactions=transactions(spark, sf_dir),
         paragraphs=paragraphs(spark, sf_dir),
-        tagged_messages=stored(tagged, sf_dir, "tagged-messages", ["documents"])
+        tagged_messages=stored(tagged, sf_dir, "tagged-messages", ["documents"],
+                               ("masked_text", "original_text"))
         if K.PII_SEARCH in intents else tagged,
         tagged_transactions=tagged_transactions(spark, sf_dir),
-        tagged_obligations=stored(owned, sf_dir, "tagged-obligations", ["documents", "labels"])
-        if K.REG_SEARCH in intents else owned,
+        tagged_obligations=obligations(spark, sf_dir),
+        obligation_parts=obligation_parts(spark, sf_dir),
         topic=TABLE_TOPIC,
         source_token=TABLE_SOURCE_TOKEN,
         keep=materialise,

@@ -221,3 +221,39 @@ def test_snapshot_sees_files_of_inner_folders(spark, tmp_path):
     assert storage.snapshot(spark, path) == first
     spark.range(1).withColumn("p", F.lit(1)).write.mode("append").partitionBy("p").parquet(path)
     assert storage.snapshot(spark, path) != first
+
+
+def test_a_copied_column_is_written_only_where_it_differs(spark, tmp_path):
+    from ledgerlens.sources import views
+    rows = [(1, "a", "a"), (2, "b", "x"), (3, None, None), (4, "c", None), (5, None, "d")]
+    spark.range(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.createDataFrame(rows, "id long, original string, masked string")
+    got = views.stored(df, str(tmp_path), "copied", ["documents"], ("masked", "original"))
+    assert sorted(tuple(r) for r in got.collect()) == rows and got.schema == df.schema
+    path = next(p for k, p in views._stored.items() if k[1:3] == (str(tmp_path), "copied"))
+    assert {r["id"]: r["masked"] for r in spark.read.parquet(path).collect()} == {
+        1: None, 2: "x", 3: None, 4: None, 5: "d"}
+
+
+def test_texts_of_obligations_are_not_written(spark, tmp_path):
+    from ledgerlens import constants as K
+    from ledgerlens.operators import answers as A
+    from ledgerlens.sources import views
+    texts = ["licensed under the law", "regulations say: suspicious matters", None]
+    spark.createDataFrame([(i, t, "src1", "en") for i, t in enumerate(texts)],
+                          "doc_id long, text string, source string, lang string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1)],
+                          "doc_id long, quality int, toxic int") \
+        .write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "event_id long, ts timestamp, event_type string, value double, "
+                          "props string").write.parquet(f"{tmp_path}/events.parquet")
+    corpus = views.corpus(spark, str(tmp_path), [K.REG_SEARCH])
+    questions = spark.createDataFrame([("q", "regulations say: suspicious")],
+                                      "question_id string, text string")
+    found = A.find(questions, corpus, K.REG_SEARCH, K.MODE_TAGGED)
+    assert sorted((r["paragraph_id"], r["owner"]) for r in found.hits.collect()) == [
+        ("1", "Compliance"), ("1", "Operations")]  # one for each label
+    assert not [k for k in views._stored if k[1] == str(tmp_path)]
+    whole = sorted(map(str, views.obligations(spark, str(tmp_path)).collect()))
+    assert len(whole) == 4
