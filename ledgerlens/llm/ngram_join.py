@@ -396,6 +396,8 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(below.select("a", F.col("m").alias("b")))
 
     edges = materialise(edges.where("a <> b").distinct(), "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     mark = None
     while True:
         large = materialise(star(edges, True).where("a <> b").distinct(), "stars")

@@ -251,3 +251,10 @@ def test_stages_take_awkward_and_empty_tables(spark, name):
     for docs in (rows, rows.limit(0)):
         got = stage(spark, docs, SF_DIR)
         assert got.columns[:1] == docs.columns[:1] and got.count() >= 0
+
+
+def test_components_without_edges_run_no_rounds(spark, monkeypatch):
+    names, write = [], N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df, name: names.append(name) or write(df, name))
+    loops = spark.createDataFrame([(1, 1), (2, 2)], "a long, b long")
+    assert N.components(loops).count() == 0 and names == ["edges"]
